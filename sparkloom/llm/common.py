@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,3 +50,28 @@ def runs(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatc
 
 def blank_words(text: str) -> list[str]:
     return re.findall(WORD, text)
+
+
+def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of a string column's rows one after another, and where each row starts, with the end; null as empty."""
+    col = col.cast(pa.large_string()).fill_null("")
+    _, offsets, data = col.buffers()
+    at = np.frombuffer(offsets, np.int64)[col.offset : col.offset + len(col) + 1]
+    if not len(col) or data is None:
+        return np.zeros(0, np.uint8), np.zeros(len(col) + 1, np.int64)
+    return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
+
+
+def word_marks(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether a word of the size contract starts at each byte."""
+    blank = (data == 0x20) | ((data >= 0x09) & (data <= 0x0D))
+    marks = ~blank
+    marks[1:] &= blank[:-1]
+    first = at[:-1][at[:-1] < at[1:]]
+    marks[first] = ~blank[first]
+    return marks
+
+
+def per_row(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Sums of values between row bounds."""
+    return np.diff(np.concatenate([[0], np.cumsum(values, dtype=np.int64)])[at])
