@@ -5,6 +5,7 @@ from __future__ import annotations
 from sparkloom.llm.bpe_codec import op8_bpe_codec
 from sparkloom.llm.langid import op4_language_id
 from sparkloom.llm.mixing import op9_mixing
+from sparkloom.llm.pii import op10_pii
 from sparkloom.llm.token_counts import op1_token_counts
 from sparkloom.llm.toxicity import op3_toxicity
 
@@ -14,6 +15,7 @@ QUERIES = {
     "op4_language_id": op4_language_id,
     "op8_bpe_codec": op8_bpe_codec,
     "op9_mixing": op9_mixing,
+    "op10_pii": op10_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {}
