@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from sparkloom.llm.bpe_codec import op8_bpe_codec
+from sparkloom.llm.jaccard_join import op2_ngram_jaccard
 from sparkloom.llm.langid import op4_language_id
 from sparkloom.llm.mixing import op9_mixing
 from sparkloom.llm.pii import op10_pii
@@ -11,6 +12,7 @@ from sparkloom.llm.toxicity import op3_toxicity
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_toxicity": op3_toxicity,
     "op4_language_id": op4_language_id,
     "op8_bpe_codec": op8_bpe_codec,
