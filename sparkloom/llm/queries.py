@@ -6,7 +6,9 @@ from sparkloom.llm.bpe_codec import op8_bpe_codec
 from sparkloom.llm.jaccard_join import op2_ngram_jaccard
 from sparkloom.llm.langid import op4_language_id
 from sparkloom.llm.mixing import op9_mixing
+from sparkloom.llm.one_bit_search import OP6_SQL, op6_one_bit_search
 from sparkloom.llm.pii import op10_pii
+from sparkloom.llm.pq_dedup import OP7_SQL, op7_pq_dedup
 from sparkloom.llm.token_counts import op1_token_counts
 from sparkloom.llm.toxicity import op3_toxicity
 
@@ -15,9 +17,11 @@ QUERIES = {
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_toxicity": op3_toxicity,
     "op4_language_id": op4_language_id,
+    "op6_one_bit_search": op6_one_bit_search,
+    "op7_pq_dedup": op7_pq_dedup,
     "op8_bpe_codec": op8_bpe_codec,
     "op9_mixing": op9_mixing,
     "op10_pii": op10_pii,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_one_bit_search": OP6_SQL, "op7_pq_dedup": OP7_SQL}
