@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from sparkloom.llm.bpe_codec import op8_bpe_codec
+from sparkloom.llm.host_suffix import op5_html_main_text
 from sparkloom.llm.jaccard_join import op2_ngram_jaccard
 from sparkloom.llm.langid import op4_language_id
 from sparkloom.llm.mixing import op9_mixing
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_toxicity": op3_toxicity,
     "op4_language_id": op4_language_id,
+    "op5_html_main_text": op5_html_main_text,
     "op6_one_bit_search": op6_one_bit_search,
     "op7_pq_dedup": op7_pq_dedup,
     "op8_bpe_codec": op8_bpe_codec,
