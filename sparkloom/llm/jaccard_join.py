@@ -9,9 +9,12 @@ whole sets.
 The matrix need not hold all tokens. In any order common to all sets, two sets of the wanted
 similarity share a token among the first |x| - ceil(t |x|) + 1 of each, and with sets of about one
 size nearly half of those. Tokens that many texts share (common lines, copied passages) come last in
-the order, the rest by hash, so that few texts meet on a token. The list of such tokens is bounded:
-a token is on it only if it is in one of LEAST_SHARE texts. It steers the order and so the cost,
-never the result.
+the order, the rest by hash, so that few texts meet on a token. The table of such tokens has a fixed
+size: those of the highest counts. It steers the order and so the cost, never the result.
+
+Texts of sets to be compared are found again by a bitmap of fixed size over hashes of their ids, so
+that only their sets, and not all texts, are shuffled; a full bitmap would let more texts through, and
+the join that follows is exact.
 
 Defined results: A-Z count as a-z; texts of fewer words than a shingle are one shingle as a whole;
 null and wordless texts have empty sets and link with nothing; rows that repeat an id are one
@@ -32,9 +35,9 @@ from sparkloom.llm.common import checkpointed, column, table
 from sparkloom.llm.graph import components
 from sparkloom.llm.shingles import batch_sets, mixed
 
-#: A token is frequent if one of so many texts has it; tokens counted together; members of a group at
-#: most; queries that one task compares with a group; growth of sizes within a group.
-LEAST_SHARE, COUNTED, MEMBERS, QUERIES, GROWTH = 1000, 4_000_000, 64, 256, 1.1
+#: Frequent tokens known to all tasks at most; tokens counted together; members of a group at most;
+#: queries that one task compares with a group; growth of sizes within a group; bits of the bitmap of ids.
+FREQUENT, COUNTED, MEMBERS, QUERIES, GROWTH, BITS = 400_000, 4_000_000, 64, 256, 1.1, 1 << 26
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -45,11 +48,11 @@ def profiles(docs: DataFrame, k: int) -> DataFrame:
     """One pass over the texts: (id, n, f1, f2), size and fingerprint of each text's set, and, with a null n, (f1, f2) frequent tokens of a part of the texts and their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, rows = [], 0, 0
+        held, size = [], 0
 
         def frequent() -> pa.RecordBatch:
             values, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            often = n >= max(2, rows // LEAST_SHARE)
+            often = n > 1
             m = int(often.sum())
             return pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), _signed(values[often]), pa.array(n[often].astype(np.int64))], ["id", "n", "f1", "f2"])
 
@@ -60,10 +63,10 @@ def profiles(docs: DataFrame, k: int) -> DataFrame:
                 with np.errstate(over="ignore"):
                     f1[i], f2[i] = s.sum(dtype=np.uint64), mixed(s).sum(dtype=np.uint64)
                 held.append(s)
-                size, rows = size + len(s), rows + 1
+                size += len(s)
                 if size >= COUNTED:
                     yield frequent()
-                    held, size, rows = [], 0, 0
+                    held, size = [], 0
             yield pa.RecordBatch.from_arrays([column(batch, "id"), pa.array(n), _signed(f1), _signed(f2)], ["id", "n", "f1", "f2"])
         yield frequent()
 
@@ -71,9 +74,12 @@ def profiles(docs: DataFrame, k: int) -> DataFrame:
 
 
 def frequent_tokens(found: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens that stand in a thousandth of all texts or more, sorted, with their counts."""
-    total = found.where("n is not null").count()
-    often = found.where("n is null").groupBy("f1").agg(F.sum("f2").alias("texts")).where(F.col("texts") >= max(4, total // LEAST_SHARE)).toArrow()
+    """Tokens that most texts share, sorted, with their counts: as many counts from the top as the table holds."""
+    sums = checkpointed(found.where("n is null").groupBy("f1").agg(F.sum("f2").alias("texts")))
+    sizes = sums.groupBy("texts").agg(F.count("*").alias("tokens"))
+    above = F.sum("tokens").over(Window.orderBy(F.desc("texts")))
+    least = sizes.withColumn("above", above).where(F.col("above") <= FREQUENT).agg(F.min("texts")).first()[0]
+    often = sums.where(F.col("texts") >= (3 if least is None else max(3, least))).toArrow() if least is not None else sums.limit(0).toArrow()
     token, texts = often["f1"].to_numpy().view(np.uint64), often["texts"].to_numpy()
     order = np.argsort(token)
     return token[order], texts[order]
@@ -134,6 +140,15 @@ def whole_sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, tokens binary")
 
 
+def present(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows whose id is likely among the ids: a broadcast join with a bitmap of BITS bits, whatever the number of ids."""
+    slot, page = F.pmod(F.xxhash64("id"), F.lit(BITS)), 1 << 15
+    bits = ids.select((slot / page).cast("int").alias("page"), (slot % page).alias("at")).groupBy("page").agg(F.bitmap_construct_agg("at").alias("bits"))
+    byte = F.conv(F.hex(F.substring("bits", ((slot % page) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    joined = docs.withColumn("page", (slot / page).cast("int")).join(F.broadcast(bits), "page")
+    return joined.where(F.floor(byte / F.pow(F.lit(2), slot % 8)) % 2 == 1).select(*docs.columns)
+
+
 class Opened:
     """Members of one group, to be compared with queries: all tokens of the union with the members that have them."""
 
@@ -141,15 +156,17 @@ class Opened:
         self.num, self.den = share
         self.ids: list[int] = []
         self.sets: list[np.ndarray] = []
+        self.root = np.zeros(0, np.int64)
         self.token = None
 
     def add(self, node: int, tokens: np.ndarray) -> None:
         self.ids.append(node)
         self.sets.append(tokens)
+        self.root = np.append(self.root, len(self.root))
         self.token = None
 
-    def linked(self, tokens: np.ndarray, first: int = 0) -> list[int]:
-        """Members, from the given place on, that a set is similar to."""
+    def linked(self, tokens: np.ndarray) -> np.ndarray:
+        """Places of the members that a set is similar to."""
         if self.token is None:
             owner = np.repeat(np.arange(len(self.sets)), [len(s) for s in self.sets])
             token = np.concatenate(self.sets)
@@ -160,11 +177,20 @@ class Opened:
         at = np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
         common = np.bincount(self.owner[at], minlength=len(self.sets))
         union = self.sizes + len(tokens) - common
-        return [self.ids[i] for i in np.flatnonzero(self.den * common >= self.num * union) if i >= first]
+        return np.flatnonzero(self.den * common >= self.num * union)
+
+    def joined(self, tokens: np.ndarray) -> list[int]:
+        """Of all that a set is similar to, one member of each part not connected before; the parts become one."""
+        if not self.ids:
+            return []
+        roots = np.unique(self.root[self.linked(tokens)])
+        if len(roots) > 1:
+            self.root[np.isin(self.root, roots)] = roots[0]
+        return [self.ids[i] for i in roots.tolist()]
 
 
 def compared(rows: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """(a, b) links from rows (part, salt, query, id, tokens), dealt by part and salt, members before queries."""
+    """(a, b): links that connect all that similarity connects, from rows (part, salt, query, id, tokens) dealt by part and salt, members before queries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, group = None, Opened(share)
@@ -175,13 +201,15 @@ def compared(rows: DataFrame, share: tuple[int, int]) -> DataFrame:
                 if (part, salt) != key:
                     key, group = (part, salt), Opened(share)
                 tokens = np.frombuffer(packed.as_buffer(), np.uint64)
-                if query:
-                    found = group.linked(tokens) if group.ids else []
-                else:
+                found = group.joined(tokens) if query else []
+                if not query:
                     tokens = tokens.copy()
                     # members are compared with each other in the part's first copy only
-                    found = group.linked(tokens) if group.ids and not salt else []
+                    if not salt and group.ids:
+                        found = group.joined(tokens)
                     group.add(node, tokens)
+                    if found:
+                        group.root[-1] = group.root[group.ids.index(found[0])]
                 a += [node] * len(found)
                 b += found
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -218,8 +246,9 @@ def links(docs: DataFrame, found: DataFrame, k: int, share: tuple[int, int]) ->
     inside = inside.join(salts, "part", "left").select("id", "part", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"), F.lit(False).alias("query"))
     asking = opened.join(salts, "part").select("id", "part", F.pmod(F.xxhash64("id", F.lit(9)), "salts").cast("int").alias("salt"), F.lit(True).alias("query"))
     work = checkpointed(inside.unionByName(asking))
-    texts = docs.join(work.select("id").distinct(), "id", "left_semi")
-    dealt = work.join(checkpointed(whole_sets(texts, k)), "id").repartition("part", "salt").sortWithinPartitions("part", "salt", "query")
+    ids = work.select("id").distinct()
+    sets = whole_sets(present(docs.where("id is not null"), ids), k).join(ids, "id", "left_semi")
+    dealt = work.join(sets, "id").repartition("part", "salt").sortWithinPartitions("part", "salt", "query")
     return compared(dealt.select("part", "salt", "query", "id", "tokens"), share)
 
 
@@ -237,5 +266,15 @@ def jaccard_components(docs: DataFrame, k: int, share: tuple[int, int], key: str
     return out.select(F.col("id").alias(key), F.col("n").cast("long").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, k: int, share: tuple[int, int], key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows whose id is the smallest of its component, one of those that repeat an id; rows without id all stay."""
+    found = jaccard_components(docs, k, share, key, text)
+    first = checkpointed(found.where(F.col(key) == F.col("component_id")).select(key).distinct())
+    rest = [c for c in docs.columns if c != key]
+    # the join has dealt the rows by id, so the choice among repeated ids needs no further exchange
+    kept = docs.join(first, key, "left_semi").groupBy(key).agg(F.min(F.struct(*rest)).alias("__row"))
+    return kept.select(key, "__row.*").select(*docs.columns).unionByName(docs.where(F.col(key).isNull()))
+
+
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), 4, (85, 100))
