@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkloom.llm import pretok
 from sparkloom.llm.common import column, strings, table
@@ -122,9 +123,9 @@ def encode(docs: DataFrame, path: str, text: str = "text", with_offsets: bool =
 def _mapped(docs: DataFrame, path: str, text: str, with_offsets: bool) -> DataFrame:
     rest = docs.drop("ids", "offsets")
     packed = rest.select(*rest.columns, F.struct(F.col(text).alias("text")).alias("__text"))
-    out = rest.schema.add("ids", "array<int>")
+    out = T.StructType([*rest.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
     if with_offsets:
-        out = out.add("offsets", "array<bigint>")
+        out = out.add("offsets", T.ArrayType(T.LongType()))
     names = rest.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
