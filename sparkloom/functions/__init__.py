@@ -1,0 +1 @@
+"""Column functions: each takes and returns columns and stays inside the engine."""

@@ -1,3 +1,3 @@
 """Named queries; importing the package fills the registry."""
 
-from sparkloom.plans import analytics  # noqa: F401
+from sparkloom.plans import analytics, relations, scalars  # noqa: F401
