@@ -3,8 +3,8 @@
 Every vector, less the mean of all, is scaled to length one and turned by one random rotation; its
 code is the signs. With the packed signs go the vector's length and the inner product of the vector
 with its own code, which make the estimate of a query's inner product unbiased and bound its error.
-Queries meet all rows in blocks: a block keeps, per query, the rows whose upper bound reaches the
-query's k-th best lower bound, and ranks these again on the original vectors.
+Queries meet all rows in blocks: in a block the rows of a query's best estimates are ranked on the
+original vectors, and so is every row whose estimate and error bound together reach the k-th of them.
 
 Work grows with queries times rows, a few instructions a pair; memory is bounded by the blocks.
 
@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 from sparkloom.llm.common import checkpointed, column, table
 from sparkloom.llm.vectors import in_order, matrix, packed, unpacked, usable, width
 
-#: Standard errors within which estimates are trusted; queries and rows of a block; rows estimated at once.
-TRUST, QUERY_BLOCK, ROW_BLOCK, AT_ONCE = 3.0, 4096, 16384, 1024
+#: Standard errors within which estimates are trusted; rows ranked exactly at first, as a multiple of k;
+#: queries and rows of a block; queries answered at once.
+TRUST, FIRST, QUERY_BLOCK, ROW_BLOCK, AT_ONCE = 3.0, 4, 4096, 8192, 256
 
 
 def rotation(wide: int, seed: int = 17) -> np.ndarray:
@@ -68,38 +69,38 @@ def coded(rows: DataFrame, wide: int, centre: np.ndarray) -> DataFrame:
 
 def best_of_block(queries: np.ndarray, query_ids: np.ndarray, rows: dict, wide: int, centre: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, row, score) of the k best rows of a block for each query, ties to smaller ids."""
-    turned = queries @ rotation(wide)
-    base = queries @ centre
     norms = np.linalg.norm(queries, axis=1)
-    low = np.full((len(queries), k), -np.inf)
+    unit = queries / norms[:, None]
+    fit = np.maximum(rows["fit"], 1e-12)
+    # signs times what makes the estimate unbiased; the last column adds the part of the mean vector
+    signs = np.ones((len(fit), wide + 1), np.float32)
+    signs[:, :wide] = np.unpackbits(rows["code"], axis=1, count=wide) * np.float32(2) - 1
+    signs[:, :wide] *= (rows["length"] / fit / np.sqrt(wide))[:, None].astype(np.float32)
+    guess = np.concatenate([unit @ rotation(wide), (unit @ centre)[:, None]], axis=1).astype(np.float32) @ signs.T
+    # the rows of the best estimates, ranked exactly, give each query's bound
+    some = min(len(fit), FIRST * k)
+    first = np.argpartition(-guess, some - 1, axis=1)[:, :some]
+    exact = np.einsum("qd,qrd->qr", unit, rows["vector"][first])
+    exact[rows["id"][first] == query_ids[:, None]] = -np.inf
+    bound = -np.partition(-exact, min(k, some) - 1, axis=1)[:, min(k, some) - 1]
+    if some < len(fit) and some <= k:
+        bound[:] = -np.inf
+    bound -= 1e-9
     # what a code's own inner product leaves open, spread over the other directions
-    slack = TRUST * np.sqrt(np.maximum(0.0, 1 - rows["fit"] ** 2)) / np.maximum(rows["fit"], 1e-12) / np.sqrt(max(1, wide - 1)) * rows["length"]
-    asked, found, upper = [], [], []
-    for a in range(0, len(rows["id"]), AT_ONCE):
-        part = slice(a, a + AT_ONCE)
-        signs = np.unpackbits(rows["code"][part], axis=1, count=wide).astype(np.float64) * 2 - 1
-        scale = rows["length"][part] / np.maximum(rows["fit"][part], 1e-12) / np.sqrt(wide)
-        guess = base[:, None] + (turned @ signs.T) * scale
-        wide_by = norms[:, None] * slack[part]
-        own = query_ids[:, None] == rows["id"][part]
-        lowest = np.where(own, -np.inf, guess - wide_by)
-        low = -np.partition(-np.concatenate([low, lowest], axis=1), k - 1, axis=1)[:, :k]
-        most = guess + wide_by
-        q, r = np.nonzero((most >= low.min(axis=1)[:, None]) & ~own)
-        asked.append(q)
-        found.append(r + a)
-        upper.append(most[q, r])
-    q, r, most = map(np.concatenate, (asked, found, upper))
-    # the bound has risen since the first rows were kept
-    still = most >= low.min(axis=1)[q]
-    q, r = q[still], r[still]
+    guess += (TRUST * np.sqrt(np.maximum(0.0, 1 - fit**2)) / fit / np.sqrt(max(1, wide - 1)) * rows["length"] + 1e-5).astype(np.float32)
+    q, r = np.divmod(np.flatnonzero(guess >= bound[:, None].astype(np.float32)), len(fit))
+    q, r = np.concatenate([q, np.repeat(np.arange(len(unit)), some)]), np.concatenate([r, first.ravel()])
+    near = np.empty(len(q))
+    for a in range(0, len(q), 100_000):
+        near[a : a + 100_000] = np.einsum("id,id->i", unit[q[a : a + 100_000]], rows["vector"][r[a : a + 100_000]])
+    kept = np.unique((q * len(fit) + r)[(near >= bound[q]) & (query_ids[q] != rows["id"][r])])
+    q, r = np.divmod(kept, len(fit))
     score = np.empty(len(q))
     for a in range(0, len(q), 100_000):
         score[a : a + 100_000] = in_order(queries[q[a : a + 100_000]], rows["vector"][r[a : a + 100_000]])
     order = np.lexsort((rows["id"][r], -score, q))
     q, r, score = q[order], r[order], score[order]
-    rank = np.arange(len(q)) - np.searchsorted(q, q)
-    top = rank < k
+    top = np.arange(len(q)) - np.searchsorted(q, q) < k
     return query_ids[q[top]], rows["id"][r[top]], score[top]
 
 
@@ -127,8 +128,8 @@ def search(rows: DataFrame, asks: Column, k: int, key: str = "vec_id", vector: s
         x = unpacked(asking["vector"], np.float64, wide)
         block = {"id": there["id"].to_numpy(), "vector": unpacked(there["vector"], np.float64, wide), "code": unpacked(there["code"], np.uint8, -(-wide // 8)), "length": there["length"].to_numpy(), "fit": there["fit"].to_numpy()}
         ids, parts = asking["id"].to_numpy(), []
-        for a in range(0, len(ids), 512):
-            parts.append(best_of_block(x[a : a + 512], ids[a : a + 512], block, wide, centre, k))
+        for a in range(0, len(ids), AT_ONCE):
+            parts.append(best_of_block(x[a : a + AT_ONCE], ids[a : a + AT_ONCE], block, wide, centre, k))
         q, r, s = (np.concatenate([p[i] for p in parts]) for i in range(3))
         return pa.table({"query_id": q, "id": r, "score": s})
 
