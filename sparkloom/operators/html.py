@@ -1,0 +1,185 @@
+"""Tables, links, metadata and structured data of HTML pages, one pass of a tolerant scanner a page.
+
+Each function runs in an Arrow batch over the pages where they lie; rows of output are exploded in
+the engine.
+"""
+
+from __future__ import annotations
+
+import json
+from collections.abc import Iterator
+from html.parser import HTMLParser
+from urllib.parse import urljoin
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
+LINK_KINDS = {"next": "pagination", "prev": "pagination", "alternate": "alternate", "canonical": "canonical", "search": "search", "help": "documentation", "describedby": "documentation", "service-doc": "documentation", "service-desc": "api"}
+
+
+class Page(HTMLParser):
+    """What one page holds: metadata, link elements, anchors, tables, headings and JSON-LD."""
+
+    def __init__(self, url: str):
+        super().__init__(convert_charrefs=True)
+        self.url, self.meta, self.rels, self.anchors, self.tables, self.heads, self.json_ld = url, [], [], [], [], [], []
+        self.title, self.lang, self.items = "", "", []
+        self._open: list[dict] = []
+        self._text: list[list] = []
+        self._raw = None
+
+    def handle_starttag(self, tag, attrs):
+        a = {k: v or "" for k, v in attrs}
+        if tag == "html":
+            self.lang = a.get("lang", "")
+        elif tag == "meta" and a.get("content") and (name := a.get("property") or a.get("name") or a.get("http-equiv")):
+            self.meta.append((name.lower(), a["content"]))
+        elif tag == "link" and a.get("href"):
+            self.rels += [(r, urljoin(self.url, a["href"]), a.get("type", ""), LINK_KINDS.get(r, "other")) for r in a.get("rel", "").lower().split()]
+        elif tag == "script" and a.get("type", "").lower() == "application/ld+json":
+            self._raw = []
+        elif tag == "a" and a.get("href"):
+            self._text.append(["a", [], urljoin(self.url, a["href"])])
+        elif tag in ("title", "h1", "h2", "h3"):
+            self._text.append([tag, [], None])
+        elif tag == "table":
+            self._open.append({"caption": "", "id": a.get("id", ""), "headers": [], "rows": []})
+        elif tag == "tr" and self._open:
+            self._end_cell()
+            self._open[-1]["rows"].append([])
+        elif tag in ("td", "th") and self._open:
+            self._end_cell()
+            if not self._open[-1]["rows"]:
+                self._open[-1]["rows"].append([])
+            self._text.append([tag, [], None])
+        elif tag == "caption" and self._open:
+            self._text.append([tag, [], None])
+        if a.get("itemprop"):
+            self.items.append((a["itemprop"], a.get("content") or a.get("href") or a.get("src") or ""))
+
+    def handle_data(self, data):
+        if self._raw is not None:
+            self._raw.append(data)
+        for t in self._text:
+            t[1].append(data)
+
+    def _end_cell(self):
+        for t in [t for t in self._text if t[0] in ("td", "th")]:
+            self._close(t)
+
+    def _close(self, t):
+        self._text.remove(t)
+        text = " ".join("".join(t[1]).split())
+        if t[0] == "a":
+            self.anchors.append((t[2], text))
+        elif t[0] == "title":
+            self.title = self.title or text
+        elif t[0] in ("h1", "h2", "h3"):
+            self.heads.append((int(t[0][1]), text))
+        elif self._open and t[0] == "caption":
+            self._open[-1]["caption"] = text
+        elif self._open and self._open[-1]["rows"]:
+            self._open[-1]["rows"][-1].append((t[0] == "th", text))
+
+    def handle_endtag(self, tag):
+        if tag == "script" and self._raw is not None:
+            self._read_json("".join(self._raw))
+            self._raw = None
+        if tag in ("tr", "table"):
+            self._end_cell()
+        elif (t := next((t for t in reversed(self._text) if t[0] == tag), None)) is not None:
+            self._close(t)
+        if tag == "table" and self._open:
+            table = self._open.pop()
+            rows = [r for r in table["rows"] if r]
+            if rows and all(th for th, _ in rows[0]):
+                table["headers"] = [x for _, x in rows.pop(0)]
+            table["rows"] = [[x for _, x in r] for r in rows]
+            self.tables.append(table)
+
+    def _read_json(self, text):
+        try:
+            found = json.loads(text)
+        except ValueError:
+            return
+        for item in found if isinstance(found, list) else [found]:
+            for node in item.get("@graph", [item]) if isinstance(item, dict) else []:
+                kind = node.get("@type", "") if isinstance(node, dict) else ""
+                self.json_ld.append((kind if isinstance(kind, str) else ",".join(map(str, kind)), json.dumps(node, ensure_ascii=False, sort_keys=True)))
+
+    def best_title(self) -> tuple[str, str]:
+        """Open Graph title, else title element, else first heading."""
+        og = next((v for k, v in self.meta if k == "og:title"), "")
+        first = next((t for n, t in self.heads if n == 1), "")
+        return next(((t, s) for t, s in ((og, "og"), (self.title, "title"), (first, "h1")) if t), ("", "none"))
+
+
+def parsed(html: str | None, url: str | None) -> Page:
+    page = Page(url or "")
+    page.feed(html or "")
+    page.close()
+    for t in list(page._text):
+        page._close(t)
+    while page._open:
+        page.handle_endtag("table")
+    return page
+
+
+FIELDS = T.StructType(
+    [
+        T.StructField("page_id", T.LongType()),
+        T.StructField("title", T.StringType()),
+        T.StructField("title_source", T.StringType()),
+        T.StructField("lang", T.StringType()),
+        T.StructField("meta", T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("content", T.StringType())]))),
+        T.StructField("rels", T.ArrayType(T.StructType([T.StructField(x, T.StringType()) for x in ("rel", "href", "type", "kind")]))),
+        T.StructField("anchors", T.ArrayType(T.StructType([T.StructField("href", T.StringType()), T.StructField("text", T.StringType())]))),
+        T.StructField("headings", T.ArrayType(T.StructType([T.StructField("level", T.LongType()), T.StructField("text", T.StringType())]))),
+        T.StructField("tables", T.ArrayType(T.StructType([T.StructField("caption", T.StringType()), T.StructField("id", T.StringType()), T.StructField("headers", T.ArrayType(T.StringType())), T.StructField("rows", T.ArrayType(T.ArrayType(T.StringType())))]))),
+        T.StructField("items", T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("value", T.StringType())]))),
+        T.StructField("json_ld", T.ArrayType(T.StructType([T.StructField("type", T.StringType()), T.StructField("node", T.StringType())]))),
+    ]
+)
+
+
+def structured(pages: DataFrame) -> DataFrame:
+    """(page_id, title, title_source, lang, meta, rels, anchors, headings, tables, items, json_ld) of every page."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema = to_arrow_schema(FIELDS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                p = parsed(row["html"], row["url"])
+                title, source = p.best_title()
+                named = lambda names, values: [dict(zip(names, v)) for v in values]
+                out.append(
+                    {
+                        "page_id": row["page_id"],
+                        "title": title,
+                        "title_source": source,
+                        "lang": p.lang,
+                        "meta": named(("name", "content"), p.meta),
+                        "rels": named(("rel", "href", "type", "kind"), p.rels),
+                        "anchors": named(("href", "text"), p.anchors),
+                        "headings": named(("level", "text"), p.heads),
+                        "tables": p.tables,
+                        "items": named(("name", "value"), p.items),
+                        "json_ld": named(("type", "node"), p.json_ld),
+                    }
+                )
+            yield pa.RecordBatch.from_pylist(out, schema)
+
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(run, FIELDS)
+
+
+def link_header(header: str) -> list[tuple[str, str]]:
+    """(target, relation) pairs of a Link header; commas inside quotes and brackets do not part links."""
+    import re
+
+    return [(m[1], rel) for m in re.finditer(r'<([^>]*)>((?:\s*;\s*[\w*-]+\s*=\s*(?:"[^"]*"|[^\s";,]+))*)', header) for rel in (re.search(r'rel\s*=\s*"?([^";,]+)"?', m[2]) or [0, ""])[1].split()]
