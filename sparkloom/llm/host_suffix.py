@@ -1,19 +1,23 @@
-"""Main text of web pages, with a suffix array per host for pages whose markup does not mark it.
+"""Main text of web pages: markup first, then a suffix array per host for what its pages repeat.
 
 A scanner walks the page's tags once. Menus, headers, footers, sidebars, notices, adverts, forms,
 scripts, styles and comments are left out by element, role and class. Where an article or main
-element is there, its text is the page's text. Pages without one keep the rest as a token stream:
-the streams of a host are concatenated, sorted by suffix up to the least length of a repeat, and
-stretches of that length or more that stand in several pages are boilerplate. Covered tokens are
-removed and unique runs kept.
+element is there, its text goes on, else the rest. The texts of all pages are then token streams:
+those of a host are sorted by suffix up to the least length of a repeat, and stretches of that
+length or more that stand in several different pages are boilerplate. Covered tokens are removed
+and unique runs kept.
+
+Only what may repeat goes into the suffix arrays. A stretch has a least gram, the same in all its
+places; grams are counted over all pages, and those that too few pages hold rule their stretches
+out. The bitmap of the others has a fixed size: names that share a slot cost time, not results.
 
 A host's streams are cut into shards of bounded size by page; shards report each stretch with its
 number of pages, and the sums decide. So a host of any size is spread over tasks.
 
 Defined results: null and empty pages have empty text; markup that never ends is closed by the end
 of the page; an article without text falls back to the rest of the page as it is; a null url is a
-host of its own kind; repeated rows give repeated results and count as pages of their own; empty
-tables give empty tables; extra columns do not matter.
+host of its own kind; repeated rows give repeated results and count as one page, as do pages of a
+host with the same text; empty tables give empty tables; extra columns do not matter.
 """
 
 from __future__ import annotations
@@ -31,6 +35,8 @@ from sparkloom.llm.common import checkpointed, column, strings, table
 
 #: Tokens of a repeat at least, pages that it must stand in, tokens of a shard about.
 LEAST_TOKENS, LEAST_PAGES, SHARD_TOKENS = 8, 3, 200_000
+#: Bits of the bitmap that lets stretches by which surely do not repeat.
+SLOTS = 1 << 24
 
 #: Elements without text of the page; inline elements, which do not part words; elements without end tag.
 DROPPED = set("head nav footer aside form button select option textarea svg canvas iframe object noscript template dialog figcaption menu".split())
@@ -47,7 +53,6 @@ TAG = re.compile(
     re.S | re.I,
 )
 MARKS = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
-CONTAINER = r"(?i)<(?:article|main)[\s>/]"
 
 
 def parts(page: str) -> tuple[str, list[str]]:
@@ -120,30 +125,129 @@ def blocks(pieces: list[str]) -> str:
     return " ".join(x for x in split_blocks(pieces) if x)
 
 
-def marked_text(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text) of pages with an article or main element."""
+def streams(pages: DataFrame, slots: np.ndarray | None = None, least_tokens: int = LEAST_TOKENS) -> DataFrame:
+    """(page_id, url, host, stream, text, open) of all pages: text as the markup leaves it, a hash of host and text, and whether a stretch may repeat."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for page in strings(column(batch, "html")):
-                main, rest = parts(page)
-                out.append(main or " ".join(rest))
-            yield pa.RecordBatch.from_arrays([column(batch, "page_id"), column(batch, "url"), pa.array(out, pa.string())], ["page_id", "url", "text"])
+            hosts = strings(column(batch, "host"))
+            texts = [page_text(page) for page in strings(column(batch, "html"))]
+            ids = pa.array([stream_id(h, t) for h, t in zip(hosts, texts)], pa.int64())
+            if slots is None:
+                may = np.ones(len(texts), bool)
+            else:
+                at, _, least = least_grams(hosts, texts, least_tokens)
+                may = np.bincount(at, marked(slots, least), len(texts)) > 0
+            yield pa.RecordBatch.from_arrays([column(batch, "page_id"), column(batch, "url"), column(batch, "host"), ids, pa.array(texts, pa.string()), pa.array(may)], ["page_id", "url", "host", "stream", "text", "open"])
+
+    return pages.mapInArrow(run, "page_id long, url string, host string, stream long, text string, open boolean")
+
+
+def page_text(page: str) -> str:
+    main, rest = parts(page)
+    return main or " ".join(rest)
+
+
+def stream_id(host: str, text: str) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(f"{host}\0{text}".encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def hashed(hosts: list[str], texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every token of the texts one after another, and its text."""
+    known: dict[str, int] = {}
+    words = [t.split(" ") if t else [] for t in texts]
+    values = np.array([known[w] if w in known else known.setdefault(w, stream_id("", w)) for x in words for w in x], np.int64).view(np.uint64)
+    return values, np.repeat(np.arange(len(texts)), [len(x) for x in words])
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
-    return pages.mapInArrow(run, "page_id long, url string, text string")
 
+def least_grams(hosts: list[str], texts: list[str], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every stretch of `depth` tokens: text, place in it, and the least hash of the shorter grams in it; equal stretches of a host have equal ones."""
+    values, owner = hashed(hosts, texts)
+    gram, n = depth // 2 + 1, len(values) - depth + 1
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    salt = np.array([stream_id(h, "") for h in hosts], np.int64).view(np.uint64)[owner]
+    name = salt[: len(values) - gram + 1].copy()
+    for j in range(gram):
+        name = name * np.uint64(0x9E3779B97F4A7C15) + values[j : len(values) - gram + 1 + j]
+    name = mixed(name)
+    least = name[:n]
+    for j in range(1, depth - gram + 1):
+        least = np.minimum(least, name[j : n + j])
+    whole = owner[:n] == owner[depth - 1 :]
+    first = np.searchsorted(owner, np.arange(len(texts)))
+    return owner[:n][whole], (np.arange(n) - first[owner[:n]])[whole], least[whole]
 
-def open_streams(pages: DataFrame) -> DataFrame:
-    """(page_id, url, host, tokens) of the other pages."""
+
+def marked(slots: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """Whether the slot of each name is set in a bitmap."""
+    slot = (names & np.uint64(SLOTS - 1)).astype(np.int64)
+    return (slots[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+
+
+def repeat_slots(pages: DataFrame, least_tokens: int, least_pages: int) -> np.ndarray:
+    """Bitmap of fixed size with the least grams of all stretches that may repeat: those that enough pages hold, copies included, and names that share their slots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            tokens = [" ".join(parts(page)[1]).split(" ") for page in strings(column(batch, "html"))]
-            yield pa.RecordBatch.from_arrays([column(batch, "page_id"), column(batch, "url"), pa.array([[t for t in x if t] for x in tokens], pa.list_(pa.string()))], ["page_id", "url", "tokens"])
+            pairs = [(h, page_text(page)) for h, page in zip(strings(column(batch, "host")), strings(column(batch, "html")))]
+            # copies that one task meets count once here already
+            fresh = [x for x in pairs if (k := stream_id(*x)) not in seen and not seen.add(k)]
+            at, _, least = least_grams([h for h, _ in fresh], [t for _, t in fresh], least_tokens)
+            order = np.lexsort((least, at))
+            at, least = at[order], least[order]
+            keep = np.ones(len(at), bool)
+            keep[1:] = (at[1:] != at[:-1]) | (least[1:] != least[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(least[keep].view(np.int64))], ["name"])
+
+    often = pages.mapInArrow(run, "name long").groupBy("name").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
+    found = often.select(F.col("name").bitwiseAND(SLOTS - 1).cast("int").alias("slot")).distinct().toArrow()["slot"].to_numpy()
+    slots = np.zeros(SLOTS // 8, np.uint8)
+    np.bitwise_or.at(slots, found >> 3, (1 << (found & 7)).astype(np.uint8))
+    return slots
+
+
+def segments(pages: DataFrame, slots: np.ndarray, least_tokens: int) -> DataFrame:
+    """(host, stream, at, tokens): runs of tokens of each page's text that hold all its stretches that may repeat; copies that one task meets once."""
 
-    host = F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
-    return pages.mapInArrow(run, "page_id long, url string, tokens array<string>").withColumn("host", host)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            hosts, texts = strings(column(batch, "host")), strings(column(batch, "text"))
+            out: list[tuple] = []
+            own, place, least = least_grams(hosts, texts, least_tokens)
+            hit = marked(slots, least)
+            own, place = own[hit], place[hit]
+            cut = np.ones(len(own), bool)
+            cut[1:] = (own[1:] != own[:-1]) | (place[1:] > place[:-1] + least_tokens)
+            starts = np.flatnonzero(cut).tolist()
+            streams = column(batch, "stream").to_pylist()
+            taken: set[int] = set()
+            words: list[str] = []
+            last = -1
+            for a, b in zip(starts, [*starts[1:], len(own)]):
+                i = int(own[a])
+                if i != last:
+                    last, words = i, texts[i].split(" ")
+                    new = streams[i] not in seen
+                    seen.add(streams[i])
+                    if new:
+                        taken.add(i)
+                if i in taken:
+                    out.append((hosts[i], streams[i], int(place[a]), words[int(place[a]) : int(place[b - 1]) + least_tokens]))
+            host, stream, at, tokens = map(list, zip(*out)) if out else ([], [], [], [])
+            yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(stream, pa.int64()), pa.array(at, pa.int32()), pa.array(tokens, pa.list_(pa.string()))], ["host", "stream", "at", "tokens"])
+
+    return streams(pages).select("host", "stream", "text").mapInArrow(run, "host string, stream long, at int, tokens array<string>")
 
 
 def suffix_ranks(values: np.ndarray, depth: int) -> np.ndarray:
@@ -173,64 +277,66 @@ def stretches(pages: list[list[str]], depth: int) -> tuple[np.ndarray, np.ndarra
     return owner[whole], place[whole], rank[whole]
 
 
-def repeated(streams: DataFrame, least_tokens: int, least_pages: int) -> DataFrame:
-    """(row, place): stretches of tokens of a page that stand in enough pages of its host."""
+def repeated(runs: DataFrame, least_tokens: int, least_pages: int) -> DataFrame:
+    """(stream, place): stretches of tokens of a page's text that stand in enough different pages of its host."""
 
-    def named(tokens: list[str], at: int) -> int:
-        import xxhash
-
-        return xxhash.xxh64_intdigest("\0".join(tokens[at : at + least_tokens]).encode("utf-8", "surrogatepass")) - (1 << 63)
+    def named(host: str, tokens: list[str], at: int) -> int:
+        return stream_id(host, "\0".join(tokens[at : at + least_tokens]))
 
     def shard(rows: pa.Table) -> pa.Table:
-        pages, ids = rows["tokens"].to_pylist(), rows["row"].to_numpy()
+        # tasks may have brought a copy each
+        ids, ats, first_of = rows["stream"].to_numpy(), rows["at"].to_numpy(), {}
+        rows = rows.take([first_of.setdefault(k, i) for i, k in enumerate(zip(ids.tolist(), ats.tolist())) if k not in first_of])
+        pages, ids, ats = rows["tokens"].to_pylist(), rows["stream"].to_numpy(), rows["at"].to_numpy()
         owner, place, rank = stretches(pages, least_tokens)
         if not len(rank):
-            return pa.table({"host": pa.array([], pa.string()), **{c: pa.array([], pa.int64()) for c in ("stretch", "pages", "row")}, "place": pa.array([], pa.int32())})
-        order = np.lexsort((place, owner, rank))
-        owner, place, rank = owner[order], place[order], rank[order]
+            return pa.table({**{c: pa.array([], pa.int64()) for c in ("stretch", "pages", "stream")}, "place": pa.array([], pa.int32())})
+        stream = ids[owner]
+        order = np.lexsort((place, stream, rank))
+        owner, place, rank, stream = owner[order], place[order], rank[order], stream[order]
         first = np.ones(len(rank), bool)
         first[1:] = rank[1:] != rank[:-1]
         fresh = first.copy()
-        fresh[1:] |= owner[1:] != owner[:-1]
+        fresh[1:] |= stream[1:] != stream[:-1]
         group = np.cumsum(first) - 1
         counts = np.bincount(group, fresh).astype(np.int64)
-        names = np.array([named(pages[o], p) for o, p in zip(owner[first].tolist(), place[first].tolist())], np.int64)
         host = rows["host"][0].as_py()
-        m = len(owner)
-        return pa.table({"host": pa.array([host] * m, pa.string()), "stretch": names[group], "pages": np.where(first, counts[group], 0), "row": ids[owner], "place": place.astype(np.int32)})
+        names = np.array([named(host, pages[o], p) for o, p in zip(owner[first].tolist(), place[first].tolist())], np.int64)
+        return pa.table({"stretch": names[group], "pages": np.where(first, counts[group], 0), "stream": stream, "place": (ats[owner] + place).astype(np.int32)})
 
-    sums = streams.groupBy("host").agg(F.ceil(F.sum(F.size("tokens")) / SHARD_TOKENS).alias("shards"))
-    dealt = streams.join(sums, "host").withColumn("shard", F.pmod(F.xxhash64("row"), F.greatest("shards", F.lit(1)))).select("host", "shard", "row", "tokens")
-    found = checkpointed(dealt.groupBy("host", "shard").applyInArrow(shard, "host string, stretch long, pages long, row long, place int"))
-    often = checkpointed(found.groupBy("host", "stretch").agg(F.sum("pages").alias("n")).where(F.col("n") >= least_pages).select("host", "stretch"))
-    return found.select("host", "stretch", "row", "place").join(often, ["host", "stretch"]).select("row", "place")
+    # hosts of several shards only: so few that a broadcast holds them
+    sums = runs.groupBy("host").agg(F.ceil(F.sum(F.size("tokens")) / SHARD_TOKENS).alias("shards")).where("shards > 1")
+    dealt = runs.join(F.broadcast(sums), "host", "left").withColumn("shard", F.pmod(F.xxhash64("stream"), F.coalesce("shards", F.lit(1)))).select("host", "shard", "stream", "at", "tokens")
+    found = checkpointed(dealt.groupBy("host", "shard").applyInArrow(shard, "stretch long, pages long, stream long, place int"))
+    often = found.groupBy("stretch").agg(F.sum("pages").alias("n")).where(F.col("n") >= least_pages).select("stretch")
+    return found.select("stretch", "stream", "place").join(often, "stretch").select("stream", "place")
 
 
-def unmarked_text(pages: DataFrame, least_tokens: int, least_pages: int) -> DataFrame:
-    """(page_id, url, text) of pages without article or main: the runs of their streams that no repeat of the host covers."""
-    streams = checkpointed(open_streams(pages).withColumn("row", F.monotonically_increasing_id()))
-    covered = repeated(streams.select("host", "row", "tokens"), least_tokens, least_pages).groupBy("row").agg(F.collect_set("place").alias("places"))
-    joined = streams.join(covered, "row", "left").select("page_id", "url", "tokens", "places")
+def main_text(pages: DataFrame, least_tokens: int = LEAST_TOKENS, least_pages: int = LEAST_PAGES) -> DataFrame:
+    """(page_id, url, text) of every page: the runs of its text that no repeat of the host covers."""
+    host = F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
+    plain = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host.alias("host"), F.coalesce("html", F.lit("")).alias("html"))
+    slots = repeat_slots(plain, least_tokens, least_pages)
+    runs = checkpointed(segments(plain, slots, least_tokens))
+    covered = checkpointed(repeated(runs, least_tokens, least_pages).groupBy("stream").agg(F.collect_set("place").alias("places")))
+    every = streams(plain, slots, least_tokens)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for tokens, places in zip(column(batch, "tokens").to_pylist(), column(batch, "places").to_pylist()):
-                keep = np.zeros(len(tokens) + 1, np.int64)
-                at = np.array(places or [], np.int64)
-                np.add.at(keep, at, 1)
-                np.add.at(keep, at + least_tokens, -1)
-                out.append(" ".join(t for t, n in zip(tokens, np.cumsum(keep).tolist()) if not n))
+            for text, places in zip(column(batch, "text").to_pylist(), column(batch, "places").to_pylist()):
+                if places:
+                    tokens = text.split(" ")
+                    keep = np.zeros(len(tokens) + 1, np.int64)
+                    at = np.array(places, np.int64)
+                    np.add.at(keep, at, 1)
+                    np.add.at(keep, at + least_tokens, -1)
+                    text = " ".join(t for t, n in zip(tokens, np.cumsum(keep).tolist()) if not n)
+                out.append(text)
             yield pa.RecordBatch.from_arrays([column(batch, "page_id"), column(batch, "url"), pa.array(out, pa.string())], ["page_id", "url", "text"])
 
-    return joined.mapInArrow(run, "page_id long, url string, text string")
-
-
-def main_text(pages: DataFrame, least_tokens: int = LEAST_TOKENS, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """(page_id, url, text) of every page."""
-    plain = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
-    marked = F.col("html").rlike(CONTAINER)
-    return marked_text(plain.where(marked)).unionAll(unmarked_text(plain.where(~marked), least_tokens, least_pages))
+    joined = every.where("open").join(covered, "stream", "left").select("page_id", "url", "text", "places")
+    return every.where("not open").select("page_id", "url", "text").unionAll(joined.mapInArrow(run, "page_id long, url string, text string"))
 
 
 def op5_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -181,6 +181,37 @@ def test_unmarked_pages_lose_repeats(spark):
     assert host_suffix.main_text(df.limit(0)).count() == 0
 
 
+def brute_main_text(pages, least_tokens=8, least_pages=3):
+    """Text of pages of (host, text) without the stretches that enough different texts of the host hold."""
+    held = {}
+    for host, text in pages:
+        words = text.split()
+        for j in range(len(words) - least_tokens + 1):
+            held.setdefault((host, *words[j : j + least_tokens]), set()).add(text)
+    out = []
+    for host, text in pages:
+        words = text.split()
+        gone = {j + i for j in range(len(words) - least_tokens + 1) if len(held[host, *words[j : j + least_tokens]]) >= least_pages for i in range(least_tokens)}
+        out.append(" ".join(w for j, w in enumerate(words) if j not in gone))
+    return out
+
+
+def test_articles_lose_what_pages_of_the_host_repeat(spark, monkeypatch):
+    rng = random.Random(9)
+    blurbs = [" ".join(rng.choice("abcdefgh") + str(b) for _ in range(rng.randint(8, 20))) for b in range(6)]
+    pages = []
+    for i in range(150):
+        own = [" ".join(rng.choice("abcde") for _ in range(rng.randint(0, 30))) for _ in range(2)]
+        pages.append((f"h{rng.randrange(3)}.com", " ".join(f"{own[0]} {rng.choice(blurbs)} {own[1]} {i}".split())))
+    rows = [(i, f"http://{h}/{i}", rng.choice(["<main>%s</main>", "<article>%s</article>", "<!-- <article> --><p>%s</p>"]) % t) for i, (h, t) in enumerate(pages)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    want = dict(enumerate(brute_main_text(pages)))
+    assert any(len(want[i]) < len(t) for i, (_, t) in enumerate(pages)) and any(want.values())
+    for tokens in (host_suffix.SHARD_TOKENS, 300):
+        monkeypatch.setattr(host_suffix, "SHARD_TOKENS", tokens)
+        assert {r.page_id: r.text for r in host_suffix.main_text(df).collect()} == want
+
+
 def test_stretches_equal_brute_force():
     rng = random.Random(4)
     pages = [[rng.choice("abc") for _ in range(rng.randint(0, 40))] for _ in range(12)]
