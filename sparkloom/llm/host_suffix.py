@@ -42,12 +42,14 @@ SLOTS = 1 << 24
 DROPPED = set("head nav footer aside form button select option textarea svg canvas iframe object noscript template dialog figcaption menu".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-#: Words in class, id or role that mark what is not the article.
+#: Whole names in class, id or role that mark what is not the article, and endings of such names.
 NOISE = set(
     """ad ads advert adverts advertisement sponsor sponsored promo promotion banner cookie cookies consent notice notices gdpr popup modal
     newsletter subscribe subscription sidebar menu nav navbar navigation breadcrumb breadcrumbs masthead footer comment comments disqus share sharing
     social related recommended widget toolbar pagination login signup complementary contentinfo search alert dialog""".split()
 )
+ENDINGS = tuple(f"{a}{w}" for w in "ad ads advert banner breadcrumbs comments consent footer menu modal nav navbar newsletter notice pagination popup promo share sidebar signup".split() for a in "-_")
+STATES = ("with", "no", "has", "without", "hide", "show", "is", "not")
 TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(script|style|title|xmp|noembed|noframes)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+>|[^>]*(?:>|\Z))|<[!?][^>]*(?:>|\Z)""",
     re.S | re.I,
@@ -56,9 +58,12 @@ MARKS = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)
 
 
 def parts(page: str) -> tuple[str, list[str]]:
-    """Text of the article or main elements, and the blocks of the rest that nothing marks as noise."""
-    stack: list[tuple[str, bool, bool]] = []  # element, dropped, main
-    dropped, inside = 0, 0
+    """Text of the article or main elements, and the blocks of the rest that nothing marks as noise.
+
+    Names that mark noise drop no article or main, and none inside the element that has them, but for articles in an article.
+    """
+    stack: list[tuple[str, int, int, bool]] = []  # element, what it adds to dropped and to named, main
+    dropped, named, inside = 0, 0, 0  # elements open that drop text, those that do by a name alone, article and main elements open
     main: list[str] = []
     rest: list[str] = []
     at = 0
@@ -83,8 +88,8 @@ def parts(page: str) -> tuple[str, list[str]]:
                 gap()
             if any(x[0] == name for x in stack):
                 while stack:
-                    last, out, core = stack.pop()
-                    dropped, inside = dropped - out, inside - core
+                    last, out, by_name, core = stack.pop()
+                    dropped, named, inside = dropped - out, named - by_name, inside - core
                     if last == name:
                         break
                 if name not in INLINE:
@@ -94,28 +99,34 @@ def parts(page: str) -> tuple[str, list[str]]:
             gap()
         if name in VOID:
             continue
-        marks = {w for x in MARKS.findall(m[4]) for w in re.split(r"[^a-z0-9]+", x.lower())} if "=" in m[4] else set()
-        noise = bool(marks & NOISE) and name not in ("html", "body")
-        if name in ("article", "main") and not noise:
+        if name in ("article", "main"):
             # an element left open before it does not swallow the article
-            while stack and stack[-1][1] and stack[-1][0] in ("head", "nav", "header", "footer", "form", "p", "b"):
-                _, out, core = stack.pop()
-                dropped, inside = dropped - out, inside - core
-            stack.append((name, False, True))
-            inside += 1
+            while stack and stack[-1][1] > 0 and stack[-1][0] in ("head", "nav", "header", "footer", "form", "p", "b"):
+                _, out, by_name, core = stack.pop()
+                dropped, named, inside = dropped - out, named - by_name, inside - core
+            back = 0 if any(x[0] == "article" for x in stack) else named
+            stack.append((name, -back, -back, True))
+            dropped, named, inside = dropped - back, named - back, inside + 1
             continue
-        out = noise or name in DROPPED or (name == "header" and not inside)
+        noise = "=" in m[4] and name not in ("html", "body") and any(is_noise(w) for x in MARKS.findall(m[4]) for w in x.strip("\"'").lower().split())
+        hard = name in DROPPED or (name == "header" and not inside)
+        out, by_name = int(noise or hard), int(noise and not hard)
         if out or name not in INLINE:
             if name in ("p", "li") and stack and stack[-1][0] == name:
-                _, gone, core = stack.pop()
-                dropped, inside = dropped - gone, inside - core
-            stack.append((name, out, False))
-            dropped += out
+                _, gone, gone_by_name, core = stack.pop()
+                dropped, named, inside = dropped - gone, named - gone_by_name, inside - core
+            stack.append((name, out, by_name, False))
+            dropped, named = dropped + out, named + by_name
             gap()
     text(at, len(page))
     return blocks(main), [b for b in split_blocks(rest) if b]
 
 
+def is_noise(name: str) -> bool:
+    """Whether a whole name marks noise: names of a state such as with-sidebar do not."""
+    return name in NOISE or (name.endswith(ENDINGS) and re.split("[-_]", name, maxsplit=1)[0] not in STATES)
+
+
 def split_blocks(pieces: list[str]) -> list[str]:
     """Blocks with character references decoded and white space made single."""
     return [" ".join(entities.unescape(x).split()) for x in "".join(pieces).split("\0")]

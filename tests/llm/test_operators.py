@@ -172,6 +172,22 @@ def test_marked_pages():
     assert host_suffix.parts(page)[0] == "T & x one two three"
 
 
+@pytest.mark.parametrize(
+    "page, main, rest",
+    [
+        ('<div class="site with-sidebar"><article>one</article></div>', "one", []),
+        ('<article class="post comments-open">one</article>', "one", []),
+        ('<div class="modal"><div id="sidebar">a<main class="search">one<div class="site-sidebar">b</div></main>c</div></div>', "one", []),
+        ('<div class="has-menu no-sidebar">one</div><div class="left-sidebar">b</div><div class="menu">c</div>two', "", ["one", "two"]),
+        ('<article>one<div class="comments"><article class="comment">me too</article></div></article>', "one", []),
+        ('<main><div class="social"><article>one</article>b</div>two</main>', "one two", []),
+        ('<aside class="sidebar"><article>a</article></aside><article>one</article>', "one", []),
+    ],
+)
+def test_names_that_mark_noise_drop_no_article(page, main, rest):
+    assert host_suffix.parts(page) == (main, rest)
+
+
 def test_unmarked_pages_lose_repeats(spark):
     pages = [(i, f"http://h.com/{i}", f"<body><div>Welcome to our site please read all the terms of use below</div><p>{i} is the page that says {i * 7}</p></body>") for i in range(5)]
     pages += [(9, None, None), (10, "http://o.com/", "<p>alone here</p>"), (11, "x", "")]
