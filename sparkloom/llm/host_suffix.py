@@ -12,12 +12,13 @@ places; grams are counted over all pages, and those that too few pages hold rule
 out. The bitmap of the others has a fixed size: names that share a slot cost time, not results.
 
 A host's streams are cut into shards of bounded size by page; shards report each stretch with its
-number of pages, and the sums decide. So a host of any size is spread over tasks.
+pages, and their number over all shards decides. So a host of any size is spread over tasks.
 
 Defined results: null and empty pages have empty text; markup that never ends is closed by the end
 of the page; an article without text falls back to the rest of the page as it is; a null url is a
 host of its own kind; repeated rows give repeated results and count as one page, as do pages of a
-host with the same text; empty tables give empty tables; extra columns do not matter.
+host with the same text and near copies (sketches of their grams agree in three quarters, directly
+or over others); empty tables give empty tables; extra columns do not matter.
 """
 
 from __future__ import annotations
@@ -32,11 +33,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import checkpointed, column, strings, table
+from sparkloom.llm.graph import components
 
 #: Tokens of a repeat at least, pages that it must stand in, tokens of a shard about.
 LEAST_TOKENS, LEAST_PAGES, SHARD_TOKENS = 8, 3, 200_000
 #: Bits of the bitmap that lets stretches by which surely do not repeat.
 SLOTS = 1 << 24
+#: Values of a page's sketch, values of a band in which near copies meet, equal values of near copies at least.
+SKETCH, BAND, NEAR = 24, 4, 18
 
 #: Elements without text of the page; inline elements, which do not part words; elements without end tag.
 DROPPED = set("head nav footer aside form button select option textarea svg canvas iframe object noscript template dialog figcaption menu".split())
@@ -228,7 +232,7 @@ def repeat_slots(pages: DataFrame, least_tokens: int, least_pages: int) -> np.nd
 
 
 def segments(pages: DataFrame, slots: np.ndarray, least_tokens: int) -> DataFrame:
-    """(host, stream, at, tokens): runs of tokens of each page's text that hold all its stretches that may repeat; copies that one task meets once."""
+    """(host, stream, at, tokens, sketch): runs of tokens of each page's text that hold all its stretches that may repeat, the first with the sketch of the page's grams; copies that one task meets once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -237,6 +241,7 @@ def segments(pages: DataFrame, slots: np.ndarray, least_tokens: int) -> DataFram
             out: list[tuple] = []
             own, place, least = least_grams(hosts, texts, least_tokens)
             hit = marked(slots, least)
+            drawn = sketches(own, least, len(texts))
             own, place = own[hit], place[hit]
             cut = np.ones(len(own), bool)
             cut[1:] = (own[1:] != own[:-1]) | (place[1:] > place[:-1] + least_tokens)
@@ -246,19 +251,42 @@ def segments(pages: DataFrame, slots: np.ndarray, least_tokens: int) -> DataFram
             words: list[str] = []
             last = -1
             for a, b in zip(starts, [*starts[1:], len(own)]):
-                i = int(own[a])
+                i, mine = int(own[a]), None
                 if i != last:
                     last, words = i, texts[i].split(" ")
                     new = streams[i] not in seen
                     seen.add(streams[i])
                     if new:
                         taken.add(i)
+                        mine = drawn[i].tolist()
                 if i in taken:
-                    out.append((hosts[i], streams[i], int(place[a]), words[int(place[a]) : int(place[b - 1]) + least_tokens]))
-            host, stream, at, tokens = map(list, zip(*out)) if out else ([], [], [], [])
-            yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(stream, pa.int64()), pa.array(at, pa.int32()), pa.array(tokens, pa.list_(pa.string()))], ["host", "stream", "at", "tokens"])
+                    out.append((hosts[i], streams[i], int(place[a]), words[int(place[a]) : int(place[b - 1]) + least_tokens], mine))
+            host, stream, at, tokens, sketch = map(list, zip(*out)) if out else ([], [], [], [], [])
+            yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(stream, pa.int64()), pa.array(at, pa.int32()), pa.array(tokens, pa.list_(pa.string())), pa.array(sketch, pa.list_(pa.int64()))], ["host", "stream", "at", "tokens", "sketch"])
 
-    return streams(pages).select("host", "stream", "text").mapInArrow(run, "host string, stream long, at int, tokens array<string>")
+    return streams(pages).select("host", "stream", "text").mapInArrow(run, "host string, stream long, at int, tokens array<string>, sketch array<long>")
+
+
+def sketches(owner: np.ndarray, names: np.ndarray, n: int) -> np.ndarray:
+    """Least values of differently scrambled names of each text."""
+    out = np.zeros((n, SKETCH), np.int64)
+    if len(owner):
+        starts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+        for i in range(SKETCH):
+            odd = mixed(np.array([i + 1], np.uint64)) | np.uint64(1)
+            out[owner[starts], i] = np.minimum.reduceat(names * odd, starts).view(np.int64)
+    return out
+
+
+def near_copies(runs: DataFrame) -> DataFrame:
+    """(stream, kin): streams that are near copies of others, with the smallest of them."""
+    drawn = runs.where("sketch is not null").select("stream", "sketch").dropDuplicates(["stream"])
+    bands = F.array(*[F.xxhash64(F.lit(b), F.slice("sketch", b * BAND + 1, BAND)) for b in range(SKETCH // BAND)])
+    banded = drawn.select("stream", "sketch", F.explode(bands).alias("band"))
+    heads = banded.groupBy("band").agg(F.min(F.struct("stream", "sketch")).alias("head"), F.count("*").alias("n")).where("n > 1")
+    equal = F.size(F.filter(F.arrays_zip(F.col("sketch").alias("x"), F.col("head.sketch").alias("y")), lambda z: z["x"] == z["y"]))
+    edges = banded.join(heads, "band").where((F.col("stream") != F.col("head.stream")) & (equal >= NEAR)).select(F.col("stream").alias("a"), F.col("head.stream").alias("b"))
+    return components(edges).select(F.col("node").alias("stream"), F.col("component").alias("kin"))
 
 
 def suffix_ranks(values: np.ndarray, depth: int) -> np.ndarray:
@@ -298,28 +326,25 @@ def repeated(runs: DataFrame, least_tokens: int, least_pages: int) -> DataFrame:
         # tasks may have brought a copy each
         ids, ats, first_of = rows["stream"].to_numpy(), rows["at"].to_numpy(), {}
         rows = rows.take([first_of.setdefault(k, i) for i, k in enumerate(zip(ids.tolist(), ats.tolist())) if k not in first_of])
-        pages, ids, ats = rows["tokens"].to_pylist(), rows["stream"].to_numpy(), rows["at"].to_numpy()
+        pages, ids, ats, kin = rows["tokens"].to_pylist(), rows["stream"].to_numpy(), rows["at"].to_numpy(), rows["kin"].to_numpy()
         owner, place, rank = stretches(pages, least_tokens)
         if not len(rank):
-            return pa.table({**{c: pa.array([], pa.int64()) for c in ("stretch", "pages", "stream")}, "place": pa.array([], pa.int32())})
-        stream = ids[owner]
-        order = np.lexsort((place, stream, rank))
-        owner, place, rank, stream = owner[order], place[order], rank[order], stream[order]
+            return pa.table({**{c: pa.array([], pa.int64()) for c in ("stretch", "kin", "stream")}, "place": pa.array([], pa.int32())})
+        order = np.argsort(rank, kind="stable")
+        owner, place, rank = owner[order], place[order], rank[order]
         first = np.ones(len(rank), bool)
         first[1:] = rank[1:] != rank[:-1]
-        fresh = first.copy()
-        fresh[1:] |= stream[1:] != stream[:-1]
         group = np.cumsum(first) - 1
-        counts = np.bincount(group, fresh).astype(np.int64)
         host = rows["host"][0].as_py()
         names = np.array([named(host, pages[o], p) for o, p in zip(owner[first].tolist(), place[first].tolist())], np.int64)
-        return pa.table({"stretch": names[group], "pages": np.where(first, counts[group], 0), "stream": stream, "place": (ats[owner] + place).astype(np.int32)})
+        return pa.table({"stretch": names[group], "kin": kin[owner], "stream": ids[owner], "place": (ats[owner] + place).astype(np.int32)})
 
     # hosts of several shards only: so few that a broadcast holds them
     sums = runs.groupBy("host").agg(F.ceil(F.sum(F.size("tokens")) / SHARD_TOKENS).alias("shards")).where("shards > 1")
-    dealt = runs.join(F.broadcast(sums), "host", "left").withColumn("shard", F.pmod(F.xxhash64("stream"), F.coalesce("shards", F.lit(1)))).select("host", "shard", "stream", "at", "tokens")
-    found = checkpointed(dealt.groupBy("host", "shard").applyInArrow(shard, "stretch long, pages long, stream long, place int"))
-    often = found.groupBy("stretch").agg(F.sum("pages").alias("n")).where(F.col("n") >= least_pages).select("stretch")
+    named_kin = runs.drop("sketch").join(near_copies(runs), "stream", "left").withColumn("kin", F.coalesce("kin", "stream"))
+    dealt = named_kin.join(F.broadcast(sums), "host", "left").withColumn("shard", F.pmod(F.xxhash64("stream"), F.coalesce("shards", F.lit(1)))).select("host", "shard", "stream", "kin", "at", "tokens")
+    found = checkpointed(dealt.groupBy("host", "shard").applyInArrow(shard, "stretch long, kin long, stream long, place int"))
+    often = found.select("stretch", "kin").distinct().groupBy("stretch").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages).select("stretch")
     return found.select("stretch", "stream", "place").join(often, "stretch").select("stream", "place")
 
 

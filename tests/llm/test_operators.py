@@ -228,6 +228,18 @@ def test_articles_lose_what_pages_of_the_host_repeat(spark, monkeypatch):
         assert {r.page_id: r.text for r in host_suffix.main_text(df).collect()} == want
 
 
+def test_copies_of_a_page_count_once(spark):
+    words = [f"w{i}" for i in range(200)]
+    blurb = " ".join(f"b{i}" for i in range(10))
+    article = " ".join(words)
+    near = [" ".join([*words[:100], f"x{i}", *words[101:]]) for i in range(5)]
+    rows = [(7, "http://a.com/7", article)] * 3 + [(i, f"http://a.com/{i}", article) for i in range(4)]
+    rows += [(10 + i, f"http://b.com/{i}", f"{t} {blurb}") for i, t in enumerate(near)] + [(20 + i, f"http://b.com/o{i}", f"{blurb} own {i} text") for i in range(3)]
+    df = spark.createDataFrame([(i, u, f"<article>{t}</article>") for i, u, t in rows], "page_id long, url string, html string").repartition(3)
+    got = sorted((r.page_id, r.text) for r in host_suffix.main_text(df).collect())
+    assert got == sorted((i, " ".join(t.replace(blurb, "").split())) for i, _, t in rows)
+
+
 def test_stretches_equal_brute_force():
     rng = random.Random(4)
     pages = [[rng.choice("abc") for _ in range(rng.randint(0, 40))] for _ in range(12)]
