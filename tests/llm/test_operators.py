@@ -372,3 +372,45 @@ def test_disclosing_words_are_added_and_removed(spark):
     assert "arlowe" not in got[texts[0]] and "[EMAIL]" in got[texts[0]] and got[texts[3]] == texts[3] and got[None] is None
     copies = pii.find(documents(spark, texts[:1] * 4 + texts[3:])).collect()
     assert not any(r.added for r in copies) and pii.find(documents(spark, texts).limit(0)).count() == 0
+
+
+def test_words_far_from_an_entity_disclose_it(spark):
+    fill = " good dear call now" * 20
+    texts = [f"Marlowe {n}{fill} mail marlowe@example.org{fill} +1 (234) 567-8901x MARLOWE, marlowes éMarlowe" for n in ("our", "dear", "good")]
+    texts += ["words that stand in many other texts call now mail at our good dear"] * 30
+    found = pii.find(documents(spark, texts)).orderBy("doc_id").collect()
+    for r in found[:3]:
+        assert [r.text[s["start"] : s["stop"]] for s in r.added if s["value"] == "marlowe"] == ["Marlowe", "MARLOWE"]
+        assert {s["kind"] for s in r.added if s["value"] == "marlowe"} == {"remove"} and not {s["value"] for s in r.added} & {"example", "org", "good", "mail"}
+    assert not any(r.added for r in found[3:])
+
+
+def test_disclosing_counts_equal_brute_force(spark):
+    rng = random.Random(11)
+    words = [f"{a}{b}{c}" for a in "kmn" for b in "aeo" for c in "rst"]
+    texts = [" ".join(rng.choice([*words, "a@b.co", "c@d.org", "kar@met.nos"]) for _ in range(rng.randint(1, 12))) for _ in range(40)]
+    texts += texts[:5]
+    pairs, n_term, n_entity = {}, {}, {}
+    for t in texts:
+        entities = {w for w in t.split() if "@" in w}
+        for w in set(re.findall(r"[a-z]{3,}", t)):
+            n_term[w] = n_term.get(w, 0) + 1
+        for e in entities:
+            n_entity[e] = n_entity.get(e, 0) + 1
+            for w in {w for w in t.split() if "@" not in w}:
+                pairs.setdefault((e, w), []).append(t)
+    told = {}
+    for (e, w), held in pairs.items():
+        if len(set(held)) >= pii.SUPPORT and n_entity[e] < len(texts):
+            ratio = np.log2(len(held) * len(texts) / n_term[w] / n_entity[e]) / np.log2(len(texts) / n_entity[e])
+            if ratio >= pii.GENERALISE_FROM:
+                told[e, w] = "remove" if ratio >= pii.REMOVE_FROM else "generalise"
+    assert told
+    for r in pii.find(documents(spark, texts)).collect():
+        held, want, at = r.text.split(), [], 0
+        for w in held:
+            kinds = {told[e, w] for e in held if (e, w) in told}
+            if kinds:
+                want.append((at, at + len(w), max(kinds), w))
+            at += len(w) + 1
+        assert sorted((s["start"], s["stop"], s["kind"], s["value"]) for s in r.added) == want
