@@ -7,13 +7,26 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.operators.graph import written
 from sparkloom.operators.ordered import intervals
 
 
 def against_previous(rows: DataFrame, by: Sequence[str], order: Sequence[str], value: Column) -> DataFrame:
-    """Rows with the value before in their group and whether it differs; null for the first."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    return rows.withColumn("value", value).withColumn("before", F.lag("value").over(w)).withColumn("changed", F.col("value") != F.col("before"))
+    """Rows with the value before in their group and whether it differs; null for the first.
+
+    Groups are cut into ranges, so one that holds most rows is spread; the first row of a range takes the last value of the range before.
+    """
+    dealt = written(rows.withColumn("value", value).repartitionByRange(*by, *order).withColumn("__range", F.spark_partition_id()))
+    w = Window.partitionBy("__range", *by).orderBy(*order)
+    placed = dealt.withColumn("before", F.lag("value").over(w)).withColumn("__first", F.row_number().over(w) == 1)
+    ends = dealt.groupBy("__range", *by).agg(F.max_by(F.struct("value"), F.struct(*order)).alias("__end"))
+    # as many rows as ranges and groups, not as rows
+    ends = ends.withColumn("__end", F.lag("__end").over(Window.partitionBy(*by).orderBy("__range"))).where("__end is not null")
+    ends = ends.select("__end", *[F.col(c).alias(f"__{i}") for i, c in enumerate(("__range", *by))])
+    same = [F.col(c).eqNullSafe(F.col(f"__{i}")) for i, c in enumerate(("__range", *by))]
+    firsts = placed.where("__first").join(ends, same, "left").withColumn("before", F.col("__end.value"))
+    out = placed.where("not __first").select(*rows.columns, "value", "before").unionAll(firsts.select(*rows.columns, "value", "before"))
+    return out.withColumn("changed", F.col("value") != F.col("before"))
 
 
 def daily_pattern(changes: DataFrame, by: Sequence[str], ts: str) -> DataFrame:

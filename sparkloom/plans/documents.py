@@ -15,7 +15,7 @@ U = "WITH " + USAGE_SQL
 def pairs(spark, d):
     """Each document with the one before it in its source."""
     rows = change.against_previous(load(spark, d, "documents"), ["source"], ["doc_id"], F.col("text"))
-    return rows.where("before is not null and doc_id % 5 = 0").select("doc_id", F.col("before").alias("old"), F.col("value").alias("new"))
+    return rows.where("before is not null").select("doc_id", F.col("before").alias("old"), F.col("value").alias("new"))
 
 
 query("h1_titles", "SELECT page_id, replace(replace(replace(trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '[ \\t\\n]+', ' ', 'g')), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS title, CASE WHEN regexp_matches(html, '<title>[^<]') THEN 'title' WHEN regexp_matches(html, '<h1') THEN 'h1' ELSE 'none' END AS source FROM pages")(lambda s, d: html.structured(load(s, d, "pages")).select("page_id", "title", F.col("title_source").alias("source")))

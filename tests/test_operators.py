@@ -8,7 +8,8 @@ import pytest
 
 from sparkloom.functions import text as x
 from sparkloom.functions import url as l
-from sparkloom.operators import diff, graph, html
+from sparkloom.operators import change, diff, graph, html
+from sparkloom.plans import documents, registry
 from sparkloom.sources import stores
 from sparkloom.streaming import state
 
@@ -47,6 +48,23 @@ def test_diffs(spark):
     assert diff.unified(diff.operations(old, new)) == want
 
 
+def test_every_document_is_held_against_the_one_before(spark, tmp_path):
+    rng = random.Random(12)
+    rows = [(i, rng.choice(["a", "a", "a", "b", None]), rng.choice(["x\ny", "x\nz", "", None])) for i in rng.sample(range(1000), 200)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    last, want = {}, {}
+    for i, source, text in sorted(rows):
+        want[i] = last.get(source)
+        last[source] = text
+    got = change.against_previous(df, ["source"], ["doc_id"], df.text).collect()
+    assert {r.doc_id: r.before for r in got} == want and len(got) == len(rows)
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    pairs = {r.doc_id: (r.old, r.new) for r in documents.pairs(spark, str(tmp_path)).collect()}
+    texts = {i: text for i, _, text in rows}
+    assert pairs == {i: (old, texts[i]) for i, old in want.items() if old is not None}
+    assert {r.doc_id for r in registry.QUERIES["d1_line_diffs"](spark, str(tmp_path)).collect()} == set(pairs)
+
+
 def test_components(spark):
     edges = [("a", "b"), ("b", "c"), ("d", "d"), ("x", "y"), (None, "q")]
     got = dict(map(tuple, graph.components(spark.createDataFrame(edges, "a string, b string"), "a", "b").collect()))
