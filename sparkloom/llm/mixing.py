@@ -15,14 +15,12 @@ one by one; extra columns do not matter; equal inputs give equal results however
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import checkpointed, column, per_row, table, utf8, word_marks
+from sparkloom.llm.common import WORD, checkpointed, table
 
 #: The weights that sources take in turn, and the most copies of a row.
 WEIGHTS = (1, 2, 3)
@@ -32,15 +30,8 @@ GROUP, FAN_IN = 2048, 64
 
 def sized(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """(doc_id, source, size): words of every row, counted where the rows lie."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, at = utf8(column(batch, "text"))
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "source"), pa.array(per_row(word_marks(data, at), at))], ["doc_id", "source", "size"])
-
-    kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text"))
-    return rows.mapInArrow(count, f"doc_id {kind}, source string, size long")
+    size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
+    return docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), size.alias("size"))
 
 
 def targets(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
