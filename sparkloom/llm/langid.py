@@ -92,7 +92,8 @@ def sample(rows: DataFrame, most_of_one: int, most_rows: int) -> tuple[list[str]
     langs = per_lang.agg(F.count("*")).first()[0]
     share = F.least(F.lit(1.0), F.lit(min(most_of_one, most_rows // max(langs, 1))) / F.col("n"))
     by_hash = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30))
-    chosen = rows.join(per_lang.withColumnsRenamed({"lang": "of"}), F.col("lang") == F.col("of")).where(by_hash < share * (1 << 30))
+    # one row a language: broadcast, so that no text is shuffled
+    chosen = rows.join(F.broadcast(per_lang.withColumnsRenamed({"lang": "of"})), F.col("lang") == F.col("of")).where(by_hash < share * (1 << 30))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
