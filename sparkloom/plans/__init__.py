@@ -1,3 +1,3 @@
 """Named queries; importing the package fills the registry."""
 
-from sparkloom.plans import analytics, documents, relations, scalars  # noqa: F401
+from sparkloom.plans import analytics, documents, relations, reports, scalars  # noqa: F401
