@@ -14,7 +14,21 @@ PAGE_PARAMS = ("page", "p", "pg", "offset", "start", "skip", "cursor", "after")
 
 
 def host(url: Column) -> Column:
-    return F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/:?#]+)", 1))
+    """The host in lower case: without user information, port and last dot, IPv6 addresses in brackets."""
+    found = F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^/:?#@]+)", 1)
+    return F.lower(F.regexp_replace(found, r"\.$", ""))
+
+
+def ipv4(name: Column) -> Column:
+    """The number of an IPv4 address in any of the forms that URLs may give it (four parts or fewer; decimal, octal, hexadecimal), or null."""
+    parts = F.split(name, r"\.")
+    n = F.size(parts)
+    number = lambda x: F.when(x.rlike("^0x[0-9a-f]*$"), F.conv(F.concat(F.lit("0"), F.substring(x, 3, 20)), 16, 10)).when(x.rlike("^0[0-7]+$"), F.conv(x, 8, 10)).when(x.rlike("^(?:0|[1-9][0-9]*)$"), x).try_cast("long")
+    values = F.transform(parts, number)
+    bound = lambda i: F.when(i < n - 1, F.lit(256)).otherwise(F.pow(F.lit(256), 5 - n))
+    fits = n.between(1, 4) & F.forall(F.transform(values, lambda x, i: F.coalesce((x < bound(i)), F.lit(False))), lambda ok: ok)
+    weighted = F.transform(values, lambda x, i: F.when(i < n - 1, x * F.pow(F.lit(256), 3 - i).cast("long")).otherwise(x))
+    return F.when(fits, F.aggregate(weighted, F.lit(0).cast("long"), lambda a, x: a + x))
 
 
 def path(url: Column) -> Column:
@@ -97,14 +111,35 @@ def in_list(name: Column, domains: Sequence[str]) -> Column:
     return out
 
 
+#: Names of cloud metadata services; ranges of addresses that are no public hosts (first, last).
+METADATA_HOSTS = ("instance-data", "metadata.google.internal", "metadata.gke.io")
+LOCAL_RANGES = (("0.0.0.0", "0.0.0.0"), ("10.0.0.0", "10.255.255.255"), ("100.100.100.200", "100.100.100.200"), ("127.0.0.0", "127.255.255.255"), ("169.254.0.0", "169.254.255.255"), ("172.16.0.0", "172.31.255.255"), ("192.168.0.0", "192.168.255.255"))
+LOCAL_NAMES = ("localhost", "localhost.localdomain")
+
+
 def is_safe(url: Column) -> Column:
-    """Whether a URL is http(s) and points at no loopback, private, link-local or metadata address."""
+    """Whether a URL is http(s) and points at no loopback, private, link-local or metadata address; malformed ones are unsafe."""
     name = host(url)
-    part = lambda i: F.try_element_at(F.split(name, r"\."), F.lit(i)).try_cast("int")
-    ip = name.rlike(r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$")
-    private = (part(1).isin(0, 10, 127)) | ((part(1) == 172) & part(2).between(16, 31)) | ((part(1) == 192) & (part(2) == 168)) | ((part(1) == 169) & (part(2) == 254))
-    named = name.isin("localhost", "metadata.google.internal") | F.endswith(name, F.lit(".localhost")) | F.startswith(name, F.lit("["))
-    return url.rlike(r"^(?i)https?://") & (name != "") & ~named & ~(ip & private)
+    number = ipv4(name)
+    # a host whose last label is a number is an address, so it must be a good one
+    numeric = name.rlike(r"(?:^|\.)(?:[0-9]+|0x[0-9a-f]*)$")
+    six = F.regexp_extract(name, r"^\[(.*)\]$", 1)
+    mapped = F.regexp_extract(six, r"^(?:0*:)*(?:0*:)?ffff:([0-9.]+)$", 1)
+    whole = six.rlike(r"^[0-9a-f:.]+$") & F.contains(six, F.lit(":"))
+    closed = six.rlike(r"^(?:0*:)*:?0*1?$") | six.rlike("^(?:fe[89ab]|f[cd])") | ((mapped != "") & ~F.coalesce(is_public(ipv4(mapped)), F.lit(False)))
+    named = name.isin(*LOCAL_NAMES, *METADATA_HOSTS) | F.endswith(name, F.lit(".localhost"))
+    address = F.startswith(name, F.lit("["))
+    good = F.when(address, whole & ~closed).when(numeric, F.coalesce(is_public(number), F.lit(False))).otherwise(~named)
+    return url.rlike(r"^(?i)https?://") & (name != "") & ~name.rlike(r"[\x00-\x20<>^|%\\]") & good
+
+
+def is_public(number: Column) -> Column:
+    """Whether the number of an IPv4 address lies in none of the local ranges."""
+    octets = lambda x: sum(int(o) << 8 * i for i, o in enumerate(reversed(x.split("."))))
+    out = number.isNotNull()
+    for first, last in LOCAL_RANGES:
+        out = out & ~number.between(octets(first), octets(last))
+    return out
 
 
 def domain_class(name: Column) -> Column:

@@ -46,7 +46,22 @@ pages("f19_domain_glob", f"regexp_matches({HOST}, '^.*\\.example\\.com$') AS hit
 pages("f20_first_pattern", f"CASE WHEN regexp_matches({HOST}, '^blog[.]') THEN 'blog' WHEN regexp_matches({HOST}, '^www[.]') THEN 'www' WHEN regexp_matches({HOST}, 'example[.]org$') THEN 'org' END AS pattern", lambda: dict(pattern=F.when(l.host(F.col("url")).rlike("^blog[.]"), "blog").when(l.host(F.col("url")).rlike("^www[.]"), "www").when(l.host(F.col("url")).rlike("example[.]org$"), "org")))
 pages("f21_all_patterns", f"[p for p in ['^blog[.]', '^www[.]', 'example[.]org$', 'example[.]com$'] if regexp_matches({HOST}, p)] AS patterns", lambda: dict(patterns=F.filter(F.array(*map(F.lit, ["^blog[.]", "^www[.]", "example[.]org$", "example[.]com$"])), lambda p: F.regexp_like(l.host(F.col("url")), p))))
 pages("f24_domain_in_list", f"({HOST} = 'cheap-pills.example.com' OR ends_with({HOST}, '.cheap-pills.example.com') OR regexp_matches({HOST}, '^blog\\..*$')) AS listed", lambda: dict(listed=l.in_list(l.host(F.col("url")), ["cheap-pills.example.com", "blog.*"])))
-pages("f26_safe_url", f"regexp_matches(url, '(?i)^https?://') AND {HOST} <> '' AND NOT ({HOST} IN ('localhost', 'metadata.google.internal') OR ends_with({HOST}, '.localhost') OR starts_with({HOST}, '[')) AS safe", lambda: dict(safe=l.is_safe(F.col("url"))))
+#: URLs of every kind that the safety rule tells apart, and what it says of them.
+URL_CASES = (
+    ("http://example.com/", True), ("https://user:pw@example.com:8443/x", True), ("http://user@127.0.0.1/", False), ("http://u:p@10.0.0.1/x", False),
+    ("http://2130706433/", False), ("http://127.1/", False), ("http://0x7f.0.0.1/", False), ("http://0177.0.0.1/", False), ("https://169.254.169.254./", False),
+    ("http://8.8.8.8/", True), ("http://172.15.0.1/", True), ("http://172.31.9.9/", False), ("http://192.168.1.1", False), ("http://256.1.1.1/", False), ("http://0.0.0.0/", False),
+    ("http://localhost/", False), ("http://a.localhost:80/", False), ("http://localhost.localdomain/", False), ("http://metadata.google.internal/", False), ("http://100.100.100.200/", False),
+    ("http://[::1]/", False), ("http://[0:0:0:0:0:0:0:1]/", False), ("http://[fe80::1]/", False), ("http://[fd00::2]/", False), ("http://[2001:db8::1]/", True), ("http://[::ffff:10.0.0.1]/", False),
+    ("ftp://example.com/", False), ("javascript:alert(1)", False), ("http:///x", False), ("http://1.2.3.4.example.com/", True),
+)
+
+
+@query("f26_safe_url", f"SELECT page_id, regexp_matches(url, '(?i)^https?://') AND {HOST} <> '' AND NOT regexp_matches({HOST}, '(^|[.])[0-9]+$') AND {HOST} <> 'localhost' AS safe FROM pages UNION ALL SELECT * FROM (VALUES " + ", ".join(f"({-1 - i}, {ok})" for i, (_, ok) in enumerate(URL_CASES)) + ") v(page_id, safe)")
+def _(s, d):
+    cases = s.createDataFrame([(-1 - i, u) for i, (u, _) in enumerate(URL_CASES)], "page_id long, url string")
+    return load(s, d, "pages").select("page_id", "url").unionAll(cases).select("page_id", l.is_safe(F.col("url")).alias("safe"))
+
 pages("x50_domain_class", f"CASE WHEN regexp_matches({HOST}, '\\.gov(?:\\.|$)') THEN 'government' WHEN regexp_matches({HOST}, '\\.edu(?:\\.|$)|\\.ac\\.') THEN 'education' WHEN regexp_matches({HOST}, '^(?:docs?|api|developer)\\.') THEN 'technical' WHEN regexp_matches({HOST}, '^(?:blog|news)\\.') THEN 'news' ELSE 'general' END AS class", lambda: dict(**{"class": l.domain_class(l.host(F.col("url")))}))
 pages("x52_content_type", "CASE WHEN regexp_matches(lower(url), '\\.pdf(?:\\?|$)') THEN 'pdf' WHEN regexp_matches(lower(url), '/(?:blog|news|article)') THEN 'article' WHEN regexp_matches(lower(url), '/(?:product|item|shop)') THEN 'product' WHEN regexp_matches(lower(url), '/(?:search|find)|[?&]q=') THEN 'search' ELSE 'page' END AS kind", lambda: dict(kind=l.content_type(F.col("url"))))
 pages("m47_pdf_url", "regexp_matches(lower(url), '\\.pdf(?:[?#]|$)') AS pdf", lambda: dict(pdf=F.lower(F.col("url")).rlike(r"\.pdf(?:[?#]|$)")))
