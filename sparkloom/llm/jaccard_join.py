@@ -1,16 +1,19 @@
 """N-gram Jaccard join by a token-group matrix.
 
 Texts with equal shingle sets form one class. Classes of similar size and equal min-hash form a
-group of bounded size, and the matrix holds, for every token, the groups whose union has it. A class
-is a query: the entries on its tokens count its overlap with each group's union, the largest overlap
-with any member. Only groups whose count reaches the bound are opened and their members compared on
-whole sets.
-
-The matrix need not hold all tokens. In any order common to all sets, two sets of the wanted
-similarity share a token among the first |x| - ceil(t |x|) + 1 of each, and with sets of about one
-size nearly half of those. Tokens that many texts share (common lines, copied passages) come last in
-the order, the rest by hash, so that few texts meet on a token. The table of such tokens has a fixed
-size: those of the highest counts. It steers the order and so the cost, never the result.
+group of bounded size, and the matrix holds, for every token, the groups whose union has it, with the
+first place at which a member has it. A class is a query: the first tokens that it shares with a
+group's union bound their overlap by their number and by what is left from there on in the query and
+in the group's members. Only groups whose bound reaches what the similarity needs are opened and
+their members compared on whole sets.
+
+The matrix need not hold all tokens. In any order common to all sets, x and y of the wanted
+similarity share a(x, y) = ceil(t (|x| + |y|) / (1 + t)) tokens, so the first l shared ones stand among
+the first |x| - a + l of x and |y| - a + l of y: with a few for l, few groups come near by chance. The
+smaller of two sets is met by the larger: the matrix takes the places that a set of the same size
+needs, a query those for the smallest set it can be similar to. Tokens that many texts share (common lines, copied passages) come last in the order,
+the rest by hash, so that few texts meet on a token. The table of such tokens has a fixed size: those
+of the highest counts. It steers the order and so the cost, never the result.
 
 Texts of sets to be compared are found again by a bitmap of fixed size over hashes of their ids, so
 that only their sets, and not all texts, are shuffled; a full bitmap would let more texts through, and
@@ -32,12 +35,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import checkpointed, column, table
-from sparkloom.llm.graph import components
 from sparkloom.llm.shingles import batch_sets, mixed
+from sparkloom.operators.graph import components
 
 #: Frequent tokens known to all tasks at most; tokens counted together; members of a group at most;
-#: queries that one task compares with a group; growth of sizes within a group; bits of the bitmap of ids.
-FREQUENT, COUNTED, MEMBERS, QUERIES, GROWTH, BITS = 400_000, 4_000_000, 64, 256, 1.1, 1 << 26
+#: queries that one task compares with a group; growth of sizes within a group; bits of the bitmap of ids; tokens in which
+#: a query meets a group, where sizes allow; parts that a frequent token's texts are dealt over.
+FREQUENT, COUNTED, MEMBERS, QUERIES, GROWTH, BITS, MEETINGS, SPREAD = 400_000, 4_000_000, 128, 256, 1.1, 1 << 26, 4, 64
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -86,7 +90,7 @@ def frequent_tokens(found: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefixes(docs: DataFrame, k: int, share: tuple[int, int], often: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(id, n, f1, f2, near, head) of every text with a set: its first tokens in the common order, and a key that similar sets share."""
+    """(id, n, f1, f2, near, rare, head) of every text with a set: its first tokens in the common order, those that are not known as frequent first and counted by rare, and a key that similar sets share."""
     shared = docs.sparkSession.sparkContext.broadcast(often)
     num, den = share
 
@@ -104,6 +108,7 @@ def prefixes(docs: DataFrame, k: int, share: tuple[int, int], often: tuple[np.nd
                 hot[inside] = tokens[at[inside]] == s[inside]
                 length = len(s) - -(-num * len(s) // den) + 1
                 head = s[~hot][:length]
+                rare = len(head)
                 if len(head) < length:
                     rest = s[hot]
                     head = np.concatenate([head, rest[np.lexsort((rest, texts[at[hot]]))][: length - len(head)]])
@@ -111,7 +116,7 @@ def prefixes(docs: DataFrame, k: int, share: tuple[int, int], often: tuple[np.nd
                     second = mixed(s + np.uint64(1))
                     bucket = np.uint64(int(np.log(len(s)) / np.log(GROWTH)))
                     near = int(mixed(np.array([second.min() + bucket], np.uint64))[0] >> np.uint64(33))
-                    out.append((len(s), s.sum(dtype=np.uint64), mixed(s).sum(dtype=np.uint64), near, head))
+                    out.append((len(s), s.sum(dtype=np.uint64), mixed(s).sum(dtype=np.uint64), near, rare, head))
                 kept.append(i)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -120,12 +125,13 @@ def prefixes(docs: DataFrame, k: int, share: tuple[int, int], often: tuple[np.nd
                     _signed(np.array([x[1] for x in out], np.uint64)),
                     _signed(np.array([x[2] for x in out], np.uint64)),
                     pa.array([x[3] for x in out], pa.int64()),
-                    pa.ListArray.from_arrays(np.cumsum([0] + [len(x[4]) for x in out]).astype(np.int32), _signed(np.concatenate([x[4] for x in out] or [np.zeros(0, np.uint64)]))),
+                    pa.array([x[4] for x in out], pa.int32()),
+                    pa.ListArray.from_arrays(np.cumsum([0] + [len(x[5]) for x in out]).astype(np.int32), _signed(np.concatenate([x[5] for x in out] or [np.zeros(0, np.uint64)]))),
                 ],
-                ["id", "n", "f1", "f2", "near", "head"],
+                ["id", "n", "f1", "f2", "near", "rare", "head"],
             )
 
-    return docs.mapInArrow(run, "id long, n int, f1 long, f2 long, near long, head array<long>")
+    return docs.mapInArrow(run, "id long, n int, f1 long, f2 long, near long, rare int, head array<long>")
 
 
 def whole_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -220,27 +226,37 @@ def compared(rows: DataFrame, share: tuple[int, int]) -> DataFrame:
 def links(docs: DataFrame, found: DataFrame, k: int, share: tuple[int, int]) -> DataFrame:
     """(a, b): links between classes, each named by its smallest id, enough to connect all that similarity connects."""
     num, den = share
+    needed = lambda x, y: F.ceil((x + y) * F.lit(num) / F.lit(num + den))
     heads = prefixes(docs, k, share, frequent_tokens(found))
-    classes = heads.groupBy("f1", "f2", "n").agg(F.min("id").alias("id"), F.first("near").alias("near"), F.first("head").alias("head"))
-    # size and key share one long, which keeps the shuffled rows short
-    rows = classes.select(F.explode("head").alias("token"), "id", (F.shiftleft(F.col("n").cast("long"), 31) + F.col("near")).alias("about"))
-    met = rows.withColumn("texts", F.count("*").over(Window.partitionBy("token"))).where("texts > 1").drop("texts")
-    met = checkpointed(met.select("token", "id", F.shiftright("about", 31).alias("n"), (F.col("about").bitwiseAND((1 << 31) - 1)).alias("near")))
+    classes = heads.groupBy("f1", "f2", "n").agg(F.min("id").alias("id"), F.first(F.struct("near", "rare", "head")).alias("x")).select("id", F.col("n").cast("long").alias("n"), "x.*")
+    # size and place share one long, which keeps the shuffled rows short
+    rows = classes.select("id", "n", "near", "rare", F.posexplode("head").alias("at", "token"))
+    # a frequent token is shared by many texts, so only the others, of which each has few, are counted
+    spread = F.when(F.col("at") >= F.col("rare"), F.pmod(F.xxhash64("id"), F.lit(SPREAD)) + 1).otherwise(0).cast("int")
+    rows = rows.select("token", spread.alias("spread"), "id", (F.shiftleft("n", 32) + F.col("at")).alias("about"), "near")
+    met = rows.withColumn("texts", F.count("*").over(Window.partitionBy("token", "spread"))).where("texts > 1 or spread > 0")
+    met = checkpointed(met.select("token", "id", F.col("about").bitwiseAND((1 << 32) - 1).alias("at"), F.shiftright("about", 32).alias("n"), "near"))
     # groups of similar sets, none larger than MEMBERS but by chance of the hash
-    nodes = met.select("id", "n", "near").distinct().withColumn("many", F.count("*").over(Window.partitionBy("near")))
+    nodes = met.select("id", "n", "near").distinct()
+    nodes = nodes.join(nodes.groupBy("near").agg(F.count("*").alias("many")), "near")
     part = F.xxhash64("near", F.pmod(F.xxhash64("id", F.lit(3)), F.ceil(F.col("many") / MEMBERS)))
     nodes = checkpointed(nodes.select("id", "n", part.alias("part")))
-    sized = nodes.groupBy("part").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("members"))
-    matrix = checkpointed(met.select("token", "id").join(nodes.select("id", "part"), "id").groupBy("token", "part").agg(F.min("id").alias("x"), F.count("*").alias("here")).select("token", "part"))
-    asked = met.select("token", "id", "n").join(nodes.select("id", F.col("part").alias("own")), "id")
-    # each pair of groups is opened from one side
-    counted = asked.join(matrix, "token").where("part > own").groupBy("id", "n", "part").agg(F.count("*").alias("overlap")).join(sized, "part")
-    smaller = F.greatest(F.col("least"), F.ceil(F.col("n") * num / den))
-    larger = F.least(F.col("most"), F.floor(F.col("n") * den / num))
-    wanted = F.ceil((F.col("n") + smaller) * num / (den + num)) - F.ceil(F.greatest(F.col("n"), larger) * num / den) + 1
-    opened = checkpointed(counted.where((smaller <= larger) & (F.col("overlap") >= wanted)).select("id", "part"))
+    placed = met.select("token", "id", "at", "n").join(nodes.select("id", "part"), "id")
+    held = placed.where(F.col("n") - F.col("at") > needed(F.col("n"), F.col("n")) - MEETINGS)
+    matrix = held.groupBy("token", "part").agg(F.min("at").alias("first"), F.min("n").alias("least"), F.max("n").alias("most"))
+    asked = placed.withColumnsRenamed({"part": "own", "at": "place"})
+    # members that the query may be similar to and that are not larger; of equal sizes each pair of groups is met from one side
+    smallest = F.ceil(F.col("n") * F.lit(num) / F.lit(den))
+    smaller, larger = F.greatest(F.col("least"), smallest), F.least("most", "n")
+    both = needed(F.col("n"), smaller)
+    meetings = F.least(F.lit(MEETINGS).cast("long"), both - smallest + 1)
+    left = F.least(F.col("n") - F.col("place"), larger - F.col("first"))
+    meets = (F.col("part") != F.col("own")) & (smaller <= larger) & (left > both - meetings) & ((F.col("least") < F.col("n")) | (F.col("part") > F.col("own")))
+    counted = asked.join(matrix.withColumnRenamed("token", "t"), (F.col("token") == F.col("t")) & meets).groupBy("id", "part").agg(F.count("*").alias("met"), F.min(meetings).alias("wanted"))
+    opened = checkpointed(counted.where("met >= wanted").select("id", "part"))
+    members = nodes.groupBy("part").agg(F.count("*").alias("members"))
     # sets of the texts that are to be compared
-    many = nodes.join(sized.where("members > 1").select("part"), "part").select("id", "part")
+    many = nodes.join(members.where("members > 1").select("part"), "part").select("id", "part")
     salts = opened.groupBy("part").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("salts"))
     inside = many.unionByName(nodes.join(salts.select("part"), "part", "left_semi").select("id", "part")).distinct()
     inside = inside.join(salts, "part", "left").select("id", "part", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"), F.lit(False).alias("query"))
@@ -256,7 +272,7 @@ def jaccard_components(docs: DataFrame, k: int, share: tuple[int, int], key: str
     """(key, n_shingles, component_id) of every row; share is the least similarity as (numerator, denominator)."""
     plain = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     found = checkpointed(profiles(plain, k))
-    joined = components(links(plain, found, k, share))
+    joined = components(links(plain, found, k, share), loops=False)
     every = found.where("n is not null")
     classes = every.where("n > 0 and id is not null").groupBy("f1", "f2", "n").agg(F.min("id").alias("first"))
     # rows that repeat an id tie the classes of that id
