@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.operators.graph import written as checkpointed  # noqa: F401
+
 #: Words of the shingle and size contracts: runs without blank, tab, line feed, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -32,15 +34,6 @@ def fold(df: DataFrame, salt: int, parts: int, key: str = "doc_id") -> tuple:
     return F.crc32(F.col(key).cast("string")) % parts != salt
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows, written once to the shared checkpoint folder; a folder is set only where the session has none."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        where = df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-        sc.setCheckpointDir(where)
-    return df.checkpoint()
-
-
 def runs(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     """The batches, none longer than so many rows."""
     for batch in batches:

@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import checkpointed, column, table
-from sparkloom.llm.graph import components
 from sparkloom.llm.vectors import in_order, k_means, matrix, nearest, packed, unpacked, usable, width
+from sparkloom.operators.graph import components
 
 #: Rows that codebooks are fitted on at most; subspaces and codes of one; rows of a cell wished for,
 #: most cells; rows of a block; queries compared at once.
@@ -216,7 +216,7 @@ def near_duplicates(rows: DataFrame, least: float, key: str = "vec_id", vector:
     reps = named.select(F.col("id").alias("class"), "label", "h1", "h2", "n", "rep")
     sums = met.where("b is null").groupBy(F.col("a").alias("class")).agg(F.sum("n").alias("links"))
     ends = met.where("b is not null").select("a", "b").join(reps.select(F.col("class").alias("a"), F.col("rep").alias("ra")), "a").join(reps.select(F.col("class").alias("b"), F.col("rep").alias("rb")), "b")
-    joined = components(ends.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+    joined = components(ends.select(F.col("ra").alias("a"), F.col("rb").alias("b")), loops=False)
     told = reps.join(sums, "class", "left").join(joined, F.col("rep") == F.col("node"), "left")
     told = checkpointed(told.select("label", "h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "rep").alias("component")))
     out = marked.where("good").join(told, ["label", "h1", "h2"]).select("id", "links", "component")
