@@ -1,12 +1,16 @@
 """Nearest neighbours by inner product with randomly rotated one-bit codes.
 
-Every vector, less the mean of all, is scaled to length one and turned by one random rotation; its
-code is the signs. With the packed signs go the vector's length and the inner product of the vector
-with its own code, which make the estimate of a query's inner product unbiased and bound its error.
+Every vector, less the mean of all, is scaled to length one and turned by random rotations; its code
+is the signs, packed into 64-bit words. With them go the vector's length and the inner product
+of the vector with its own code, which make the estimate of a query's inner product unbiased and
+bound its error. A turned query is cut into a few levels, and each binary digit of its components is
+packed too: an estimate is a sum of bit counts of code AND digit, and no vector is read for it.
 Queries meet all rows in blocks: in a block the rows of a query's best estimates are ranked on the
 original vectors, and so is every row whose estimate and error bound together reach the k-th of them.
 
-Work grows with queries times rows, a few instructions a pair; memory is bounded by the blocks.
+Work grows with queries times rows, a few word instructions a pair; memory is bounded by the blocks.
+Rows and queries are sent once to every block of the other side, so blocks are as large as memory
+allows, and row blocks only as small as it takes to give all tasks work.
 
 Defined results: rows whose vector is null, zero or has null or non-finite components, or whose id is
 null, take no part; shorter vectors count as ending in zeros; a query finds no row of its own id, and of
@@ -26,15 +30,17 @@ from pyspark.sql import functions as F
 from sparkloom.llm.common import checkpointed, column, table
 from sparkloom.llm.vectors import in_order, matrix, packed, unpacked, usable, width
 
-#: Standard errors within which estimates are trusted; rows ranked exactly at first, as a multiple of k;
-#: queries and rows of a block; queries answered at once.
-TRUST, FIRST, QUERY_BLOCK, ROW_BLOCK, AT_ONCE = 3.0, 4, 4096, 8192, 256
+#: Standard errors within which estimates are trusted; rows ranked exactly at first, as a multiple of k; queries and rows
+#: of a block at most; rows of a block wished for; queries and rows compared at once; binary digits of a query's components;
+#: rotations, so signs a component.
+TRUST, FIRST, QUERY_BLOCK, ROW_BLOCK, LEAST_BLOCK, AT_ONCE, ROWS_AT_ONCE, DIGITS, TURNS = 3.0, 8, 16_384, 65_536, 4096, 64, 8192, 4, 2
 
 
 def rotation(wide: int, seed: int = 17) -> np.ndarray:
-    """A random orthogonal matrix, the same wherever it is made."""
-    q, r = np.linalg.qr(np.random.Generator(np.random.PCG64(seed)).standard_normal((wide, wide)))
-    return q * np.sign(np.diag(r))
+    """TURNS random orthogonal matrices side by side, scaled so that lengths stay: the same wherever it is made."""
+    draws = np.random.Generator(np.random.PCG64(seed))
+    turns = [np.linalg.qr(draws.standard_normal((wide, wide))) for _ in range(TURNS)]
+    return np.concatenate([q * np.sign(np.diag(r)) for q, r in turns], axis=1) / np.sqrt(TURNS)
 
 
 def mean(rows: DataFrame, wide: int) -> np.ndarray:
@@ -51,7 +57,23 @@ def mean(rows: DataFrame, wide: int) -> np.ndarray:
     return got[:wide] / max(1.0, got[wide]) if len(got) else np.zeros(wide)
 
 
-def coded(rows: DataFrame, wide: int, centre: np.ndarray) -> DataFrame:
+def words(bits: np.ndarray) -> np.ndarray:
+    """Rows of bits packed into 64-bit words."""
+    octets = np.packbits(bits, axis=1)
+    out = np.zeros((len(bits), -(-octets.shape[1] // 8) * 8), np.uint8)
+    out[:, : octets.shape[1]] = octets
+    return out.view(np.uint64)
+
+
+def digits(turned: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Binary digits of each row's components as words, lowest digit first, with the row's lowest value and the step of a level."""
+    low, high = turned.min(axis=1), turned.max(axis=1)
+    step = np.maximum(high - low, 1e-12) / ((1 << DIGITS) - 1)
+    level = np.rint((turned - low[:, None]) / step[:, None]).astype(np.uint8)
+    return np.stack([words(level >> j & 1) for j in range(DIGITS)]), low, step
+
+
+def coded(rows: DataFrame, wide: int, centre: np.ndarray, kind: type) -> DataFrame:
     """(id, vector, code, length, fit) of (id, vector) rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -61,47 +83,64 @@ def coded(rows: DataFrame, wide: int, centre: np.ndarray) -> DataFrame:
             rest = x - centre
             length = np.linalg.norm(rest, axis=1)
             turned = rest @ turn / np.maximum(length, 1e-300)[:, None]
-            fit = np.abs(turned).sum(axis=1) / np.sqrt(wide)
-            yield pa.RecordBatch.from_arrays([column(batch, "id"), packed(x), packed(np.packbits(turned >= 0, axis=1)), pa.array(length), pa.array(fit)], ["id", "vector", "code", "length", "fit"])
-
-    return rows.mapInArrow(run, "id long, vector binary, code binary, length double, fit double")
-
-
-def best_of_block(queries: np.ndarray, query_ids: np.ndarray, rows: dict, wide: int, centre: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            fit = np.abs(turned).sum(axis=1) / np.sqrt(turn.shape[1])
+            yield pa.RecordBatch.from_arrays([column(batch, "id"), packed(x.astype(kind)), packed(words(turned >= 0)), pa.array(length.astype(np.float32)), pa.array(fit.astype(np.float32))], ["id", "vector", "code", "length", "fit"])
+
+    return rows.mapInArrow(run, "id long, vector binary, code binary, length float, fit float")
+
+
+def estimates(unit: np.ndarray, code: np.ndarray, length: np.ndarray, fit: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> np.ndarray:
+    """Estimated inner products of queries of length one with rows, from packed bits and each row's two scalars."""
+    turned = unit @ turn
+    bits, low, step = digits(turned)
+    count = np.zeros((len(unit), len(code)), np.uint16)
+    for j in range(DIGITS):
+        for w in range(code.shape[1]):
+            count += np.bitwise_count(code[:, w] & bits[j, :, w, None]).astype(np.uint16) << np.uint16(j)
+    ones = np.bitwise_count(code).sum(axis=1).astype(np.float32)
+    out = count * (2 * step).astype(np.float32)[:, None]
+    out += (2 * low).astype(np.float32)[:, None] * ones
+    out -= turned.sum(axis=1).astype(np.float32)[:, None]
+    out *= (length / np.maximum(fit, 1e-12) / np.sqrt(turn.shape[1])).astype(np.float32)
+    out += (unit @ centre).astype(np.float32)[:, None]
+    return out
+
+
+def best_of_block(queries: np.ndarray, query_ids: np.ndarray, rows: dict, centre: np.ndarray, turn: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, row, score) of the k best rows of a block for each query, ties to smaller ids."""
-    norms = np.linalg.norm(queries, axis=1)
-    unit = queries / norms[:, None]
-    fit = np.maximum(rows["fit"], 1e-12)
-    # signs times what makes the estimate unbiased; the last column adds the part of the mean vector
-    signs = np.ones((len(fit), wide + 1), np.float32)
-    signs[:, :wide] = np.unpackbits(rows["code"], axis=1, count=wide) * np.float32(2) - 1
-    signs[:, :wide] *= (rows["length"] / fit / np.sqrt(wide))[:, None].astype(np.float32)
-    guess = np.concatenate([unit @ rotation(wide), (unit @ centre)[:, None]], axis=1).astype(np.float32) @ signs.T
+    unit = queries / np.linalg.norm(queries, axis=1)[:, None]
+    fit, vectors, ids = np.maximum(rows["fit"].astype(float), 1e-12), rows["vector"], rows["id"]
+    guess = np.concatenate([estimates(unit, rows["code"][a : a + ROWS_AT_ONCE], rows["length"][a : a + ROWS_AT_ONCE], fit[a : a + ROWS_AT_ONCE], centre, turn) for a in range(0, len(fit), ROWS_AT_ONCE)], axis=1)
     # the rows of the best estimates, ranked exactly, give each query's bound
     some = min(len(fit), FIRST * k)
-    first = np.argpartition(-guess, some - 1, axis=1)[:, :some]
-    exact = np.einsum("qd,qrd->qr", unit, rows["vector"][first])
-    exact[rows["id"][first] == query_ids[:, None]] = -np.inf
+    first = np.argpartition(guess, len(fit) - some, axis=1)[:, len(fit) - some :]
+    exact = np.einsum("qd,qrd->qr", unit, vectors[first].astype(float))
+    exact[ids[first] == query_ids[:, None]] = -np.inf
     bound = -np.partition(-exact, min(k, some) - 1, axis=1)[:, min(k, some) - 1]
     if some < len(fit) and some <= k:
         bound[:] = -np.inf
     bound -= 1e-9
     # what a code's own inner product leaves open, spread over the other directions
-    guess += (TRUST * np.sqrt(np.maximum(0.0, 1 - fit**2)) / fit / np.sqrt(max(1, wide - 1)) * rows["length"] + 1e-5).astype(np.float32)
+    guess += (TRUST * np.sqrt(np.maximum(0.0, 1 - fit**2)) / fit / np.sqrt(max(1, turn.shape[1] - 1)) * rows["length"] + 1e-5).astype(np.float32)
+    np.put_along_axis(guess, first, np.inf, axis=1)
     q, r = np.divmod(np.flatnonzero(guess >= bound[:, None].astype(np.float32)), len(fit))
-    q, r = np.concatenate([q, np.repeat(np.arange(len(unit)), some)]), np.concatenate([r, first.ravel()])
-    near = np.empty(len(q))
-    for a in range(0, len(q), 100_000):
-        near[a : a + 100_000] = np.einsum("id,id->i", unit[q[a : a + 100_000]], rows["vector"][r[a : a + 100_000]])
-    kept = np.unique((q * len(fit) + r)[(near >= bound[q]) & (query_ids[q] != rows["id"][r])])
-    q, r = np.divmod(kept, len(fit))
-    score = np.empty(len(q))
-    for a in range(0, len(q), 100_000):
-        score[a : a + 100_000] = in_order(queries[q[a : a + 100_000]], rows["vector"][r[a : a + 100_000]])
-    order = np.lexsort((rows["id"][r], -score, q))
+    score, kept = [], []
+    # in the vectors' own precision first, with room for its rounding
+    short, slack = unit.astype(vectors.dtype), 2.4e-7 * vectors.shape[1] * float(np.sqrt((vectors**2).sum(axis=1).max(initial=0))) if vectors.dtype == np.float32 else 0.0
+    for a in range(0, len(q), 50_000):
+        i, j = q[a : a + 50_000], r[a : a + 50_000]
+        near = np.einsum("id,id->i", short[i], vectors[j])
+        good = np.flatnonzero((near >= bound[i] - slack) & (query_ids[i] != ids[j]))
+        kept.append(a + good)
+        score.append(in_order(queries[i[good]], vectors[j[good]].astype(float)))
+    if not kept:
+        return query_ids[:0], ids[:0], np.zeros(0)
+    kept, score = np.concatenate(kept), np.concatenate(score)
+    q, r = q[kept], r[kept]
+    order = np.lexsort((ids[r], -score, q))
     q, r, score = q[order], r[order], score[order]
     top = np.arange(len(q)) - np.searchsorted(q, q) < k
-    return query_ids[q[top]], rows["id"][r[top]], score[top]
+    return query_ids[q[top]], ids[r[top]], score[top]
 
 
 def search(rows: DataFrame, asks: Column, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -110,26 +149,30 @@ def search(rows: DataFrame, asks: Column, k: int, key: str = "vec_id", vector: s
     every = good.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("vector"))
     wide = width(every, "vector")
     centre = mean(every, wide)
-    codes = checkpointed(coded(every, wide, centre))
+    kind = np.float32 if good.schema[vector].dataType.elementType.typeName() == "float" else np.float64
+    codes = checkpointed(coded(every, wide, centre, kind))
     queries = good.where(asks).groupBy(F.col(key).cast("long").alias("id")).agg(F.min(vector).alias("vector"))
-    queries = checkpointed(coded(queries, wide, centre))
-    row_blocks, query_blocks = -(-codes.count() // ROW_BLOCK) or 1, -(-queries.count() // QUERY_BLOCK) or 1
+    queries = checkpointed(coded(queries, wide, centre, kind))
+    n, tasks = codes.count(), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    row_blocks = max(1, -(-n // ROW_BLOCK), min(tasks, n // LEAST_BLOCK))
+    query_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     block = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)).cast("int")
     every_block = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     shared = ["id", "vector", "code", "length", "fit"]
     left = queries.select(block(query_blocks, 1).alias("qb"), every_block(row_blocks).alias("rb"), F.lit(False).alias("row"), *shared)
     right = codes.select(every_block(query_blocks).alias("qb"), block(row_blocks, 2).alias("rb"), F.lit(True).alias("row"), *shared)
+    turn = rotation(wide) if wide else np.zeros((0, 0))
 
     def run(key: tuple, got: pa.Table) -> pa.Table:
         is_row = got["row"].to_numpy()
         asking, there = got.filter(~is_row), got.filter(is_row)
         if not asking.num_rows or not there.num_rows:
             return pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        x = unpacked(asking["vector"], np.float64, wide)
-        block = {"id": there["id"].to_numpy(), "vector": unpacked(there["vector"], np.float64, wide), "code": unpacked(there["code"], np.uint8, -(-wide // 8)), "length": there["length"].to_numpy(), "fit": there["fit"].to_numpy()}
+        x = unpacked(asking["vector"], kind, wide).astype(np.float64)
+        block = {"id": there["id"].to_numpy(), "vector": unpacked(there["vector"], kind, wide), "code": unpacked(there["code"], np.uint64, -(-wide * TURNS // 64)), "length": there["length"].to_numpy(), "fit": there["fit"].to_numpy()}
         ids, parts = asking["id"].to_numpy(), []
         for a in range(0, len(ids), AT_ONCE):
-            parts.append(best_of_block(x[a : a + AT_ONCE], ids[a : a + AT_ONCE], block, wide, centre, k))
+            parts.append(best_of_block(x[a : a + AT_ONCE], ids[a : a + AT_ONCE], block, centre, turn, k))
         q, r, s = (np.concatenate([p[i] for p in parts]) for i in range(3))
         return pa.table({"query_id": q, "id": r, "score": s})
 
