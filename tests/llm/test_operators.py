@@ -12,7 +12,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from sparkloom.llm import bpe_codec, graph, host_suffix, jaccard_join, langid, mixing, one_bit_search, pii, pq_dedup, pretok, token_counts, toxicity
+from sparkloom.operators import graph
+from sparkloom.llm import bpe_codec, host_suffix, jaccard_join, langid, mixing, one_bit_search, pii, pq_dedup, pretok, token_counts, toxicity
 
 JSON = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -234,7 +235,7 @@ def test_copies_of_a_page_count_once(spark):
     article = " ".join(words)
     near = [" ".join([*words[:100], f"x{i}", *words[101:]]) for i in range(5)]
     rows = [(7, "http://a.com/7", article)] * 3 + [(i, f"http://a.com/{i}", article) for i in range(4)]
-    rows += [(10 + i, f"http://b.com/{i}", f"{t} {blurb}") for i, t in enumerate(near)] + [(20 + i, f"http://b.com/o{i}", f"{blurb} own {i} text") for i in range(3)]
+    rows += [(10 + i, f"http://b.com/{i}", f"{t} {blurb}") for i, t in enumerate(near)] + [(20 + i, f"http://b.com/o{i}", f"{blurb} o{i} own text") for i in range(3)]
     df = spark.createDataFrame([(i, u, f"<article>{t}</article>") for i, u, t in rows], "page_id long, url string, html string").repartition(3)
     got = sorted((r.page_id, r.text) for r in host_suffix.main_text(df).collect())
     assert got == sorted((i, " ".join(t.replace(blurb, "").split())) for i, _, t in rows)
@@ -243,13 +244,13 @@ def test_copies_of_a_page_count_once(spark):
 def test_stretches_equal_brute_force():
     rng = random.Random(4)
     pages = [[rng.choice("abc") for _ in range(rng.randint(0, 40))] for _ in range(12)]
-    owner, place, rank = host_suffix.stretches(pages, 5)
+    shard = host_suffix.Shard([np.array([ord(c) for c in p], np.uint64) for p in pages], 5)
     want = sorted((i, j) for i, p in enumerate(pages) for j in range(len(p) - 4))
-    assert sorted(zip(owner.tolist(), place.tolist())) == want
+    assert sorted(zip(shard.owner.tolist(), shard.place.tolist())) == want
     names = {}
-    for o, j, r in zip(owner, place, rank):
-        assert names.setdefault(r, tuple(pages[o][j : j + 5])) == tuple(pages[o][j : j + 5])
-    assert len(names) == len(set(names.values()))
+    for o, j, g, name in zip(shard.owner, shard.place, shard.groups(), shard.names(7)):
+        assert names.setdefault(g, (tuple(pages[o][j : j + 5]), name)) == (tuple(pages[o][j : j + 5]), name)
+    assert len(names) == len(set(x for x, _ in names.values())) == len(set(n for _, n in names.values()))
 
 
 # ---- vectors
@@ -374,6 +375,13 @@ def test_disclosing_words_are_added_and_removed(spark):
     assert not any(r.added for r in copies) and pii.find(documents(spark, texts).limit(0)).count() == 0
 
 
+def test_many_matches_in_one_text(spark):
+    text = " ".join(f"u{i}@h{i}.org +1 (234) 567-{i:04d} word{'abcdefgh'[i % 8]}x" for i in range(3000))
+    (row,) = pii.find(documents(spark, [text])).select("base", pii.sanitised(pii.F.col("text"), pii.F.col("base")).alias("clean")).collect()
+    assert [(s["kind"], s["start"], s["stop"]) for s in row.base] == brute_spans(text) and len(row.base) == 6000
+    assert row.clean == " ".join(f"[EMAIL] [PHONE] word{'abcdefgh'[i % 8]}x" for i in range(3000))
+
+
 def test_words_far_from_an_entity_disclose_it(spark):
     fill = " good dear call now" * 20
     texts = [f"Marlowe {n}{fill} mail marlowe@example.org{fill} +1 (234) 567-8901x MARLOWE, marlowes éMarlowe" for n in ("our", "dear", "good")]
@@ -385,24 +393,27 @@ def test_words_far_from_an_entity_disclose_it(spark):
     assert not any(r.added for r in found[3:])
 
 
-def test_disclosing_counts_equal_brute_force(spark):
+@pytest.mark.parametrize("share", [0.9, 0.5])
+def test_disclosing_counts_equal_brute_force(spark, monkeypatch, share):
     rng = random.Random(11)
     words = [f"{a}{b}{c}" for a in "kmn" for b in "aeo" for c in "rst"]
     texts = [" ".join(rng.choice([*words, "a@b.co", "c@d.org", "kar@met.nos"]) for _ in range(rng.randint(1, 12))) for _ in range(40)]
+    texts += [f"{w} own{w} x{w}@y.co z{w}@y.co and" for w in words[:4]] + ["own" + words[0] + " and"]
     texts += texts[:5]
+    monkeypatch.setattr(pii, "GENERALISE_FROM", share)
     pairs, n_term, n_entity = {}, {}, {}
     for t in texts:
         entities = {w for w in t.split() if "@" in w}
         for w in set(re.findall(r"[a-z]{3,}", t)):
             n_term[w] = n_term.get(w, 0) + 1
         for e in entities:
-            n_entity[e] = n_entity.get(e, 0) + 1
+            n_entity.setdefault(e, set()).add(t)
             for w in {w for w in t.split() if "@" not in w}:
-                pairs.setdefault((e, w), []).append(t)
+                pairs.setdefault((e, w), set()).add(t)
     told = {}
     for (e, w), held in pairs.items():
-        if len(set(held)) >= pii.SUPPORT and n_entity[e] < len(texts):
-            ratio = np.log2(len(held) * len(texts) / n_term[w] / n_entity[e]) / np.log2(len(texts) / n_entity[e])
+        if len(n_entity[e]) < len(texts):
+            ratio = np.log2(len(held) * len(texts) / n_term[w] / len(n_entity[e])) / np.log2(len(texts) / len(n_entity[e]))
             if ratio >= pii.GENERALISE_FROM:
                 told[e, w] = "remove" if ratio >= pii.REMOVE_FROM else "generalise"
     assert told
