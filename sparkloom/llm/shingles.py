@@ -28,9 +28,10 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word, A-Z as a-z, and the number of words of each text."""
-    data = np.where((data >= 0x41) & (data <= 0x5A), data | 0x20, data)
+def word_hashes(data: np.ndarray, at: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word, A-Z as a-z if folded, and the number of words of each text."""
+    if fold:
+        data = np.where((data >= 0x41) & (data <= 0x5A), data | 0x20, data)
     marks = word_marks(data, at)
     starts = np.flatnonzero(marks)
     blank = (data == 0x20) | ((data >= 0x09) & (data <= 0x0D))
