@@ -2,7 +2,7 @@
 
 pretok.py finds the slices of many texts at once from arrays of codepoint classes. Each slice's
 token ids come from a bounded cache of slices merged before. Encodings keep, on request, the byte
-offset of every token, and decoding joins vocabulary entries.
+offset of every token, and decoding sets each token's vocabulary entry at its offset.
 
 Defined results: null and empty texts give no ids and decode to no bytes; text has no special
 strings; extra columns are ignored; repeated rows give repeated results.
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkloom.llm import pretok
-from sparkloom.llm.common import column, strings, table
+from sparkloom.llm.common import bounded, column, strings, table
 from sparkloom.llm.token_counts import merge
 
 #: Pieces of up to so many bytes are merged by plain scans of their pairs, longer ones with a heap.
@@ -83,17 +83,17 @@ class SliceIds(pretok.SliceCache):
         return array("I", merge_ids(piece, self.ranks)).tobytes()
 
 
-_codecs: dict[str, tuple[SliceIds, list[bytes], np.ndarray]] = {}
+_codecs: dict[str, tuple[SliceIds, np.ndarray, np.ndarray]] = {}
 
 
-def codec(path: str) -> tuple[SliceIds, list[bytes], np.ndarray]:
-    """Of a rank file: the cache of slices, the entries by id and their lengths."""
+def codec(path: str) -> tuple[SliceIds, np.ndarray, np.ndarray]:
+    """Of a rank file: the cache of slices, the bytes of all entries one after another, and where each id's entry starts, with the end."""
     if path not in _codecs:
         ranks = read_ranks(path)
         words = [b""] * (max(ranks.values()) + 1)
         for word, rank in ranks.items():
             words[rank] = word
-        _codecs[path] = SliceIds(ranks), words, np.array([len(w) for w in words], np.int64)
+        _codecs[path] = SliceIds(ranks), np.frombuffer(b"".join(words), np.uint8), np.cumsum([0] + [len(w) for w in words])
     return _codecs[path]
 
 
@@ -108,11 +108,16 @@ def encode_texts(texts: list[str], path: str) -> list[bytes]:
 
 def offsets(packed: bytes, path: str) -> np.ndarray:
     """Byte offset at which each token starts, with the end of the last."""
-    return np.concatenate([[0], np.cumsum(codec(path)[2][np.frombuffer(packed, "<u4")])])
+    starts, ids = codec(path)[2], np.frombuffer(packed, "<u4").astype(np.int64)
+    return np.concatenate([[0], np.cumsum(starts[ids + 1] - starts[ids])])
 
 
-def decode(packed: bytes, path: str) -> bytes:
-    return b"".join(map(codec(path)[1].__getitem__, np.frombuffer(packed, "<u4").tolist()))
+def decode(packed: bytes, path: str, at: np.ndarray | None = None) -> bytes:
+    """The bytes of ids: every token's entry at the token's offset, for all tokens at once; offsets are found again where they were not kept."""
+    _, entries, starts = codec(path)
+    at = offsets(packed, path) if at is None else at
+    ids = np.frombuffer(packed, "<u4").astype(np.int64)
+    return entries[np.repeat(starts[ids] - at[:-1], np.diff(at)) + np.arange(at[-1])].tobytes()
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", with_offsets: bool = False) -> DataFrame:
@@ -129,7 +134,7 @@ def _mapped(docs: DataFrame, path: str, text: str, with_offsets: bool) -> DataFr
     names = rest.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches, "__text"):
             texts = strings(column(batch, "__text").field("text"))
             for a, b in pretok.portions(texts):
                 coded = encode_texts(texts[a:b], path)
@@ -147,7 +152,7 @@ def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "tex
     """(key, n_tokens, ids_sha256, decoded_sha256) of every row, in one pass without shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches):
             texts = strings(column(batch, "text"))
             for a, b in pretok.portions(texts):
                 coded = encode_texts(texts[a:b], path)
@@ -156,7 +161,7 @@ def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "tex
                         column(batch, "key").slice(a, b - a),
                         pa.array([len(x) // 4 for x in coded], pa.int64()),
                         pa.array([hashlib.sha256(x).hexdigest() for x in coded]),
-                        pa.array([hashlib.sha256(decode(x, path)).hexdigest() for x in coded]),
+                        pa.array([hashlib.sha256(decode(x, path, offsets(x, path))).hexdigest() for x in coded]),
                     ],
                     ["key", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +35,20 @@ def fold(df: DataFrame, salt: int, parts: int, key: str = "doc_id") -> tuple:
     return F.crc32(F.col(key).cast("string")) % parts != salt
 
 
+def bounded(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """The batches in slices whose texts have that many bytes at most, or a single row: so a batch of long texts never stands as Python strings at once."""
+    for batch in batches:
+        col = column(batch, text)
+        if pa.types.is_struct(col.type):
+            col = col.field(0)
+        ends = np.cumsum(pc.binary_length(col).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        start = 0
+        while start < batch.num_rows:
+            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, side="right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 def runs(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     """The batches, none longer than so many rows."""
     for batch in batches:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import column, fold, strings, table
+from sparkloom.llm.common import bounded, column, fold, strings, table
 from sparkloom.llm.ngrams import BLANK, grams
 from sparkloom.llm.pretok import EEE, ELL, LETTER, RV, STMD, codepoint_classes
 
@@ -74,7 +74,7 @@ def document_frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(WIDE + 1, np.int64)
-        for batch in batches:
+        for batch in bounded(batches):
             for found in counts(strings(column(batch, "text"))):
                 sums[:WIDE] += (found > 0).sum(axis=0)
                 sums[WIDE] += len(found)
@@ -96,7 +96,7 @@ def sample(rows: DataFrame, most_of_one: int, most_rows: int) -> tuple[list[str]
     chosen = rows.join(F.broadcast(per_lang.withColumnsRenamed({"lang": "of"})), F.col("lang") == F.col("of")).where(by_hash < share * (1 << 30))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches):
             texts, lists = strings(column(batch, "text")), []
             for found in counts(texts):
                 lists += [(np.flatnonzero(x).astype(np.int32), x[x > 0].astype(np.int32)) for x in found]
@@ -148,7 +148,7 @@ def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in batches:
+        for batch in bounded(batches):
             start = 0
             for found in counts(strings(column(batch, "text"))):
                 some = found.any(axis=1)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm import pretok
-from sparkloom.llm.common import column, strings, table
+from sparkloom.llm.common import bounded, column, strings, table
 
 MAX_STATES = 200_000
 
@@ -152,7 +152,15 @@ class CountTransducer:
             self.reset()
         state, total, moves = self.start, 0, self.moves
         for byte in piece:
-            state, change = moves[state].get(byte) or self.compile(state, byte)
+            step = moves[state].get(byte)
+            if step is None:
+                if len(self.states) > self.max_states:
+                    # states are dropped inside a long slice as well; the one at hand is kept
+                    held = self.states[state]
+                    self.reset()
+                    moves, state = self.moves, self.intern(held)
+                step = self.compile(state, byte)
+            state, change = step
             total += change
         return total
 
@@ -204,7 +212,7 @@ def token_counts(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
     """(key, n_bytes, n_tokens) of every row: one pass over the rows where they lie, no shuffle."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches):
             texts = strings(column(batch, "text"))
             for a, b in pretok.portions(texts):
                 size = [len(x.encode("utf-8", "surrogatepass")) for x in texts[a:b]]

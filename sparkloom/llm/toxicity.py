@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import checkpointed, column, fold, strings, table
+from sparkloom.llm.common import bounded, checkpointed, column, fold, strings, table
 from sparkloom.llm.ngrams import code_points, grams
 
 BITS, SIZES = 18, (2, 3, 4, 5)
@@ -103,7 +103,7 @@ def _counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((3, 1 << BITS), np.int64)
-        for batch in batches:
+        for batch in bounded(batches):
             for text, y in zip(strings(column(batch, "text")), column(batch, "y").to_pylist()):
                 if words := distinct_words(text):
                     bucket = word_features(list(words))[1]
@@ -126,7 +126,7 @@ def _rows(rows: DataFrame, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = shared.value
-        for batch in batches:
+        for batch in bounded(batches):
             out = []
             for text in strings(column(batch, "text")):
                 words = distinct_words(text)
@@ -186,7 +186,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         scores = WordScores(model.weights)
-        for batch in batches:
+        for batch in bounded(batches, text):
             z = np.fromiter(linear_scores(strings(column(batch, text)), scores), float, batch.num_rows) + model.bias
             p = 1 / (1 + np.exp(-np.clip(z, -35, 35)))
             yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in names), pa.array(p)], [*names, out])

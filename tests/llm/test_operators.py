@@ -6,14 +6,16 @@ import re
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from sparkloom.operators import graph
 from sparkloom.llm import bpe_codec, host_suffix, jaccard_join, langid, mixing, one_bit_search, pii, pq_dedup, pretok, token_counts, toxicity
+from sparkloom.llm.common import bounded
+from sparkloom.operators import graph
 
 JSON = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -53,6 +55,22 @@ def test_counts_and_ids_of_any_text(library, texts):
     assert [bpe_codec.decode(x, RANKS) for x in coded] == [t.encode() for t in texts]
 
 
+def test_states_are_bounded_inside_a_slice(library):
+    ranks, _ = token_counts.read_vocabulary(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(2)
+    piece = bytes(rng.choice(b"abcdefghijklmnopqrstuvwxyz") for _ in range(4000))
+    small, large = token_counts.CountTransducer(ranks, 50), token_counts.CountTransducer(ranks)
+    assert small.count(piece) == large.count(piece) and len(small.states) <= 53 < len(large.states)
+
+
+def test_batches_are_cut_by_bytes():
+    batch = pa.RecordBatch.from_arrays([pa.array(["a" * n for n in (0, 5, 9, 30, 1, 1)] + [None])], ["text"])
+    cut = list(bounded([batch], most=10))
+    assert [b.num_rows for b in cut] == [2, 1, 1, 3] and pa.Table.from_batches(cut).combine_chunks().to_batches()[0].equals(batch)
+    whole = pa.RecordBatch.from_arrays([pa.StructArray.from_arrays([batch.column(0)], ["text"])], ["t"])
+    assert [b.column(0).field("text").to_pylist() for b in bounded([whole], "t", 10)] == [b.column(0).to_pylist() for b in cut]
+
+
 def test_scan_does_not_depend_on_chunks():
     kinds = np.random.default_rng(0).integers(0, 11, 5000).astype(np.uint8)
     want = pretok.token_starts(kinds, 5000).tolist()
