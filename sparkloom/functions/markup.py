@@ -235,7 +235,8 @@ def product(html: Column) -> Column:
 def article(html: Column) -> Column:
     """(headline, author, published, section, keywords) of a page's article: from JSON-LD, else microdata, else metadata."""
     node, pairs, data = first_of_type(json_ld(html), ARTICLES), metas(html), microdata(html)
-    item = lambda *names: F.coalesce(*[F.try_element_at(F.filter(data, lambda x, n=n: x["name"] == n), F.lit(1))["content"] for n in names])
+    one = lambda n: F.try_element_at(F.filter(data, lambda x: x["name"] == n), F.lit(1))["content"]
+    item = lambda *names: F.coalesce(*map(one, names))
     by_item = F.exists(data, lambda x: x["type"].isin(*ARTICLES))
     by_meta = F.coalesce(value_of(pairs, "og:type") == "article", F.lit(False))
     pick = lambda a, b, c: F.when(node.isNotNull(), a).when(by_item, b).when(by_meta, c)

@@ -123,3 +123,21 @@ def test_consensus_stream(spark, tmp_path):
     rows = [("a", t + dt.timedelta(seconds=i), p) for i, p in enumerate([True, False, True, True, False, False, True])]
     out = run_stream(spark, tmp_path, rows, "k string, ts timestamp, positive boolean", lambda s: state.consensus(s, "k")).sort_values("ts")
     assert out.adjustment.tolist() == [0, 0, 0, 1, 0, -1, 0]
+
+
+def test_markup_of_odd_pages(spark):
+    from pyspark.sql import functions as F
+
+    from sparkloom.functions import markup as m
+
+    pages = [
+        ('<div itemscope itemtype="http://schema.org/BlogPosting"><h1 itemprop="headline">A</h1><a itemprop="author" href="/b">B</a></div>', ("A", "/b")),
+        ('<script type="application/ld+json">{"@graph": null}</script><script type="application/ld+json">' + '{"a":' * 3000 + "</script>", (None, None)),
+        ('<script type="application/ld+json">[{"@type": "Article", "name": "n", "author": "x"}]</script>', ("n", "x")),
+        ("<![foo[ <meta property=og:type content=article><meta property='og:title' content='t'> <a href='http://[abc'>", ("t", None)),
+        ("", (None, None)),
+        (None, (None, None)),
+    ]
+    rows = spark.createDataFrame([(i, h) for i, (h, _) in enumerate(pages)], "id int, html string")
+    got = rows.select("id", m.article(F.col("html")).alias("a"), m.anchors(F.col("html"), F.lit("http://x/")).alias("l"), m.product(F.col("html")).alias("p"), m.organisation(F.col("html")).alias("o")).orderBy("id").collect()
+    assert [(r.a.headline, r.a.author) for r in got] == [w for _, w in pages]
