@@ -46,10 +46,40 @@ def floor_percentiles(rows: DataFrame, by: Sequence[str], value: str, levels: Se
     return ranked.groupBy(*by).agg(*picks, F.min(value).alias("least"), F.max(value).alias("greatest"), F.round(F.avg(value), 9).alias("mean"), F.count("*").alias("n"))
 
 
+def values_at(rows: DataFrame, by: Sequence[str], value: str, places: dict[str, Column], ranges: int = 64) -> DataFrame:
+    """Per group, the values at places (from 0, by __n, the group's rows) of the ascending order: for few and large groups.
+
+    Approximate quantiles cut each group into ranges; counts of the ranges say which hold a wanted place,
+    and only the different values of these are put in order. So no task sorts a group.
+    """
+    known = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("__v"))
+    cuts = [i / ranges for i in range(1, ranges)]
+    bounds = known.groupBy(*by).agg(F.count("*").alias("__n"), F.percentile_approx("__v", cuts, 1000).alias("__b"))
+    tagged = known.join(F.broadcast(bounds), list(by)).withColumn("__range", F.size(F.filter("__b", lambda x: x < F.col("__v")))).drop("__b")
+    counts = tagged.groupBy(*by, "__range").agg(F.count("*").alias("__c"), F.first("__n").alias("__n"))
+    before = F.sum("__c").over(Window.partitionBy(*by).orderBy("__range")) - F.col("__c")
+    wanted = F.filter(F.array(*[p.cast("long") for p in places.values()]), lambda p: (p >= F.col("__before")) & (p < F.col("__before") + F.col("__c")))
+    needed = counts.withColumn("__before", before).where(F.size(wanted) > 0).select(*by, "__range", "__before")
+    values = tagged.join(F.broadcast(needed), [*by, "__range"]).groupBy(*by, "__range", "__v").agg(F.count("*").alias("__c"), F.first("__n").alias("__n"), F.first("__before").alias("__before"))
+    upto = F.col("__before") + F.sum("__c").over(Window.partitionBy(*by, "__range").orderBy("__v"))
+    placed = values.withColumn("__upto", upto)
+    picks = [F.max(F.when((p < F.col("__upto")) & (p >= F.col("__upto") - F.col("__c")), F.col("__v"))).alias(name) for name, p in places.items()]
+    return placed.groupBy(*by).agg(*picks)
+
+
+def few_groups_percentiles(rows: DataFrame, by: Sequence[str], value: str, levels: Sequence[float] = (0.5, 0.95, 0.99)) -> DataFrame:
+    """As floor_percentiles, for few groups of any size."""
+    n = F.col("__n")
+    picks = values_at(rows, by, value, {f"p{int(q * 100)}": F.least(F.floor(n * q), n - 1) for q in levels})
+    rest = rows.where(F.col(value).isNotNull()).groupBy(*by).agg(F.min(value).alias("least"), F.max(value).alias("greatest"), F.round(F.avg(value), 9).alias("mean"), F.count("*").alias("n"))
+    return picks.join(rest, list(by))
+
+
 def nearest_rank(rows: DataFrame, by: Sequence[str], value: str, levels: Sequence[float] = (0.5, 0.95, 0.99)) -> DataFrame:
-    """Per group: nearest-rank percentiles."""
-    picks = [F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {value})").alias(f"p{int(q * 100)}") for q in levels]
-    return rows.groupBy(*by).agg(*picks, F.count(value).alias("n"))
+    """Per group: nearest-rank percentiles, for few groups of any size; groups without values have nulls."""
+    n = F.col("__n")
+    picks = values_at(rows, by, value, {f"p{int(q * 100)}": F.greatest(F.ceil(F.round(n * q, 6)) - 1, F.lit(0)) for q in levels})
+    return rows.groupBy(*by).agg(F.count(value).alias("n")).join(picks, list(by), "left")
 
 
 def top(rows: DataFrame, by: str, measure: Column, name: str, n: int, descending: bool = True) -> DataFrame:

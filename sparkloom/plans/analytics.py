@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sparkloom.operators import ordered, usage as u
@@ -13,6 +14,11 @@ SPAN = U + ", span AS (SELECT max(ts) AS last FROM usage) "
 ROUND = "round({}, 6)"
 
 
+def with_last(rows):
+    """The rows with the time of the last of all, one value."""
+    return rows.join(F.broadcast(rows.agg(F.max("ts").alias("last"))))
+
+
 def floor_sql(by: str, value: str, src: str = "usage") -> str:
     pick = lambda q: f"list_sort(list({value}))[CAST(least(floor(count({value}) * {q}), count({value}) - 1) AS BIGINT) + 1]"
     return f"SELECT {by}{', ' if by else ''}{pick(0.5)} AS p50, {pick(0.95)} AS p95, {pick(0.99)} AS p99, min({value}) AS least, max({value}) AS greatest, round(avg({value}), 9) AS mean, count({value}) AS n FROM {src} WHERE {value} IS NOT NULL {'GROUP BY ' + by if by else ''}"
@@ -46,9 +52,7 @@ def _(spark, d):
   avg(duration_ms) FILTER (ts >= last - INTERVAL 15 DAY) AS a, avg(duration_ms) FILTER (ts < last - INTERVAL 15 DAY) AS b FROM usage, span GROUP BY tool)
 SELECT tool, current, previous, round((current - previous) / nullif(previous, 0), 6) AS request_change, round((a - b) / nullif(b, 0), 6) AS latency_change FROM c""")
 def _(spark, d):
-    rows = usage(spark, d)
-    cut = rows.agg(F.max("ts").alias("last")).first()["last"]
-    return u.trend(rows, "tool", F.lit(cut).cast("timestamp_ntz") - F.expr("INTERVAL 15 DAYS"))
+    return u.trend(with_last(usage(spark, d)), "tool", F.col("last") - F.expr("INTERVAL 15 DAYS"))
 
 
 for unit in ("hour", "day", "week", "month"):
@@ -85,7 +89,7 @@ def _(spark, d):
 
 @query("a9_percentiles_by_tool", f"{U} {floor_sql('tool', 'duration_ms')}")
 def _(spark, d):
-    return u.floor_percentiles(usage(spark, d), ["tool"], "duration_ms")
+    return u.few_groups_percentiles(usage(spark, d), ["tool"], "duration_ms")
 
 
 @query("a10_domain_performance", f"{U}, p AS ({floor_sql('domain', 'duration_ms')}), m AS (SELECT domain, round(count_if(success) / count(*), 6) AS success_rate FROM usage GROUP BY domain), k AS (SELECT domain, tier, count(*) AS c FROM usage WHERE success GROUP BY domain, tier), b AS (SELECT domain, arg_max(tier, (c, tier)) AS modal_tier FROM k GROUP BY domain) SELECT p.*, m.success_rate, b.modal_tier FROM p JOIN m USING (domain) LEFT JOIN b USING (domain)")
@@ -111,7 +115,7 @@ for side, order in (("slowest", "DESC"), ("fastest", "ASC")):
 @query("a12_component_percentiles", f"""{U}, c AS (SELECT unnest([{{'component': 'cost', 'v': CAST(cost_units AS DOUBLE)}}, {{'component': 'total', 'v': duration_ms}}], recursive := true) FROM usage) {floor_sql('component', 'v', 'c')}""")
 def _(spark, d):
     rows = usage(spark, d).select(F.col("cost_units").cast("double").alias("cost"), F.col("duration_ms").alias("total")).unpivot([], ["cost", "total"], "component", "v")
-    return u.floor_percentiles(rows, ["component"], "v")
+    return u.few_groups_percentiles(rows, ["component"], "v")
 
 
 @query("a13_log_percentiles", f"{U} SELECT tool, quantile_disc(duration_ms, 0.5) AS p50, quantile_disc(duration_ms, 0.95) AS p95, quantile_disc(duration_ms, 0.99) AS p99, count(duration_ms) AS n FROM usage GROUP BY tool")
@@ -166,8 +170,6 @@ def _(spark, d):
 @query("a22_tier_analytics", f"{U}, s AS (SELECT tier, count(*) AS n, CAST(sum(cost_units) AS BIGINT) AS cost, round(avg(duration_ms), 6) AS mean FROM usage GROUP BY tier) SELECT tier, n, cost, mean, round(cost / coalesce(nullif(sum(cost) OVER (), 0), 1), 6) AS cost_share FROM s")
 def _(spark, d):
     s = usage(spark, d).groupBy("tier").agg(F.count("*").alias("n"), F.sum("cost_units").alias("cost"), F.round(F.avg("duration_ms"), 6).alias("mean"))
-    from pyspark.sql import Window
-
     total = F.coalesce(F.nullif(F.sum("cost").over(Window.partitionBy()), F.lit(0)), F.lit(1))
     return s.withColumn("cost_share", F.round(F.col("cost") / total, 6))
 
@@ -229,18 +231,14 @@ def _(spark, d):
 
 @query("a40_learning_trend", SPAN + "SELECT tool, count(*) AS n, round(count(*) / 168.0, 6) AS per_hour FROM usage, span WHERE ts > last - INTERVAL 7 DAY GROUP BY tool")
 def _(spark, d):
-    rows = usage(spark, d)
-    last = rows.agg(F.max("ts").alias("t")).first()["t"]
-    recent = rows.where(F.col("ts") > F.lit(last).cast("timestamp_ntz") - F.expr("INTERVAL 7 DAYS"))
+    recent = with_last(usage(spark, d)).where(F.col("ts") > F.col("last") - F.expr("INTERVAL 7 DAYS"))
     return recent.groupBy("tool").agg(F.count("*").alias("n"), F.round(F.count("*") / 168.0, 6).alias("per_hour"))
 
 
 @query("a48_failure_patterns", SPAN + "SELECT domain, arg_max(tool, (ts, id)) AS last_tool, count(*) AS failures, count_if(ts > last - INTERVAL 1 HOUR) AS recent, count_if(ts > last - INTERVAL 1 HOUR) >= 3 AS back_off FROM usage, span WHERE NOT success GROUP BY domain")
 def _(spark, d):
-    rows = usage(spark, d)
-    last = rows.agg(F.max("ts").alias("t")).first()["t"]
-    late = F.count_if(F.col("ts") > F.lit(last).cast("timestamp_ntz") - F.expr("INTERVAL 1 HOUR"))
-    return rows.where(~F.col("success")).groupBy("domain").agg(F.max_by("tool", F.struct("ts", "id")).alias("last_tool"), F.count("*").alias("failures"), late.alias("recent"), (late >= 3).alias("back_off"))
+    late = F.count_if(F.col("ts") > F.col("last") - F.expr("INTERVAL 1 HOUR"))
+    return with_last(usage(spark, d)).where(~F.col("success")).groupBy("domain").agg(F.max_by("tool", F.struct("ts", "id")).alias("last_tool"), F.count("*").alias("failures"), late.alias("recent"), (late >= 3).alias("back_off"))
 
 
 @query("a51_group_sizes", "WITH g AS (SELECT l_suppkey, count(DISTINCT l_partkey) AS n FROM lineitem GROUP BY 1) SELECT count(*) AS groups, max(n) AS largest, round(avg(n), 6) AS mean FROM g")
@@ -282,8 +280,8 @@ def _(spark, d):
 def _(spark, d):
     rows = usage(spark, d)
     t = rows.groupBy("domain").agg(F.max("ts").alias("seen"), (F.count_if(F.col("tool") == "purchase") > 0).alias("sharing"))
-    last = rows.agg(F.max("ts").alias("t")).first()["t"]
-    return t.agg(F.count_if(F.col("seen") > F.lit(last).cast("timestamp_ntz") - F.expr("INTERVAL 7 DAYS")).alias("active"), F.count_if("sharing").alias("sharing"), F.count("*").alias("tenants"))
+    t = t.join(F.broadcast(t.agg(F.max("seen").alias("last"))))
+    return t.agg(F.count_if(F.col("seen") > F.col("last") - F.expr("INTERVAL 7 DAYS")).alias("active"), F.count_if("sharing").alias("sharing"), F.count("*").alias("tenants"))
 
 
 @query("a64_accuracy", f"{U} SELECT tool, round(count_if(success) / count(*), 6) AS rate, round(avg(abs(duration_ms - 50)), 6) AS error FROM usage GROUP BY tool")
@@ -341,8 +339,6 @@ def _(spark, d):
 
 @query("w12_hourly_pattern", f"{U}, g AS (SELECT domain, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY domain ORDER BY ts, id)) / 3.6e9 AS gap FROM usage), m AS (SELECT domain, gap, avg(gap) OVER (PARTITION BY domain) AS mean FROM g WHERE gap IS NOT NULL) SELECT domain, round(any_value(mean), 6) AS mean_h, round(count_if(abs(gap - mean) <= 0.2 * mean) / count(*), 6) AS share, any_value(mean) BETWEEN 0.5 AND 12 AS hourly FROM m GROUP BY domain")
 def _(spark, d):
-    from pyspark.sql import Window
-
     g = ordered.intervals(usage(spark, d), ["domain"], "ts", "id").where("gap is not null").withColumn("gap", F.col("gap") / 3600)
     m = g.withColumn("mean", F.avg("gap").over(Window.partitionBy("domain")))
     return m.groupBy("domain").agg(F.round(F.max("mean"), 6).alias("mean_h"), F.round(F.count_if(F.abs(F.col("gap") - F.col("mean")) <= 0.2 * F.col("mean")) / F.count("*"), 6).alias("share"), F.max("mean").between(0.5, 12).alias("hourly"))
@@ -362,8 +358,6 @@ def _(spark, d):
 
 @query("w15_rollback", f"{U}, s AS (SELECT domain, tool, avg(CAST(success AS INT)) AS rate, count(*) AS uses FROM usage GROUP BY domain, tool), w AS (SELECT *, max(rate) OVER (PARTITION BY domain) AS best, count(*) OVER (PARTITION BY domain) AS versions FROM s) SELECT domain, tool, round(best - rate, 6) AS loss FROM w WHERE best - rate > 0.2 AND uses >= 2 AND versions >= 2")
 def _(spark, d):
-    from pyspark.sql import Window
-
     s = usage(spark, d).groupBy("domain", "tool").agg(F.avg(F.col("success").cast("int")).alias("rate"), F.count("*").alias("uses"))
     w = Window.partitionBy("domain")
     s = s.withColumn("best", F.max("rate").over(w)).withColumn("versions", F.count("*").over(w))
@@ -384,5 +378,9 @@ def _(spark, d):
 @query("z8_evict_least_recent", f"{U}, s AS (SELECT domain, max(ts) AS seen FROM usage GROUP BY domain), r AS (SELECT domain, row_number() OVER (ORDER BY seen, domain) AS k, count(*) OVER () AS n FROM s) SELECT domain FROM r WHERE k <= floor(n * 0.1)")
 def _(spark, d):
     s = usage(spark, d).groupBy("domain").agg(F.max("ts").alias("seen"))
-    n = s.count()
-    return s.orderBy("seen", "domain").limit(int(n * 0.1)).select("domain")
+    # the place among all without one task for all: counts by day, then places within the day that holds the cut
+    days = s.groupBy(F.to_date("seen").alias("day")).agg(F.count("*").alias("n"))
+    upto = days.withColumn("before", F.sum("n").over(Window.orderBy("day")) - F.col("n")).withColumn("most", F.floor(F.sum("n").over(Window.partitionBy()) * 0.1))
+    placed = s.withColumn("day", F.to_date("seen")).join(upto.where("before < most"), "day")
+    place = F.col("before") + F.row_number().over(Window.partitionBy("day").orderBy("seen", "domain"))
+    return placed.withColumn("place", place).where("place <= most").select("domain")

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import rules as r
+from sparkloom.operators import change
 from sparkloom.plans.registry import query
 from sparkloom.tables import USAGE_SQL, load, usage
 
@@ -107,11 +108,11 @@ def _(s, d):
 @query("x39_text_change", """WITH p AS (SELECT doc_id, md5(text) AS h, length(text) AS n, len(string_split(text, chr(10))) AS lines, lag(doc_id) OVER w AS old, lag(md5(text)) OVER w AS b, lag(length(text)) OVER w AS m, lag(len(string_split(text, chr(10)))) OVER w AS k FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id))
 SELECT doc_id, CASE WHEN h = b THEN 'none' WHEN lines <> k THEN 'high' WHEN abs(n - m) / m > 0.2 THEN 'high' WHEN abs(n - m) / m > 0.05 THEN 'medium' ELSE 'low' END AS significance FROM p WHERE m > 0""")
 def _(s, d):
-    # hashes and lengths alone meet in the windows, not the texts
-    short = load(s, d, "documents").select("doc_id", "source", F.md5("text").alias("h"), F.length("text").alias("n"), F.size(F.split("text", "\n")).alias("lines"))
-    w = Window.partitionBy("source").orderBy("doc_id")
-    rows = short.withColumns({c: F.lag(x).over(w) for c, x in (("b", "h"), ("m", "n"), ("k", "lines"))}).where("m > 0")
-    return rows.select("doc_id", r.text_change(F.col("h") == F.col("b"), F.col("lines") == F.col("k"), F.col("m"), F.col("n")).alias("significance"))
+    # hashes and lengths alone meet, not the texts
+    short = load(s, d, "documents").select("doc_id", "source", F.struct(F.md5("text").alias("h"), F.length("text").alias("n"), F.size(F.split("text", "\n")).alias("lines")).alias("x"))
+    rows = change.against_previous(short, ["source"], ["doc_id"], K("x")).where("before.n > 0")
+    now, old = (lambda c: K(f"value.{c}")), (lambda c: K(f"before.{c}"))
+    return rows.select("doc_id", r.text_change(now("h") == old("h"), now("lines") == old("lines"), old("n"), now("n")).alias("significance"))
 
 
 @query("x40_change_weight", f"SELECT item_id, CASE WHEN regexp_matches(lower(text), '{'|'.join(r.HIGH_WORDS)}') THEN 'high' WHEN regexp_matches(lower(text), '{'|'.join(r.MEDIUM_WORDS)}') THEN 'medium' ELSE 'low' END AS weight FROM (SELECT item_id, text || CASE item_id % 3 WHEN 0 THEN ' A Fee of 3' WHEN 1 THEN ' an option' ELSE '' END AS text FROM benchmark)")
@@ -189,5 +190,4 @@ def _(s, d):
 @query("d8_changed_ignoring_space", "WITH p AS (SELECT doc_id, md5(lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))) AS h, lag(md5(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))))) OVER (PARTITION BY source ORDER BY doc_id) AS b FROM documents) SELECT doc_id, h <> b AS changed FROM p WHERE b IS NOT NULL")
 def _(s, d):
     short = load(s, d, "documents").select("doc_id", "source", F.md5(F.lower(F.trim(F.regexp_replace("text", r"\s+", " ")))).alias("h"))
-    rows = short.withColumn("b", F.lag("h").over(Window.partitionBy("source").orderBy("doc_id"))).where("b is not null")
-    return rows.select("doc_id", (K("h") != K("b")).alias("changed"))
+    return change.against_previous(short, ["source"], ["doc_id"], K("h")).where("before is not null").select("doc_id", "changed")
