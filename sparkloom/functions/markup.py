@@ -177,6 +177,39 @@ def link_header(header: Column, base: Column) -> Column:
     return kept(F.flatten(F.transform(parts, each)))
 
 
+def tables(html: Column) -> Column:
+    """Array of (caption, id, headers, rows) of tables that hold no other table; a first row of header cells alone gives the headers."""
+    found = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"(?is)<table\b[^>]*>(?:(?!<table\b).)*?</table\s*>"), F.lit(0))
+    cells = lambda row, kind: F.transform(F.regexp_extract_all(row, F.lit(rf"(?is)<{kind}\b[^>]*>(.*?)(?=<t[hdr]\b|</t[hdr]\b|</t(?:able|body|head|foot)\b|\Z)"), F.lit(1)), plain)
+
+    def table(t: Column) -> Column:
+        rows = F.regexp_extract_all(t, F.lit(r"(?is)<tr\b[^>]*>(.*?)(?=<tr\b|</tr\b|</table\b|\Z)"), F.lit(1))
+        full = F.filter(rows, lambda r: F.size(cells(r, "t[hd]")) > 0)
+        first = F.try_element_at(full, F.lit(1))
+        headed = F.coalesce((F.size(cells(first, "th")) > 0) & (F.size(cells(first, "td")) == 0), F.lit(False))
+        return F.struct(
+            plain(F.regexp_extract(t, r"(?is)<caption\b[^>]*>(.*?)</caption", 1)).alias("caption"),
+            attribute(F.regexp_extract(t, r"(?s)^<[^>]*>", 0), "id").alias("id"),
+            F.when(headed, cells(first, "th")).otherwise(F.array().cast("array<string>")).alias("headers"),
+            F.transform(F.when(headed, F.slice(full, 2, 1_000_000)).otherwise(full), lambda r: cells(r, "t[hd]")).alias("rows"),
+        )
+
+    return F.transform(found, table)
+
+
+def records(table: Column) -> Column:
+    """A table's rows as maps from header to cell; columns without header are named by their number from 1."""
+    name = lambda i: F.coalesce(F.nullif(F.get(table["headers"], i), F.lit("")), F.concat(F.lit("column"), (i + 1).cast("string")))
+    return F.transform(table["rows"], lambda row: F.map_from_entries(F.transform(row, lambda cell, i: F.struct(name(i), cell))))
+
+
+def table_with(found: Column, words: str) -> Column:
+    """The first table whose caption, id or a header contains some words, whatever their case, or null."""
+    low = words.lower()
+    near = lambda x: F.contains(F.lower(F.coalesce(x, F.lit(""))), F.lit(low))
+    return F.try_element_at(F.filter(found, lambda t: near(t["caption"]) | near(t["id"]) | F.exists(t["headers"], near)), F.lit(1))
+
+
 # ---- JSON
 
 

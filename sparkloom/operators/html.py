@@ -20,6 +20,14 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 LINK_KINDS = {"next": "pagination", "prev": "pagination", "alternate": "alternate", "canonical": "canonical", "search": "search", "help": "documentation", "describedby": "documentation", "service-doc": "documentation", "service-desc": "api"}
 
 
+def joined(base: str, href: str) -> str:
+    """A link on a page as an absolute URL, or as it is where that cannot be built."""
+    try:
+        return urljoin(base, href)
+    except ValueError:
+        return href
+
+
 class Page(HTMLParser):
     """What one page holds: metadata, link elements, anchors, tables, headings and JSON-LD."""
 
@@ -38,11 +46,11 @@ class Page(HTMLParser):
         elif tag == "meta" and a.get("content") and (name := a.get("property") or a.get("name") or a.get("http-equiv")):
             self.meta.append((name.lower(), a["content"]))
         elif tag == "link" and a.get("href"):
-            self.rels += [(r, urljoin(self.url, a["href"]), a.get("type", ""), LINK_KINDS.get(r, "other")) for r in a.get("rel", "").lower().split()]
+            self.rels += [(r, joined(self.url, a["href"]), a.get("type", ""), LINK_KINDS.get(r, "other")) for r in a.get("rel", "").lower().split()]
         elif tag == "script" and a.get("type", "").lower() == "application/ld+json":
             self._raw = []
         elif tag == "a" and a.get("href"):
-            self._text.append(["a", [], urljoin(self.url, a["href"])])
+            self._text.append(["a", [], joined(self.url, a["href"])])
         elif tag in ("title", "h1", "h2", "h3"):
             self._text.append([tag, [], None])
         elif tag == "table":
@@ -103,10 +111,13 @@ class Page(HTMLParser):
     def _read_json(self, text):
         try:
             found = json.loads(text)
-        except ValueError:
+        except (ValueError, RecursionError):
             return
         for item in found if isinstance(found, list) else [found]:
-            for node in item.get("@graph", [item]) if isinstance(item, dict) else []:
+            nodes = item.get("@graph", [item]) if isinstance(item, dict) else []
+            for node in nodes if isinstance(nodes, list) else [nodes]:
+                if not isinstance(node, dict):
+                    continue
                 kind = node.get("@type", "") if isinstance(node, dict) else ""
                 self.json_ld.append((kind if isinstance(kind, str) else ",".join(map(str, kind)), json.dumps(node, ensure_ascii=False, sort_keys=True)))
 
@@ -119,8 +130,12 @@ class Page(HTMLParser):
 
 def parsed(html: str | None, url: str | None) -> Page:
     page = Page(url or "")
-    page.feed(html or "")
-    page.close()
+    try:
+        page.feed(html or "")
+        page.close()
+    except AssertionError:
+        # the parser gives up on some declarations: what stands before them counts
+        pass
     for t in list(page._text):
         page._close(t)
     while page._open:

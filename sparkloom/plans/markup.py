@@ -211,3 +211,41 @@ ROBOTS = "User-agent: bot\nDisallow: /graphql\n\nUser-agent: *\nDisallow: /api/{
 @query("h49_robots_hints", "SELECT c_custkey AS id, '/api/' || c_custkey AS path, 'api-path' AS type, 0.54::DOUBLE AS score FROM customer UNION ALL SELECT c_custkey, '/docs', 'documentation', 0.5 FROM customer UNION ALL SELECT c_custkey, '/v' || c_custkey || '/', 'api-path', 0.6 FROM customer")
 def _(s, d):
     return documents(s, d, ROBOTS).select("id", F.explode(m.robots_hints(F.col("doc"))).alias("x")).select("id", "x.*")
+
+
+# ---- tables: a page an order, with a table of its lines between two others
+
+
+def invoices(s, d):
+    line = F.concat(F.lit("<tr><td>"), F.col("l_linenumber").cast("string"), F.lit("<td> "), F.lit("<b>p"), F.col("l_partkey").cast("string"), F.lit("</b> &amp; co</td></tr>"))
+    rows = load(s, d, "lineitem").where("l_orderkey % 4 = 0").groupBy(F.col("l_orderkey").alias("id")).agg(F.array_join(F.array_sort(F.collect_list(line)), "").alias("x"))
+    page = F.concat(F.lit("<table><tr><td>a<td>b</table><TABLE id=lines><caption>Lines <i>of it</i></caption><thead><tr><th>No</th><th>Part</th></tr></thead><tbody>"), F.col("x"), F.lit("</tbody></table><table><tr><th>x</th><td>y</td></tr></table>"))
+    return rows.select("id", page.alias("html"))
+
+
+LINES = "FROM lineitem WHERE l_orderkey % 4 = 0"
+
+
+@query("h5_order_tables", f"WITH n AS (SELECT l_orderkey AS id, count(*) AS n {LINES} GROUP BY 1) SELECT id, CAST(0 AS INTEGER) AS place, '' AS caption, CAST(NULL AS VARCHAR) AS name, '' AS headers, CAST(1 AS INTEGER) AS rows FROM n UNION ALL SELECT id, 1, 'Lines of it', 'lines', 'No|Part', CAST(n AS INTEGER) FROM n UNION ALL SELECT id, 2, '', NULL, '', 1 FROM n")
+def _(s, d):
+    found = invoices(s, d).select("id", F.posexplode(m.tables(F.col("html"))).alias("place", "t"))
+    return found.select("id", "place", "t.caption", F.col("t.id").alias("name"), F.array_join("t.headers", "|").alias("headers"), F.size("t.rows").alias("rows"))
+
+
+@query("h6_order_records", f"SELECT l_orderkey AS id, '{{\"No\":\"' || l_linenumber || '\",\"Part\":\"p' || l_partkey || ' & co\"}}' AS record {LINES}")
+def _(s, d):
+    second = F.get(m.tables(F.col("html")), F.lit(1))
+    return invoices(s, d).select("id", F.explode(m.records(second)).alias("r")).select("id", F.to_json("r").alias("record"))
+
+
+@query("h7_found_table", f"SELECT l_orderkey AS id, list_sort(list('p' || l_partkey || ' & co')) AS parts {LINES} GROUP BY 1")
+def _(s, d):
+    found = m.table_with(m.tables(F.col("html")), "PART")
+    return invoices(s, d).select("id", F.array_sort(F.transform(found["rows"], lambda r: F.get(r, F.lit(1)))).alias("parts"))
+
+
+@query("h1_extracted", f"SELECT p_partkey AS id, {TITLE} AS title, 'no The ' || p_name || ' top mail o' AS text, CAST(4 AS INTEGER) AS links FROM part WHERE p_partkey % 3 = 2")
+def _(s, d):
+    html = F.col("html")
+    body = m.plain(F.regexp_replace(F.regexp_extract(html, r"(?is)<body\b[^>]*>(.*)", 1), r"(?is)<(script|style|nav|footer|aside|noscript)\b.*?</\1\s*>", " "))
+    return shop(s, d).where("id % 3 = 2").select("id", m.title(html).alias("title"), body.alias("text"), F.size(F.regexp_extract_all(html, F.lit("(?i)<a\\s"), F.lit(0))).alias("links"))

@@ -141,3 +141,14 @@ def test_markup_of_odd_pages(spark):
     rows = spark.createDataFrame([(i, h) for i, (h, _) in enumerate(pages)], "id int, html string")
     got = rows.select("id", m.article(F.col("html")).alias("a"), m.anchors(F.col("html"), F.lit("http://x/")).alias("l"), m.product(F.col("html")).alias("p"), m.organisation(F.col("html")).alias("o")).orderBy("id").collect()
     assert [(r.a.headline, r.a.author) for r in got] == [w for _, w in pages]
+
+
+def test_no_page_stops_a_job():
+    import random
+
+    from sparkloom.operators import html
+
+    rng = random.Random(3)
+    pieces = ["<", ">", "<![foo[", "<!-- ", "-->", "<a href='http://[x'>", "<table>", "<tr>", "<td>", "</table>", '<script type="application/ld+json">', '{"@graph": null}', '{"@graph": [1, null]}', "[[", '{"a":' * 2000, "</script>", "<p itemprop=x>", "&#x;", "<link rel=next href='//['>", "text", "\x00"]
+    for _ in range(400):
+        html.parsed("".join(rng.choice(pieces) for _ in range(rng.randint(0, 25))), rng.choice(["http://a.b/c", "http://[", None]))
