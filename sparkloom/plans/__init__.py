@@ -1,3 +1,3 @@
 """Named queries; importing the package fills the registry."""
 
-from sparkloom.plans import analytics, documents, markup, relations, reports, rules, scalars  # noqa: F401
+from sparkloom.plans import analytics, documents, lookups, markup, relations, reports, rules, scalars  # noqa: F401
