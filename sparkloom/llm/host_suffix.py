@@ -318,14 +318,20 @@ def sketches(owner: np.ndarray, names: np.ndarray, n: int) -> np.ndarray:
 
 def near_copies(runs: DataFrame) -> DataFrame:
     """(host, stream, kin): streams that are near copies of others, with the smallest of them."""
-    drawn = runs.where("sketch is not null").select("host", "stream", "sketch").dropDuplicates(["stream"])
+    drawn = runs.where("sketch is not null").select("host", "stream", "sketch")
     bands = F.array(*[F.xxhash64(F.lit(b), F.slice("sketch", b * BAND + 1, BAND)) for b in range(SKETCH // BAND)])
-    banded = drawn.select("stream", "sketch", F.explode(bands).alias("band"))
-    heads = banded.groupBy("band").agg(F.min(F.struct("stream", "sketch")).alias("head"), F.count("*").alias("n")).where("n > 1")
-    equal = F.size(F.filter(F.arrays_zip(F.col("sketch").alias("x"), F.col("head.sketch").alias("y")), lambda z: z["x"] == z["y"]))
-    edges = banded.join(heads, "band").where((F.col("stream") != F.col("head.stream")) & (equal >= NEAR)).select(F.col("stream").alias("a"), F.col("head.stream").alias("b"))
+    # names alone meet in the bands; sketches are read again for those that met
+    banded = drawn.select("stream", F.explode(bands).alias("band"))
+    heads = banded.groupBy("band").agg(F.min("stream").alias("head"), F.max("stream").alias("top")).where("head < top").select("band", "head")
+    met = checkpointed(banded.join(heads, "band").where("stream <> head").select("stream", "head").distinct())
+    ids = met.select("stream").unionAll(met.select("head")).distinct()
+    known = checkpointed(drawn.join(ids, "stream", "left_semi").groupBy("stream").agg(F.first("host").alias("host"), F.first("sketch").alias("sketch")))
+    one = known.select("stream", F.col("sketch").alias("x"))
+    other = known.select(F.col("stream").alias("head"), F.col("sketch").alias("y"))
+    equal = F.size(F.filter(F.arrays_zip("x", "y"), lambda z: z["x"] == z["y"]))
+    edges = met.join(one, "stream").join(other, "head").where(equal >= NEAR).select(F.col("stream").alias("a"), F.col("head").alias("b"))
     kin = components(edges, loops=False).select(F.col("node").alias("stream"), F.col("component").alias("kin"))
-    named = drawn.select("host", F.col("stream").alias("named"))
+    named = known.select("host", F.col("stream").alias("named"))
     return checkpointed(kin.join(named, F.col("stream") == F.col("named")).select("host", "stream", "kin"))
 
 
