@@ -30,8 +30,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data replaced by its kind, and words that disclose it generalised or removed."""
-    found = pii.find(docs)
-    clean = pii.sanitised(F.col("text"), pii.in_order(F.concat("base", "added")))
+    found = pii.find(docs, base="__base_spans", added="__added_spans")
+    clean = pii.sanitised(F.col("text"), pii.in_order(F.concat("__base_spans", "__added_spans")))
     found = found.withColumn("text", clean)
     if "n_chars" in docs.columns:
         found = found.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
