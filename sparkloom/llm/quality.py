@@ -3,10 +3,11 @@
 A text's n-grams are those of its characters (word ends marked, case kept), those of its character
 classes with equal neighbours as one, and runs of words equal to the word before. Each n-gram counts
 once a text, scaled by the log of its smoothed share in good over that in other labelled texts; the
-scaled vector has length 1. Hinge loss is minimised by dual coordinate descent: every task takes
+scaled values of each of the three kinds have length 1 together. Hinge loss is minimised by dual coordinate descent: every task takes
 turns over the rows of its own block and its change of the weights is added to that of the others,
 with steps shortened for the number of blocks, so rows never leave their tasks. Margins become
-scores by a logistic curve, fitted on a fifth of the sample that the weights have not seen.
+scores by a logistic curve, fitted on margins of rows by weights that have not seen them: in the same
+turns, one more set of weights is found for each fold of the sample, from the rows of the other folds.
 
 It is fitted on at most `most_rows` labelled rows a class, those with the smallest hashes of their
 ids. A row is a set of at most WIDE buckets however long its text; the driver holds one number a row
@@ -38,9 +39,10 @@ from sparkloom.llm.shingles import word_hashes
 #: Buckets of character n-grams and of n-grams of classes, and three for repeated words.
 CHARS, CHAR_SIZES = 18, (1, 2, 3, 4)
 SHAPES, SHAPE_SIZES = 14, (1, 2, 3, 4, 5)
-WIDE = (1 << CHARS) + (1 << SHAPES) + 3
-#: Labelled rows of each class that the model is fitted on at most; blocks they are dealt over.
-MOST_ROWS, BLOCKS = 12_000, 8
+EDGES = np.cumsum([0, 1 << CHARS, 1 << SHAPES, 3])
+WIDE = int(EDGES[-1])
+#: Labelled rows of each class that the model is fitted on at most; blocks they are dealt over; folds for the curve.
+MOST_ROWS, BLOCKS, FOLDS = 12_000, 8, 3
 LOWER, UPPER, DIGIT, OTHER, INNER = 1, 2, 3, 4, 5
 #: Code points handled together.
 AT_ONCE = 1_000_000
@@ -142,7 +144,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, most_rows: int) -> Da
 
 
 def vectorised(rows: DataFrame, blocks: int) -> DataFrame:
-    """(doc_id, y, weight, fitted, at): the sampled rows as sets of buckets, each block in one partition; a fifth of them is not fitted on."""
+    """(doc_id, y, weight, fold, at): the sampled rows as sets of buckets, each block in one partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches):
@@ -152,63 +154,70 @@ def vectorised(rows: DataFrame, blocks: int) -> DataFrame:
     kind = rows.schema["doc_id"].dataType.simpleString()
     found = rows.mapInArrow(run, f"doc_id {kind}, y int, weight double, at array<int>")
     by_hash = F.xxhash64("doc_id", F.lit(17))
-    found = found.withColumn("fitted", F.pmod(by_hash, F.lit(5)) != 0)
+    found = found.withColumn("fold", F.pmod(by_hash, F.lit(FOLDS)).cast("int"))
     return checkpointed(found.repartition(blocks, F.pmod(F.shiftright(by_hash, 8), F.lit(blocks))).sortWithinPartitions("doc_id", "at"))
 
 
 def ratios(rows: DataFrame) -> np.ndarray:
-    """Log-count ratio of every bucket, and with it the buckets of other texts, from the rows that are fitted on."""
+    """Log-count ratio of every bucket: a line for the rows of all folds but each, and a last one for all rows."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((2, WIDE), np.int64)
+        sums = np.zeros((2 * FOLDS, WIDE), np.int64)
         for batch in batches:
-            at, y = column(batch, "at"), column(batch, "y").to_numpy()
-            owner = np.repeat(y, at.value_lengths().to_numpy())
+            at = column(batch, "at")
+            group = 2 * column(batch, "fold").to_numpy() + column(batch, "y").to_numpy()
+            owner = np.repeat(group, at.value_lengths().to_numpy())
             flat = at.flatten().to_numpy()
-            for k in (0, 1):
+            for k in range(2 * FOLDS):
                 sums[k] += np.bincount(flat[owner == k], minlength=WIDE)
-        some = np.flatnonzero(sums.any(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(x[some]) for x in sums)], ["bucket", "bad", "good"])
-
-    got = rows.where("fitted").select("y", "at").mapInArrow(count, "bucket long, bad long, good long").groupBy("bucket").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).toArrow()
-    sums = np.ones((2, WIDE))
-    for k, name in enumerate(("bad", "good")):
-        sums[k, got["bucket"].to_numpy()] += got[name].to_numpy()
+        group, some = np.nonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(group), pa.array(some), pa.array(sums[group, some])], ["group", "bucket", "n"])
+
+    got = rows.select("y", "fold", "at").mapInArrow(count, "group long, bucket long, n long").groupBy("group", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros((FOLDS, 2, WIDE))
+    counts[got["group"].to_numpy() // 2, got["group"].to_numpy() % 2, got["bucket"].to_numpy()] = got["n"].to_numpy()
+    bad, good = np.moveaxis(counts.sum(axis=0) - np.concatenate([counts, np.zeros((1, 2, WIDE))]), 1, 0)
+    share = lambda n: np.log((n + 1) / (n + 1).sum(axis=1, keepdims=True))
     # in one of the labelled texts alone, an n-gram is no evidence
-    rare = sums.sum(axis=0) < 2 + 2
-    out = np.log(sums[1] / sums[1].sum()) - np.log(sums[0] / sums[0].sum())
-    out[rare] = 0
-    return out
+    return np.where(bad + good < 2, 0.0, share(good) - share(bad))
 
 
-def read_rows(batches: Iterator[pa.RecordBatch], ratio: np.ndarray) -> list[tuple]:
-    """(id, y, fitted, buckets, scaled values) of a partition's rows, in order; a last place stands for the bias."""
+def read_rows(batches: Iterator[pa.RecordBatch]) -> list[tuple]:
+    """(id, y as -1 or 1, fold, buckets) of a partition's rows, in order."""
     out = []
     for batch in batches:
-        for i, y, fitted, at in zip(column(batch, "doc_id").to_pylist(), column(batch, "y").to_pylist(), column(batch, "fitted").to_pylist(), column(batch, "at")):
-            at = at.values.to_numpy() if at.is_valid else np.zeros(0, np.int32)
-            at = at[ratio[at] != 0]
-            value = ratio[at]
-            out.append((i, 2 * y - 1, fitted, at, value / max(1e-12, float(np.sqrt(value @ value)))))
+        for i, y, k, at in zip(column(batch, "doc_id").to_pylist(), column(batch, "y").to_pylist(), column(batch, "fold").to_pylist(), column(batch, "at")):
+            out.append((i, 2 * y - 1, k, at.values.to_numpy() if at.is_valid else np.zeros(0, np.int32)))
     return out
 
 
+def scaled(at: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A text's buckets of some weight, and their scaled values."""
+    at = at[ratio[at] != 0]
+    return at, ratio[at] / lengths(ratio[at] ** 2, at)
+
+
+def lengths(squares: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For each of a text's buckets the length of the values of its kind."""
+    bounds = np.searchsorted(at, EDGES)
+    sums = np.diff(np.concatenate([[0.0], np.cumsum(squares)])[bounds])
+    return np.repeat(np.sqrt(np.maximum(sums, 1e-12)), np.diff(bounds))
+
+
 def descend(rows: list[tuple], w: np.ndarray, alpha: np.ndarray, cost: tuple[float, float], blocks: int, turns: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """A block's new dual variables, and its own change of the weights, by turns of coordinate descent.
+    """A block's new dual variables, and its own change of the weights, by turns of coordinate descent over (y, buckets, values).
 
     Each step is the exact minimum of a row's part of the dual with its square term times the number
-    of blocks, which keeps the sum of all blocks' changes from overshooting.
+    of blocks, which keeps the sum of all blocks' changes from overshooting. The last weight is the bias.
     """
     local, own = w.copy(), np.zeros_like(w)
     alpha = alpha.copy()
     draw = np.random.default_rng(seed)
     for _ in range(turns):
         for i in draw.permutation(len(rows)):
-            _, y, fitted, at, value = rows[i]
-            if not fitted:
-                continue
+            y, at, value = rows[i]
             slack = 1 - y * (float(local[at] @ value) + local[-1])
-            new = min(max(alpha[i] + slack / (2.0 * blocks), 0.0), cost[y > 0])
+            new = min(max(alpha[i] + slack / ((float(value @ value) + 1) * blocks), 0.0), cost[y > 0])
             step = (new - alpha[i]) * y
             if step:
                 alpha[i] = new
@@ -219,52 +228,53 @@ def descend(rows: list[tuple], w: np.ndarray, alpha: np.ndarray, cost: tuple[flo
     return alpha, own
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most_rows: int = MOST_ROWS, blocks: int = BLOCKS, cost: float = 1.0, rounds: int = 8, turns: int = 3) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most_rows: int = MOST_ROWS, blocks: int = BLOCKS, cost: float = 1.0, rounds: int = 8, turns: int = 2) -> Model:
     """The model from (doc_id, text) rows and (doc_id, label) rows."""
     rows = vectorised(sample(docs, labels, label, most_rows), blocks)
-    seen = {r.y: (r.rows, r.part) for r in rows.where("fitted").groupBy("y").agg(F.count("*").alias("rows"), F.sum("weight").alias("part")).collect()}
-    if len(seen) < 2:
-        return Model(np.zeros(WIDE), np.zeros(WIDE), 0.0, 0.0, 50.0 if 1 in seen else -50.0)
-    ratio = ratios(rows)
+    seen = {(r.fold, r.y): r.n for r in rows.groupBy("fold", "y").agg(F.count("*").alias("n")).collect()}
+    total = [sum(n for (_, y), n in seen.items() if y == k) for k in (0, 1)]
+    if not all(total):
+        return Model(np.zeros(WIDE), np.zeros(WIDE), 0.0, 0.0, 50.0 if total[1] else -50.0)
     # both classes weigh alike
-    costs = tuple(cost * (seen[0][0] + seen[1][0]) / (2 * seen[y][0]) for y in (0, 1))
+    costs = tuple(cost * sum(total) / (2 * n) for n in total)
+    ratio, w, alphas = ratios(rows), np.zeros((FOLDS + 1, WIDE + 1)), {}
     sc = rows.sparkSession.sparkContext
-    w, alphas = np.zeros(WIDE + 1), {}
+    fixed = sc.broadcast(ratio)
     for turn in range(rounds):
-        shared = sc.broadcast((ratio, w, alphas))
+        shared = sc.broadcast((w, alphas))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, turn=turn) -> Iterator[pa.RecordBatch]:
-            ratio, w, alphas = shared.value
-            mine = read_rows(batches, ratio)
-            if mine:
+            w, alphas = shared.value
+            mine = read_rows(batches)
+            for k in range(FOLDS + 1) if mine else ():
+                fitted = [(y, *scaled(at, fixed.value[k])) for _, y, fold, at in mine if fold != k]
                 # a block is known by its first id, as a lost task may be run again elsewhere
-                name = str(mine[0][0])
-                alpha, own = descend(mine, w, alphas.get(name, np.zeros(len(mine))), costs, blocks, turns, turn)
+                name = f"{k}:{mine[0][0]}"
+                alpha, own = descend(fitted, w[k], alphas.get(name, np.zeros(len(fitted))), costs, blocks, turns, turn)
                 at = np.flatnonzero(own)
-                yield pa.RecordBatch.from_arrays([pa.array([name]), *(pa.array([x]) for x in (alpha, at, own[at]))], ["block", "alpha", "at", "own"])
+                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([name]), *(pa.array([x]) for x in (alpha, at, own[at]))], ["model", "block", "alpha", "at", "own"])
 
-        for part in rows.select("doc_id", "y", "fitted", "at").mapInArrow(run, "block string, alpha array<double>, at array<long>, own array<double>").orderBy("block").collect():
-            alphas[part.block] = np.array(part.alpha)
-            w[np.array(part.at, np.int64)] += part.own
+        for part in rows.select("doc_id", "y", "fold", "at").mapInArrow(run, "model long, block string, alpha array<double>, at array<long>, own array<double>").orderBy("block").toArrow().to_batches():
+            for k, block, alpha, at, own in zip(*(column(part, c) for c in ("model", "block", "alpha", "at", "own"))):
+                alphas[block.as_py()] = alpha.values.to_numpy()
+                w[k.as_py()][at.values.to_numpy()] += own.values.to_numpy()
         shared.unpersist()
-    weights = w[:-1] * ratio
-    slope, shift = curve(rows, Model(weights, ratio**2, float(w[-1]), 1.0, 0.0))
-    return Model(weights, ratio**2, float(w[-1]), slope, shift)
+    models = [Model(w[k][:-1] * ratio[k], ratio[k] ** 2, float(w[k][-1]), 1.0, 0.0) for k in range(FOLDS + 1)]
+    models[-1].slope, models[-1].shift = curve(rows, models[:-1])
+    return models[-1]
 
 
-def curve(rows: DataFrame, model: Model) -> tuple[float, float]:
-    """Slope and shift of the logistic curve from margins to labels, from the rows that were not fitted on, by Newton steps."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+def curve(rows: DataFrame, models: list[Model]) -> tuple[float, float]:
+    """Slope and shift of the logistic curve from the margin of each row, by the model that was fitted without its fold, to labels; by Newton steps."""
+    shared = rows.sparkSession.sparkContext.broadcast(models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            z = margins((x.values.to_numpy() if x.is_valid else np.zeros(0, np.int32) for x in column(batch, "at")), shared.value)
+            z = [margins([at], shared.value[k])[0] for _, _, k, at in read_rows([batch])]
             yield pa.RecordBatch.from_arrays([pa.array(z, pa.float64()), column(batch, "y"), column(batch, "weight")], ["z", "y", "weight"])
 
-    got = rows.where(~F.col("fitted")).select("y", "weight", "at").mapInArrow(run, "z double, y int, weight double").toArrow().sort_by([("z", "ascending"), ("y", "ascending")])
+    got = rows.select("doc_id", "y", "weight", "fold", "at").mapInArrow(run, "z double, y int, weight double").toArrow().sort_by([("z", "ascending"), ("y", "ascending")])
     z, y, weight = (got[c].to_numpy().astype(float) for c in ("z", "y", "weight"))
-    if len(np.unique(y)) < 2:
-        return 2.0, 0.0
     # labels a little inside 0 and 1, so that classes that do not overlap have a curve too
     n1, n0 = (weight * y).sum(), (weight * (1 - y)).sum()
     aim = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
@@ -281,7 +291,7 @@ def curve(rows: DataFrame, model: Model) -> tuple[float, float]:
 
 
 def margins(sets: Iterator[np.ndarray], model: Model) -> list[float]:
-    return [float(model.weights[at].sum()) / max(1e-12, float(np.sqrt(model.squares[at].sum()))) + model.bias for at in sets]
+    return [float((model.weights[at] / lengths(model.squares[at], at)).sum()) + model.bias for at in sets]
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score", keep: list[str] | None = None) -> DataFrame:

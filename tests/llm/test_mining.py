@@ -124,15 +124,14 @@ def test_descent_reaches_the_minimum():
     draw = np.random.default_rng(2)
     points = draw.normal(size=(60, 5))
     y = np.where(points[:, 0] + 0.3 * draw.normal(size=60) > 0, 1, -1)
-    ratio = np.zeros(quality.WIDE)
-    rows = [(i, int(y[i]), True, np.arange(5), points[i] / np.linalg.norm(points[i])) for i in range(60)]
+    rows = [(int(y[i]), np.arange(5), points[i] / np.linalg.norm(points[i])) for i in range(60)]
 
     def value(w):
-        z = np.array([w[at] @ x + w[-1] for _, _, _, at, x in rows])
+        z = np.array([w[at] @ x + w[-1] for _, at, x in rows])
         return 0.5 * w @ w + np.maximum(0, 1 - y * z).sum()
 
     def solve(blocks, rounds):
-        w, parts = np.zeros(len(ratio) + 1), [rows[k::blocks] for k in range(blocks)]
+        w, parts = np.zeros(6), [rows[k::blocks] for k in range(blocks)]
         alphas = [np.zeros(len(p)) for p in parts]
         for turn in range(rounds):
             done = [quality.descend(p, w, a, (1.0, 1.0), blocks, 5, turn) for p, a in zip(parts, alphas)]
