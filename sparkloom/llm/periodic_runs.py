@@ -112,7 +112,7 @@ def seeds(x: np.ndarray, text_of: np.ndarray, longest: int) -> Iterator[tuple[in
     for j in range(1, k):
         name = mixed(name * _STEP + value[j : j + len(name)])
     alive = np.arange(len(name))
-    while low <= longest // TIMES:
+    while low <= longest // TIMES and len(alive):
         names = name[alive]
         order = np.argsort(names, kind="stable")
         names = names[order]
