@@ -9,6 +9,7 @@ from sparkloom.llm.langid import op4_language_id
 from sparkloom.llm.mixing import op9_mixing
 from sparkloom.llm.one_bit_search import OP6_SQL, op6_one_bit_search
 from sparkloom.llm.periodic_runs import op12_periodic_runs
+from sparkloom.llm.phrases import OP11_SQL, op11_phrases
 from sparkloom.llm.pii import op10_pii
 from sparkloom.llm.pq_dedup import OP7_SQL, op7_pq_dedup
 from sparkloom.llm.quality import op13_quality
@@ -26,8 +27,9 @@ QUERIES = {
     "op8_bpe_codec": op8_bpe_codec,
     "op9_mixing": op9_mixing,
     "op10_pii": op10_pii,
+    "op11_phrases": op11_phrases,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_quality": op13_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {"op6_one_bit_search": OP6_SQL, "op7_pq_dedup": OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_one_bit_search": OP6_SQL, "op7_pq_dedup": OP7_SQL, "op11_phrases": OP11_SQL}

@@ -4,12 +4,15 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
+import duckdb
+import numpy as np
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.llm import periodic_runs, quality, queries
+from sparkloom.llm import periodic_runs, phrases, quality, queries
 
 DATA = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -119,8 +122,6 @@ def test_quality_of_held_out_documents(spark):
 
 
 def test_descent_reaches_the_minimum():
-    import numpy as np
-
     draw = np.random.default_rng(2)
     points = draw.normal(size=(60, 5))
     y = np.where(points[:, 0] + 0.3 * draw.normal(size=60) > 0, 1, -1)
@@ -154,3 +155,91 @@ def test_quality_of_odd_tables(spark):
     none = quality.fit(docs.limit(0), labels)
     assert {r.score < 0.01 for r in quality.score(docs, none).collect()} == {True}
     assert quality.score(docs.limit(0), model).collect() == []
+
+
+def brute_phrases(rows, least, longest, most):
+    out, by_lang = [], {}
+    for lang, text in rows:
+        by_lang.setdefault("und" if lang is None else lang, []).append(text or "")
+    for lang, texts in by_lang.items():
+        f, n = Counter(), 0
+        for text in texts:
+            low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+            for piece in re.split(r"[.,;:!?\x0A-\x0D]", low):
+                w = re.findall(r"[^\x20\x09]+", piece)
+                n += len(w)
+                f.update(tuple(w[i : i + m]) for m in range(1, longest + 1) for i in range(len(w) - m + 1))
+        good = {p: a for p, a in f.items() if len(p) > 1 and a >= least}
+        inside = {}
+        for p, a in good.items():
+            for m in range(2, len(p)):
+                for i in range(len(p) - m + 1):
+                    inside[p[i : i + m]] = max(inside.get(p[i : i + m], 0), a)
+        mine = []
+        for p, a in good.items():
+            if inside.get(p, 0) < a:
+                score, _, l, r = min((1000 * a * n // (f[p[:k]] * f[p[k:]]), k, f[p[:k]], f[p[k:]]) for k in range(1, len(p)))
+                mine.append((" ".join(p), a, l, r, n, score))
+        mine.sort(key=lambda x: (-x[5], -x[1], x[0].encode()))
+        out += [(lang, i + 1, *x) for i, x in enumerate(mine[:most])]
+    return sorted(out)
+
+
+def test_op11(spark):
+    for where in (DATA, DATA.replace("0.001", "0.01")):
+        con = duckdb.connect()
+        con.execute(f"create view documents as select * from '{where}/documents.parquet'")
+        got = sorted(map(tuple, queries.QUERIES["op11_phrases"](spark, where).collect()))
+        assert got == sorted(con.sql(queries.ORACLE_SQL["op11_phrases"]).fetchall())
+    assert len(got) > 20
+
+
+def phrase_rows(size=400):
+    draw = random.Random(7)
+    common = [f"c{i}" for i in range(12)]
+    rows = []
+    for i in range(size):
+        words = [draw.choice(common) if draw.random() < 0.8 else f"r{draw.randrange(3000)}" for _ in range(draw.randrange(0, 60))]
+        words += ["hot", "pair", draw.choice(common), draw.choice(common), f"z{draw.randrange(4)}"] * draw.randrange(0, 4)
+        text = "".join(w + draw.choice([" ", " ", " ", "  ", "\t", ", ", "! ", "\n", "\x0b"]) for w in words)
+        rows.append((draw.choice(["en", "de", "und", None]), draw.choice([text, text.upper(), "ÄÉ " * 9 + text])))
+    return rows + [("en", None), (None, ""), ("fr", " \t\n"), ("en", "A-b c'd " * 30), ("en", "A-b c'd " * 30)]
+
+
+@pytest.mark.parametrize("of_partition", [4_000_000, 300])
+def test_phrases_of_odd_texts(spark, monkeypatch, of_partition):
+    # few occurrences a partition make pairs large, which are then dealt by more words
+    monkeypatch.setattr(phrases, "OF_PARTITION", of_partition)
+    rows = phrase_rows()
+    df = spark.createDataFrame([(a, b, "x") for a, b in rows], "lang string, text string, words string")
+    got = sorted(map(tuple, phrases.collocations(df, least=6, longest=5, most=150).collect()))
+    want = brute_phrases(rows, 6, 5, 150)
+    assert got == want and len(want) > 300
+
+
+def test_phrases_of_other_lengths_and_empty_tables(spark):
+    rows = phrase_rows(60)
+    df = spark.createDataFrame(rows, "lang string, text string")
+    for longest in (2, 3):
+        assert sorted(map(tuple, phrases.collocations(df, least=5, longest=longest, most=50).collect())) == brute_phrases(rows, 5, longest, 50)
+    assert phrases.collocations(df.limit(0)).collect() == []
+    assert phrases.collocations(df, least=10**6).collect() == []
+
+
+def test_sums_and_bitmaps_in_bounded_memory(spark, monkeypatch):
+    monkeypatch.setattr(phrases, "HELD", 50)
+    draw, sums, want = np.random.default_rng(1), phrases.Sums(), Counter()
+    for _ in range(30):
+        part = draw.integers(0, 9, (40, 2))
+        sums.add(part)
+        want.update(map(tuple, part.tolist()))
+        assert sums.size <= 50 + 81
+    rows, n = sums.take()
+    got = Counter()
+    for r, k in zip(rows.tolist(), n.tolist()):
+        got[tuple(r)] += k
+    assert got == want
+    hashes = draw.integers(0, 1 << 63, 5000, np.uint64) * np.uint64(2)
+    frame = spark.createDataFrame([(int(x),) for x in hashes.view(np.int64)[:2000]], "h long")
+    found = phrases.held(phrases.bitmap(frame, 2000), hashes)
+    assert found[:2000].all() and found[2000:].mean() < 0.2
