@@ -239,26 +239,32 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most_rows: i
     costs = tuple(cost * sum(total) / (2 * n) for n in total)
     ratio, w, alphas = ratios(rows), np.zeros((FOLDS + 1, WIDE + 1)), {}
     sc = rows.sparkSession.sparkContext
-    fixed = sc.broadcast(ratio)
+    # only buckets of some weight, and the bias, go to the tasks
+    some = np.append(np.flatnonzero(ratio.any(axis=0)), WIDE)
+    fixed = sc.broadcast((some, ratio[:, some[:-1]].astype(np.float32)))
     for turn in range(rounds):
-        shared = sc.broadcast((w, alphas))
+        shared = sc.broadcast((w[:, some].astype(np.float32), alphas))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, turn=turn) -> Iterator[pa.RecordBatch]:
-            w, alphas = shared.value
+            some, part = fixed.value
+            ratio, w = np.zeros((FOLDS + 1, WIDE)), np.zeros((FOLDS + 1, WIDE + 1))
+            ratio[:, some[:-1]] = part
+            w[:, some], alphas = shared.value
             mine = read_rows(batches)
             for k in range(FOLDS + 1) if mine else ():
-                fitted = [(y, *scaled(at, fixed.value[k])) for _, y, fold, at in mine if fold != k]
+                fitted = [(y, *scaled(at, ratio[k])) for _, y, fold, at in mine if fold != k]
                 # a block is known by its first id, as a lost task may be run again elsewhere
                 name = f"{k}:{mine[0][0]}"
                 alpha, own = descend(fitted, w[k], alphas.get(name, np.zeros(len(fitted))), costs, blocks, turns, turn)
                 at = np.flatnonzero(own)
-                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([name]), *(pa.array([x]) for x in (alpha, at, own[at]))], ["model", "block", "alpha", "at", "own"])
-
-        for part in rows.select("doc_id", "y", "fold", "at").mapInArrow(run, "model long, block string, alpha array<double>, at array<long>, own array<double>").orderBy("block").toArrow().to_batches():
-            for k, block, alpha, at, own in zip(*(column(part, c) for c in ("model", "block", "alpha", "at", "own"))):
-                alphas[block.as_py()] = alpha.values.to_numpy()
-                w[k.as_py()][at.values.to_numpy()] += own.values.to_numpy()
-        shared.unpersist()
+                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([name]), pa.array([alpha]), pa.array([at.astype(np.int32)]), pa.array([own[at].astype(np.float32)])], ["model", "block", "alpha", "at", "own"])
+
+        # changes of the weights come to the driver unshuffled: one line a block and model, of at most WIDE + 1 values
+        done = rows.select("doc_id", "y", "fold", "at").mapInArrow(run, "model long, block string, alpha array<double>, at array<int>, own array<float>").toArrow().sort_by("block")
+        for k, block, alpha, at, own in zip(*(done[c] for c in ("model", "block", "alpha", "at", "own"))):
+            alphas[block.as_py()] = alpha.values.to_numpy()
+            w[k.as_py()][at.values.to_numpy()] += own.values.to_numpy()
+        shared.destroy()
     models = [Model(w[k][:-1] * ratio[k], ratio[k] ** 2, float(w[k][-1]), 1.0, 0.0) for k in range(FOLDS + 1)]
     models[-1].slope, models[-1].shift = curve(rows, models[:-1])
     return models[-1]
