@@ -5,10 +5,11 @@ for each language. A phrase is 2 to `longest` words of a piece that occur `least
 passes over the texts, each adding up in its task before anything is shuffled:
 
 1. words, and the number of words of each language;
-2. leading words: pairs of words that are both frequent. Their counts route the third pass;
-3. suffixes: every place where frequent pairs follow one another gives a suffix, as far as they do, of
-   `longest` words at most. It is sent to the partition of its leading pair. A pair that is too large
-   for one partition is dealt by three leading words, or more while the pairs that follow are as large.
+2. leading words: pairs of words that are both frequent, as slots of 40 bits. A slot's count is that of
+   its pairs together, so pairs of a slot below `least` are surely not frequent; it routes the third pass;
+3. suffixes: every place where a pair of a frequent slot starts gives a suffix, as far as such pairs
+   follow, of `longest` words at most. It is sent to the partition of its leading pair. A pair that is too
+   large for one partition is dealt by three leading words, or more while the pairs that follow are as large.
 
 Each partition sorts pointers to its suffixes by three-way quicksort, a word at a time: the suffixes
 that equal the pivot word are one phrase and go on with the next word, and a partition of fewer than
@@ -45,15 +46,25 @@ _MARKS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", END * 10)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Words that a task keeps numbers of, and rows that it adds up, before it hands on what it has; bits of a bitmap; bits of one row of it.
 KNOWN, HELD, MOST_BITS, PAGE = 250_000, 1_500_000, 1 << 28, 1 << 15
+#: Bits of a pair's slot.
+SLOT = 40
 #: Occurrences of pairs that one partition of suffixes is planned for.
 OF_PARTITION = 4_000_000
 
 
+def lang_seed(lang: str) -> int:
+    return xxhash.xxh3_64_intdigest(lang.encode())
+
+
+def word_hash(word: bytes, seed: int) -> int:
+    return xxhash.xxh3_64_intdigest(word, seed) or 1
+
+
 class Lexicon:
     """Words of one language as they are first seen in a task: number, hash, and whether they may be frequent. Number 0 ends a piece."""
 
     def __init__(self, lang: str, often: np.ndarray | None) -> None:
-        self.seed = xxhash.xxh3_64_intdigest(lang.encode())
+        self.seed = lang_seed(lang)
         self.often_bits = often
         self.clear()
 
@@ -69,7 +80,7 @@ class Lexicon:
         new = list(set(tokens).difference(self.number))
         self.number.update(zip(new, range(len(self.words), len(self.words) + len(new))))
         self.words += new
-        hashes = np.fromiter((xxhash.xxh3_64_intdigest(w, self.seed) or 1 for w in new), np.uint64, len(new))
+        hashes = np.fromiter((word_hash(w, self.seed) for w in new), np.uint64, len(new))
         self.hashes = np.concatenate([self.hashes, hashes])
         often = np.ones(len(new), bool) if self.often_bits is None else held(self.often_bits, hashes)
         self.often = np.concatenate([self.often, often])
@@ -111,14 +122,13 @@ def held(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 def bitmap(rows: DataFrame, count: int) -> np.ndarray:
-    """Bits of a size that suits so many rows, up to MOST_BITS, with the slots of the rows' hash (two columns: pair hash) set."""
+    """Bits of a size that suits so many rows, up to MOST_BITS, with the places of the rows' hashes set."""
     size = 1 << min(MOST_BITS.bit_length() - 1, max(16, (16 * count).bit_length()))
     shift = np.uint64(64 - size.bit_length() + 1)
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = [c.to_numpy().view(np.uint64) for c in batch.columns]
-            slot = ((columns[0] if len(columns) == 1 else pair_hash(*columns)) >> shift).astype(np.int64)
+            slot = (batch.column(0).to_numpy().view(np.uint64) >> shift).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(slot // PAGE), pa.array(slot % PAGE)], ["page", "at"])
 
     pages = rows.mapInArrow(slots, "page long, at long").groupBy("page").agg(F.bitmap_construct_agg("at").alias("bits")).toArrow()
@@ -176,11 +186,16 @@ def word_counts(docs: DataFrame, least: int) -> DataFrame:
         n = np.bincount(rows[:, 0], n, len(lexicon.words)).astype(np.int64)
         at = np.flatnonzero(n)
         words = [lexicon.words[i].decode() for i in at]
-        hashes = lexicon.hashes[at]
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(at) + 1)), pa.array([*words, None], pa.string()), _signed(np.append(hashes, np.uint64(0))), pa.array(np.append(n[at], n.sum()))], ["lang", "word", "h", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(at) + 1)), pa.array([*words, None], pa.string()), pa.array(np.append(n[at], n.sum()))], ["lang", "word", "n"])
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = [0 if word is None else word_hash(word.encode(), lang_seed(lang)) for lang, word in zip(column(batch, "lang").to_pylist(), column(batch, "word").to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, _signed(np.array(h, np.uint64))], [*batch.schema.names, "h"])
 
-    found = through_texts(docs, None, count, emit, "lang string, word string, h long, n long")
-    return found.groupBy("lang", "word", "h").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | F.col("word").isNull())
+    found = through_texts(docs, None, count, emit, "lang string, word string, n long")
+    frequent = found.groupBy("lang", "word").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | F.col("word").isNull())
+    return frequent.mapInArrow(hashed, "lang string, word string, n long, h long")
 
 
 def _emit_rows(names: list[str]) -> Callable:
@@ -193,8 +208,8 @@ def _emit_rows(names: list[str]) -> Callable:
     return emit
 
 
-def pair_counts(docs: DataFrame, often, least: int) -> DataFrame:
-    """(h0, h1, n) of frequent pairs."""
+def pair_slots(docs: DataFrame, often, least: int) -> DataFrame:
+    """(slot, n): slots of pairs of frequent words that occur often enough together; a slot is the leading bits of the pair's hash."""
 
     def count(lexicon: Lexicon, x: np.ndarray, sums: Sums) -> None:
         good = lexicon.often[x]
@@ -202,12 +217,22 @@ def pair_counts(docs: DataFrame, often, least: int) -> DataFrame:
         if len(at):
             sums.add(np.stack([x[at], x[at + 1]], axis=1))
 
-    found = through_texts(docs, often, count, _emit_rows(["h0", "h1"]), "h0 long, h1 long, n long")
-    return found.groupBy("h0", "h1").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    def emit(lang: str, lexicon: Lexicon, sums: Sums) -> Iterator[pa.RecordBatch]:
+        rows, n = sums.take()
+        for at in range(0, len(rows), 200_000):
+            h = lexicon.hashes[rows[at : at + 200_000]]
+            yield pa.RecordBatch.from_arrays([pa.array(slots_of(pair_hash(h[:, 0], h[:, 1]))), pa.array(n[at : at + 200_000])], ["slot", "n"])
+
+    found = through_texts(docs, often, count, emit, "slot long, n long")
+    return found.groupBy("slot").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+
+
+def slots_of(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - SLOT)).astype(np.int64)
 
 
 def suffixes(docs: DataFrame, often, pairs, longest: int) -> DataFrame:
-    """(h0, h1, ..., n): suffixes of three words or more along frequent pairs, as hashes, 0 where they end, and how often."""
+    """(h0, h1, ..., n): suffixes of two words or more along pairs of frequent slots, as hashes, 0 where they end, and how often."""
     names = [f"h{k}" for k in range(longest)]
 
     def count(lexicon: Lexicon, x: np.ndarray, sums: Sums) -> None:
@@ -216,7 +241,7 @@ def suffixes(docs: DataFrame, often, pairs, longest: int) -> DataFrame:
         h = lexicon.hashes
         linked = np.zeros(len(x) + longest, bool)
         linked[at[held(pairs.value, pair_hash(h[x[at]], h[x[at + 1]]))]] = True
-        at = np.flatnonzero(linked[: len(x)] & linked[1 : len(x) + 1])
+        at = np.flatnonzero(linked)
         if not len(at):
             return
         out = np.zeros((len(at), longest), np.int64)
@@ -235,7 +260,7 @@ def leading(h: np.ndarray, hot: np.ndarray) -> np.ndarray:
     out = np.full(len(h), 2)
     more = np.ones(len(h), bool)
     for k in range(h.shape[1] - 2):
-        more = more & np.isin(pair_hash(h[:, k], h[:, k + 1]), hot)
+        more = more & np.isin(slots_of(pair_hash(h[:, k], h[:, k + 1])), hot)
         out += more
     return np.minimum(out, h.shape[1])
 
@@ -257,7 +282,7 @@ def routed(rows: DataFrame, hot, longest: int, parts: int) -> DataFrame:
 
 
 def multikey_quicksort(h: np.ndarray, n: np.ndarray, least: int, whole: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """(row, words, occurrences) of each phrase of three words or more among suffixes (rows of hashes, 0 where they end).
+    """(row, words, occurrences) of each phrase of two words or more among suffixes (rows of hashes, 0 where they end).
 
     Pointers are parted by a pivot word into smaller, equal and larger; equal ones go on with the next
     word. Parts of fewer occurrences than `least` are left, but where `whole` says that a phrase of so
@@ -273,23 +298,23 @@ def multikey_quicksort(h: np.ndarray, n: np.ndarray, least: int, whole: np.ndarr
         smaller = word < pivot
         if not equal.all():
             for part in (at[smaller], at[~smaller & ~equal]):
-                if len(part) and (n[part].sum() >= least or (whole[part] > depth + 1).any()):
+                if len(part) and (n[part].sum() >= least or (whole[part] > max(2, depth + 1)).any()):
                     stack.append((part, depth))
         at = at[equal]
         if not pivot:
             continue
         words = depth + 1
         occurrences = int(n[at].sum())
-        if occurrences < least and whole[at[0]] <= words:
+        if occurrences < least and (whole[at] <= max(2, words)).all():
             continue
-        if words >= 3:
+        if words >= 2:
             yield int(at[0]), words, occurrences
         if words < depth_of:
             stack.append((at, words))
 
 
 def sorted_counts(rows: DataFrame, hot, longest: int, least: int) -> DataFrame:
-    """(words, a) of the phrases of three words or more; words are hashes."""
+    """(words, a) of the frequent phrases; words are hashes."""
     names = [f"h{k}" for k in range(longest)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,19 +338,14 @@ def counted(docs: DataFrame, least: int, longest: int) -> tuple[DataFrame, DataF
     words = checkpointed(word_counts(docs, least))
     known = words.where("word is not null")
     often = sc.broadcast(bitmap(known.select("h"), known.count()))
-    pairs = checkpointed(pair_counts(docs, often, least))
-    two = pairs.select(F.array("h0", "h1").alias("words"), F.col("n").alias("a"))
-    count, total = pairs.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    if longest < 3 or not count:
-        return words, two
+    slots = checkpointed(pair_slots(docs, often, least))
+    count, total = slots.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // OF_PARTITION))
-    # so many occurrences that there are at most four large pairs for each partition
+    # so many occurrences that there are at most four large slots for each partition
     large = max(least, total // (4 * parts))
-    hot = pairs.where(F.col("n") > large).select("h0", "h1").toArrow()
-    hot = sc.broadcast(pair_hash(*(hot[c].to_numpy().view(np.uint64) for c in ("h0", "h1"))))
-    linked = sc.broadcast(bitmap(pairs.select("h0", "h1"), count))
-    more = sorted_counts(routed(suffixes(docs, often, linked, longest), hot, longest, parts), hot, longest, least)
-    return words, checkpointed(two.unionAll(more))
+    hot = sc.broadcast(np.sort(slots.where(F.col("n") > large).select("slot").toArrow()["slot"].to_numpy()))
+    linked = sc.broadcast(bitmap(slots.select(F.shiftleft("slot", 64 - SLOT)), count))
+    return words, checkpointed(sorted_counts(routed(suffixes(docs, often, linked, longest), hot, longest, parts), hot, longest, least))
 
 
 def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, most: int = MOST) -> DataFrame:
