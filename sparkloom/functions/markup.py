@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sparkloom.functions import selectors as q
 from sparkloom.functions.url import resolved
 
 NAMED = "struct<name:string,content:string>"
@@ -53,37 +54,14 @@ SITEMAP_HINTS = (
 )
 
 
-# ---- markup
+# ---- pages, as the node arrays of operators.nodes
 
 
-def tags(html: Column, name: str) -> Column:
-    """Start tags of an element, in order."""
-    return F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(rf"(?is)<{name}(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>"), F.lit(0))
-
-
-def attribute(tag: Column, name: str) -> Column:
-    """An attribute's value in a start tag, or null."""
-    pattern = rf"(?is)\s{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
-    values = [F.nullif(F.regexp_extract(tag, pattern, i), F.lit("")) for i in (1, 2, 3)]
-    return unescaped(F.coalesce(*values))
-
-
-def unescaped(text: Column) -> Column:
-    """The five named character references decoded."""
-    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("#39", "'"), ("amp", "&")):
-        text = F.replace(text, F.lit(f"&{name};"), F.lit(char))
-    return text
-
-
-def plain(fragment: Column) -> Column:
-    """Text of a fragment without tags, white space single."""
-    return F.trim(F.regexp_replace(unescaped(F.regexp_replace(fragment, "(?s)<[^>]*>", " ")), r"\s+", " "))
-
-
-def metas(html: Column) -> Column:
-    """Array of (name, content) of meta elements; the name is the property, else the name, else the http-equiv."""
-    name = lambda t: F.coalesce(attribute(t, "property"), attribute(t, "name"), attribute(t, "http-equiv"))
-    pairs = F.transform(tags(html, "meta"), lambda t: F.struct(name(t).alias("name"), attribute(t, "content").alias("content")))
+def metas(nodes: Column) -> Column:
+    """Array of (name, content) of meta elements; the name is the property, else the name, else the http-equiv; empty values do not count."""
+    value = lambda t, n: F.nullif(q.attr(t, n), F.lit(""))
+    name = lambda t: F.coalesce(value(t, "property"), value(t, "name"), value(t, "http-equiv"))
+    pairs = F.transform(q.select(nodes, "meta"), lambda t: F.struct(name(t).alias("name"), value(t, "content").alias("content")))
     return F.filter(pairs, lambda x: x["name"].isNotNull() & x["content"].isNotNull())
 
 
@@ -96,73 +74,76 @@ def value_of(pairs: Column, *names: str) -> Column:
 def prefixed(pairs: Column, prefix: str) -> Column:
     """The pairs whose name starts with a prefix, without it."""
     found = F.filter(pairs, lambda x: F.startswith(F.lower(x["name"]), F.lit(prefix)))
-    return F.transform(found, lambda x: F.struct(F.substring(x["name"], len(prefix) + 1, 1000).alias("name"), x["content"].alias("content")))
+    return F.transform(found, lambda x: F.struct(F.substr(x["name"], F.lit(len(prefix) + 1)).alias("name"), x["content"].alias("content")))
 
 
 def camel(name: Column) -> Column:
     """site_name as siteName, image:width as imageWidth."""
-    words = F.split(name, "[:_]")
-    return F.concat(F.element_at(words, 1), F.array_join(F.transform(F.slice(words, 2, 100), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1000))), ""))
+    capital = lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substr(w, F.lit(2)))
+    return F.array_join(F.transform(F.split(name, "[:_]"), lambda w, i: F.when(i == 0, w).otherwise(capital(w))), "")
 
 
-def open_graph(html: Column) -> Column:
+def open_graph(nodes: Column) -> Column:
     """(name, content) pairs of Open Graph without images, names in camel case, and the images under image."""
-    found = prefixed(metas(html), "og:")
+    found = prefixed(metas(nodes), "og:")
     return F.transform(found, lambda x: F.struct(F.when(x["name"].isin("image", "image:url"), "image").otherwise(camel(x["name"])).alias("name"), x["content"].alias("content")))
 
 
-def twitter_card(html: Column) -> Column:
-    return prefixed(metas(html), "twitter:")
+def twitter_card(nodes: Column) -> Column:
+    return prefixed(metas(nodes), "twitter:")
 
 
-def dublin_core(html: Column) -> Column:
+def dublin_core(nodes: Column) -> Column:
     """(name, content) pairs of Dublin Core, under dc. or dcterms."""
-    found = F.filter(metas(html), lambda x: x["name"].rlike("^(?i)(?:dc|dcterms)\\."))
+    found = F.filter(metas(nodes), lambda x: x["name"].rlike("^(?i)(?:dc|dcterms)\\."))
     named = F.transform(found, lambda x: F.struct(F.lower(F.element_at(F.split(x["name"], r"\."), -1)).alias("name"), x["content"].alias("content")))
     return F.filter(named, lambda x: x["name"].isin(*DUBLIN_CORE))
 
 
-def items(html: Column, kind: str, prop: str) -> Column:
-    """Array of (type, name, content): properties of microdata or RDFa under the type that opens before them, by the attributes that name type and property."""
-    pieces = F.slice(F.split(F.coalesce(html, F.lit("")), rf"(?i)(?=<[a-z][a-z0-9]*\s[^>]*\b{kind}\s*=)"), 1, 100_000)
-    own = lambda p: F.element_at(F.split(attribute(F.regexp_extract(p, r"(?s)^<[^>]*>", 0), kind), "/"), -1)
-    each = lambda p: F.regexp_extract_all(p, F.lit(rf"(?is)<[a-z][a-z0-9]*\s[^>]*\b{prop}\s*=[^>]*>[^<]*"), F.lit(0))
+def items(nodes: Column, kind: str, prop: str) -> Column:
+    """Array of (type, name, content): properties of microdata or RDFa with the type of the nearest element around them that has one.
+
+    A property that is an item of its own has no content; others have their content, href, src or text.
+    """
 
-    def pair(p: Column, x: Column) -> Column:
-        tag = F.regexp_extract(x, r"(?s)^<[^>]*>", 0)
-        value = F.coalesce(attribute(tag, "content"), attribute(tag, "href"), attribute(tag, "src"), F.nullif(plain(x), F.lit("")))
-        return F.struct(own(p).alias("type"), attribute(tag, prop).alias("name"), value.alias("content"))
+    def pairs(owners: Column) -> Column:
+        def pair(x: Column) -> Column:
+            owner = F.try_element_at(F.filter(owners, lambda o: q.inside(x, o)), F.lit(-1))
+            value = F.coalesce(q.attr(x, "content"), q.attr(x, "href"), q.attr(x, "src"), F.nullif(q.squeezed(q.raw_text(nodes, x)), F.lit("")))
+            own = F.element_at(F.split(q.attr(owner, kind), "/"), -1)
+            return F.struct(own.alias("type"), q.attr(x, prop).alias("name"), value.alias("content"))
 
-    found = F.flatten(F.transform(F.filter(pieces, lambda p: p.rlike(rf"(?is)^<[^>]*\b{kind}\s*=")), lambda p: F.transform(each(p), lambda x: pair(p, x))))
-    return F.filter(found, lambda x: x["name"].isNotNull() & x["content"].isNotNull())
+        plain = F.filter(q.select(nodes, f"[{prop}]"), lambda x: q.attr(x, kind).isNull())
+        return F.transform(plain, pair)
 
+    found = q.let(q.select(nodes, f"[{kind}]"), pairs)
+    return F.filter(found, lambda x: x["type"].isNotNull() & x["name"].isNotNull() & x["content"].isNotNull())
 
-def microdata(html: Column) -> Column:
-    return items(html, "itemtype", "itemprop")
 
+def microdata(nodes: Column) -> Column:
+    return items(nodes, "itemtype", "itemprop")
 
-def rdfa(html: Column) -> Column:
-    return items(html, "typeof", "property")
 
+def rdfa(nodes: Column) -> Column:
+    return items(nodes, "typeof", "property")
 
-def title(html: Column) -> Column:
+
+def title(nodes: Column) -> Column:
     """Open Graph title, else title element, else first heading."""
-    inner = lambda t: F.nullif(plain(F.regexp_extract(html, rf"(?is)<{t}\b[^>]*>(.*?)</{t}\s*>", 1)), F.lit(""))
-    return F.coalesce(value_of(metas(html), "og:title"), inner("title"), inner("h1"))
+    inner = lambda t: F.nullif(q.squeezed(q.raw_text(nodes, q.first(nodes, t))), F.lit(""))
+    return F.coalesce(value_of(metas(nodes), "og:title"), inner("title"), inner("h1"))
 
 
-def link_elements(html: Column, base: Column) -> Column:
+def link_elements(nodes: Column, base: Column) -> Column:
     """Array of (rel, href, title) of link elements, one a relation."""
-    each = lambda t: F.transform(F.split(F.lower(attribute(t, "rel")), r"\s+"), lambda r: F.struct(r.alias("rel"), resolved(base, attribute(t, "href")).alias("href"), attribute(t, "title").alias("title")))
-    return kept(F.flatten(F.transform(F.filter(tags(html, "link"), lambda t: attribute(t, "rel").isNotNull()), each)))
+    each = lambda t: F.transform(F.split(F.lower(q.attr(t, "rel")), r"\s+"), lambda r: F.struct(r.alias("rel"), resolved(base, q.attr(t, "href")).alias("href"), q.attr(t, "title").alias("title")))
+    return kept(F.flatten(F.transform(q.select(nodes, "link[rel]"), each)))
 
 
-def anchors(html: Column, base: Column) -> Column:
+def anchors(nodes: Column, base: Column) -> Column:
     """Array of (href, text) of anchors that lead somewhere."""
-    found = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"(?is)<a\s[^>]*\bhref\s*=[^>]*>.*?</a\s*>"), F.lit(0))
-    pairs = F.transform(found, lambda x: F.struct(attribute(F.regexp_extract(x, r"(?s)^<[^>]*>", 0), "href").alias("href"), plain(x).alias("text")))
-    real = F.filter(pairs, lambda x: x["href"].isNotNull() & ~x["href"].rlike("^(?i)(?:#|javascript:|mailto:|tel:)"))
-    return F.transform(real, lambda x: F.struct(resolved(base, x["href"]).alias("href"), x["text"].alias("text")))
+    real = F.filter(q.select(nodes, "a[href]"), lambda x: ~q.attr(x, "href").rlike("^(?i)(?:#|javascript:|mailto:|tel:|$)"))
+    return F.transform(real, lambda x: F.struct(resolved(base, q.attr(x, "href")).alias("href"), q.squeezed(q.raw_text(nodes, x)).alias("text")))
 
 
 def link_header(header: Column, base: Column) -> Column:
@@ -177,39 +158,6 @@ def link_header(header: Column, base: Column) -> Column:
     return kept(F.flatten(F.transform(parts, each)))
 
 
-def tables(html: Column) -> Column:
-    """Array of (caption, id, headers, rows) of tables that hold no other table; a first row of header cells alone gives the headers."""
-    found = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"(?is)<table\b[^>]*>(?:(?!<table\b).)*?</table\s*>"), F.lit(0))
-    cells = lambda row, kind: F.transform(F.regexp_extract_all(row, F.lit(rf"(?is)<{kind}\b[^>]*>(.*?)(?=<t[hdr]\b|</t[hdr]\b|</t(?:able|body|head|foot)\b|\Z)"), F.lit(1)), plain)
-
-    def table(t: Column) -> Column:
-        rows = F.regexp_extract_all(t, F.lit(r"(?is)<tr\b[^>]*>(.*?)(?=<tr\b|</tr\b|</table\b|\Z)"), F.lit(1))
-        full = F.filter(rows, lambda r: F.size(cells(r, "t[hd]")) > 0)
-        first = F.try_element_at(full, F.lit(1))
-        headed = F.coalesce((F.size(cells(first, "th")) > 0) & (F.size(cells(first, "td")) == 0), F.lit(False))
-        return F.struct(
-            plain(F.regexp_extract(t, r"(?is)<caption\b[^>]*>(.*?)</caption", 1)).alias("caption"),
-            attribute(F.regexp_extract(t, r"(?s)^<[^>]*>", 0), "id").alias("id"),
-            F.when(headed, cells(first, "th")).otherwise(F.array().cast("array<string>")).alias("headers"),
-            F.transform(F.when(headed, F.slice(full, 2, 1_000_000)).otherwise(full), lambda r: cells(r, "t[hd]")).alias("rows"),
-        )
-
-    return F.transform(found, table)
-
-
-def records(table: Column) -> Column:
-    """A table's rows as maps from header to cell; columns without header are named by their number from 1."""
-    name = lambda i: F.coalesce(F.nullif(F.get(table["headers"], i), F.lit("")), F.concat(F.lit("column"), (i + 1).cast("string")))
-    return F.transform(table["rows"], lambda row: F.map_from_entries(F.transform(row, lambda cell, i: F.struct(name(i), cell))))
-
-
-def table_with(found: Column, words: str) -> Column:
-    """The first table whose caption, id or a header contains some words, whatever their case, or null."""
-    low = words.lower()
-    near = lambda x: F.contains(F.lower(F.coalesce(x, F.lit(""))), F.lit(low))
-    return F.try_element_at(F.filter(found, lambda t: near(t["caption"]) | near(t["id"]) | F.exists(t["headers"], near)), F.lit(1))
-
-
 # ---- JSON
 
 
@@ -228,9 +176,9 @@ def entries(json: Column) -> Column:
     return F.coalesce(F.map_entries(F.from_json(json, "map<string,string>")), F.array().cast("array<struct<key:string,value:string>>"))
 
 
-def json_ld(html: Column) -> Column:
+def json_ld(page: Column) -> Column:
     """The nodes of a page's JSON-LD as JSON texts, graphs and lists taken apart."""
-    bodies = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"(?is)<script\b[^>]*\btype\s*=\s*[\"']?application/ld\+json[\"']?[^>]*>(.*?)</script\s*>"), F.lit(1))
+    bodies = F.transform(q.select(page, 'script[type="application/ld+json"]'), lambda x: q.raw_text(page, x))
     nodes = F.flatten(F.transform(bodies, as_list))
     graph = lambda n: F.get_json_object(n, "$['@graph']")
     return F.flatten(F.transform(nodes, lambda n: F.when(graph(n).isNotNull(), as_list(graph(n))).when(n.rlike(r"^\s*\{") & F.get_json_object(n, "$").isNotNull(), F.array(n)).otherwise(F.array().cast("array<string>"))))
@@ -241,9 +189,9 @@ def first_of_type(nodes: Column, types: Sequence[str]) -> Column:
     return F.try_element_at(F.filter(nodes, lambda n: F.arrays_overlap(as_list(F.get_json_object(n, "$['@type']")), wanted)), F.lit(1))
 
 
-def product(html: Column) -> Column:
+def product(page: Column) -> Column:
     """(name, brand, sku, price, currency, availability, rating) of a page's product: from JSON-LD, else microdata, else metadata."""
-    node, pairs, data = first_of_type(json_ld(html), ["Product"]), metas(html), microdata(html)
+    node, pairs, data = first_of_type(json_ld(page), ["Product"]), metas(page), microdata(page)
     offer = F.try_element_at(as_list(F.get_json_object(node, "$.offers")), F.lit(1))
     item = lambda n: F.try_element_at(F.filter(data, lambda x: x["name"] == n), F.lit(1))["content"]
     by_item = F.exists(data, lambda x: x["type"] == "Product")
@@ -265,9 +213,9 @@ def product(html: Column) -> Column:
     )
 
 
-def article(html: Column) -> Column:
+def article(page: Column) -> Column:
     """(headline, author, published, section, keywords) of a page's article: from JSON-LD, else microdata, else metadata."""
-    node, pairs, data = first_of_type(json_ld(html), ARTICLES), metas(html), microdata(html)
+    node, pairs, data = first_of_type(json_ld(page), ARTICLES), metas(page), microdata(page)
     one = lambda n: F.try_element_at(F.filter(data, lambda x: x["name"] == n), F.lit(1))["content"]
     item = lambda *names: F.coalesce(*map(one, names))
     by_item = F.exists(data, lambda x: x["type"].isin(*ARTICLES))
@@ -286,22 +234,25 @@ def article(html: Column) -> Column:
     )
 
 
-def organisation(html: Column) -> Column:
+def organisation(page: Column) -> Column:
     """(name, url, logo, phone) of a page's organisation from JSON-LD."""
-    node = first_of_type(json_ld(html), ORGANISATIONS)
+    node = first_of_type(json_ld(page), ORGANISATIONS)
     return F.struct(field(node, "$.name").alias("name"), field(node, "$.url").alias("url"), field(node, "$.logo.url", "$.logo").alias("logo"), field(node, "$.telephone").alias("phone"))
 
 
-def has_structured_data(html: Column) -> Column:
-    return F.coalesce(html.rlike(r'application/ld\+json|itemscope|property="og:|name="twitter:|name="dc\.|typeof='), F.lit(False))
+def has_structured_data(page: Column) -> Column:
+    """Whether a page has JSON-LD, microdata, RDFa, or metadata of Open Graph, Twitter or Dublin Core."""
+    marked = F.size(q.select(page, 'script[type="application/ld+json"], [itemscope], [typeof]')) > 0
+    return marked | F.exists(metas(page), lambda x: x["name"].rlike(r"^(?i)(?:og:|twitter:|dc\.|dcterms\.)"))
 
 
-def has_product(html: Column) -> Column:
-    return F.coalesce(html.rlike(r'(?i)"@type"\s*:\s*"Product"|itemtype="[^"]*Product"|property="product:|og:type"\s+content="product"'), F.lit(False))
+def has_product(page: Column) -> Column:
+    return product(page)["name"].isNotNull() | first_of_type(json_ld(page), ["Product"]).isNotNull() | F.exists(microdata(page), lambda x: x["type"] == "Product")
 
 
-def has_article(html: Column) -> Column:
-    return F.coalesce(html.rlike(r'(?i)"@type"\s*:\s*"(?:Article|NewsArticle|BlogPosting)"|itemtype="[^"]*Article"|og:type"\s+content="article"'), F.lit(False))
+def has_article(page: Column) -> Column:
+    by_meta = F.coalesce(value_of(metas(page), "og:type") == "article", F.lit(False))
+    return by_meta | first_of_type(json_ld(page), ARTICLES).isNotNull() | F.exists(microdata(page), lambda x: x["type"].isin(*ARTICLES))
 
 
 # ---- hypermedia

@@ -1,11 +1,13 @@
-"""Queries of HTML structure, differences of texts and the batch forms of limits."""
+"""Queries of the structure of pages, differences of texts and the batch forms of limits."""
 
 from __future__ import annotations
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from sparkloom.operators import change, diff, html
+from sparkloom.functions import selectors as q
+from sparkloom.operators import change, diff
+from sparkloom.operators.nodes import with_nodes
 from sparkloom.plans.registry import query
 from sparkloom.tables import USAGE_SQL, load, usage
 
@@ -18,12 +20,20 @@ def pairs(spark, d):
     return rows.where("before is not null").select("doc_id", F.col("before").alias("old"), F.col("value").alias("new"))
 
 
-query("h1_titles", "SELECT page_id, replace(replace(replace(trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '[ \\t\\n]+', ' ', 'g')), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS title, CASE WHEN regexp_matches(html, '<title>[^<]') THEN 'title' WHEN regexp_matches(html, '<h1') THEN 'h1' ELSE 'none' END AS source FROM pages")(lambda s, d: html.structured(load(s, d, "pages")).select("page_id", "title", F.col("title_source").alias("source")))
-query("h2_language", "SELECT page_id, regexp_extract(html, '<html[^>]* lang=\"([a-zA-Z-]+)\"', 1) AS lang FROM pages")(lambda s, d: html.structured(load(s, d, "pages")).select("page_id", "lang"))
-query("h3_anchor_counts", "SELECT page_id, len(regexp_extract_all(html, '<a [^>]*href=\"[^\"]')) AS anchors FROM pages")(lambda s, d: html.structured(load(s, d, "pages")).select("page_id", F.size("anchors").cast("long").alias("anchors")))
-query("h4_headings", "SELECT page_id, len(regexp_extract_all(html, '<h1')) AS headings FROM pages")(lambda s, d: html.structured(load(s, d, "pages")).select("page_id", F.size("headings").cast("long").alias("headings")))
-query("h5_tables")(lambda s, d: html.structured(load(s, d, "pages")).select("page_id", F.posexplode("tables").alias("place", "table")).select("page_id", "place", "table.*"))
-query("h6_json_ld")(lambda s, d: html.structured(load(s, d, "pages")).select("page_id", F.explode("json_ld").alias("item")).select("page_id", "item.*"))
-query("h7_link_elements")(lambda s, d: html.structured(load(s, d, "pages")).select("page_id", F.explode("rels").alias("item")).select("page_id", "item.*"))
+def given(spark, d):
+    return with_nodes(load(spark, d, "pages").select("page_id", "html"))
+
+
+def titles(spark, d):
+    """The title element's text, else the first heading's, and which of them it is."""
+    inner = lambda t: F.nullif(q.squeezed(q.raw_text(F.col("nodes"), q.first(F.col("nodes"), t))), F.lit(""))
+    found = given(spark, d).select("page_id", inner("title").alias("title"), inner("h1").alias("h1"))
+    return found.select("page_id", F.coalesce("title", "h1", F.lit("")).alias("title"), F.when(F.col("title").isNotNull(), "title").when(F.col("h1").isNotNull(), "h1").otherwise("none").alias("source"))
+
+
+query("h1_titles", "SELECT page_id, replace(replace(replace(trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '[ \\t\\n]+', ' ', 'g')), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS title, CASE WHEN regexp_matches(html, '<title>[^<]') THEN 'title' WHEN regexp_matches(html, '<h1') THEN 'h1' ELSE 'none' END AS source FROM pages")(lambda s, d: titles(s, d))
+query("h2_language", "SELECT page_id, regexp_extract(html, '<html[^>]* lang=\"([a-zA-Z-]+)\"', 1) AS lang FROM pages")(lambda s, d: given(s, d).select("page_id", F.coalesce(q.attr(q.first(F.col("nodes"), "html"), "lang"), F.lit("")).alias("lang")))
+query("h3_anchor_counts", "SELECT page_id, len(regexp_extract_all(html, '<a [^>]*href=\"[^\"]')) AS anchors FROM pages")(lambda s, d: given(s, d).select("page_id", F.size(F.filter(q.select(F.col("nodes"), "a[href]"), lambda x: q.attr(x, "href") != "")).cast("long").alias("anchors")))
+query("h4_headings", "SELECT page_id, len(regexp_extract_all(html, '<h1')) AS headings FROM pages")(lambda s, d: given(s, d).select("page_id", F.size(q.select(F.col("nodes"), "h1")).cast("long").alias("headings")))
 query("d1_line_diffs")(lambda s, d: diff.diffs(pairs(s, d), "doc_id"))
 query("z1_sliding_window", f"{U} SELECT id, count(*) OVER w >= 3 AS limited FROM usage WINDOW w AS (PARTITION BY domain ORDER BY epoch_us(ts) RANGE BETWEEN 60000000 PRECEDING AND CURRENT ROW)")(lambda s, d: usage(s, d).select("id", (F.count("*").over(Window.partitionBy("domain").orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-60_000_000, 0)) >= 3).alias("limited")))

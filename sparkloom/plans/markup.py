@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkloom.functions import markup as m
+from sparkloom.operators.nodes import with_nodes
 from sparkloom.plans.registry import query
 from sparkloom.tables import load
 
@@ -32,12 +33,17 @@ ITEM = """<div itemscope itemtype="https://schema.org/Product"><span itemprop="n
 <div vocab="http://schema.org/" typeof="Person"><span property="name">{brand}</span></div>"""
 
 
+#: What a reader of tags alone would take for metadata, links and data.
+TRICKS = """<!-- <meta property="og:title" content="no"><a href="/no">no</a><div itemscope itemtype="x/Product"><b itemprop="name">no</b></div> --><script>var a = '<meta name="twitter:card" content="no"><link rel=help href=no><a href=/no>no</a>'</script>"""
+
+
 def shop(s, d):
-    """(id, url, html): a page a part; every third has JSON-LD, every third microdata and RDFa, every third metadata alone."""
+    """(id, url, nodes): a page a part; every third has JSON-LD, every third microdata and RDFa, every third metadata alone."""
     k = F.col("p_partkey")
     columns = dict(name=F.col("p_name"), key=k, brand=F.col("p_brand"), price=F.col("p_retailprice"), size=F.col("p_size"), kind=F.when(k % 2 == 0, "product").otherwise("article"))
     more = F.when(k % 3 == 0, text(NODE.replace("{broken", "[broken"), **columns)).when(k % 3 == 1, text(ITEM, **columns)).otherwise("")
-    return load(s, d, "part").select(k.alias("id"), text("http://shop.org/list/{key}", **columns).alias("url"), F.concat(text(HEAD, **columns), more, F.lit("</body></html>")).alias("html"))
+    html = F.concat(F.lit(TRICKS), text(HEAD, **columns), more, F.lit("</body></html>"))
+    return with_nodes(load(s, d, "part").select(k.alias("id"), text("http://shop.org/list/{key}", **columns).alias("url"), html.alias("html"))).drop("html")
 
 
 def pairs(name: str, sql: str, found):
@@ -45,7 +51,7 @@ def pairs(name: str, sql: str, found):
 
     @query(name, sql)
     def _(s, d):
-        return shop(s, d).select("id", F.explode(found(F.col("html"))).alias("x")).select("id", "x.*")
+        return shop(s, d).select("id", F.explode(found(F.col("nodes"))).alias("x")).select("id", "x.*")
 
 
 def rows(*values: str, where: str = "true") -> str:
@@ -72,46 +78,48 @@ pairs("f29_documentation_links", rows("'help' AS rel, 'http://shop.org/list/help
 
 @query("h10_json_ld", "SELECT p_partkey AS id, unnest(['WebSite', '[\"Thing\",\"Product\"]', 'NewsArticle', 'Store']) AS type FROM part WHERE p_partkey % 3 = 0")
 def _(s, d):
-    return shop(s, d).select("id", F.explode(m.json_ld(F.col("html"))).alias("n")).select("id", F.get_json_object("n", "$['@type']").alias("type"))
+    return shop(s, d).select("id", F.explode(m.json_ld(F.col("nodes"))).alias("n")).select("id", F.get_json_object("n", "$['@type']").alias("type"))
 
 
 @query("h9_structured_data", "SELECT p_partkey AS id, CAST(CASE WHEN p_partkey % 3 = 0 THEN 4 ELSE 0 END AS INTEGER) AS nodes, CAST(CASE WHEN p_partkey % 3 = 1 THEN 4 ELSE 0 END AS INTEGER) AS items, CAST(12 AS INTEGER) AS metas, p_name || ' <' || p_partkey || '>' AS title FROM part")
 def _(s, d):
-    html = F.col("html")
-    return shop(s, d).select("id", F.size(m.json_ld(html)).alias("nodes"), F.size(m.microdata(html)).alias("items"), F.size(m.metas(html)).alias("metas"), m.title(html).alias("title"))
+    page = F.col("nodes")
+    return shop(s, d).select("id", F.size(m.json_ld(page)), F.size(m.microdata(page)), F.size(m.metas(page)), m.title(page)).toDF("id", "nodes", "items", "metas", "title")
 
 
 @query("h17_product", f"""SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 2 THEN {TITLE} ELSE p_name END AS name, CASE WHEN p_partkey % 3 < 2 THEN p_brand END AS brand, CASE WHEN p_partkey % 3 = 0 THEN 's' || p_partkey END AS sku, p_retailprice AS price,
   ['USD', 'GBP', 'EUR'][p_partkey % 3 + 1] AS currency, CASE WHEN p_partkey % 3 = 0 THEN 'InStock' END AS availability, CASE WHEN p_partkey % 3 = 0 THEN CAST(p_size AS DOUBLE) END AS rating FROM part""")
 def _(s, d):
-    return shop(s, d).select("id", m.product(F.col("html")).alias("x")).select("id", "x.*")
+    return shop(s, d).select("id", m.product(F.col("nodes")).alias("x")).select("id", "x.*")
 
 
 @query("h18_article", f"""SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN p_name WHEN p_partkey % 2 = 1 THEN {TITLE} END AS headline, CASE WHEN p_partkey % 3 = 0 THEN p_brand || ', x' END AS author, CASE WHEN p_partkey % 3 = 0 THEN '2024-01-02' END AS published,
   CASE WHEN p_partkey % 3 = 0 THEN 's' END AS section, CASE WHEN p_partkey % 3 = 0 THEN 'a, b' WHEN p_partkey % 2 = 1 THEN '' END AS keywords FROM part""")
 def _(s, d):
-    return shop(s, d).select("id", m.article(F.col("html")).alias("x")).select("id", "x.*")
+    return shop(s, d).select("id", m.article(F.col("nodes")).alias("x")).select("id", "x.*")
 
 
 @query("h19_organisation", "SELECT p_partkey AS id, p_brand AS name, 'http://s.org' AS url, 'l.png' AS logo, '1' AS phone FROM part WHERE p_partkey % 3 = 0")
 def _(s, d):
-    return shop(s, d).select("id", m.organisation(F.col("html")).alias("x")).where("x.name is not null").select("id", "x.*")
+    return shop(s, d).select("id", m.organisation(F.col("nodes")).alias("x")).where("x.name is not null").select("id", "x.*")
 
 
 @query("h20_has_structured_data", "SELECT page_id, regexp_matches(html, 'application/ld\\+json|itemscope|property=\"og:|name=\"twitter:|name=\"dc\\.|typeof=') AS has FROM pages UNION ALL SELECT -1 - p_partkey, true FROM part")
 def _(s, d):
-    made = shop(s, d).select((-1 - F.col("id")).alias("page_id"), "html")
-    return load(s, d, "pages").select("page_id", "html").unionAll(made).select("page_id", m.has_structured_data(F.col("html")).alias("has"))
+    made = shop(s, d).select((-1 - F.col("id")).alias("page_id"), "nodes")
+    given = with_nodes(load(s, d, "pages").select("page_id", "html")).select("page_id", "nodes")
+    return given.unionAll(made).select("page_id", m.has_structured_data(F.col("nodes")).alias("has"))
 
 
-@query("h21_has_product", "SELECT p_partkey AS id, true AS has FROM part")
+@query("h21_has_product", "SELECT p_partkey AS id, true AS has FROM part UNION ALL SELECT -1 - page_id, false FROM pages")
 def _(s, d):
-    return shop(s, d).select("id", m.has_product(F.col("html")).alias("has"))
+    given = with_nodes(load(s, d, "pages").select((-1 - F.col("page_id")).alias("id"), "html")).select("id", "nodes")
+    return shop(s, d).select("id", "nodes").unionAll(given).select("id", m.has_product(F.col("nodes")).alias("has"))
 
 
-@query("h22_has_article", "SELECT p_partkey AS id, p_partkey % 3 = 0 AS has FROM part")
+@query("h22_has_article", "SELECT p_partkey AS id, p_partkey % 3 = 0 OR p_partkey % 2 = 1 AS has FROM part")
 def _(s, d):
-    return shop(s, d).select("id", m.has_article(F.col("html")).alias("has"))
+    return shop(s, d).select("id", m.has_article(F.col("nodes")).alias("has"))
 
 
 # ---- hypermedia documents, one a customer
@@ -211,41 +219,3 @@ ROBOTS = "User-agent: bot\nDisallow: /graphql\n\nUser-agent: *\nDisallow: /api/{
 @query("h49_robots_hints", "SELECT c_custkey AS id, '/api/' || c_custkey AS path, 'api-path' AS type, 0.54::DOUBLE AS score FROM customer UNION ALL SELECT c_custkey, '/docs', 'documentation', 0.5 FROM customer UNION ALL SELECT c_custkey, '/v' || c_custkey || '/', 'api-path', 0.6 FROM customer")
 def _(s, d):
     return documents(s, d, ROBOTS).select("id", F.explode(m.robots_hints(F.col("doc"))).alias("x")).select("id", "x.*")
-
-
-# ---- tables: a page an order, with a table of its lines between two others
-
-
-def invoices(s, d):
-    line = F.concat(F.lit("<tr><td>"), F.col("l_linenumber").cast("string"), F.lit("<td> "), F.lit("<b>p"), F.col("l_partkey").cast("string"), F.lit("</b> &amp; co</td></tr>"))
-    rows = load(s, d, "lineitem").where("l_orderkey % 4 = 0").groupBy(F.col("l_orderkey").alias("id")).agg(F.array_join(F.array_sort(F.collect_list(line)), "").alias("x"))
-    page = F.concat(F.lit("<table><tr><td>a<td>b</table><TABLE id=lines><caption>Lines <i>of it</i></caption><thead><tr><th>No</th><th>Part</th></tr></thead><tbody>"), F.col("x"), F.lit("</tbody></table><table><tr><th>x</th><td>y</td></tr></table>"))
-    return rows.select("id", page.alias("html"))
-
-
-LINES = "FROM lineitem WHERE l_orderkey % 4 = 0"
-
-
-@query("h5_order_tables", f"WITH n AS (SELECT l_orderkey AS id, count(*) AS n {LINES} GROUP BY 1) SELECT id, CAST(0 AS INTEGER) AS place, '' AS caption, CAST(NULL AS VARCHAR) AS name, '' AS headers, CAST(1 AS INTEGER) AS rows FROM n UNION ALL SELECT id, 1, 'Lines of it', 'lines', 'No|Part', CAST(n AS INTEGER) FROM n UNION ALL SELECT id, 2, '', NULL, '', 1 FROM n")
-def _(s, d):
-    found = invoices(s, d).select("id", F.posexplode(m.tables(F.col("html"))).alias("place", "t"))
-    return found.select("id", "place", "t.caption", F.col("t.id").alias("name"), F.array_join("t.headers", "|").alias("headers"), F.size("t.rows").alias("rows"))
-
-
-@query("h6_order_records", f"SELECT l_orderkey AS id, '{{\"No\":\"' || l_linenumber || '\",\"Part\":\"p' || l_partkey || ' & co\"}}' AS record {LINES}")
-def _(s, d):
-    second = F.get(m.tables(F.col("html")), F.lit(1))
-    return invoices(s, d).select("id", F.explode(m.records(second)).alias("r")).select("id", F.to_json("r").alias("record"))
-
-
-@query("h7_found_table", f"SELECT l_orderkey AS id, list_sort(list('p' || l_partkey || ' & co')) AS parts {LINES} GROUP BY 1")
-def _(s, d):
-    found = m.table_with(m.tables(F.col("html")), "PART")
-    return invoices(s, d).select("id", F.array_sort(F.transform(found["rows"], lambda r: F.get(r, F.lit(1)))).alias("parts"))
-
-
-@query("h1_extracted", f"SELECT p_partkey AS id, {TITLE} AS title, 'no The ' || p_name || ' top mail o' AS text, CAST(4 AS INTEGER) AS links FROM part WHERE p_partkey % 3 = 2")
-def _(s, d):
-    html = F.col("html")
-    body = m.plain(F.regexp_replace(F.regexp_extract(html, r"(?is)<body\b[^>]*>(.*)", 1), r"(?is)<(script|style|nav|footer|aside|noscript)\b.*?</\1\s*>", " "))
-    return shop(s, d).where("id % 3 = 2").select("id", m.title(html).alias("title"), body.alias("text"), F.size(F.regexp_extract_all(html, F.lit("(?i)<a\\s"), F.lit(0))).alias("links"))
