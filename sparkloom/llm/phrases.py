@@ -61,30 +61,33 @@ def word_hash(word: bytes, seed: int) -> int:
 
 
 class Lexicon:
-    """Words of one language as they are first seen in a task: number, hash, and whether they may be frequent. Number 0 ends a piece."""
+    """Words of one language as they are first seen in a task: number, hash, and whether they may be frequent.
+
+    Number 0 ends a piece. With a bitmap of frequent words all others have number 1, and are forgotten
+    when they are many, so that the numbers of frequent words hold for the whole task.
+    """
 
     def __init__(self, lang: str, often: np.ndarray | None) -> None:
         self.seed = lang_seed(lang)
         self.often_bits = often
-        self.clear()
-
-    def clear(self) -> None:
+        self.words: list[bytes] = [END, b""]
         self.number: dict[bytes, int] = {END: 0}
-        self.words: list[bytes] = [END]
-        self.hashes = np.zeros(1, np.uint64)
-        self.often = np.zeros(1, bool)
+        self.hashes = np.zeros(2, np.uint64)
+        self.often = np.zeros(2, bool)
 
     def numbers(self, texts: list[bytes]) -> np.ndarray:
         """The words of the texts, each piece ended by 0."""
         tokens = (END.join(texts) + END).lower().translate(_MARKS).replace(END, b" " + END + b" ").split()
+        if len(self.number) - len(self.words) > KNOWN:
+            self.number = {END: 0} | dict(zip(self.words[2:], range(2, len(self.words))))
         new = list(set(tokens).difference(self.number))
-        self.number.update(zip(new, range(len(self.words), len(self.words) + len(new))))
-        self.words += new
         hashes = np.fromiter((word_hash(w, self.seed) for w in new), np.uint64, len(new))
-        self.hashes = np.concatenate([self.hashes, hashes])
         often = np.ones(len(new), bool) if self.often_bits is None else held(self.often_bits, hashes)
-        self.often = np.concatenate([self.often, often])
-        return np.fromiter(map(self.number.__getitem__, tokens), np.int64, len(tokens))
+        self.number.update(zip(new, np.where(often, len(self.words) + np.cumsum(often) - 1, 1).tolist()))
+        self.words += [w for w, o in zip(new, often.tolist()) if o]
+        self.hashes = np.concatenate([self.hashes, hashes[often]])
+        self.often = np.concatenate([self.often, often[often]])
+        return np.fromiter(map(self.number.__getitem__, tokens), np.int32, len(tokens))
 
 
 class Sums:
@@ -99,7 +102,7 @@ class Sums:
         for k in range(rows.shape[1]):
             key = mixed(key * _STEP + rows[:, k].astype(np.uint64) + np.uint64(1))
         _, first, of = np.unique(key, return_index=True, return_inverse=True)
-        self.parts.append((rows[first], np.bincount(of, n, len(first)).astype(np.int64)))
+        self.parts.append((rows[first].astype(np.int32), np.bincount(of, n, len(first)).astype(np.int64)))
         self.size += len(first)
         if self.size > HELD and len(self.parts) > 1:
             rows, n = self.take()
@@ -177,7 +180,7 @@ def word_counts(docs: DataFrame, least: int) -> DataFrame:
 
     def count(lexicon: Lexicon, x: np.ndarray, sums: Sums) -> None:
         n = np.bincount(x, minlength=len(lexicon.words))
-        n[0] = 0
+        n[:2] = 0
         at = np.flatnonzero(n)
         sums.add(at[:, None], n[at])
 
@@ -244,7 +247,7 @@ def suffixes(docs: DataFrame, often, pairs, longest: int) -> DataFrame:
         at = np.flatnonzero(linked)
         if not len(at):
             return
-        out = np.zeros((len(at), longest), np.int64)
+        out = np.zeros((len(at), longest), np.int32)
         more = np.ones(len(at), bool)
         out[:, 0] = x[at]
         for k in range(1, longest):
