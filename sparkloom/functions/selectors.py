@@ -31,7 +31,7 @@ def _test(compound: str) -> Callable[[Column], Column]:
         raise ValueError(f"not a selector: {compound!r}")
 
     def test(n: Column) -> Column:
-        out = n["tag"] == found[1].lower() if found[1] else n["tag"] != "#text"
+        out = F.lower(n["tag"]) == found[1].lower() if found[1] else n["tag"] != "#text"
         for ident, name, attr, how, a, b, c in _PART.findall(found[2]):
             if ident:
                 out = out & (n["id"] == ident)

@@ -108,20 +108,20 @@ class Tree:
         if text:
             self.add("#text", text=references.unescape(text) if decode and "&" in text else text, start=start, open=start, close=stop, stop=stop)
 
-    def start_tag(self, tag: str, raw: str, start: int, stop: int) -> dict:
-        if tag in BLOCKS:
+    def start_tag(self, tag: str, raw: str, start: int, stop: int, xml: bool = False) -> dict:
+        if tag in BLOCKS and not xml:
             self.end({"p"}, PARAGRAPH_SCOPE, start, start)
-        if tag in ENDS:
+        if tag in ENDS and not xml:
             names, within = ENDS[tag]
             self.end(names, within, start, start, all_of_them=True)
         attrs: dict[str, str] = {}
         for name, a, b, c in ATTRIBUTE.findall(raw):
-            attrs.setdefault(name.lower(), references.unescape(a or b or c))
+            attrs.setdefault(name if xml else name.lower(), references.unescape(a or b or c))
         return self.add(tag, id=attrs.get("id"), classes=attrs.get("class", "").split(), attrs=attrs, start=start, open=stop, close=stop, stop=stop)
 
 
-def page_nodes(page: str) -> list[dict]:
-    """The nodes of a page, in page order."""
+def page_nodes(page: str, xml: bool = False) -> list[dict]:
+    """The nodes of a page, in page order; in XML, elements hold what their tags say and names keep their case."""
     tree, at, size = Tree(), 0, len(page)
     while at < size:
         tag_at = page.find("<", at)
@@ -131,6 +131,12 @@ def page_nodes(page: str) -> list[dict]:
             at = stop
             continue
         found = TAG.match(page, at)
+        if xml and page.startswith("<![CDATA[", at):
+            stop = page.find("]]>", at)
+            stop = size if stop < 0 else stop
+            tree.text(page[at + 9 : stop], at, stop, decode=False)
+            at = min(size, stop + 3)
+            continue
         if found is None:
             following = page[at + 1 : at + 2]
             if following in ("!", "?") or (following == "/" and not page[at + 2 : at + 3].isalpha()):
@@ -143,11 +149,15 @@ def page_nodes(page: str) -> list[dict]:
                 tree.text(page[at:stop], at, stop)
                 at = stop
             continue
-        tag, start, at = found[2].lower(), at, found.end()
+        tag, start, at = found[2] if xml else found[2].lower(), at, found.end()
         if found[1]:
-            tree.end({tag}, set() if tag in OF_TABLES else CELLS, start, at)
+            tree.end({tag}, set() if xml or tag in OF_TABLES else CELLS, start, at)
+            continue
+        node = tree.start_tag(tag, found[3], start, at, xml)
+        if xml:
+            if not found[3].endswith("/"):
+                tree.push(node)
             continue
-        node = tree.start_tag(tag, found[3], start, at)
         if tag in VOID or (found[3].endswith("/") and tag not in RAW and tree.open["svg"]):
             continue
         tree.push(node)
@@ -163,11 +173,11 @@ def page_nodes(page: str) -> list[dict]:
     return tree.nodes
 
 
-def with_nodes(pages: DataFrame, html: str = "html", out: str = "nodes", most_chars: int = 2_000_000) -> DataFrame:
+def with_nodes(pages: DataFrame, html: str = "html", out: str = "nodes", most_chars: int = 2_000_000, xml: bool = False) -> DataFrame:
     """The rows with the nodes of their page in one more column; batches go out when their pages hold so many characters."""
-    rest = pages.drop(out)
+    kept = [c for c in pages.columns if c != out]
     kind = T._parse_datatype_string(NODE)
-    schema = rest.select("*").schema.add(out, T.ArrayType(kind))
+    schema = pages.select(*kept).schema.add(out, T.ArrayType(kind))
     arrow = pa.list_(pa.struct([(f.name, {"int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string()), "map<string,string>": pa.map_(pa.string(), pa.string())}[f.dataType.simpleString()]) for f in kind.fields]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,14 +186,14 @@ def with_nodes(pages: DataFrame, html: str = "html", out: str = "nodes", most_ch
             start, held, size = 0, [], 0
             for i, page in enumerate(column):
                 text = page.as_py() or ""
-                nodes = page_nodes(text)
+                nodes = page_nodes(text, xml)
                 for node in nodes:
                     node["attrs"] = list(node["attrs"].items()) if "attrs" in node else None
                 held.append(nodes)
                 size += len(text)
                 if size > most_chars or i == len(column) - 1:
                     part = batch.slice(start, len(held))
-                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(held, arrow)], [*part.schema.names, out])
+                    yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in kept), pa.array(held, arrow)], [*kept, out])
                     start, held, size = i + 1, [], 0
 
-    return rest.mapInArrow(run, schema)
+    return pages.mapInArrow(run, schema)
