@@ -45,7 +45,7 @@ END = b"\xff"
 _MARKS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", END * 10)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Words that a task keeps numbers of, and rows that it adds up, before it hands on what it has; bits of a bitmap; bits of one row of it.
-KNOWN, HELD, MOST_BITS, PAGE = 250_000, 1_500_000, 1 << 28, 1 << 15
+KNOWN, HELD, MOST_BITS, PAGE = 200_000, 600_000, 1 << 28, 1 << 15
 #: Bits of a pair's slot.
 SLOT = 40
 #: Occurrences of pairs that one partition of suffixes is planned for.
@@ -154,7 +154,7 @@ def through_texts(docs: DataFrame, often, count: Callable, emit: Callable, schem
             if sums.size:
                 yield from emit(lang, lexicon, sums)
 
-        for batch in bounded(batches, most=2_000_000):
+        for batch in bounded(batches, most=1_000_000):
             by_lang: dict[str, list[bytes]] = {}
             for lang, text in zip(column(batch, "lang").to_pylist(), column(batch, "text")):
                 if text.is_valid:
