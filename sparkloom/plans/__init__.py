@@ -1,3 +1,3 @@
 """Named queries; importing the package fills the registry."""
 
-from sparkloom.plans import analytics, documents, lookups, markup, pages, relations, reports, rules, scalars, specs  # noqa: F401
+from sparkloom.plans import analytics, documents, frameworks, lookups, markup, pages, relations, reports, rules, scalars, specs  # noqa: F401
