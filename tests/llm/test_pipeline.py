@@ -48,3 +48,29 @@ def test_stages_take_effect(spark, tmp_path):
         assert bpe_codec.decode(np.array(r["ids"], "<u4").tobytes(), path).decode() == (private[r.doc_id] or "") and r.n_tokens == len(r["ids"])
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(coded)
     assert pii.KINDS == ("email", "ip", "card", "phone")
+
+
+def test_stages_keep_what_they_do_not_know(spark, tmp_path):
+    """Columns named like those of the operators, nulls, repeated rows and empty tables, in every stage."""
+    extra = ["copies", "__score", "__row", "__base", "__same", "__added", "__id", "__source", "size", "target", "f1", "n", "kept", "score", "base"]
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in extra)
+    mark = lambda i: [f"{c}{i}" for c in extra]
+    rows = [(i, f"word{i} other{i * 7} third{i} " * 6 + (f"me{i}@ex.org" if i % 3 == 0 else ""), "en", f"s{i % 2}", 3, *mark(i)) for i in range(30)]
+    rows += [(1, rows[1][1], "en", "s1", 3, *mark(1)), (40, None, None, None, None, *mark(40)), (41, "", "en", "s1", 0, *[None] * len(extra)), (None, "no id at all here", "en", None, 4, *mark(50))]
+    spark.createDataFrame([(i, 1, int(i % 10 == 0)) for i in range(30)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        for j, given in enumerate((spark.createDataFrame(rows, kinds), spark.createDataFrame([], kinds))):
+            given.write.parquet(str(tmp_path / f"in{k}{j}"))
+            docs = spark.read.parquet(str(tmp_path / f"in{k}{j}"))
+            out = stage(spark, docs, str(tmp_path)).collect()
+            assert j == 0 or out == []
+            if name == "bpe_codec":
+                assert len(out) == len(rows) * (1 - j)
+                continue
+            for r in out:
+                assert [r[c] for c in extra] in (mark(50 if r.doc_id is None else r.doc_id), [None] * len(extra))
+            if j == 0:
+                ids = [r.doc_id for r in out]
+                assert set(ids) <= {r[0] for r in rows} and (name in ("toxicity", "mixing") or set(ids) == {r[0] for r in rows})
+                assert name != "pii" or (len(out) == len(rows) and {r.doc_id for r in out if "@" in (r.text or "")} == set())
+                assert name != "ngram_jaccard" or ids.count(1) == 1
