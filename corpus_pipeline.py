@@ -2,6 +2,13 @@
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; the driver writes it as Parquet and
 gives it, read again, to the next. All stages but the last return the columns of documents.
+
+Defined results, for every stage: null texts count as empty and stay null; empty tables give empty
+tables; further columns are returned as they are, whatever their names; very long texts are handled
+whole. Rows that repeat an id are scored and cleaned each for itself, are one document where near
+duplicates are dropped, and are taken together, as often as their id, by the mix; of equal documents
+the one with the smallest id stays. Rows without id are scored and cleaned, have no near duplicates
+and are mixed with others of their source that have none.
 """
 
 from __future__ import annotations
@@ -17,10 +24,21 @@ TOXIC_FROM = 0.7
 SHINGLE, SIMILAR = 5, (80, 100)
 
 
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """The names, with lines added behind those that docs has as columns already."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on all labelled documents at hand, scores below the threshold."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, out="__score").where(F.col("__score") < TOXIC_FROM).select(*docs.columns)
+    (score,) = fresh(docs, "__score")
+    return toxicity.score(docs, model, out=score).where(F.col(score) < TOXIC_FROM).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,8 +48,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data replaced by its kind, and words that disclose it generalised or removed."""
-    found = pii.find(docs, base="__base_spans", added="__added_spans")
-    clean = pii.sanitised(F.col("text"), pii.in_order(F.concat("__base_spans", "__added_spans")))
+    base, added = fresh(docs, "__base_spans", "__added_spans")
+    found = pii.find(docs, base=base, added=added)
+    clean = pii.sanitised(F.col("text"), pii.in_order(F.concat(base, added)))
     found = found.withColumn("text", clean)
     if "n_chars" in docs.columns:
         found = found.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
@@ -41,9 +60,11 @@ def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it. Rows of one id and source are taken together."""
     units = mixing.sized(docs).groupBy("doc_id", "source").agg(F.sum("size").alias("size"))
-    taken = checkpointed(mixing.decide(units).where(F.col("copies") > 0).select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), "copies"))
-    joined = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    ident, source, copies, copy = fresh(docs, "__id", "__source", "__copies", "__copy")
+    taken = mixing.decide(units).where(F.col("copies") > 0)
+    taken = checkpointed(taken.select(F.col("doc_id").alias(ident), F.col("source").alias(source), F.col("copies").alias(copies)))
+    joined = docs.join(taken, F.col("doc_id").eqNullSafe(F.col(ident)) & F.col("source").eqNullSafe(F.col(source)))
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
