@@ -126,7 +126,7 @@ def held(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 def bitmap(rows: DataFrame, count: int) -> np.ndarray:
     """Bits of a size that suits so many rows, up to MOST_BITS, with the places of the rows' hashes set."""
-    size = 1 << min(MOST_BITS.bit_length() - 1, max(16, (16 * count).bit_length()))
+    size = 1 << min(MOST_BITS.bit_length() - 1, max(16, (256 * count).bit_length()))
     shift = np.uint64(64 - size.bit_length() + 1)
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
