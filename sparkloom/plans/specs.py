@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sparkloom.functions import graphql as g
 from sparkloom.functions import specs as a
 from sparkloom.operators import trees
 from sparkloom.plans.registry import query
@@ -297,3 +298,52 @@ WADL = """<?xml version="1.0"?><!-- <resource path="no"><method name="GET"/></re
 def _(s, d):
     found = a.wadl_endpoints(made(s, d, WADL))
     return found.withColumns({c: F.array_join(c, ",") for c in ("path_params", "query_params")})
+
+
+# ---- GraphQL
+
+_T = lambda kind, name: f'{{"kind":"{kind}","name":"{name}"}}'
+_W = lambda kind, inner: f'{{"kind":"{kind}","name":null,"ofType":{inner}}}'
+INT, TEXT, IDENT = _T("SCALAR", "Int"), _T("SCALAR", "String"), _T("SCALAR", "ID")
+THING = """{"kind":"OBJECT","name":"Thing@k","fields":[{"name":"__typename","args":[],"type":%s},{"name":"id","args":[],"type":%s},{"name":"label","args":null,"type":%s},{"name":"owner","args":[%%s],"type":%s},{"name":"odd","type":%s}]}""" % (TEXT, _W("NON_NULL", IDENT), TEXT, _W("NON_NULL", _T("OBJECT", "Owner")), _T("ENUM", "Odd"))
+OWNER = """{"kind":"OBJECT","name":"Owner","fields":[{"name":"title","type":%s},{"name":"things","type":%s},{"name":"name","type":%s},{"name":"age","type":%s},{"name":"id","type":%s}]}""" % (_T("OBJECT", "Title"), _W("LIST", _T("OBJECT", "Thing@k")), TEXT, INT, IDENT)
+QUERY = """{"kind":"OBJECT","name":"Q","fields":[{"name":"thing","args":[{"name":"ids","type":%s},{"name":"deep","type":%s}],"type":%s},{"name":"count","args":[],"type":%s},{"name":"odd","args":[],"type":%s}]}""" % (_W("NON_NULL", _W("LIST", _W("NON_NULL", IDENT))), INT, _W("NON_NULL", _W("LIST", _T("OBJECT", "Thing@k"))), INT, _T("ENUM", "Odd"))
+CHANGE = """{"kind":"OBJECT","name":"M","fields":[{"name":"make","args":[{"name":"name","type":%s}],"type":%s}]}""" % (_W("NON_NULL", TEXT), _T("OBJECT", "Owner"))
+PAGED = """,{"kind":"OBJECT","name":"ThingConnection","fields":[{"name":"pageInfo","type":%s}]}""" % TEXT
+OTHERS = ',{"kind":"ENUM","name":"Odd","fields":null},{"kind":"OBJECT","name":"__Type","fields":[]},{"kind":"SCALAR","name":"Int"}'
+
+
+def _schema(argument: str, more: str = "", change: bool = True) -> str:
+    types = ",".join([QUERY, THING % argument, OWNER] + [CHANGE] * change)
+    return '{"data":{"__schema":{"queryType":{"name":"Q"},"mutationType":' + ('{"name":"M"}' if change else "null") + ',"types":[' + types + more + OTHERS + "]}}}"
+
+
+GRAPHS = (_schema('{"name":"After","type":%s}' % TEXT, PAGED), _schema('{"name":"first","type":%s},{"name":"page","type":%s}' % (INT, INT)), _schema('{"name":"pageSize","type":%s}' % INT, change=False), _schema('{"name":"skip","type":%s}' % INT), _schema(""), '{"data":{}}')
+
+
+@query("h55_graphql_schemas", told(6, *[(k, f"CAST({n} AS INTEGER) AS entities, {style} AS paging, {change} AS mutations") for k, n, style, change in ((0, 5, "'relay'", "'M'"), (1, 4, "'cursor'", "'M'"), (2, 3, "'page'", "NULL"), (3, 4, "'offset'", "'M'"), (4, 4, "NULL", "'M'"))]))
+def _(s, d):
+    found = made(s, d, *GRAPHS).select("id", g.schema(F.col("doc")).alias("x")).where("x is not null")
+    return found.select("id", F.size(g.entity_types(F.col("x"))).alias("entities"), g.paging(F.col("x")).alias("paging"), F.col("x.mutationType.name").alias("mutations"))
+
+
+OF_THING = "query ThingQuery($ids: [ID!]!) {\n  thing(ids: $ids) {\n    id label owner { title name age }\n  }\n}"
+OF_ODD = "query OddQuery {\n  odd {\n    id\n  }\n}"
+OF_MAKE = "mutation MakeMutation($name: String!) {\n  make(name: $name) {\n    things { __typename id label } name age id\n  }\n}"
+
+
+@query(
+    "h56_graphql_queries",
+    told(
+        6,
+        *[
+            (k, f"'{kind}' AS kind, CAST({place} AS BIGINT) AS place, '{name}' AS name, {returns} AS returns, '{must}' AS required, '{may}' AS optional, '{text}' AS query")
+            for k in range(5)
+            for kind, place, name, returns, must, may, text in (("query", 0, "thing", "'Thing' || c_custkey", "ids", "deep", OF_THING), ("query", 2, "odd", "'Odd'", "", "", OF_ODD), ("mutation", 0, "make", "'Owner'", "name", "", OF_MAKE))
+            if k != 2 or kind == "query"
+        ],
+    ),
+)
+def _(s, d):
+    found = g.operations(made(s, d, *GRAPHS))
+    return found.withColumns({c: F.array_join(c, ",") for c in ("required", "optional")})
