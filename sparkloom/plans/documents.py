@@ -37,3 +37,47 @@ query("h3_anchor_counts", "SELECT page_id, len(regexp_extract_all(html, '<a [^>]
 query("h4_headings", "SELECT page_id, len(regexp_extract_all(html, '<h1')) AS headings FROM pages")(lambda s, d: given(s, d).select("page_id", F.size(q.select(F.col("nodes"), "h1")).cast("long").alias("headings")))
 query("d1_line_diffs")(lambda s, d: diff.diffs(pairs(s, d), "doc_id"))
 query("z1_sliding_window", f"{U} SELECT id, count(*) OVER w >= 3 AS limited FROM usage WINDOW w AS (PARTITION BY domain ORDER BY epoch_us(ts) RANGE BETWEEN 60000000 PRECEDING AND CURRENT ROW)")(lambda s, d: usage(s, d).select("id", (F.count("*").over(Window.partitionBy("domain").orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-60_000_000, 0)) >= 3).alias("limited")))
+
+
+# ---- two states of an order: of its lines one in five is modified, one removed, and one has another line behind it
+
+STATES = """WITH l AS (SELECT l_orderkey AS id, l_partkey % 5 AS k, 'line ' || row_number() OVER w || ' has part ' || l_partkey AS line, row_number() OVER w AS n FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey)
+), e AS (
+  SELECT id, n, 0 AS step, CASE WHEN k IN (0, 1) THEN line END AS removed, CASE WHEN k = 0 THEN replace(line, ' has ', ' now has ') END AS added, CASE WHEN k > 1 THEN line END AS same FROM l
+  UNION ALL SELECT id, n, 1, NULL, 'more of ' || line, NULL FROM l WHERE k = 2
+), r AS (
+  SELECT *, sum((same IS NOT NULL)::INTEGER) OVER (PARTITION BY id ORDER BY n, step) AS run, count(coalesce(removed, same)) OVER (PARTITION BY id ORDER BY n, step) AS old_line, count(coalesce(added, same)) OVER (PARTITION BY id ORDER BY n, step) AS new_line FROM e
+), a AS (SELECT id, run, old_line, removed, row_number() OVER (PARTITION BY id, run ORDER BY n, step) AS i FROM r WHERE removed IS NOT NULL
+), b AS (SELECT id, run, new_line, added, row_number() OVER (PARTITION BY id, run ORDER BY n, step) AS i FROM r WHERE added IS NOT NULL
+), lines AS (
+  SELECT id, 'equal' AS type, old_line, same AS old, new_line, same AS new FROM r WHERE same IS NOT NULL
+  UNION ALL SELECT coalesce(a.id, b.id), CASE WHEN a.id IS NULL THEN 'insert' WHEN b.id IS NULL THEN 'delete' ELSE 'modify' END, old_line, removed, new_line, added FROM a FULL JOIN b ON a.id = b.id AND a.run = b.run AND a.i = b.i
+)"""
+
+
+def states(spark, d):
+    """(id, old, new): the lines of an order before and after."""
+    ordered = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
+    n, k = F.row_number().over(ordered), F.col("l_partkey") % 5
+    line = F.concat(F.lit("line "), n.cast("string"), F.lit(" has part "), F.col("l_partkey").cast("string"))
+    rows = load(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), n.alias("n"), k.alias("k"), line.alias("line"))
+    changed = F.when(F.col("k") == 0, F.array(F.replace("line", F.lit(" has "), F.lit(" now has ")))).when(F.col("k") == 1, F.array().cast("array<string>")).when(F.col("k") == 2, F.array(F.col("line"), F.concat(F.lit("more of "), F.col("line")))).otherwise(F.array("line"))
+    held = rows.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "line", changed.alias("now")))).alias("x"))
+    return held.select("id", F.array_join(F.transform("x", lambda v: v["line"]), "\n").alias("old"), F.array_join(F.flatten(F.transform("x", lambda v: v["now"])), "\n").alias("new"))
+
+
+@query("d5_side_by_side", f"{STATES}, empty AS (SELECT id FROM r GROUP BY id HAVING count(coalesce(added, same)) = 0) SELECT id, type, CAST(old_line AS INTEGER) AS old_line, old, CAST(new_line AS INTEGER) AS new_line, new FROM lines WHERE id NOT IN (SELECT id FROM empty)")
+def _(spark, d):
+    # an order of which nothing is left has one empty line, which SQL does not know
+    found = diff.lines_side_by_side(states(spark, d).where("new <> ''"), "id")
+    return found.select("id", "type", "old_line", "old", "new_line", "new")
+
+
+@query("d6_inline_words", "SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN 'of| |[' || p_brand || ']| |' || p_size WHEN 1 THEN 'of| |' || p_brand || '| |' || p_size ELSE 'of| |[' || p_brand || ']|[ ]|' || p_size END AS old_words, CASE p_partkey % 3 WHEN 0 THEN 'of| |[other]| |' || p_size WHEN 1 THEN 'of| |[a new]| |' || p_brand || '| |' || p_size ELSE 'of| |' || p_size END AS new_words FROM part".replace("[a new]| |", "[a]|[ ]|[new]|[ ]|"))
+def _(spark, d):
+    brand, size, k = F.col("p_brand"), F.col("p_size").cast("string"), F.col("p_partkey")
+    joined = lambda *parts: F.concat_ws(" ", F.lit("of"), *parts)
+    new = F.when(k % 3 == 0, joined(F.lit("other"), size)).when(k % 3 == 1, joined(F.lit("a new"), brand, size)).otherwise(joined(size))
+    found = diff.lines_side_by_side(load(spark, d, "part").select(k.alias("id"), joined(brand, size).alias("old"), new.alias("new")), "id")
+    marked = lambda words: F.array_join(F.transform(words, lambda w: F.when(w["changed"], F.concat(F.lit("["), w["text"], F.lit("]"))).otherwise(w["text"])), "|")
+    return found.select("id", marked(F.col("old_words")).alias("old_words"), marked(F.col("new_words")).alias("new_words"))

@@ -207,3 +207,51 @@ def test_markup_of_odd_pages(spark):
     rows = nodes.with_nodes(spark.createDataFrame([(i, h) for i, (h, _) in enumerate(pages)], "id int, html string"))
     got = rows.select("id", m.article(F.col("nodes")).alias("a"), m.anchors(F.col("nodes"), F.lit("http://x/")).alias("l"), m.product(F.col("nodes")).alias("p"), m.organisation(F.col("nodes")).alias("o")).orderBy("id").collect()
     assert [(r.a.headline, r.a.author) for r in got] == [w for _, w in pages]
+
+
+def plain_operations(old, new):
+    """Differences by the whole table."""
+    best = [[0] * (len(new) + 1) for _ in range(len(old) + 1)]
+    for i in range(len(old) - 1, -1, -1):
+        for j in range(len(new) - 1, -1, -1):
+            best[i][j] = best[i + 1][j + 1] + 1 if old[i] == new[j] else max(best[i + 1][j], best[i][j + 1])
+    out, i, j = [], 0, 0
+    while i < len(old) or j < len(new):
+        if i < len(old) and j < len(new) and old[i] == new[j]:
+            out.append((" ", old[i]))
+            i, j = i + 1, j + 1
+        elif j < len(new) and (i == len(old) or best[i][j + 1] >= best[i + 1][j]):
+            out.append(("+", new[j]))
+            j += 1
+        else:
+            out.append(("-", old[i]))
+            i += 1
+    return out
+
+
+def test_differences_equal_the_whole_table():
+    rng = random.Random(2)
+    for _ in range(300):
+        old, new = (["x"] * 0 + [rng.choice("abcd") for _ in range(rng.randrange(0, 40))] for _ in range(2))
+        assert diff.operations(old, new) == plain_operations(old, new)
+    assert len(diff.operations([str(i) for i in range(6000)], [str(2 * i) for i in range(6000)])) == 9000
+
+
+def test_lines_side_by_side(spark):
+    rng = random.Random(9)
+    rows = [(i, "\n".join(rng.choice(["a b", "c", "", "d  e"]) for _ in range(rng.randrange(0, 12))), "\n".join(rng.choice(["a b", "a x", "", "d e"]) for _ in range(rng.randrange(0, 12)))) for i in range(40)] + [(100, None, "a"), (101, "a", None), (102, None, None)]
+    got = {}
+    for r in diff.lines_side_by_side(spark.createDataFrame(rows, "id long, old string, new string"), "id").collect():
+        got.setdefault(r.id, []).append(r)
+    for i, old, new in rows:
+        lines = sorted(got[i], key=lambda r: r.place)
+        assert [r.place for r in lines] == list(range(1, len(lines) + 1))
+        for side, text in (("old", old), ("new", new)):
+            assert [(r[f"{side}_line"], r[side]) for r in lines if r[side] is not None] == list(enumerate((text or "").split("\n"), 1))
+        for r in lines:
+            assert (r.type == "equal") == (r.old == r.new) or r.type == "modify"
+            assert (r.type == "modify") == (r.old_words is not None)
+            if r.old_words is not None:
+                assert "".join(w.text for w in r.old_words) == r.old and "".join(w.text for w in r.new_words) == r.new
+                assert [w.text for w in r.old_words if not w.changed] == [w.text for w in r.new_words if not w.changed]
+    assert diff.inline("a  b  c", "a  b  c")[0] == [{"text": t, "changed": False} for t in ("a", "  ", "b", "  ", "c")]
