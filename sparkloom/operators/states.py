@@ -293,3 +293,64 @@ def with_states(pages: DataFrame, scripts: str = "scripts", out: str = "states")
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), made], [*kept, out])
 
     return pages.mapInArrow(run, schema)
+
+
+# ---- texts in scripts, and what stands before them
+
+LITERALS = "array<struct<before:string,text:string>>"
+HELD_BACK = 6
+PART = re.compile(r"\$\{\s*([A-Za-z_$][\w$.]*)\s*\}")
+
+
+def literals(script: str | None) -> list[dict]:
+    """The texts of a script, in order, each with what stands before it: up to six names, marks and texts (as "").
+
+    Comments are passed over. Names that are assigned a text carry it to the template literals behind
+    them that hold the name, and, where one is put before a text by +, to that text.
+    """
+    script = script or ""
+    out: list[dict] = []
+    before: list[str] = []
+    known: dict[str, str] = {}
+    i, size = 0, len(script)
+    while i < size:
+        if found := SKIP.match(script, i):
+            i = found.end()
+            continue
+        if script[i] in "\"'`":
+            found = STRING.match(script, i)
+            if found is None:
+                i += 1
+                continue
+            text = unescaped(next(x for x in found.groups() if x is not None))
+            if script[i] == "`":
+                text = PART.sub(lambda m: known.get(m[1], m[0]), text)
+            if len(before) > 1 and before[-1] == "+" and before[-2] in known:
+                text = known[before[-2]] + text
+                before = before[:-2]
+            out.append({"before": "".join(before), "text": text})
+            if len(before) > 1 and before[-1] == "=":
+                known[before[-2]] = text
+            token, i = '""', found.end()
+        elif found := NAME.match(script, i):
+            token, i = re.sub(r"\s", "", found[0]), found.end()
+        else:
+            token, i = script[i], i + 1
+        before = [*before[1 - HELD_BACK :], token]
+    return out
+
+
+def with_literals(pages: DataFrame, scripts: str = "scripts", out: str = "literals") -> DataFrame:
+    """The rows with the texts of a column of arrays of (id, type, text) in one more column, as (before, text)."""
+    kept = [c for c in pages.columns if c != out]
+    schema = pages.select(*kept).schema.add(out, T._parse_datatype_string(LITERALS))
+    kind = pa.list_(pa.struct([("before", pa.string()), ("text", pa.string())]))
+    plain = lambda s: s.encode("utf-8", "replace").decode()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = batch.column(batch.schema.get_field_index(scripts))
+            rows = [[{k: plain(v) for k, v in x.items()} for s in (script.as_py() or []) for x in literals(s["text"])] for script in found]
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), pa.array(rows, kind)], [*kept, out])
+
+    return pages.mapInArrow(run, schema)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sparkloom.functions import apis
 from sparkloom.functions import frameworks as f
 from sparkloom.plans.registry import query
 from sparkloom.tables import load
@@ -67,3 +68,48 @@ for place, name in enumerate(NAMES):
 def _(s, d):
     found = made(s, d).select("id", F.explode("states").alias("x"))
     return found.select("id", "x.name", "x.title", F.length("x.text").cast("long").alias("n_chars"))
+
+
+# ---- addresses of interfaces
+
+SCRIPTS = (
+    """<div data-api-url="/api/d@k" data-config="no"></div><script>// fetch('/api/no')
+const base = 'https://x.org/v2'; fetch(`${base}/things/@k`); /* axios.get("/api/no") */ axios.post("/rest/@k", {a: 'fetch("/api/no")'}); fetch('/static/api/x'); fetch('relative/api/x');</script>""",
+    """<script>var cfg = {apiUrl: '/data/@k', logo: "/logo.png"}, root = "/api"; x.open('GET', root + '/items/@k'); y("/graphql"); z('package.json'); z('/files/@k.json')</script><!-- <script>fetch('/api/no')</script> -->""",
+    """<p>fetch('/api/no')</p><script>fetch("/api/a"); fetch('/api/a'); load('feed'); w("//cdn.org/api/x.js"); v('http://o.org/v1/@k?q')</script>""",
+)
+FOUND = {
+    0: (("attribute", "'https://s.org/api/d' || c_custkey"), ("fetch", "'https://x.org/v2/things/' || c_custkey"), ("axios", "'https://s.org/rest/' || c_custkey")),
+    1: (("config", "'https://s.org/data/' || c_custkey"), ("request", "'https://s.org/api/items/' || c_custkey"), ("graphql", "'https://s.org/graphql'"), ("rest", "'https://s.org/api'"), ("json", "'https://s.org/files/' || c_custkey || '.json'")),
+    2: (("fetch", "'https://s.org/api/a'"), ("rest", "'http://o.org/v1/' || c_custkey || '?q'")),
+}
+FOUND_SQL = " UNION ALL ".join(f"SELECT c_custkey AS id, '{by}' AS shown_by, {url} AS url FROM customer WHERE c_custkey % 3 = {kind}" for kind, rows in FOUND.items() for by, url in rows)
+
+
+@query("h38_script_apis", FOUND_SQL)
+def _(s, d):
+    k = F.col("c_custkey")
+    page = F.coalesce(*[F.when(k % len(SCRIPTS) == i, F.replace(F.lit(t), F.lit("@k"), k.cast("string"))) for i, t in enumerate(SCRIPTS)])
+    return apis.script_apis(load(s, d, "customer").select(k.alias("id"), F.lit("https://s.org/p?x").alias("url"), page.alias("html")))
+
+
+@query(
+    "l11_predicted_addresses",
+    """WITH u AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*') AS site, CASE WHEN regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) END AS path FROM pages
+    UNION ALL SELECT -1 - c_custkey, 'https://s.org', '/2024/0' || (c_custkey % 9 + 1) || '/post-' || c_custkey FROM customer)
+  SELECT page_id, unnest(list_filter([site || '/api' || path, site || '/api/v1' || path, site || path || '.json', site || '/_next/data/development' || path || '.json', CASE WHEN page_id < 0 THEN site || '/wp-json/wp/v2/posts?slug=post-' || (-1 - page_id) END, site || '/graphql?query={page(path:"' || path || '"){title,content}}'], lambda x: x IS NOT NULL)) AS address FROM u""",
+)
+def _(s, d):
+    k = F.col("c_custkey")
+    posts = load(s, d, "customer").select((-1 - k).alias("page_id"), F.concat(F.lit("https://s.org/2024/0"), (k % 9 + 1).cast("string"), F.lit("/post-"), k.cast("string"), F.lit("?x#y")).alias("url"))
+    return load(s, d, "pages").select("page_id", "url").unionAll(posts).select("page_id", F.explode(apis.predicted(F.col("url"))).alias("address"))
+
+
+ADDRESSES = ("/api/x", "/v2/x", "//cdn.org/api/", "/static/api/", "http://a.org/REST/1", "relative/api/x", "/img/a.PNG", "/a/search?q", "/fonts/api/x", "/plain", "/datasets", "mailto:a@b.c", "/x.json", "/Images/api/", "/feed", "#/api/", "http://a.org/app.js", "/_next/static/api/")
+IS_ONE = (1, 1, 0, 0, 1, 0, 0, 1, 0, 0, 1, 0, 1, 0, 1, 0, 0, 0)
+
+
+@query("l13_api_addresses", f"SELECT c_custkey AS id, ({list(IS_ONE)}[c_custkey % {len(IS_ONE)} + 1])::BOOLEAN AS is_api FROM customer")
+def _(s, d):
+    k = F.col("c_custkey")
+    return load(s, d, "customer").select(k.alias("id"), apis.looks_like_api(F.element_at(F.array(*map(F.lit, ADDRESSES)), (k % len(ADDRESSES) + 1).cast("int"))).alias("is_api"))

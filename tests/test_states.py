@@ -54,3 +54,11 @@ def test_pages_of_frameworks(spark):
     df = frameworks.prepared(spark.createDataFrame(list(enumerate(pages)), "id int, html string"))
     got = {r.id: (r.x.framework, r.x.title) if r.x else None for r in df.select("id", frameworks.any_of(F.col("nodes"), F.col("states")).alias("x")).collect()}
     assert got == {0: None, 1: None, 2: None, 3: ("nextjs", "n"), 4: ("nextjs", ""), 5: ("nuxt", ""), 6: None, 7: ("angular", ""), 8: ("vuepress", "T"), 9: None, 10: ("vitepress", "v")}
+
+
+def test_texts_in_scripts():
+    got = states.literals("""// fetch('/no')
+    const b = 'http://a'; fetch(`${b}/x/${c}`); go(b + "/y"); s = /* 'no' */ "it\\'s"; o = {k: ''}; t = 'open""")
+    assert [x["text"] for x in got] == ["http://a", "http://a/x/${c}", "http://a/y", "it's", ""]
+    assert [x["before"][-3:] for x in got] == ["tb=", "ch(", "go(", ";s=", "{k:"]
+    assert states.literals(None) == [] == states.literals("")
