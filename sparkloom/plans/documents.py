@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from sparkloom.functions import sections as v
 from sparkloom.functions import selectors as q
 from sparkloom.operators import change, diff
 from sparkloom.operators.nodes import with_nodes
@@ -81,3 +82,45 @@ def _(spark, d):
     found = diff.lines_side_by_side(load(spark, d, "part").select(k.alias("id"), joined(brand, size).alias("old"), new.alias("new")), "id")
     marked = lambda words: F.array_join(F.transform(words, lambda w: F.when(w["changed"], F.concat(F.lit("["), w["text"], F.lit("]"))).otherwise(w["text"])), "|")
     return found.select("id", marked(F.col("old_words")).alias("old_words"), marked(F.col("new_words")).alias("new_words"))
+
+
+# ---- two versions of a notice a customer
+
+OLD = "Notice @k\n\nThe fee is @k euros for the first year of it\n\n\nalpha beta gamma delta epsilon\n\n  gone away now @n"
+NEW = (
+    "Notice  @k\n\n The fee is @k euros for the first\nyear of it\n\nalpha beta gamma delta epsilon\n\ngone away now @n\n\n  \n\n",
+    "Notice @k\n\nThe fee is 7000000 euros for the first year of it\n\nalpha beta gamma delta epsilon",
+    "gone away now @n\n\nYou should look @k\n\nalpha beta gamma delta epsilon\n\nNotice @k\n\nThe fee is @k euros for the first year of it",
+    "Notice @k\n\nThe fee is @k euros for the first year of it\n\nalpha beta gamma x y z\n\nALPHA beta gamma  delta\n\ngone away now @n",
+)
+FEE = "'The fee is ' || c_custkey || ' euros for the first year of it'"
+CHANGED = (
+    (1, f"'modified' AS type, {FEE} AS old, 'The fee is 7000000 euros for the first year of it' AS new, 'high' AS significance"),
+    (1, "'removed' AS type, '  gone away now ' || c_name AS old, NULL AS new, 'low' AS significance"),
+    (2, "'added' AS type, NULL AS old, 'You should look ' || c_custkey AS new, 'medium' AS significance"),
+    (3, "'added' AS type, NULL AS old, 'alpha beta gamma x y z' AS new, 'low' AS significance"),
+    (3, "'modified' AS type, 'alpha beta gamma delta epsilon' AS old, 'ALPHA beta gamma  delta' AS new, 'low' AS significance"),
+)
+
+
+def notices(spark, d):
+    k = F.col("c_custkey")
+    fill = lambda t: F.replace(F.replace(F.lit(t), F.lit("@k"), k.cast("string")), F.lit("@n"), F.col("c_name"))
+    new = F.coalesce(*[F.when(k % len(NEW) == i, fill(t)) for i, t in enumerate(NEW)])
+    return load(spark, d, "customer").select(k.alias("id"), fill(OLD).alias("old"), new.alias("new"))
+
+
+@query("u1_section_changes", " UNION ALL ".join(f"SELECT c_custkey AS id, {values} FROM customer WHERE c_custkey % 4 = {kind}" for kind, values in CHANGED))
+def _(spark, d):
+    return notices(spark, d).select("id", F.explode(v.section_changes(F.col("old"), F.col("new"))).alias("x")).select("id", "x.*")
+
+
+@query("u10_similar_sections", f"SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 1 THEN 'alpha beta gamma delta epsilon' WHEN 2 THEN {FEE} ELSE '  gone away now ' || c_name END AS similar FROM customer")
+def _(spark, d):
+    last = F.element_at(v.sections(F.col("new")), -1)
+    return notices(spark, d).select("id", v.similar_section(last, v.sections(F.col("old"))).alias("similar"))
+
+
+@query("d11_change_reports", "SELECT c_custkey AS id, ['No significant changes detected', '1 section removed, 1 section modified (1 high-significance change)', '1 section added', '1 section added, 1 section modified'][c_custkey % 4 + 1] AS summary FROM customer")
+def _(spark, d):
+    return notices(spark, d).select("id", v.summary(v.section_changes(F.col("old"), F.col("new"))).alias("summary"))
