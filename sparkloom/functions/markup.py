@@ -158,6 +158,13 @@ def link_header(header: Column, base: Column) -> Column:
     return kept(F.flatten(F.transform(parts, each)))
 
 
+def unescaped(text: Column) -> Column:
+    """The named character references of XML decoded."""
+    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("#39", "'"), ("amp", "&")):
+        text = F.replace(text, F.lit(f"&{name};"), F.lit(char))
+    return text
+
+
 # ---- JSON
 
 
