@@ -1,15 +1,17 @@
 """Phrase collocations: suffix pointers sorted by multikey three-way quicksort, where equal partitions are counts.
 
 Texts are lower-cased (A-Z), split at marks into pieces and these into words; everything is counted
-for each language. A phrase is 2 to `longest` words of a piece that occur `least` times or more. Three
+for each language. A phrase is 2 to `longest` words of a piece that occur `least` times or more. Four
 passes over the texts, each adding up in its task before anything is shuffled:
 
 1. words, and the number of words of each language;
-2. leading words: pairs of words that are both frequent, as slots of 40 bits. A slot's count is that of
-   its pairs together, so pairs of a slot below `least` are surely not frequent; it routes the third pass;
-3. suffixes: every place where a pair of a frequent slot starts gives a suffix, as far as such pairs
-   follow, of `longest` words at most. It is sent to the partition of its leading pair. A pair that is too
-   large for one partition is dealt by three leading words, or more while the pairs that follow are as large.
+2. leading words: pairs of words that are both frequent, then triples of two such pairs, as slots of 40
+   bits. A slot's count is that of its pairs together, so those of a slot below `least` are surely not
+   frequent; the counts of pairs route the last pass;
+3. suffixes: every place where a pair of a frequent slot starts gives a suffix, as far as triples of
+   such slots follow, of `longest` words at most. It is sent to the partition of its leading pair. A pair
+   that is too large for one partition is dealt by three leading words, or more while the pairs that
+   follow are as large.
 
 Each partition sorts pointers to its suffixes by three-way quicksort, a word at a time: the suffixes
 that equal the pivot word are one phrase and go on with the next word, and a partition of fewer than
@@ -118,6 +120,10 @@ def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mixed(a * _STEP + b)
 
 
+def triple_hash(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return mixed(pair_hash(a, b) * _STEP + c)
+
+
 def held(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Whether the slot of each hash is set."""
     slot = (hashes >> np.uint64(64 - (8 * len(bits)).bit_length() + 1)).astype(np.int64)
@@ -211,20 +217,35 @@ def _emit_rows(names: list[str]) -> Callable:
     return emit
 
 
-def pair_slots(docs: DataFrame, often, least: int) -> DataFrame:
-    """(slot, n): slots of pairs of frequent words that occur often enough together; a slot is the leading bits of the pair's hash."""
+def linked(lexicon: Lexicon, x: np.ndarray, pairs: np.ndarray, triples: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Whether a pair, and a triple, of a frequent slot starts at each place; without a bitmap of triples, one of two such pairs."""
+    good, h = lexicon.often[x], lexicon.hashes
+    two, three = np.zeros(len(x), bool), np.zeros(len(x), bool)
+    at = np.flatnonzero(good[:-1] & good[1:])
+    two[at[held(pairs, pair_hash(h[x[at]], h[x[at + 1]]))]] = True
+    at = np.flatnonzero(two[:-1] & two[1:])
+    three[at if triples is None else at[held(triples, triple_hash(h[x[at]], h[x[at + 1]], h[x[at + 2]]))]] = True
+    return two, three
+
+
+def slot_counts(docs: DataFrame, often, pairs, least: int) -> DataFrame:
+    """(slot, n): slots that occur often enough, of pairs of frequent words, or with a bitmap of pairs of triples; a slot is the leading bits of the hash."""
 
     def count(lexicon: Lexicon, x: np.ndarray, sums: Sums) -> None:
-        good = lexicon.often[x]
-        at = np.flatnonzero(good[:-1] & good[1:])
+        if pairs is None:
+            good = lexicon.often[x]
+            at, size = np.flatnonzero(good[:-1] & good[1:]), 2
+        else:
+            at, size = np.flatnonzero(linked(lexicon, x, pairs.value)[1]), 3
         if len(at):
-            sums.add(np.stack([x[at], x[at + 1]], axis=1))
+            sums.add(np.stack([x[at + k] for k in range(size)], axis=1))
 
     def emit(lang: str, lexicon: Lexicon, sums: Sums) -> Iterator[pa.RecordBatch]:
         rows, n = sums.take()
+        name = pair_hash if rows.shape[1] == 2 else triple_hash
         for at in range(0, len(rows), 200_000):
             h = lexicon.hashes[rows[at : at + 200_000]]
-            yield pa.RecordBatch.from_arrays([pa.array(slots_of(pair_hash(h[:, 0], h[:, 1]))), pa.array(n[at : at + 200_000])], ["slot", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(slots_of(name(*h.T))), pa.array(n[at : at + 200_000])], ["slot", "n"])
 
     found = through_texts(docs, often, count, emit, "slot long, n long")
     return found.groupBy("slot").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
@@ -234,24 +255,21 @@ def slots_of(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - SLOT)).astype(np.int64)
 
 
-def suffixes(docs: DataFrame, often, pairs, longest: int) -> DataFrame:
-    """(h0, h1, ..., n): suffixes of two words or more along pairs of frequent slots, as hashes, 0 where they end, and how often."""
+def suffixes(docs: DataFrame, often, pairs, triples, longest: int) -> DataFrame:
+    """(h0, h1, ..., n): suffixes of two words or more along frequent slots, as hashes, 0 where they end, and how often."""
     names = [f"h{k}" for k in range(longest)]
 
     def count(lexicon: Lexicon, x: np.ndarray, sums: Sums) -> None:
-        good = lexicon.often[x]
-        at = np.flatnonzero(good[:-1] & good[1:])
-        h = lexicon.hashes
-        linked = np.zeros(len(x) + longest, bool)
-        linked[at[held(pairs.value, pair_hash(h[x[at]], h[x[at + 1]]))]] = True
-        at = np.flatnonzero(linked)
+        two, three = linked(lexicon, x, pairs.value, triples.value if triples else None)
+        at = np.flatnonzero(two)
         if not len(at):
             return
+        three = np.append(three, np.zeros(longest, bool))
         out = np.zeros((len(at), longest), np.int32)
+        out[:, 0], out[:, 1] = x[at], x[at + 1]
         more = np.ones(len(at), bool)
-        out[:, 0] = x[at]
-        for k in range(1, longest):
-            more = more & linked[at + k - 1]
+        for k in range(2, longest):
+            more = more & three[at + k - 2]
             out[more, k] = x[at[more] + k]
         sums.add(out)
 
@@ -341,14 +359,17 @@ def counted(docs: DataFrame, least: int, longest: int) -> tuple[DataFrame, DataF
     words = checkpointed(word_counts(docs, least))
     known = words.where("word is not null")
     often = sc.broadcast(bitmap(known.select("h"), known.count()))
-    slots = checkpointed(pair_slots(docs, often, least))
+    slots = checkpointed(slot_counts(docs, often, None, least))
     count, total = slots.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    pairs, triples = sc.broadcast(bitmap(slots.select(F.shiftleft("slot", 64 - SLOT)), count)), None
+    if longest > 2:
+        more = checkpointed(slot_counts(docs, often, pairs, least))
+        triples = sc.broadcast(bitmap(more.select(F.shiftleft("slot", 64 - SLOT)), more.count()))
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // OF_PARTITION))
     # so many occurrences that there are at most four large slots for each partition
     large = max(least, total // (4 * parts))
     hot = sc.broadcast(np.sort(slots.where(F.col("n") > large).select("slot").toArrow()["slot"].to_numpy()))
-    linked = sc.broadcast(bitmap(slots.select(F.shiftleft("slot", 64 - SLOT)), count))
-    return words, checkpointed(sorted_counts(routed(suffixes(docs, often, linked, longest), hot, longest, parts), hot, longest, least))
+    return words, checkpointed(sorted_counts(routed(suffixes(docs, often, pairs, triples, longest), hot, longest, parts), hot, longest, least))
 
 
 def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, most: int = MOST) -> DataFrame:
