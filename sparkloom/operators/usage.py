@@ -55,12 +55,12 @@ def values_at(rows: DataFrame, by: Sequence[str], value: str, places: dict[str,
     known = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("__v"))
     cuts = [i / ranges for i in range(1, ranges)]
     bounds = known.groupBy(*by).agg(F.count("*").alias("__n"), F.percentile_approx("__v", cuts, 1000).alias("__b"))
-    tagged = known.join(F.broadcast(bounds), list(by)).withColumn("__range", F.size(F.filter("__b", lambda x: x < F.col("__v")))).drop("__b")
+    tagged = known.join(bounds, list(by)).withColumn("__range", F.size(F.filter("__b", lambda x: x < F.col("__v")))).drop("__b")
     counts = tagged.groupBy(*by, "__range").agg(F.count("*").alias("__c"), F.first("__n").alias("__n"))
     before = F.sum("__c").over(Window.partitionBy(*by).orderBy("__range")) - F.col("__c")
     wanted = F.filter(F.array(*[p.cast("long") for p in places.values()]), lambda p: (p >= F.col("__before")) & (p < F.col("__before") + F.col("__c")))
     needed = counts.withColumn("__before", before).where(F.size(wanted) > 0).select(*by, "__range", "__before")
-    values = tagged.join(F.broadcast(needed), [*by, "__range"]).groupBy(*by, "__range", "__v").agg(F.count("*").alias("__c"), F.first("__n").alias("__n"), F.first("__before").alias("__before"))
+    values = tagged.join(needed, [*by, "__range"]).groupBy(*by, "__range", "__v").agg(F.count("*").alias("__c"), F.first("__n").alias("__n"), F.first("__before").alias("__before"))
     upto = F.col("__before") + F.sum("__c").over(Window.partitionBy(*by, "__range").orderBy("__v"))
     placed = values.withColumn("__upto", upto)
     picks = [F.max(F.when((p < F.col("__upto")) & (p >= F.col("__upto") - F.col("__c")), F.col("__v"))).alias(name) for name, p in places.items()]
