@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import sections as v
+from sparkloom.functions import slots as s
 from sparkloom.functions import selectors as q
 from sparkloom.operators import change, diff
 from sparkloom.operators.nodes import with_nodes
@@ -124,3 +125,35 @@ def _(spark, d):
 @query("d11_change_reports", "SELECT c_custkey AS id, ['No significant changes detected', '1 section removed, 1 section modified (1 high-significance change)', '1 section added', '1 section added, 1 section modified'][c_custkey % 4 + 1] AS summary FROM customer")
 def _(spark, d):
     return notices(spark, d).select("id", v.summary(v.section_changes(F.col("old"), F.col("new"))).alias("summary"))
+
+
+# ---- dates of orders in seven forms, and notices of appointments a customer
+
+ENGLISH, SPANISH, GERMAN, FRENCH = (s.MONTHS[i] for i in (0, 2, 4, 5))
+LISTED = lambda names: "['" + "','".join(names.split()) + "']"
+DATED = f"""SELECT o_orderkey AS id, CASE o_orderkey % 7 WHEN 6 THEN 'on ' || strftime(o_orderdate, '%Y') ELSE strftime(o_orderdate, '%Y-%m-%d') END AS day FROM orders"""
+
+
+@query("x32_iso_dates", DATED)
+def _(spark, d):
+    day, k = F.col("o_orderdate"), F.col("o_orderkey")
+    part = lambda form: F.date_format(day, form)
+    name = lambda names: F.element_at(F.array(*map(F.lit, names.split())), F.month(day))
+    forms = (part("yyyy-MM-dd"), part("d/M/yyyy"), part("dd.MM.yy"), F.concat(F.initcap(name(ENGLISH)), part(" d, yyyy")), F.concat(part("d"), F.lit(" de "), name(SPANISH), F.lit(" de "), part("yyyy")), F.concat(part("d"), F.lit(". "), F.upper(name(GERMAN)), part(" yyyy")), F.concat(F.lit("on "), part("yyyy")))
+    written = F.coalesce(*[F.when(k % 7 == i, x) for i, x in enumerate(forms)])
+    return load(spark, d, "orders").select(k.alias("id"), s.iso_date(written).alias("day"))
+
+
+SLOTS = "Open\n  15 March 2031 from 9:30\nx\n4.1.2030 Termin @k\nCall at 14:05 or 16:00\n15 March 2031 from 9:30 again\n12 de mayo de 2029: libre\nno date or time here\n2030-01-03 nothing"
+
+
+@query(
+    "x31_time_slots",
+    " UNION ALL ".join(
+        f"SELECT c_custkey AS id, {place} AS place, {date} AS date, {time} AS time, {sure}::DOUBLE AS confidence FROM customer"
+        for place, date, time, sure in (("0", "'2029-05-12'", "'2029'", 0.9), ("1", "'2030-01-03'", "'2030'", 0.9), ("2", "'2030-01-04'", "'2030'", 0.9), ("3", "'2031-03-15'", "'2031'", 0.9), ("4", "NULL", "'14:05'", 0.5))
+    ),
+)
+def _(spark, d):
+    notice = F.replace(F.lit(SLOTS), F.lit("@k"), F.substring(F.col("c_name"), 1, 4))
+    return load(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.posexplode(s.time_slots(notice)).alias("place", "x")).select("id", "place", "x.date", "x.time", "x.confidence")
