@@ -30,7 +30,7 @@ OF_ANGULAR = ("__INITIAL_STATE__", "__STATE__", "__APP_STATE__", "initialState",
 
 def scripts(nodes: Column) -> Column:
     """Array of (id, type, text) of a page's scripts."""
-    return F.transform(q.select(nodes, "script"), lambda s: F.struct(s["id"].alias("id"), q.attr(s, "type").alias("type"), q.raw_text(nodes, s).alias("text")))
+    return F.transform(q.select(nodes, "script"), lambda s: F.struct(s["id"].alias("id"), q.attr(s, "type").alias("type"), q.raw_text(nodes, s, True).alias("text")))
 
 
 def candidates(nodes: Column, states: Column, name: str) -> Column:
@@ -48,8 +48,8 @@ def candidates(nodes: Column, states: Column, name: str) -> Column:
     found = F.transform(mine, lambda s: F.struct(F.lit(name).alias("framework"), s["title"].alias("title"), s["text"].alias("text")))
     if not boxes:
         return found
-    heading = F.coalesce(q.text_of(nodes, q.first(nodes, "h1")), F.lit(""))
-    held = F.array(*[F.struct(F.lit(name).alias("framework"), heading.alias("title"), F.coalesce(q.text_of(nodes, q.first(nodes, b)), F.lit("")).alias("text")) for b in boxes])
+    heading = F.coalesce(q.text_of(nodes, q.first(nodes, "h1"), True), F.lit(""))
+    held = F.array(*[F.struct(F.lit(name).alias("framework"), heading.alias("title"), F.coalesce(q.text_of(nodes, q.first(nodes, b), True), F.lit("")).alias("text")) for b in boxes])
     return F.concat(found, F.filter(held, lambda x: there))
 
 

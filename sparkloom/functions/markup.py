@@ -109,7 +109,7 @@ def items(nodes: Column, kind: str, prop: str) -> Column:
     def pairs(owners: Column) -> Column:
         def pair(x: Column) -> Column:
             owner = F.try_element_at(F.filter(owners, lambda o: q.inside(x, o)), F.lit(-1))
-            value = F.coalesce(q.attr(x, "content"), q.attr(x, "href"), q.attr(x, "src"), F.nullif(q.squeezed(q.raw_text(nodes, x)), F.lit("")))
+            value = F.coalesce(q.attr(x, "content"), q.attr(x, "href"), q.attr(x, "src"), F.nullif(q.squeezed(q.raw_text(nodes, x, True)), F.lit("")))
             own = F.element_at(F.split(q.attr(owner, kind), "/"), -1)
             return F.struct(own.alias("type"), q.attr(x, prop).alias("name"), value.alias("content"))
 
@@ -143,7 +143,7 @@ def link_elements(nodes: Column, base: Column) -> Column:
 def anchors(nodes: Column, base: Column) -> Column:
     """Array of (href, text) of anchors that lead somewhere."""
     real = F.filter(q.select(nodes, "a[href]"), lambda x: ~q.attr(x, "href").rlike("^(?i)(?:#|javascript:|mailto:|tel:|$)"))
-    return F.transform(real, lambda x: F.struct(resolved(base, q.attr(x, "href")).alias("href"), q.squeezed(q.raw_text(nodes, x)).alias("text")))
+    return F.transform(real, lambda x: F.struct(resolved(base, q.attr(x, "href")).alias("href"), q.squeezed(q.raw_text(nodes, x, True)).alias("text")))
 
 
 def link_header(header: Column, base: Column) -> Column:
@@ -185,7 +185,7 @@ def entries(json: Column) -> Column:
 
 def json_ld(page: Column) -> Column:
     """The nodes of a page's JSON-LD as JSON texts, graphs and lists taken apart."""
-    bodies = F.transform(q.select(page, 'script[type="application/ld+json"]'), lambda x: q.raw_text(page, x))
+    bodies = F.transform(q.select(page, 'script[type="application/ld+json"]'), lambda x: q.raw_text(page, x, True))
     nodes = F.flatten(F.transform(bodies, as_list))
     graph = lambda n: F.get_json_object(n, "$['@graph']")
     return F.flatten(F.transform(nodes, lambda n: F.when(graph(n).isNotNull(), as_list(graph(n))).when(n.rlike(r"^\s*\{") & F.get_json_object(n, "$").isNotNull(), F.array(n)).otherwise(F.array().cast("array<string>"))))

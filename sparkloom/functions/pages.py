@@ -1,4 +1,4 @@
-"""Articles, tables and links of pages, over the node arrays of operators.nodes.
+"""Articles, tables and links of pages, over the node arrays of operators.nodes, as these give them.
 
 Defined results: pages without nodes are no articles and have no tables or links; what is not found is null.
 """
@@ -36,7 +36,7 @@ def body_words(nodes: Column) -> Column:
 
 def has_schema_type(nodes: Column, *types: str) -> Column:
     """Whether a page's JSON-LD names one of the types, in a node or one of its graph."""
-    bodies = F.transform(q.select(nodes, 'script[type="application/ld+json"]'), lambda s: q.raw_text(nodes, s))
+    bodies = F.transform(q.select(nodes, 'script[type="application/ld+json"]'), lambda s: q.raw_text(nodes, s, True))
     wanted = F.array(*map(F.lit, types))
 
     def one(v: Column) -> Column:
@@ -69,7 +69,7 @@ def modified(nodes: Column) -> Column:
 
 def author(nodes: Column) -> Column:
     """From metadata, else the first selector whose first match has 1 to 99 characters, without words like `by` before the name."""
-    found = [q.text_of(nodes, q.first(nodes, s)) for s in AUTHORS]
+    found = [q.text_of(nodes, q.first(nodes, s), True) for s in AUTHORS]
     named = F.coalesce(*[F.when((F.length(t) > 0) & (F.length(t) < 100), t) for t in found])
     return F.coalesce(q.meta(nodes, *AUTHOR_METAS), F.trim(F.regexp_replace(named, r"(?i)^(?:by|written by|author:|posted by)\s*", "")))
 
@@ -78,13 +78,13 @@ def tags(nodes: Column) -> Column:
     """Distinct tags, as they first come: keywords, article tags, then tags of fewer than 50 characters on the page."""
     keywords = F.split(F.coalesce(q.attr(q.first(nodes, 'meta[name="keywords"]'), "content"), F.lit("")), ",")
     listed = F.transform(q.select(nodes, 'meta[property="article:tag"]'), lambda m: q.attr(m, "content"))
-    shown = F.filter(F.transform(q.select(nodes, TAGS), lambda x: q.text_of(nodes, x)), lambda t: F.length(t) < 50)
+    shown = F.filter(F.transform(q.select(nodes, TAGS), lambda x: q.text_of(nodes, x, True)), lambda t: F.length(t) < 50)
     found = F.concat(F.transform(F.concat(keywords, listed), lambda t: F.trim(t)), shown)
     return F.array_distinct(F.filter(found, lambda t: F.coalesce(t, F.lit("")) != ""))
 
 
 def category(nodes: Column) -> Column:
-    text = lambda s: F.nullif(q.text_of(nodes, q.first(nodes, s)), F.lit(""))
+    text = lambda s: F.nullif(q.text_of(nodes, q.first(nodes, s), True), F.lit(""))
     return F.coalesce(q.meta(nodes, 'meta[property="article:section"]'), text(".category"), text(".post-category"))
 
 
@@ -101,9 +101,9 @@ def main_content(nodes: Column) -> Column:
         return q.let(q.without(nodes, q.select(q.within(nodes, x), CONTENT_NOISE)), lambda clean: q.markdown(clean, x))
 
     places = F.array(*[q.first(nodes, s) for s in CONTENTS])
-    full = F.filter(places, lambda x: x.isNotNull() & (F.length(q.text_of(nodes, x)) > LEAST_CONTENT))
+    full = F.filter(places, lambda x: x.isNotNull() & (F.length(q.text_of(nodes, x, True)) > LEAST_CONTENT))
     good = F.get(F.filter(F.transform(F.array_distinct(F.transform(full, lambda x: x["node"])), lambda i: cleaned(F.get(F.filter(full, lambda x: x["node"] == i), F.lit(0)))), lambda t: F.length(t) > LEAST_CONTENT), F.lit(0))
-    sized = F.transform(q.select(nodes, "div, section, main"), lambda x: F.struct(F.length(q.text_of(nodes, x)).alias("n"), (-x["node"]).alias("at")))
+    sized = F.transform(q.select(nodes, "div, section, main"), lambda x: F.struct(F.length(q.text_of(nodes, x, True)).alias("n"), (-x["node"]).alias("at")))
     largest = q.let(F.array_max(sized), lambda best: F.when(best["n"] > 0, q.markdown(nodes, F.get(nodes, -best["at"]))))
     return F.coalesce(good, largest, F.lit(""))
 
@@ -156,7 +156,7 @@ def static_page(nodes: Column) -> Column:
 
 def structured_page(nodes: Column) -> Column:
     """(title, text) of a page's JSON-LD, else of its Open Graph data; nulls where it has neither."""
-    script = q.text_of(nodes, q.first(nodes, 'script[type="application/ld+json"]'))
+    script = q.text_of(nodes, q.first(nodes, 'script[type="application/ld+json"]'), True)
     value = lambda *paths: F.coalesce(*[F.nullif(F.trim(F.get_json_object(script, p)), F.lit("")) for p in paths])
     title = F.coalesce(value("$.headline", "$.name"), q.meta(nodes, 'meta[property="og:title"]'))
     text = F.coalesce(value("$.articleBody", "$.description"), q.meta(nodes, 'meta[property="og:description"]'))
@@ -196,7 +196,7 @@ def tables(nodes: Column) -> Column:
         def table(t: Column) -> Column:
             nested = F.filter(all_tables, lambda x: q.inside(x, t))
             own = lambda xs, nested: F.filter(xs, lambda x: q.inside(x, t) & ~F.exists(nested, lambda o: q.inside(x, o)))
-            texts = lambda xs: F.transform(xs, lambda c: q.text_of(nodes, c))
+            texts = lambda xs: F.transform(xs, lambda c: q.text_of(nodes, c, True))
 
             def filled(r: Column) -> Column:
                 part = lambda x: F.get(nodes, x["parent"])["tag"]
@@ -211,7 +211,7 @@ def tables(nodes: Column) -> Column:
                     plain = F.filter(r, lambda x: ~((x["node"] == top["node"]) & (F.size(headers) > 0)))
                     used = F.when(F.size(bodies) > 0, bodies).otherwise(plain)
                     return F.struct(
-                        q.text_of(nodes, F.get(own(captions, nested), F.lit(0))).alias("caption"),
+                        q.text_of(nodes, F.get(own(captions, nested), F.lit(0)), True).alias("caption"),
                         t["id"].alias("id"),
                         headers.alias("headers"),
                         F.filter(F.transform(used, lambda x: texts(of(x))), lambda x: F.size(x) > 0).alias("rows"),
@@ -260,7 +260,7 @@ def links(nodes: Column) -> Column:
 
     def one(a: Column) -> Column:
         around = F.get(nodes, F.when(a["parent"] >= 0, a["parent"]))
-        return F.struct(q.attr(a, "href").alias("href"), q.text_of(nodes, a).alias("text"), F.substring(q.text_of(nodes, around), 1, 200).alias("context"))
+        return F.struct(q.attr(a, "href").alias("href"), q.text_of(nodes, a, True).alias("text"), F.substring(q.text_of(nodes, around, True), 1, 200).alias("context"))
 
     real = F.filter(q.select(nodes, "a[href]"), lambda a: (q.attr(a, "href") != "") & ~q.attr(a, "href").rlike("^(?:#|javascript:)"))
     return F.transform(real, one)

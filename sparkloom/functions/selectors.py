@@ -103,9 +103,10 @@ def within(nodes: Column, x: Column) -> Column:
     return F.filter(nodes, lambda n: inside(n, x))
 
 
-def raw_text(nodes: Column, x: Column) -> Column:
-    """All text inside a node as it stands."""
-    return F.array_join(F.transform(F.filter(nodes, lambda n: (n["tag"] == "#text") & inside(n, x)), lambda n: n["text"]), "")
+def raw_text(nodes: Column, x: Column, whole: bool = False) -> Column:
+    """All text inside a node as it stands; of all nodes of a page (whole), only those inside it are looked at."""
+    held = F.slice(nodes, x["node"] + 2, x["last"] - x["node"]) if whole else F.filter(nodes, lambda n: inside(n, x))
+    return F.array_join(F.transform(F.filter(held, lambda n: n["tag"] == "#text"), lambda n: n["text"]), "")
 
 
 def squeezed(text: Column) -> Column:
@@ -116,9 +117,9 @@ def trimmed(text: Column) -> Column:
     return F.regexp_replace(text, r"^[\s ]+|[\s ]+\z", "")
 
 
-def text_of(nodes: Column, x: Column) -> Column:
+def text_of(nodes: Column, x: Column, whole: bool = False) -> Column:
     """The text inside a node, trimmed; null where the node is."""
-    return F.when(x.isNotNull(), trimmed(raw_text(nodes, x)))
+    return F.when(x.isNotNull(), trimmed(raw_text(nodes, x, whole)))
 
 
 def attr(x: Column, name: str) -> Column:
@@ -209,10 +210,10 @@ def extraction(nodes: Column) -> Column:
 
 
 def rows_of(nodes: Column, selectors: dict[str, str]) -> Column:
-    """Array of structs: the nth match of each selector side by side, as many as the first one has; a match's text, else its href, else its src."""
+    """Array of structs, from all nodes of a page: the nth match of each selector side by side, as many as the first one has; a match's text, else its href, else its src."""
 
     def value(x: Column) -> Column:
-        return F.coalesce(F.nullif(text_of(nodes, x), F.lit("")), attr(x, "href"), attr(x, "src"))
+        return F.coalesce(F.nullif(text_of(nodes, x, True), F.lit("")), attr(x, "href"), attr(x, "src"))
 
     matches = F.array(*[F.transform(select(nodes, s), value) for s in selectors.values()])
     return let(matches, lambda m: F.transform(m[0], lambda _, i: F.struct(*[F.get(m[k], i).alias(name) for k, name in enumerate(selectors)])))
