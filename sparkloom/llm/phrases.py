@@ -106,13 +106,19 @@ class Sums:
         _, first, of = np.unique(key, return_index=True, return_inverse=True)
         self.parts.append((rows[first].astype(np.int32), np.bincount(of, n, len(first)).astype(np.int64)))
         self.size += len(first)
-        if self.size > HELD and len(self.parts) > 1:
-            rows, n = self.take()
+        if self.size > HELD:
+            self.compact()
+
+    def compact(self) -> None:
+        """Counts of equal rows become one."""
+        if len(self.parts) > 1:
+            rows, n = (np.concatenate(x) for x in zip(*self.parts))
+            self.parts, self.size = [], 0
             self.add(rows, n)
 
     def take(self) -> tuple[np.ndarray, np.ndarray]:
-        rows, n = np.concatenate([r for r, _ in self.parts]), np.concatenate([n for _, n in self.parts])
-        self.parts, self.size = [], 0
+        self.compact()
+        (rows, n), self.parts, self.size = self.parts[0], [], 0
         return rows, n
 
 
@@ -168,7 +174,10 @@ def through_texts(docs: DataFrame, often, count: Callable, emit: Callable, schem
             for lang, texts in by_lang.items():
                 lexicon, sums = state.setdefault(lang, (Lexicon(lang, bits), Sums()))
                 count(lexicon, lexicon.numbers(texts), sums)
-            # what a task holds is bounded over all its languages together
+            # what a task holds is bounded over all its languages together; it adds up before it hands on
+            if sum(s.size for _, s in state.values()) > HELD:
+                for _, s in state.values():
+                    s.compact()
             while sum(len(x.words) for x, _ in state.values()) > KNOWN or sum(s.size for _, s in state.values()) > HELD or len(state) > 256:
                 yield from flush(max(state, key=lambda x: len(state[x][0].words) + state[x][1].size))
         for lang in list(state):
