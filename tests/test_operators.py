@@ -255,3 +255,19 @@ def test_lines_side_by_side(spark):
                 assert "".join(w.text for w in r.old_words) == r.old and "".join(w.text for w in r.new_words) == r.new
                 assert [w.text for w in r.old_words if not w.changed] == [w.text for w in r.new_words if not w.changed]
     assert diff.inline("a  b  c", "a  b  c")[0] == [{"text": t, "changed": False} for t in ("a", "  ", "b", "  ", "c")]
+
+
+def test_sections_and_slots_of_odd_texts(spark):
+    from sparkloom.functions import sections, slots
+
+    rows = [(0, None, None), (1, "", "a b c"), (2, "a b c", None), (3, "same\n\n\nsame", "same"), (4, "one two three", "one two three four\n\none two three five"), (5, "x" * 300 + " end", "x" * 300 + " other")]
+    df = spark.createDataFrame(rows, "id int, old string, new string")
+    got = {r.id: [(x.type, x.old, x.new) for x in r.x] for r in df.select("id", sections.section_changes(F.col("old"), F.col("new")).alias("x")).collect()}
+    assert got[0] == got[3] == [] and got[1] == [("added", None, "a b c")] and got[2] == [("removed", "a b c", None)]
+    assert got[4] == [("modified", "one two three", "one two three four"), ("modified", "one two three", "one two three five")]
+    assert got[5] == [("added", None, "x" * 200), ("removed", "x" * 200, None)]
+    dates = [(None, None), ("", ""), ("31.12.51", "1951-12-31"), ("1/2/49", "2049-02-01"), ("Sept 3, 2024", "2024-09-03"), ("3 agosto 2024", "2024-08-03"), ("5. marz 2020", "2020-03-05"), ("5 de juin 2020", "2020-06-05"), ("5 nomonth 2020", "5 nomonth 2020")]
+    assert [(r.d, r.x) for r in spark.createDataFrame([(d,) for d, _ in dates], "d string").select("d", slots.iso_date(F.col("d")).alias("x")).collect()] == dates
+    texts = [None, "", "1:3\n" + "9:30 " * 60, "Call 9:30\nCall 9:30\nnothing here"]
+    found = spark.createDataFrame([(t,) for t in texts], "t string").select(slots.time_slots(F.col("t")).alias("x")).collect()
+    assert [[(s.date, s.time, s.raw) for s in r.x] for r in found] == [[], [], [], [(None, "9:30", "Call 9:30")]]
