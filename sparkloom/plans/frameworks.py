@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions import apis
 from sparkloom.functions import frameworks as f
 from sparkloom.plans.registry import query
-from sparkloom.tables import load
+from sparkloom.tables import load, spread
 
 #: Templates: @k is the key, @s the text as a string literal, @t the text as markup.
 TEMPLATES = (
@@ -39,7 +39,8 @@ def made(s, d):
     markup = F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     fill = lambda t: F.replace(F.replace(F.replace(F.lit(t), F.lit("@k"), k.cast("string")), F.lit("@t"), markup), F.lit("@s"), literal)
     page = F.coalesce(*[F.when(k % len(TEMPLATES) == i, fill(t)) for i, t in enumerate(TEMPLATES)])
-    return f.prepared(load(s, d, "documents").where("doc_id is not null").select(k.alias("id"), page.alias("html"))).drop("html")
+    given = spread(load(s, d, "documents").where("doc_id is not null").select("doc_id", "text"), "doc_id")
+    return f.prepared(given.select(k.alias("id"), page.alias("html"))).drop("html")
 
 
 @query("h30_framework_pages", f"{MADE} SELECT s.id, found.framework, found.title, md5(found.text) AS text_md5 FROM s LEFT JOIN found ON found.id = s.id")

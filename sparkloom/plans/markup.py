@@ -8,9 +8,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkloom.functions import markup as m
-from sparkloom.operators.nodes import with_nodes
+from sparkloom.operators.nodes import SELECTED, with_nodes
 from sparkloom.plans.registry import query
-from sparkloom.tables import load
+from sparkloom.tables import load, spread
 
 
 def text(template: str, **columns):
@@ -37,13 +37,14 @@ ITEM = """<div itemscope itemtype="https://schema.org/Product"><span itemprop="n
 TRICKS = """<!-- <meta property="og:title" content="no"><a href="/no">no</a><div itemscope itemtype="x/Product"><b itemprop="name">no</b></div> --><script>var a = '<meta name="twitter:card" content="no"><link rel=help href=no><a href=/no>no</a>'</script>"""
 
 
-def shop(s, d):
+def shop(s, d, fields=SELECTED):
     """(id, url, nodes): a page a part; every third has JSON-LD, every third microdata and RDFa, every third metadata alone."""
     k = F.col("p_partkey")
     columns = dict(name=F.col("p_name"), key=k, brand=F.col("p_brand"), price=F.col("p_retailprice"), size=F.col("p_size"), kind=F.when(k % 2 == 0, "product").otherwise("article"))
     more = F.when(k % 3 == 0, text(NODE.replace("{broken", "[broken"), **columns)).when(k % 3 == 1, text(ITEM, **columns)).otherwise("")
     html = F.concat(F.lit(TRICKS), text(HEAD, **columns), more, F.lit("</body></html>"))
-    return with_nodes(load(s, d, "part").select(k.alias("id"), text("http://shop.org/list/{key}", **columns).alias("url"), html.alias("html"))).drop("html")
+    parts = spread(load(s, d, "part").select("p_partkey", "p_name", "p_brand", "p_retailprice", "p_size"), "p_partkey")
+    return with_nodes(parts.select(k.alias("id"), text("http://shop.org/list/{key}", **columns).alias("url"), html.alias("html")), keep=False, fields=fields)
 
 
 def pairs(name: str, sql: str, found):
@@ -107,13 +108,13 @@ def _(s, d):
 @query("h20_has_structured_data", "SELECT page_id, regexp_matches(html, 'application/ld\\+json|itemscope|property=\"og:|name=\"twitter:|name=\"dc\\.|typeof=') AS has FROM pages UNION ALL SELECT -1 - p_partkey, true FROM part")
 def _(s, d):
     made = shop(s, d).select((-1 - F.col("id")).alias("page_id"), "nodes")
-    given = with_nodes(load(s, d, "pages").select("page_id", "html")).select("page_id", "nodes")
+    given = with_nodes(load(s, d, "pages").select("page_id", "html"), keep=False, fields=SELECTED)
     return given.unionAll(made).select("page_id", m.has_structured_data(F.col("nodes")).alias("has"))
 
 
 @query("h21_has_product", "SELECT p_partkey AS id, true AS has FROM part UNION ALL SELECT -1 - page_id, false FROM pages")
 def _(s, d):
-    given = with_nodes(load(s, d, "pages").select((-1 - F.col("page_id")).alias("id"), "html")).select("id", "nodes")
+    given = with_nodes(load(s, d, "pages").select((-1 - F.col("page_id")).alias("id"), "html"), keep=False, fields=SELECTED)
     return shop(s, d).select("id", "nodes").unionAll(given).select("id", m.has_product(F.col("nodes")).alias("has"))
 
 
@@ -133,7 +134,7 @@ FORMATS = {"hal": HAL, "json-api": JSON_API, "siren": SIREN, "collection+json":
 
 
 def documents(s, d, template):
-    return load(s, d, "customer").select(F.col("c_custkey").alias("id"), text(template, key=F.col("c_custkey"), name=F.col("c_name")).alias("doc"))
+    return spread(load(s, d, "customer").select("c_custkey", "c_name"), "c_custkey").select(F.col("c_custkey").alias("id"), text(template, key=F.col("c_custkey"), name=F.col("c_name")).alias("doc"))
 
 
 def linked(name: str, template: str, found, *links: tuple[str, str, str]):
@@ -158,7 +159,7 @@ linked("f28_api_links", HAL, lambda doc, base: m.api_links(m.hal_links(doc, base
 def _(s, d):
     docs = F.array(*[text(t, key=F.col("c_custkey"), name=F.col("c_name")) for t in (*FORMATS.values(), '{"data": [], "links": "{key}"}')])
     chosen = F.element_at(docs, (F.col("c_custkey") % 6 + 1).cast("int"))
-    return load(s, d, "customer").select(F.col("c_custkey").alias("id"), m.hypermedia_format(chosen).alias("format"))
+    return spread(load(s, d, "customer").select("c_custkey", "c_name"), "c_custkey").select(F.col("c_custkey").alias("id"), m.hypermedia_format(chosen).alias("format"))
 
 
 @query("h47_pagination_links", "SELECT c_custkey AS id, 'http://api.org/v?2' AS next, 'http://api.org/v?0' AS prev, 'http://api.org/v?1' AS first, CAST(NULL AS VARCHAR) AS last FROM customer")
