@@ -327,8 +327,12 @@ def documentation_links(links: Column) -> Column:
 
 def pagination_links(links: Column) -> Column:
     """(next, prev, first, last): the last link of each of these relations."""
-    of = lambda *rels: F.try_element_at(F.filter(links, lambda x: F.lower(x["rel"]).isin(*rels)), F.lit(-1))["href"]
-    return F.struct(of("next").alias("next"), of("prev", "previous").alias("prev"), of("first").alias("first"), of("last").alias("last"))
+
+    def told(links: Column) -> Column:
+        of = lambda *rels: F.try_element_at(F.filter(links, lambda x: F.lower(x["rel"]).isin(*rels)), F.lit(-1))["href"]
+        return F.struct(of("next").alias("next"), of("prev", "previous").alias("prev"), of("first").alias("first"), of("last").alias("last"))
+
+    return q.let(links, told)
 
 
 # ---- sitemaps and robots files
@@ -375,10 +379,12 @@ def robots_hints(text: Column) -> Column:
 
 def sitemap_hints(xml: Column) -> Column:
     """Hints at interfaces in a sitemap: each URL once, rarely changing ones a tenth higher."""
-    rows = sitemap(xml)
-    fresh = F.filter(rows, lambda x, i: F.array_position(F.transform(rows, lambda y: y["loc"]), x["loc"]) == i + 1)
     slow = lambda x: F.when(x["changefreq"].isin("monthly", "yearly", "never"), 1.1).otherwise(1.0)
-    return F.array_compact(F.transform(fresh, lambda x: first_hint(x["loc"], SITEMAP_HINTS, slow(x))))
+    # in order of their URLs, so that the first entry of each is the one with another URL before it; then as they were
+    keyed = F.array_sort(F.transform(sitemap(xml), lambda x, i: F.struct(x["loc"].alias("loc"), i.alias("i"), slow(x).alias("slow"))))
+    fresh = q.let(keyed, lambda k: F.filter(k, lambda x, j: (j == 0) | (F.get(k, j - 1)["loc"] != x["loc"])))
+    ordered = F.array_sort(F.transform(fresh, lambda x: F.struct(x["i"], x["loc"], x["slow"])))
+    return F.array_compact(F.transform(ordered, lambda x: first_hint(x["loc"], SITEMAP_HINTS, x["slow"])))
 
 
 def hints_from(hints: Column, least: float) -> Column:

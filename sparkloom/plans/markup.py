@@ -183,7 +183,7 @@ def site(s, d):
     folder = F.element_at(F.array(*map(F.lit, ("/docs/api/", "/openapi/", "/dev/", "/shop/"))), (k % 4 + 1).cast("int"))
     entry = F.concat(F.lit("<url>\n<loc> http://s.org"), folder, k.cast("string"), F.lit("?a=1&amp;b=2</loc><lastmod>2024-01-01</lastmod>"), F.when(k % 2 == 0, "<changefreq>Monthly</changefreq>").otherwise("<changefreq>daily</changefreq>"), F.lit("<priority>0.5</priority></url>"))
     # a nation's suppliers make one file, which is the input of the functions shown here
-    return load(s, d, "supplier").groupBy(F.col("s_nationkey").alias("id")).agg(F.concat(F.lit("<?xml?><urlset>"), F.array_join(F.collect_list(entry), "\n"), F.lit("<url><lastmod>1</lastmod></url></urlset>")).alias("xml"))
+    return spread(load(s, d, "supplier"), "s_nationkey").groupBy(F.col("s_nationkey").alias("id")).agg(F.concat(F.lit("<?xml?><urlset>"), F.array_join(F.collect_list(entry), "\n"), F.lit("<url><lastmod>1</lastmod></url></urlset>")).alias("xml"))
 
 
 @query("h48_sitemap", f"WITH {SITE_SQL} SELECT id, 'http://s.org' || folder || k || '?a=1&b=2' AS loc, '2024-01-01' AS lastmod, CASE WHEN k % 2 = 0 THEN 'monthly' ELSE 'daily' END AS changefreq, 0.5::DOUBLE AS priority FROM site")

@@ -1,13 +1,15 @@
 """What keeps queries in time and memory on larger tables: how rows are dealt, what is read, and growth within a row."""
 
 import os
+import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.functions import selectors as q
-from sparkloom.operators import nodes
-from sparkloom.plans import documents, frameworks, markup, pages
+from sparkloom.operators import joins, nodes
+from sparkloom.plans import frameworks, markup, pages, registry
 
 DATA = "/root/testdata/sf0.001"
 needs_tables = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
@@ -27,3 +29,33 @@ def test_nodes_with_some_fields(spark):
     n = F.col("nodes")
     got = found.select("id", F.size(n).alias("size"), F.transform(q.select(n, "ul, li, b, p"), lambda x: q.raw_text(n, x, True)).alias("texts")).orderBy("id").collect()
     assert [r.size for r in got] == [6, 0, 300] and got[0].texts == ["ab", "a", "b", "b"] and got[2].texts == [""] * 300
+
+
+def test_hints_of_a_large_sitemap(spark):
+    # each URL once, the first counts: its entries are not compared with all others
+    entry = lambda i, freq: f"<url><loc>http://s.org/dev/{i}</loc><changefreq>{freq}</changefreq></url>"
+    xml = "".join(entry(i % 6000, "daily" if i < 6000 else "never") for i in range(9000))
+    df = spark.createDataFrame([(xml,)], "xml string").select(F.explode(markup.m.sitemap_hints(F.col("xml"))).alias("h")).select("h.*")
+    assert [(r.path, r.score) for r in df.collect()] == [(f"http://s.org/dev/{i}", 0.4) for i in range(6000)]
+
+
+def test_counts_above_equal_pairs(spark):
+    rng = random.Random(4)
+    value = lambda: rng.choice([None, float("nan"), float("inf"), -float("inf"), 0.0, -0.0, rng.uniform(-3, 3), float(rng.randint(-2, 2))])
+    rows = [(i, rng.choice([1, 2, None]), value()) for i in range(120)]
+    others = [(rng.choice([1, 2, 3, None]), value()) for i in range(150)]
+    a, b = spark.createDataFrame(rows, "id int, k int, v double"), spark.createDataFrame(others, "k int, v double")
+    want = a.alias("a").join(b.alias("b"), F.expr("a.k = b.k and b.v > a.v")).groupBy("a.id").agg(F.count("*").alias("n"))
+    assert sorted(joins.counted_above(a, b, "k", "v").select("id", "n").collect()) == sorted(want.collect())
+
+
+@needs_tables
+def test_an_order_that_stands_twice_is_one_entry(spark, tmp_path):
+    for name in ("orders", "lineitem"):
+        rows = spark.read.parquet(f"{DATA}/{name}.parquet")
+        rows.unionAll(rows.limit(40) if name == "orders" else rows.limit(0)).write.parquet(f"{tmp_path}/{name}.parquet")
+    con = duckdb.connect()
+    for name in ("orders", "lineitem"):
+        con.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    got = registry.QUERIES["a46_engine_stats"](spark, str(tmp_path)).select("domain", "entries", "patterns", "failures", "validators").collect()
+    assert sorted(map(tuple, got)) == sorted(con.sql(registry.SQL["a46_engine_stats"]).fetchall())
