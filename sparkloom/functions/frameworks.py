@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions import selectors as q
-from sparkloom.operators.nodes import with_nodes
-from sparkloom.operators.states import with_states
+from sparkloom.operators.nodes import SELECTED, with_nodes
+from sparkloom.operators.states import STATE_KIND, STATES, clean_states
 
 FOUND = "struct<framework:string,title:string,text:string>"
 #: Fixed values: (framework, names of its states, least text, what shows that it is there, containers of its text, or nothing).
@@ -64,7 +64,6 @@ def any_of(nodes: Column, states: Column) -> Column:
     return F.coalesce(*[of(nodes, states, f[0]) for f in FRAMEWORKS])
 
 
-def prepared(pages: DataFrame, html: str = "html") -> DataFrame:
-    """The rows with nodes and states of their pages."""
-    found = with_nodes(pages, html, "nodes")
-    return with_states(found.withColumn("__scripts", scripts(F.col("nodes"))), "__scripts", "states").drop("__scripts")
+def prepared(pages: DataFrame, html: str = "html", keep: bool = True) -> DataFrame:
+    """The rows with nodes (of the fields that selectors need) and states of their pages, both made while a page is read; without the page, if it is not kept."""
+    return with_nodes(pages, html, "nodes", keep=keep, fields=SELECTED, of_scripts=("states", STATES, STATE_KIND, clean_states))

@@ -40,7 +40,7 @@ def made(s, d):
     fill = lambda t: F.replace(F.replace(F.replace(F.lit(t), F.lit("@k"), k.cast("string")), F.lit("@t"), markup), F.lit("@s"), literal)
     page = F.coalesce(*[F.when(k % len(TEMPLATES) == i, fill(t)) for i, t in enumerate(TEMPLATES)])
     given = spread(load(s, d, "documents").where("doc_id is not null").select("doc_id", "text"), "doc_id")
-    return f.prepared(given.select(k.alias("id"), page.alias("html"))).drop("html")
+    return f.prepared(given.select(k.alias("id"), page.alias("html")), keep=False)
 
 
 @query("h30_framework_pages", f"{MADE} SELECT s.id, found.framework, found.title, md5(found.text) AS text_md5 FROM s LEFT JOIN found ON found.id = s.id")

@@ -68,3 +68,12 @@ def test_titles_with_references(spark, tmp_path):
     con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
     got = registry.QUERIES["h1_titles"](spark, str(tmp_path)).select("page_id", "title", "source").collect()
     assert sorted(map(tuple, got)) == sorted(con.sql(registry.SQL["h1_titles"]).fetchall())
+
+
+def test_states_are_made_with_the_nodes(spark):
+    # one pass of Python, so nodes do not go back to it in batches of thousands of pages
+    given = spark.createDataFrame([(1, "<script id=ng-state type='application/json'>{\"title\":\"t\"}</script><script>window.__NUXT__={data:1}</script><p>x")], "id int, html string")
+    found = frameworks.f.prepared(given, keep=False)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    row = found.first()
+    assert found.columns == ["id", "nodes", "states"] and [s["name"] for s in row.states] == ["ng-state", "__NUXT__"]
