@@ -12,14 +12,14 @@ from sparkloom.functions import graphql as g
 from sparkloom.functions import specs as a
 from sparkloom.operators import trees
 from sparkloom.plans.registry import query
-from sparkloom.tables import load
+from sparkloom.tables import load, spread
 
 
 def made(s, d, *templates: str, only=None):
     """(id, doc): a text a customer, of the template of its key; @k is the key, @n the name."""
     k = F.col("c_custkey")
     fill = lambda t: F.replace(F.replace(F.lit(t), F.lit("@k"), k.cast("string")), F.lit("@n"), F.col("c_name"))
-    return load(s, d, "customer").select(k.alias("id"), F.coalesce(*[F.when(k % len(templates) == i, fill(t)) for i, t in enumerate(templates)]).alias("doc"))
+    return spread(load(s, d, "customer").select("c_custkey", "c_name"), "c_custkey").select(k.alias("id"), F.coalesce(*[F.when(k % len(templates) == i, fill(t)) for i, t in enumerate(templates)]).alias("doc"))
 
 
 def told(kinds: int, *rows: tuple[int, str]) -> str:
