@@ -198,26 +198,32 @@ def first_of_type(nodes: Column, types: Sequence[str]) -> Column:
 
 def product(page: Column) -> Column:
     """(name, brand, sku, price, currency, availability, rating) of a page's product: from JSON-LD, else microdata, else metadata."""
-    node, pairs, data = first_of_type(json_ld(page), ["Product"]), metas(page), microdata(page)
-    offer = F.try_element_at(as_list(F.get_json_object(node, "$.offers")), F.lit(1))
-    item = lambda n: F.try_element_at(F.filter(data, lambda x: x["name"] == n), F.lit(1))["content"]
-    by_item = F.exists(data, lambda x: x["type"] == "Product")
-    by_meta = F.coalesce(value_of(pairs, "og:type") == "product", F.lit(False)) | value_of(pairs, "product:price:amount").isNotNull()
-    brand = F.get_json_object(node, "$.brand")
-
-    def pick(from_node: Column, from_item: Column, from_meta: Column) -> Column:
-        return F.when(node.isNotNull(), from_node).when(by_item, from_item).when(by_meta, from_meta)
-
-    none = F.lit(None).cast("string")
-    return F.struct(
-        pick(field(node, "$.name"), item("name"), value_of(pairs, "og:title", "product:name")).alias("name"),
-        pick(F.coalesce(F.get_json_object(node, "$.brand.name"), brand), item("brand"), value_of(pairs, "product:brand")).alias("brand"),
-        pick(field(node, "$.sku"), item("sku"), none).alias("sku"),
-        pick(field(offer, "$.price"), item("price"), value_of(pairs, "product:price:amount")).try_cast("double").alias("price"),
-        pick(F.coalesce(field(offer, "$.priceCurrency"), F.when(offer.isNotNull(), "USD")), item("priceCurrency"), value_of(pairs, "product:price:currency")).alias("currency"),
-        pick(field(offer, "$.availability"), item("availability"), value_of(pairs, "product:availability")).alias("availability"),
-        pick(field(node, "$.aggregateRating.ratingValue"), none, none).try_cast("double").alias("rating"),
-    )
+    known = F.struct(first_of_type(json_ld(page), ["Product"]).alias("node"), metas(page).alias("pairs"), microdata(page).alias("data"))
+
+    def told(known: Column) -> Column:
+        node, pairs, data = known["node"], known["pairs"], known["data"]
+        offer = F.try_element_at(as_list(F.get_json_object(node, "$.offers")), F.lit(1))
+        item = lambda n: F.try_element_at(F.filter(data, lambda x: x["name"] == n), F.lit(1))["content"]
+        by_item = F.exists(data, lambda x: x["type"] == "Product")
+        by_meta = F.coalesce(value_of(pairs, "og:type") == "product", F.lit(False)) | value_of(pairs, "product:price:amount").isNotNull()
+        brand = F.get_json_object(node, "$.brand")
+
+        def pick(from_node: Column, from_item: Column, from_meta: Column) -> Column:
+            return F.when(node.isNotNull(), from_node).when(by_item, from_item).when(by_meta, from_meta)
+
+        none = F.lit(None).cast("string")
+        return F.struct(
+            pick(field(node, "$.name"), item("name"), value_of(pairs, "og:title", "product:name")).alias("name"),
+            pick(F.coalesce(F.get_json_object(node, "$.brand.name"), brand), item("brand"), value_of(pairs, "product:brand")).alias("brand"),
+            pick(field(node, "$.sku"), item("sku"), none).alias("sku"),
+            pick(field(offer, "$.price"), item("price"), value_of(pairs, "product:price:amount")).try_cast("double").alias("price"),
+            pick(F.coalesce(field(offer, "$.priceCurrency"), F.when(offer.isNotNull(), "USD")), item("priceCurrency"), value_of(pairs, "product:price:currency")).alias("currency"),
+            pick(field(offer, "$.availability"), item("availability"), value_of(pairs, "product:availability")).alias("availability"),
+            pick(field(node, "$.aggregateRating.ratingValue"), none, none).try_cast("double").alias("rating"),
+        )
+
+    # each of the three is read once a page, whatever is taken of it
+    return q.let(known, told)
 
 
 def article(page: Column) -> Column:
