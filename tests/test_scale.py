@@ -2,8 +2,10 @@
 
 import os
 import random
+import re
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,3 +79,55 @@ def test_states_are_made_with_the_nodes(spark):
     assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
     row = found.first()
     assert found.columns == ["id", "nodes", "states"] and [s["name"] for s in row.states] == ["ng-state", "__NUXT__"]
+
+
+ODD_PAGES = (
+    "<!-- <p> --><p>a &amp; b<p class='x y'>c<br/>d</p><b id=q>e</b><!doctype x><?php ?>f</1>g</é>h",
+    "<script>if (a < b) '<td>&amp;'</script x>t<TITLE>a&lt;b</Title>u<style>p</styl></style ><textarea>&amp;<b></textarea>",
+    "<svg><path/><g>s</g></svg><path/>x<script src=a>never <b>ends &amp;",
+    "<table><tr><td>1<td>2<table><thead><tr><th>h<th></thead><tr><td>in</table><tr><th>3</table>x</td>",
+    "<table id=t><caption>c <i>d</i><tfoot><tr><td>f<tbody><form><tr><th>a<th>a</form><tr><td> 1\xa0<b>2</b><script>s</script></table><tr>",
+    "<table><div><tr><td><p>a<div>b</table><table></table><table><tr></table><TABLE><THEAD><TR><TH>k</THEAD><TBODY><TR><TD>v",
+    "a < b <i>c</i", "<a b='>'>x</a <b>", "</", "<", "", "<!--", "<!-->x", "<p>" * 3, "<title>a</title",
+)
+
+
+def test_trees_of_pages_with_the_same_tags():
+    kinds = {"int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string()), "map<string,string>": pa.map_(pa.string(), pa.string())}
+    fields = [f.rsplit(":", 1) for f in "node:int parent:int last:int depth:int nth:int tag:string id:string classes:array<string> attrs:map<string,string> text:string pre:boolean lists:int".split()]
+    kind = pa.list_(pa.struct([(name, kinds[k]) for name, k in fields]))
+    rng = random.Random(7)
+    bits = [b for page in ODD_PAGES for b in re.split("(?=<)", page)]
+    given = [*ODD_PAGES, *("".join(rng.choices(bits, k=rng.randrange(9))) for _ in range(300))]
+    given = [page.replace("a", a) for a in ("a", "aa", "b", "&gt;") for page in given]
+    plain, shaped = nodes.Tree(), nodes.Pages()
+    for page in given:
+        plain.page(page)
+        shaped.page(page)
+    assert shaped.arrow(kind).to_pylist() == plain.arrow(kind).to_pylist()
+
+
+def test_a_template_is_read_twice_at_most(monkeypatch):
+    read = []
+    monkeypatch.setattr(nodes.Tree, "page", lambda self, page, xml=False, plain=nodes.Tree.page: (read.append(page), plain(self, page, xml))[1])
+    found = nodes.Pages()
+    for i in range(50):
+        found.page(f"<ul data-once><li>{i}<li><a href=/{i}>x</a></ul>")
+    assert len(read) == 2 and found.texts[-2:] == ["49", "x"] and found.size == 50 * 6
+
+
+def test_tables_of_the_nodes_of_tables_alone(spark):
+    given = spark.createDataFrame(list(enumerate(ODD_PAGES)), "id int, html string")
+    found = lambda **how: nodes.with_nodes(given, keep=False, **how).select("id", pages.p.tables(F.col("nodes")).alias("t")).orderBy("id").collect()
+    some, whole = found(**pages.OF_TABLES), found()
+    assert some == whole and [len(r.t) for r in some[3:6]] == [2, 1, 2]
+    held = nodes.with_nodes(given, keep=False, **pages.OF_TABLES).select("id", F.transform("nodes", lambda n: n["tag"]).alias("x"), F.transform("nodes", lambda n: n["parent"]).alias("up"), F.transform("nodes", lambda n: n["last"]).alias("last"))
+    assert held.where("id = 0").first().x == []
+    odd = held.where("id = 4").first()
+    # the form is left out, so its row has no parent; the italics are left out, their text is not
+    assert odd.x[:4] == ["table", "caption", "#text", "#text"] and odd.up[3] == -1 and odd.last[1] == 3 and -1 in [u for u, t in zip(odd.up, odd.x) if t == "tr"]
+
+
+def test_nodes_of_some_tags_have_no_places(spark):
+    with pytest.raises(ValueError, match="places"):
+        nodes.with_nodes(spark.createDataFrame([("",)], "html string"), only="a")
