@@ -188,7 +188,8 @@ def json_ld(page: Column) -> Column:
     bodies = F.transform(q.select(page, 'script[type="application/ld+json"]'), lambda x: q.raw_text(page, x, True))
     nodes = F.flatten(F.transform(bodies, as_list))
     graph = lambda n: F.get_json_object(n, "$['@graph']")
-    return F.flatten(F.transform(nodes, lambda n: F.when(graph(n).isNotNull(), as_list(graph(n))).when(n.rlike(r"^\s*\{") & F.get_json_object(n, "$").isNotNull(), F.array(n)).otherwise(F.array().cast("array<string>"))))
+    apart = lambda n, g: F.when(g.isNotNull(), as_list(g)).when(n.rlike(r"^\s*\{") & F.get_json_object(n, "$").isNotNull(), F.array(n)).otherwise(F.array().cast("array<string>"))
+    return F.flatten(F.transform(nodes, lambda n: q.let(graph(n), lambda g: apart(n, g))))
 
 
 def first_of_type(nodes: Column, types: Sequence[str]) -> Column:
@@ -249,8 +250,8 @@ def article(page: Column) -> Column:
 
 def organisation(page: Column) -> Column:
     """(name, url, logo, phone) of a page's organisation from JSON-LD."""
-    node = first_of_type(json_ld(page), ORGANISATIONS)
-    return F.struct(field(node, "$.name").alias("name"), field(node, "$.url").alias("url"), field(node, "$.logo.url", "$.logo").alias("logo"), field(node, "$.telephone").alias("phone"))
+    told = lambda node: F.struct(field(node, "$.name").alias("name"), field(node, "$.url").alias("url"), field(node, "$.logo.url", "$.logo").alias("logo"), field(node, "$.telephone").alias("phone"))
+    return q.let(first_of_type(json_ld(page), ORGANISATIONS), told)
 
 
 def has_structured_data(page: Column) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkloom.functions import markup as m
-from sparkloom.operators.nodes import SELECTED, with_nodes
+from sparkloom.operators.nodes import NAMED, NAMED_TEXTS, SELECTED, with_nodes
 from sparkloom.plans.registry import query
 from sparkloom.tables import load, spread
 
@@ -37,22 +37,22 @@ ITEM = """<div itemscope itemtype="https://schema.org/Product"><span itemprop="n
 TRICKS = """<!-- <meta property="og:title" content="no"><a href="/no">no</a><div itemscope itemtype="x/Product"><b itemprop="name">no</b></div> --><script>var a = '<meta name="twitter:card" content="no"><link rel=help href=no><a href=/no>no</a>'</script>"""
 
 
-def shop(s, d, fields=SELECTED):
+def shop(s, d, fields=SELECTED, only=None):
     """(id, url, nodes): a page a part; every third has JSON-LD, every third microdata and RDFa, every third metadata alone."""
     k = F.col("p_partkey")
     columns = dict(name=F.col("p_name"), key=k, brand=F.col("p_brand"), price=F.col("p_retailprice"), size=F.col("p_size"), kind=F.when(k % 2 == 0, "product").otherwise("article"))
     more = F.when(k % 3 == 0, text(NODE.replace("{broken", "[broken"), **columns)).when(k % 3 == 1, text(ITEM, **columns)).otherwise("")
     html = F.concat(F.lit(TRICKS), text(HEAD, **columns), more, F.lit("</body></html>"))
     parts = spread(load(s, d, "part").select("p_partkey", "p_name", "p_brand", "p_retailprice", "p_size"), "p_partkey")
-    return with_nodes(parts.select(k.alias("id"), text("http://shop.org/list/{key}", **columns).alias("url"), html.alias("html")), keep=False, fields=fields)
+    return with_nodes(parts.select(k.alias("id"), text("http://shop.org/list/{key}", **columns).alias("url"), html.alias("html")), keep=False, fields=fields, only=only)
 
 
-def pairs(name: str, sql: str, found):
-    """A query of (id, name, content) rows."""
+def pairs(name: str, sql: str, found, fields=NAMED_TEXTS, only=None):
+    """A query of (id, name, content) rows of the elements of some tags, or of all."""
 
     @query(name, sql)
     def _(s, d):
-        return shop(s, d).select("id", F.explode(found(F.col("nodes"))).alias("x")).select("id", "x.*")
+        return shop(s, d, fields, only).select("id", F.explode(found(F.col("nodes"))).alias("x")).select("id", "x.*")
 
 
 def rows(*values: str, where: str = "true") -> str:
@@ -66,20 +66,20 @@ KIND = "CASE WHEN p_partkey % 2 = 0 THEN 'product' ELSE 'article' END"
 IMAGE = "'/i/' || p_partkey || '.png'"
 PRICE = "CAST(p_retailprice AS VARCHAR)"
 
-pairs("h12_open_graph", rows(*named(("title", TITLE), ("type", KIND), ("image", IMAGE), ("imageWidth", "'640'"), ("siteName", "p_brand"))), m.open_graph)
-pairs("h13_twitter_card", rows(*named(("card", "'summary'"))), m.twitter_card)
-pairs("h14_dublin_core", rows(*named(("creator", "p_brand"), ("date", "'2024'"))), m.dublin_core)
-pairs("h16_all_meta", rows(*named(("og:title", TITLE), ("og:type", KIND), ("og:image", IMAGE), ("og:image:width", "'640'"), ("og:site_name", "p_brand"), ("twitter:card", "'summary'"), ("DC.creator", "p_brand"), ("dcterms.date", "'2024'"), ("dc.colour", "'red'"), ("refresh", "'30'"), ("product:price:amount", PRICE), ("product:price:currency", "'EUR'"))), m.metas)
+pairs("h12_open_graph", rows(*named(("title", TITLE), ("type", KIND), ("image", IMAGE), ("imageWidth", "'640'"), ("siteName", "p_brand"))), m.open_graph, NAMED, "meta")
+pairs("h13_twitter_card", rows(*named(("card", "'summary'"))), m.twitter_card, NAMED, "meta")
+pairs("h14_dublin_core", rows(*named(("creator", "p_brand"), ("date", "'2024'"))), m.dublin_core, NAMED, "meta")
+pairs("h16_all_meta", rows(*named(("og:title", TITLE), ("og:type", KIND), ("og:image", IMAGE), ("og:image:width", "'640'"), ("og:site_name", "p_brand"), ("twitter:card", "'summary'"), ("DC.creator", "p_brand"), ("dcterms.date", "'2024'"), ("dc.colour", "'red'"), ("refresh", "'30'"), ("product:price:amount", PRICE), ("product:price:currency", "'EUR'"))), m.metas, NAMED, "meta")
 pairs("h11_microdata", rows("'Product' AS type, 'name' AS name, p_name AS content", "'Product' AS type, 'brand' AS name, p_brand AS content", "'Offer' AS type, 'price' AS name, CAST(p_retailprice AS VARCHAR) AS content", "'Offer' AS type, 'priceCurrency' AS name, 'GBP' AS content", where="p_partkey % 3 = 1"), m.microdata)
 pairs("h15_rdfa", rows("'Person' AS type, 'name' AS name, p_brand AS content", where="p_partkey % 3 = 1"), m.rdfa)
-pairs("h40_html_links", rows("'canonical' AS rel, 'http://shop.org/p/' || p_partkey || '?page=2' AS href, 'on' AS title", "'next' AS rel, 'http://shop.org/p/' || p_partkey || '?page=2' AS href, 'on' AS title", "'help' AS rel, 'http://shop.org/list/help.html' AS href, NULL AS title"), lambda h: m.link_elements(h, F.col("url")))
-pairs("h8_anchors", rows("'http://shop.org/p/' || p_partkey AS href, 'The ' || p_name AS text", "'http://other.org/' AS href, 'o' AS text"), lambda h: m.anchors(h, F.col("url")))
-pairs("f29_documentation_links", rows("'help' AS rel, 'http://shop.org/list/help.html' AS href, NULL AS title"), lambda h: m.documentation_links(m.link_elements(h, F.col("url"))))
+pairs("h40_html_links", rows("'canonical' AS rel, 'http://shop.org/p/' || p_partkey || '?page=2' AS href, 'on' AS title", "'next' AS rel, 'http://shop.org/p/' || p_partkey || '?page=2' AS href, 'on' AS title", "'help' AS rel, 'http://shop.org/list/help.html' AS href, NULL AS title"), lambda h: m.link_elements(h, F.col("url")), NAMED, "link")
+pairs("h8_anchors", rows("'http://shop.org/p/' || p_partkey AS href, 'The ' || p_name AS text", "'http://other.org/' AS href, 'o' AS text"), lambda h: m.anchors(h, F.col("url")), NAMED_TEXTS, "a")
+pairs("f29_documentation_links", rows("'help' AS rel, 'http://shop.org/list/help.html' AS href, NULL AS title"), lambda h: m.documentation_links(m.link_elements(h, F.col("url"))), NAMED, "link")
 
 
 @query("h10_json_ld", "SELECT p_partkey AS id, unnest(['WebSite', '[\"Thing\",\"Product\"]', 'NewsArticle', 'Store']) AS type FROM part WHERE p_partkey % 3 = 0")
 def _(s, d):
-    return shop(s, d).select("id", F.explode(m.json_ld(F.col("nodes"))).alias("n")).select("id", F.get_json_object("n", "$['@type']").alias("type"))
+    return shop(s, d, NAMED_TEXTS, "script").select("id", F.explode(m.json_ld(F.col("nodes"))).alias("n")).select("id", F.get_json_object("n", "$['@type']").alias("type"))
 
 
 @query("h9_structured_data", "SELECT p_partkey AS id, CAST(CASE WHEN p_partkey % 3 = 0 THEN 4 ELSE 0 END AS INTEGER) AS nodes, CAST(CASE WHEN p_partkey % 3 = 1 THEN 4 ELSE 0 END AS INTEGER) AS items, CAST(12 AS INTEGER) AS metas, p_name || ' <' || p_partkey || '>' AS title FROM part")
@@ -91,36 +91,38 @@ def _(s, d):
 @query("h17_product", f"""SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 2 THEN {TITLE} ELSE p_name END AS name, CASE WHEN p_partkey % 3 < 2 THEN p_brand END AS brand, CASE WHEN p_partkey % 3 = 0 THEN 's' || p_partkey END AS sku, p_retailprice AS price,
   ['USD', 'GBP', 'EUR'][p_partkey % 3 + 1] AS currency, CASE WHEN p_partkey % 3 = 0 THEN 'InStock' END AS availability, CASE WHEN p_partkey % 3 = 0 THEN CAST(p_size AS DOUBLE) END AS rating FROM part""")
 def _(s, d):
-    return shop(s, d).select("id", m.product(F.col("nodes")).alias("x")).select("id", "x.*")
+    return shop(s, d, NAMED_TEXTS).select("id", m.product(F.col("nodes")).alias("x")).select("id", "x.*")
 
 
 @query("h18_article", f"""SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN p_name WHEN p_partkey % 2 = 1 THEN {TITLE} END AS headline, CASE WHEN p_partkey % 3 = 0 THEN p_brand || ', x' END AS author, CASE WHEN p_partkey % 3 = 0 THEN '2024-01-02' END AS published,
   CASE WHEN p_partkey % 3 = 0 THEN 's' END AS section, CASE WHEN p_partkey % 3 = 0 THEN 'a, b' WHEN p_partkey % 2 = 1 THEN '' END AS keywords FROM part""")
 def _(s, d):
-    return shop(s, d).select("id", m.article(F.col("nodes")).alias("x")).select("id", "x.*")
+    return shop(s, d, NAMED_TEXTS).select("id", m.article(F.col("nodes")).alias("x")).select("id", "x.*")
 
 
 @query("h19_organisation", "SELECT p_partkey AS id, p_brand AS name, 'http://s.org' AS url, 'l.png' AS logo, '1' AS phone FROM part WHERE p_partkey % 3 = 0")
 def _(s, d):
-    return shop(s, d).select("id", m.organisation(F.col("nodes")).alias("x")).where("x.name is not null").select("id", "x.*")
+    found = m.organisation(F.col("nodes"))
+    # taken as rows, so that it is not made once to choose by and once to give
+    return shop(s, d, NAMED_TEXTS, "script").select("id", F.inline(F.filter(F.array(found), lambda x: x["name"].isNotNull())))
 
 
 @query("h20_has_structured_data", "SELECT page_id, regexp_matches(html, 'application/ld\\+json|itemscope|property=\"og:|name=\"twitter:|name=\"dc\\.|typeof=') AS has FROM pages UNION ALL SELECT -1 - p_partkey, true FROM part")
 def _(s, d):
-    made = shop(s, d).select((-1 - F.col("id")).alias("page_id"), "nodes")
-    given = with_nodes(load(s, d, "pages").select("page_id", "html"), keep=False, fields=SELECTED)
+    made = shop(s, d, NAMED).select((-1 - F.col("id")).alias("page_id"), "nodes")
+    given = with_nodes(load(s, d, "pages").select("page_id", "html"), keep=False, fields=NAMED)
     return given.unionAll(made).select("page_id", m.has_structured_data(F.col("nodes")).alias("has"))
 
 
 @query("h21_has_product", "SELECT p_partkey AS id, true AS has FROM part UNION ALL SELECT -1 - page_id, false FROM pages")
 def _(s, d):
-    given = with_nodes(load(s, d, "pages").select((-1 - F.col("page_id")).alias("id"), "html"), keep=False, fields=SELECTED)
-    return shop(s, d).select("id", "nodes").unionAll(given).select("id", m.has_product(F.col("nodes")).alias("has"))
+    given = with_nodes(load(s, d, "pages").select((-1 - F.col("page_id")).alias("id"), "html"), keep=False, fields=NAMED_TEXTS)
+    return shop(s, d, NAMED_TEXTS).select("id", "nodes").unionAll(given).select("id", m.has_product(F.col("nodes")).alias("has"))
 
 
 @query("h22_has_article", "SELECT p_partkey AS id, p_partkey % 3 = 0 OR p_partkey % 2 = 1 AS has FROM part")
 def _(s, d):
-    return shop(s, d).select("id", m.has_article(F.col("nodes")).alias("has"))
+    return shop(s, d, NAMED_TEXTS).select("id", m.has_article(F.col("nodes")).alias("has"))
 
 
 # ---- hypermedia documents, one a customer

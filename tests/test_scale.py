@@ -131,3 +131,18 @@ def test_tables_of_the_nodes_of_tables_alone(spark):
 def test_nodes_of_some_tags_have_no_places(spark):
     with pytest.raises(ValueError, match="places"):
         nodes.with_nodes(spark.createDataFrame([("",)], "html string"), only="a")
+
+
+@needs_tables
+def test_json_of_a_page_is_read_once(spark):
+    plan = registry.QUERIES["h19_organisation"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("application/ld+json, ") + plan.count("= application/ld+json") == 1
+
+
+@needs_tables
+@pytest.mark.parametrize("name, tag", [("h16_all_meta", "meta"), ("h40_html_links", "link"), ("f29_documentation_links", "link"), ("h8_anchors", "a"), ("h19_organisation", "script"), ("h20_has_structured_data", None), ("h22_has_article", None)])
+def test_what_is_read_of_a_page(spark, monkeypatch, name, tag):
+    asked = []
+    monkeypatch.setattr(markup, "with_nodes", lambda rows, plain=markup.with_nodes, **how: (asked.append(how), plain(rows, **how))[1])
+    registry.QUERIES[name](spark, DATA)
+    assert asked and all(h.get("only") == tag and set(h["fields"].split()) <= set("node last tag attrs text".split()) for h in asked)
