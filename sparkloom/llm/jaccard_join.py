@@ -7,6 +7,10 @@ group's union bound their overlap by their number and by what is left from there
 in the group's members. Only groups whose bound reaches what the similarity needs are opened and
 their members compared on whole sets.
 
+Members of a large cluster would each meet all of its groups. So members of a group are compared first, and
+queries take turns: single texts and a part of the texts of each cluster that is known so far, then the rest.
+Between turns, what is linked becomes one cluster, and no query meets a group that lies in its own.
+
 The matrix need not hold all tokens. In any order common to all sets, x and y of the wanted
 similarity share a(x, y) = ceil(t (|x| + |y|) / (1 + t)) tokens, so the first l shared ones stand among
 the first |x| - a + l of x and |y| - a + l of y: with a few for l, few groups come near by chance. The
@@ -27,11 +31,11 @@ tables give empty tables; extra columns do not matter.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import checkpointed, column, table
@@ -40,8 +44,9 @@ from sparkloom.operators.graph import components
 
 #: Frequent tokens known to all tasks at most; tokens counted together; members of a group at most;
 #: queries that one task compares with a group; growth of sizes within a group; bits of the bitmap of ids; tokens in which
-#: a query meets a group, where sizes allow; parts that a frequent token's texts are dealt over.
-FREQUENT, COUNTED, MEMBERS, QUERIES, GROWTH, BITS, MEETINGS, SPREAD = 400_000, 4_000_000, 128, 256, 1.1, 1 << 26, 4, 64
+#: a query meets a group, where sizes allow; parts that a frequent token's texts are dealt over; one of
+#: so many texts of a cluster asks before the others.
+FREQUENT, COUNTED, MEMBERS, QUERIES, GROWTH, BITS, MEETINGS, SPREAD, EARLY = 400_000, 4_000_000, 128, 256, 1.1, 1 << 26, 4, 64, 16
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -225,8 +230,7 @@ def compared(rows: DataFrame, share: tuple[int, int]) -> DataFrame:
 
 def links(docs: DataFrame, found: DataFrame, k: int, share: tuple[int, int]) -> DataFrame:
     """(a, b): links between classes, each named by its smallest id, enough to connect all that similarity connects."""
-    num, den = share
-    needed = lambda x, y: F.ceil((x + y) * F.lit(num) / F.lit(num + den))
+    needed = lambda x, y: F.ceil((x + y) * F.lit(share[0]) / F.lit(sum(share)))
     heads = prefixes(docs, k, share, frequent_tokens(found))
     classes = heads.groupBy("f1", "f2", "n").agg(F.min("id").alias("id"), F.first(F.struct("near", "rare", "head")).alias("x")).select("id", F.col("n").cast("long").alias("n"), "x.*")
     # size and place share one long, which keeps the shuffled rows short
@@ -240,32 +244,58 @@ def links(docs: DataFrame, found: DataFrame, k: int, share: tuple[int, int]) ->
     nodes = met.select("id", "n", "near").distinct()
     nodes = nodes.join(nodes.groupBy("near").agg(F.count("*").alias("many")), "near")
     part = F.xxhash64("near", F.pmod(F.xxhash64("id", F.lit(3)), F.ceil(F.col("many") / MEMBERS)))
-    nodes = checkpointed(nodes.select("id", "n", part.alias("part")))
-    placed = met.select("token", "id", "at", "n").join(nodes.select("id", "part"), "id")
+    nodes = checkpointed(nodes.select("id", "n", part.alias("home")))
+    texts = docs.where("id is not null")
+
+    def held_against(work: DataFrame) -> DataFrame:
+        """Links of the texts of (id, part, salt, query) rows."""
+        ids = work.select("id").distinct()
+        sets = whole_sets(present(texts, ids), k).join(ids, "id", "left_semi")
+        dealt = work.join(sets, "id").repartition("part", "salt").sortWithinPartitions("part", "salt", "query")
+        return checkpointed(compared(dealt.select("part", "salt", "query", "id", "tokens"), share))
+
+    def tied(links: DataFrame) -> DataFrame:
+        return checkpointed(components(links, loops=False).select(F.col("node").alias("id"), F.col("component").alias("tie")))
+
+    many = nodes.join(nodes.groupBy("home").agg(F.count("*").alias("members")).where("members > 1").select("home"), "home")
+    found = held_against(many.select("id", F.col("home").alias("part"), F.lit(0).alias("salt"), F.lit(False).alias("query")))
+    nodes = nodes.withColumn("asked", F.lit(False))
+    for turn in (f"tie is null or pmod(xxhash64(id, 5), {EARLY}) = 0", "true"):
+        # of a home, the members of one cluster are a group of their own
+        part = F.when(F.col("tie").isNull(), F.col("home")).otherwise(F.xxhash64("home", "tie"))
+        asks = ~F.col("asked") & F.expr(turn)
+        nodes = checkpointed(nodes.join(tied(found), "id", "left").select("id", "n", "home", part.alias("part"), "tie", "asked", asks.alias("asks")))
+        found = found.unionAll(held_against(pairs_to_compare(met, nodes, needed, share)))
+        nodes = nodes.select("id", "n", "home", (F.col("asked") | F.col("asks")).alias("asked"))
+    return found
+
+
+def pairs_to_compare(met: DataFrame, nodes: DataFrame, needed: Callable[[Column, Column], Column], share: tuple[int, int]) -> DataFrame:
+    """(id, part, salt, query): groups that are to be opened, with their members and queries; of nodes (id, n, home, part, tie, asks) those that ask are queries.
+
+    Those of one home are compared before, and what is tied to all of a group already does not meet it. Homes stay
+    the same over all turns, so of two texts of equal size always the same one is a query to the other's group.
+    """
+    num, den = share
+    placed = met.select("token", "id", "at", "n").join(nodes.select("id", "home", "part", "tie", "asks"), "id")
     held = placed.where(F.col("n") - F.col("at") > needed(F.col("n"), F.col("n")) - MEETINGS)
-    matrix = held.groupBy("token", "part").agg(F.min("at").alias("first"), F.min("n").alias("least"), F.max("n").alias("most"))
-    asked = placed.withColumnsRenamed({"part": "own", "at": "place"})
+    whole = F.when(F.count("tie") == F.count("*"), F.min("tie")).alias("whole")
+    matrix = held.groupBy("token", "part").agg(F.min("home").alias("its"), F.min("at").alias("first"), F.min("n").alias("least"), F.max("n").alias("most"), whole)
+    asked = placed.where("asks").drop("part").withColumnRenamed("at", "place")
     # members that the query may be similar to and that are not larger; of equal sizes each pair of groups is met from one side
     smallest = F.ceil(F.col("n") * F.lit(num) / F.lit(den))
     smaller, larger = F.greatest(F.col("least"), smallest), F.least("most", "n")
     both = needed(F.col("n"), smaller)
     meetings = F.least(F.lit(MEETINGS).cast("long"), both - smallest + 1)
     left = F.least(F.col("n") - F.col("place"), larger - F.col("first"))
-    meets = (F.col("part") != F.col("own")) & (smaller <= larger) & (left > both - meetings) & ((F.col("least") < F.col("n")) | (F.col("part") > F.col("own")))
+    meets = (F.col("its") != F.col("home")) & (smaller <= larger) & (left > both - meetings) & ((F.col("least") < F.col("n")) | (F.col("its") > F.col("home")))
+    meets = meets & F.coalesce(F.col("tie") != F.col("whole"), F.lit(True))
     counted = asked.join(matrix.withColumnRenamed("token", "t"), (F.col("token") == F.col("t")) & meets).groupBy("id", "part").agg(F.count("*").alias("met"), F.min(meetings).alias("wanted"))
     opened = checkpointed(counted.where("met >= wanted").select("id", "part"))
-    members = nodes.groupBy("part").agg(F.count("*").alias("members"))
-    # sets of the texts that are to be compared
-    many = nodes.join(members.where("members > 1").select("part"), "part").select("id", "part")
     salts = opened.groupBy("part").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("salts"))
-    inside = many.unionByName(nodes.join(salts.select("part"), "part", "left_semi").select("id", "part")).distinct()
-    inside = inside.join(salts, "part", "left").select("id", "part", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"), F.lit(False).alias("query"))
+    inside = nodes.join(salts, "part").select("id", "part", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("query"))
     asking = opened.join(salts, "part").select("id", "part", F.pmod(F.xxhash64("id", F.lit(9)), "salts").cast("int").alias("salt"), F.lit(True).alias("query"))
-    work = checkpointed(inside.unionByName(asking))
-    ids = work.select("id").distinct()
-    sets = whole_sets(present(docs.where("id is not null"), ids), k).join(ids, "id", "left_semi")
-    dealt = work.join(sets, "id").repartition("part", "salt").sortWithinPartitions("part", "salt", "query")
-    return compared(dealt.select("part", "salt", "query", "id", "tokens"), share)
+    return checkpointed(inside.unionByName(asking))
 
 
 def jaccard_components(docs: DataFrame, k: int, share: tuple[int, int], key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -443,3 +443,16 @@ def test_disclosing_counts_equal_brute_force(spark, monkeypatch, share):
                 want.append((at, at + len(w), max(kinds), w))
             at += len(w) + 1
         assert sorted((s["start"], s["stop"], s["kind"], s["value"]) for s in r.added) == want
+
+
+def test_members_of_a_cluster_do_not_meet_all_its_groups(spark, monkeypatch):
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    copies = [" ".join([*base[: (at := rng.randrange(200))], f"x{i}", *base[at + 1 :]]) for i in range(600)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*copies, "a b c d e f", "a b c d e g"])], "doc_id long, text string")
+    asked = []
+    monkeypatch.setattr(jaccard_join, "MEMBERS", 16)
+    monkeypatch.setattr(jaccard_join, "compared", lambda rows, share, plain=jaccard_join.compared: (asked.append(rows.where("query").count()), plain(rows, share))[1])
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(docs, 4, (85, 100)).collect()}
+    assert got == {i: 0 for i in range(600)} | {600: 600, 601: 601}
+    assert 0 < sum(asked) < 5 * 600, asked
