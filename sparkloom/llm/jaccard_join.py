@@ -7,9 +7,9 @@ group's union bound their overlap by their number and by what is left from there
 in the group's members. Only groups whose bound reaches what the similarity needs are opened and
 their members compared on whole sets.
 
-Members of a large cluster would each meet all of its groups. So members of a group are compared first, and
-queries take turns: single texts and a part of the texts of each cluster that is known so far, then the rest.
-Between turns, what is linked becomes one cluster, and no query meets a group that lies in its own.
+Members of a large cluster would each meet all of its groups. So texts that share one of two min-hashes are
+compared first, in groups of bounded size that the first text of that min-hash is held against too, which ties
+such groups together. What is found to be of one cluster then has one name, and no query meets a group that lies in its own.
 
 The matrix need not hold all tokens. In any order common to all sets, x and y of the wanted
 similarity share a(x, y) = ceil(t (|x| + |y|) / (1 + t)) tokens, so the first l shared ones stand among
@@ -44,9 +44,8 @@ from sparkloom.operators.graph import components
 
 #: Frequent tokens known to all tasks at most; tokens counted together; members of a group at most;
 #: queries that one task compares with a group; growth of sizes within a group; bits of the bitmap of ids; tokens in which
-#: a query meets a group, where sizes allow; parts that a frequent token's texts are dealt over; one of
-#: so many texts of a cluster asks before the others.
-FREQUENT, COUNTED, MEMBERS, QUERIES, GROWTH, BITS, MEETINGS, SPREAD, EARLY = 400_000, 4_000_000, 128, 256, 1.1, 1 << 26, 4, 64, 16
+#: a query meets a group, where sizes allow; parts that a frequent token's texts are dealt over.
+FREQUENT, COUNTED, MEMBERS, QUERIES, GROWTH, BITS, MEETINGS, SPREAD = 400_000, 4_000_000, 128, 256, 1.1, 1 << 26, 4, 64
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -95,7 +94,7 @@ def frequent_tokens(found: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefixes(docs: DataFrame, k: int, share: tuple[int, int], often: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(id, n, f1, f2, near, rare, head) of every text with a set: its first tokens in the common order, those that are not known as frequent first and counted by rare, and a key that similar sets share."""
+    """(id, n, f1, f2, near, rare, head) of every text with a set: its first tokens in the common order, those that are not known as frequent first and counted by rare, and two keys, either of which similar sets are likely to share."""
     shared = docs.sparkSession.sparkContext.broadcast(often)
     num, den = share
 
@@ -118,9 +117,9 @@ def prefixes(docs: DataFrame, k: int, share: tuple[int, int], often: tuple[np.nd
                     rest = s[hot]
                     head = np.concatenate([head, rest[np.lexsort((rest, texts[at[hot]]))][: length - len(head)]])
                 with np.errstate(over="ignore"):
-                    second = mixed(s + np.uint64(1))
-                    bucket = np.uint64(int(np.log(len(s)) / np.log(GROWTH)))
-                    near = int(mixed(np.array([second.min() + bucket], np.uint64))[0] >> np.uint64(33))
+                    # sizes at a bound of one key's ranges are in the middle of the other's
+                    least = [mixed(s + np.uint64(i)).min() + np.uint64(int(np.log(len(s)) / np.log(GROWTH) + i / 2)) for i in (1, 2)]
+                    near = [int(x) for x in mixed(np.array(least, np.uint64)) >> np.uint64(33)]
                     out.append((len(s), s.sum(dtype=np.uint64), mixed(s).sum(dtype=np.uint64), near, rare, head))
                 kept.append(i)
             yield pa.RecordBatch.from_arrays(
@@ -129,14 +128,14 @@ def prefixes(docs: DataFrame, k: int, share: tuple[int, int], often: tuple[np.nd
                     pa.array([x[0] for x in out], pa.int32()),
                     _signed(np.array([x[1] for x in out], np.uint64)),
                     _signed(np.array([x[2] for x in out], np.uint64)),
-                    pa.array([x[3] for x in out], pa.int64()),
+                    pa.array([x[3] for x in out], pa.list_(pa.int64())),
                     pa.array([x[4] for x in out], pa.int32()),
                     pa.ListArray.from_arrays(np.cumsum([0] + [len(x[5]) for x in out]).astype(np.int32), _signed(np.concatenate([x[5] for x in out] or [np.zeros(0, np.uint64)]))),
                 ],
                 ["id", "n", "f1", "f2", "near", "rare", "head"],
             )
 
-    return docs.mapInArrow(run, "id long, n int, f1 long, f2 long, near long, rare int, head array<long>")
+    return docs.mapInArrow(run, "id long, n int, f1 long, f2 long, near array<long>, rare int, head array<long>")
 
 
 def whole_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -168,12 +167,14 @@ class Opened:
         self.ids: list[int] = []
         self.sets: list[np.ndarray] = []
         self.root = np.zeros(0, np.int64)
+        self.asked: list[tuple[int, int]] = []
         self.token = None
 
-    def add(self, node: int, tokens: np.ndarray) -> None:
+    def add(self, node: int, tokens: np.ndarray, compare: bool) -> None:
+        found = self.joined(tokens) if compare else []
+        self.root = np.append(self.root, self.ids.index(found[0]) if found else len(self.ids))
         self.ids.append(node)
         self.sets.append(tokens)
-        self.root = np.append(self.root, len(self.root))
         self.token = None
 
     def linked(self, tokens: np.ndarray) -> np.ndarray:
@@ -199,33 +200,47 @@ class Opened:
             self.root[np.isin(self.root, roots)] = roots[0]
         return [self.ids[i] for i in roots.tolist()]
 
+    def answers(self, node: int, tokens: np.ndarray) -> list[int]:
+        """As joined, of a query; it is kept as connected with that part."""
+        found = self.joined(tokens)
+        if found:
+            self.asked.append((self.ids.index(found[0]), node))
+        return found
+
+    def tied(self, key: tuple[int, int]) -> list[tuple[int, int, int]]:
+        """(part, member, smallest member or query connected with it) of the part's first copy, members that are such themselves left out."""
+        part, salt = key
+        least: dict[int, int] = {}
+        for root, node in [*zip(self.root.tolist(), self.ids), *((int(self.root[at]), node) for at, node in self.asked)]:
+            least[root] = min(node, least.get(root, node))
+        return [(part, node, least[root]) for root, node in zip(self.root.tolist(), self.ids) if node != least[root] and not salt]
+
 
 def compared(rows: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """(a, b): links that connect all that similarity connects, from rows (part, salt, query, id, tokens) dealt by part and salt, members before queries."""
+    """(part, a, b): links that connect all that similarity connects, from rows (part, salt, query, id, tokens) dealt by part and salt, members before queries; members that are connected have the smallest text connected with them as b."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, group = None, Opened(share)
+        key, group = (None, 0), Opened(share)
         for batch in batches:
-            a, b = [], []
+            found: list[tuple[int, int, int]] = []
             cols = [column(batch, c) for c in ("part", "salt", "query", "id", "tokens")]
             for part, salt, query, node, packed in zip(*(c.to_pylist() for c in cols[:4]), cols[4]):
                 if (part, salt) != key:
+                    found += group.tied(key)
                     key, group = (part, salt), Opened(share)
                 tokens = np.frombuffer(packed.as_buffer(), np.uint64)
-                found = group.joined(tokens) if query else []
-                if not query:
-                    tokens = tokens.copy()
+                if query:
+                    found += [(part, node, other) for other in group.answers(node, tokens)]
+                else:
                     # members are compared with each other in the part's first copy only
-                    if not salt and group.ids:
-                        found = group.joined(tokens)
-                    group.add(node, tokens)
-                    if found:
-                        group.root[-1] = group.root[group.ids.index(found[0])]
-                a += [node] * len(found)
-                b += found
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                    group.add(node, tokens.copy(), compare=not salt)
+            yield listed(found)
+        yield listed(group.tied(key))
+
+    def listed(found: list[tuple[int, int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in range(3)], ["part", "a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(run, "part long, a long, b long")
 
 
 def links(docs: DataFrame, found: DataFrame, k: int, share: tuple[int, int]) -> DataFrame:
@@ -233,18 +248,21 @@ def links(docs: DataFrame, found: DataFrame, k: int, share: tuple[int, int]) ->
     needed = lambda x, y: F.ceil((x + y) * F.lit(share[0]) / F.lit(sum(share)))
     heads = prefixes(docs, k, share, frequent_tokens(found))
     classes = heads.groupBy("f1", "f2", "n").agg(F.min("id").alias("id"), F.first(F.struct("near", "rare", "head")).alias("x")).select("id", F.col("n").cast("long").alias("n"), "x.*")
-    # size and place share one long, which keeps the shuffled rows short
-    rows = classes.select("id", "n", "near", "rare", F.posexplode("head").alias("at", "token"))
+    # size and place share one long, and both keys another, which keeps the shuffled rows short
+    keys = F.shiftleft(F.get("near", 0), 32) + F.get("near", 1)
+    rows = classes.select("id", "n", keys.alias("near"), "rare", F.posexplode("head").alias("at", "token"))
     # a frequent token is shared by many texts, so only the others, of which each has few, are counted
     spread = F.when(F.col("at") >= F.col("rare"), F.pmod(F.xxhash64("id"), F.lit(SPREAD)) + 1).otherwise(0).cast("int")
     rows = rows.select("token", spread.alias("spread"), "id", (F.shiftleft("n", 32) + F.col("at")).alias("about"), "near")
     met = rows.withColumn("texts", F.count("*").over(Window.partitionBy("token", "spread"))).where("texts > 1 or spread > 0")
     met = checkpointed(met.select("token", "id", F.col("about").bitwiseAND((1 << 32) - 1).alias("at"), F.shiftright("about", 32).alias("n"), "near"))
-    # groups of similar sets, none larger than MEMBERS but by chance of the hash
-    nodes = met.select("id", "n", "near").distinct()
-    nodes = nodes.join(nodes.groupBy("near").agg(F.count("*").alias("many")), "near")
-    part = F.xxhash64("near", F.pmod(F.xxhash64("id", F.lit(3)), F.ceil(F.col("many") / MEMBERS)))
-    nodes = checkpointed(nodes.select("id", "n", part.alias("home")))
+    # groups of similar sets, none larger than MEMBERS but by chance of the hash; those of either key are told by their last bit
+    near = F.array(F.shiftright("near", 32) * 2, F.col("near").bitwiseAND((1 << 32) - 1) * 2 + 1)
+    keyed = met.select("id", "n", "near").distinct().select("id", "n", F.explode(near).alias("near"))
+    sizes = keyed.groupBy("near").agg(F.count("*").alias("many"), F.min("id").alias("pivot"))
+    home = F.xxhash64("near", F.pmod(F.xxhash64("id", F.lit(3)), F.ceil(F.col("many") / MEMBERS)))
+    home = F.shiftleft(home, 1) + F.col("near") % 2
+    homes = checkpointed(keyed.join(sizes, "near").select("id", "n", home.alias("home"), "many", "pivot"))
     texts = docs.where("id is not null")
 
     def held_against(work: DataFrame) -> DataFrame:
@@ -254,34 +272,40 @@ def links(docs: DataFrame, found: DataFrame, k: int, share: tuple[int, int]) ->
         dealt = work.join(sets, "id").repartition("part", "salt").sortWithinPartitions("part", "salt", "query")
         return checkpointed(compared(dealt.select("part", "salt", "query", "id", "tokens"), share))
 
-    def tied(links: DataFrame) -> DataFrame:
-        return checkpointed(components(links, loops=False).select(F.col("node").alias("id"), F.col("component").alias("tie")))
+    inside = homes.where("many > 1").select("id", F.col("home").alias("part"), F.lit(0).alias("salt"), F.lit(False).alias("query"))
+    # the first text of a key asks all other groups of the key
+    pivots = homes.where(F.col("many") > MEMBERS).select("pivot", "home", F.lit(0), F.lit(True))
+    tied = held_against(inside.unionAll(pivots).groupBy("id", "part", "salt").agg(F.min("query").alias("query")))
+    nodes = checkpointed(homes.where("home % 2 = 0").select("id", "n", "home").join(ties(tied), "id", "left"))
+    # of a home, the members of one cluster are a group of their own
+    nodes = nodes.withColumn("part", F.when(F.col("tie").isNull(), F.col("home")).otherwise(F.xxhash64("home", "tie")))
+    return tied.unionAll(held_against(pairs_to_compare(met, nodes, needed, share))).select("a", "b")
 
-    many = nodes.join(nodes.groupBy("home").agg(F.count("*").alias("members")).where("members > 1").select("home"), "home")
-    found = held_against(many.select("id", F.col("home").alias("part"), F.lit(0).alias("salt"), F.lit(False).alias("query")))
-    nodes = nodes.withColumn("asked", F.lit(False))
-    for turn in (f"tie is null or pmod(xxhash64(id, 5), {EARLY}) = 0", "true"):
-        # of a home, the members of one cluster are a group of their own
-        part = F.when(F.col("tie").isNull(), F.col("home")).otherwise(F.xxhash64("home", "tie"))
-        asks = ~F.col("asked") & F.expr(turn)
-        nodes = checkpointed(nodes.join(tied(found), "id", "left").select("id", "n", "home", part.alias("part"), "tie", "asked", asks.alias("asks")))
-        found = found.unionAll(held_against(pairs_to_compare(met, nodes, needed, share)))
-        nodes = nodes.select("id", "n", "home", (F.col("asked") | F.col("asks")).alias("asked"))
-    return found
+
+def ties(tied: DataFrame) -> DataFrame:
+    """(id, tie) of the texts that are linked within groups of one key or of the other: a name that only texts of one cluster share.
+
+    Texts are named by the group of the one key, groups of the other take the smallest name in them, then those of the
+    one key again. A cluster may keep several names: then its texts meet in groups once more, and no link is lost.
+    """
+    both = tied.select("part", F.col("a").alias("id"), "b").unionAll(tied.select("part", F.col("b").alias("id"), "b"))
+    of = lambda key: F.min(F.when(F.abs(F.col("part") % 2) == key, F.col("b")))
+    named = both.groupBy("id").agg(F.least(of(0), "id").alias("one"), F.least(of(1), "id").alias("other"))
+    named = named.withColumn("tie", F.min("one").over(Window.partitionBy("other")))
+    return named.select("id", F.min("tie").over(Window.partitionBy("one")).alias("tie"))
 
 
 def pairs_to_compare(met: DataFrame, nodes: DataFrame, needed: Callable[[Column, Column], Column], share: tuple[int, int]) -> DataFrame:
-    """(id, part, salt, query): groups that are to be opened, with their members and queries; of nodes (id, n, home, part, tie, asks) those that ask are queries.
+    """(id, part, salt, query): groups that are to be opened, with their members and queries; of nodes (id, n, home, part, tie).
 
-    Those of one home are compared before, and what is tied to all of a group already does not meet it. Homes stay
-    the same over all turns, so of two texts of equal size always the same one is a query to the other's group.
+    Those of one home are compared before, and what is tied to all of a group already does not meet it.
     """
     num, den = share
-    placed = met.select("token", "id", "at", "n").join(nodes.select("id", "home", "part", "tie", "asks"), "id")
+    placed = met.select("token", "id", "at", "n").join(nodes.select("id", "home", "part", "tie"), "id")
     held = placed.where(F.col("n") - F.col("at") > needed(F.col("n"), F.col("n")) - MEETINGS)
     whole = F.when(F.count("tie") == F.count("*"), F.min("tie")).alias("whole")
     matrix = held.groupBy("token", "part").agg(F.min("home").alias("its"), F.min("at").alias("first"), F.min("n").alias("least"), F.max("n").alias("most"), whole)
-    asked = placed.where("asks").drop("part").withColumnRenamed("at", "place")
+    asked = placed.drop("part").withColumnRenamed("at", "place")
     # members that the query may be similar to and that are not larger; of equal sizes each pair of groups is met from one side
     smallest = F.ceil(F.col("n") * F.lit(num) / F.lit(den))
     smaller, larger = F.greatest(F.col("least"), smallest), F.least("most", "n")

@@ -456,3 +456,18 @@ def test_members_of_a_cluster_do_not_meet_all_its_groups(spark, monkeypatch):
     got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(docs, 4, (85, 100)).collect()}
     assert got == {i: 0 for i in range(600)} | {600: 600, 601: 601}
     assert 0 < sum(asked) < 5 * 600, asked
+
+
+def test_clusters_are_named_without_rounds(spark, monkeypatch):
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    copies = [" ".join([*base[: (at := rng.randrange(200))], f"x{i}", *base[at + 1 :]]) for i in range(200)]
+    docs = spark.createDataFrame([*enumerate(copies), (200, "a b c d e f")], "doc_id long, text string")
+    asked, settled = [], []
+    monkeypatch.setattr(jaccard_join, "MEMBERS", 16)
+    monkeypatch.setattr(jaccard_join, "compared", lambda rows, share, plain=jaccard_join.compared: (asked.append(rows.where("query").count()), plain(rows, share))[1])
+    monkeypatch.setattr(jaccard_join, "components", lambda *a, plain=jaccard_join.components, **b: (settled.append(1), plain(*a, **b))[1])
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(docs, 4, (85, 100)).collect()}
+    assert got == {i: 0 for i in range(200)} | {200: 200}
+    # the texts are read again for two comparisons, and components are found once
+    assert len(asked) == 2 and len(settled) == 1 and sum(asked) < 200, (asked, settled)
