@@ -41,8 +41,8 @@ from sparkloom.operators.graph import components
 
 #: Tokens of a repeat at least, pages that it must stand in, tokens of a shard about.
 LEAST_TOKENS, LEAST_PAGES, SHARD_TOKENS = 8, 3, 500_000
-#: Bits of the bitmap that lets stretches by which surely do not repeat, and of one row of it; characters of text handled at once.
-SLOTS, PAGE, AT_ONCE = 1 << 24, 1 << 15, 2_000_000
+#: Bits of the bitmap that lets stretches by which surely do not repeat, and of one row of it; characters of text and names of grams handled at once.
+SLOTS, PAGE, AT_ONCE, NAMES_AT_ONCE = 1 << 24, 1 << 15, 2_000_000, 2_000_000
 #: Values of a page's sketch, values of a band in which near copies meet, equal values of near copies at least.
 SKETCH, BAND, NEAR = 24, 4, 18
 
@@ -234,6 +234,7 @@ def repeat_slots(pages: DataFrame, least_tokens: int, least_pages: int) -> np.nd
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        held, size = [], 0
         for _, hosts, texts in portions(batches):
             # copies that one task meets count once here already
             fresh = [x for x in zip(hosts, texts) if (k := stream_id(*x)) not in seen and not seen.add(k)]
@@ -243,10 +244,38 @@ def repeat_slots(pages: DataFrame, least_tokens: int, least_pages: int) -> np.nd
             keep = np.ones(len(at), bool)
             keep[1:] = (at[1:] != at[:-1]) | (least[1:] != least[:-1])
             # half of a name does: names that share it cost time, not results
-            yield pa.RecordBatch.from_arrays([pa.array(least[keep].astype(np.uint32).view(np.int32))], ["name"])
-
-    often = pages.mapInArrow(run, "name int").groupBy("name").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
-    return bitmap(often, "name")
+            held.append(least[keep].astype(np.uint32))
+            size += len(held[-1])
+            if size >= NAMES_AT_ONCE:
+                yield packed_names(np.concatenate(held), least_pages)
+                held, size = [], 0
+        if held:
+            yield packed_names(np.concatenate(held), least_pages)
+
+    def often(rows: pa.Table) -> pa.Table:
+        names, n = np.unique(unpacked_names(rows), return_counts=True)
+        return pa.table({"name": pa.array(names[n >= least_pages].view(np.int32))})
+
+    return bitmap(pages.mapInArrow(run, "range int, names binary").groupBy("range").applyInArrow(often, "name int"), "name")
+
+
+def packed_names(names: np.ndarray, most: int) -> pa.RecordBatch:
+    """(range, names): names of 32 bits, each at most so many times, by their first 12 bits; of the others the last 16 stand before the first 4, as sorted bytes take little room."""
+    names = np.sort(names)
+    if len(names) > most:
+        names = names[np.concatenate([np.ones(most, bool), names[most:] != names[:-most]])]
+    bounds = np.flatnonzero(np.concatenate([[True], names[1:] >> 20 != names[:-1] >> 20])) if len(names) else np.zeros(0, np.int64)
+    parts = [names[a:b] for a, b in zip(bounds, [*bounds[1:], len(names)])]
+    packed = [x.astype("<u2").tobytes() + (x >> 16 & 15).astype(np.uint8).tobytes() for x in parts]
+    return pa.RecordBatch.from_arrays([pa.array((names[bounds] >> 20).astype(np.int32)), pa.array(packed, pa.binary())], ["range", "names"])
+
+
+def unpacked_names(rows: pa.Table) -> np.ndarray:
+    out = [np.zeros(0, np.uint32)]
+    for first, packed in zip(rows["range"].to_pylist(), rows["names"].to_pylist()):
+        n = len(packed) // 3
+        out.append(np.uint32(first << 20) | np.frombuffer(packed, np.uint8, n, 2 * n).astype(np.uint32) << 16 | np.frombuffer(packed, "<u2", n))
+    return np.concatenate(out)
 
 
 def bitmap(rows: DataFrame, name: str) -> np.ndarray:

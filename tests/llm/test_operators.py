@@ -471,3 +471,14 @@ def test_clusters_are_named_without_rounds(spark, monkeypatch):
     assert got == {i: 0 for i in range(200)} | {200: 200}
     # the texts are read again for two comparisons, and components are found once
     assert len(asked) == 2 and len(settled) == 1 and sum(asked) < 200, (asked, settled)
+
+
+def test_names_of_grams_take_little_more_than_two_bytes():
+    rng = np.random.Generator(np.random.PCG64(3))
+    names = np.concatenate([rng.integers(0, 1 << 32, 200_000, np.uint64).astype(np.uint32), np.full(50, 7, np.uint32), np.array([0, 2**32 - 1], np.uint32)])
+    rows = pa.Table.from_batches([host_suffix.packed_names(names, 3)])
+    got, n = np.unique(host_suffix.unpacked_names(rows), return_counts=True)
+    want, times = np.unique(names, return_counts=True)
+    assert got.tolist() == want.tolist() and n.tolist() == np.minimum(times, 3).tolist()
+    assert rows.num_rows <= 4096 and sum(len(x) for x in rows["names"].to_pylist()) <= 3 * n.sum()
+    assert host_suffix.packed_names(names[:0], 3).num_rows == 0 and len(host_suffix.unpacked_names(rows.slice(0, 0))) == 0
