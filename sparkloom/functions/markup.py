@@ -345,12 +345,18 @@ def pagination_links(links: Column) -> Column:
 # ---- sitemaps and robots files
 
 
+def sitemap_parts(xml: Column, *names: str) -> Column:
+    """Array of the given parts, as text, of the entries of a sitemap that have a URL; empty where an entry has none."""
+    blocks = F.regexp_extract_all(F.coalesce(xml, F.lit("")), F.lit(r"(?is)<url>(.*?)</url>"), F.lit(1))
+    part = lambda b, n: F.trim(F.regexp_extract(b, rf"(?i)<{n}>([^<]+)</{n}>", 1))
+    return F.filter(F.transform(blocks, lambda b: F.struct(*(part(b, n).alias(n) for n in names))), lambda x: x["loc"] != "")
+
+
 def sitemap(xml: Column) -> Column:
     """Array of (loc, lastmod, changefreq, priority) of a sitemap."""
-    blocks = F.regexp_extract_all(F.coalesce(xml, F.lit("")), F.lit(r"(?is)<url>(.*?)</url>"), F.lit(1))
-    part = lambda b, n: F.nullif(F.trim(F.regexp_extract(b, rf"(?i)<{n}>([^<]+)</{n}>", 1)), F.lit(""))
-    rows = F.transform(blocks, lambda b: F.struct(unescaped(part(b, "loc")).alias("loc"), part(b, "lastmod").alias("lastmod"), F.lower(part(b, "changefreq")).alias("changefreq"), part(b, "priority").try_cast("double").alias("priority")))
-    return F.filter(rows, lambda x: x["loc"].isNotNull())
+    told = lambda x, n: F.nullif(x[n], F.lit(""))
+    rows = sitemap_parts(xml, "loc", "lastmod", "changefreq", "priority")
+    return F.transform(rows, lambda x: F.struct(unescaped(x["loc"]).alias("loc"), told(x, "lastmod").alias("lastmod"), F.lower(told(x, "changefreq")).alias("changefreq"), told(x, "priority").try_cast("double").alias("priority")))
 
 
 def sitemap_index(xml: Column) -> Column:
@@ -386,9 +392,9 @@ def robots_hints(text: Column) -> Column:
 
 def sitemap_hints(xml: Column) -> Column:
     """Hints at interfaces in a sitemap: each URL once, rarely changing ones a tenth higher."""
-    slow = lambda x: F.when(x["changefreq"].isin("monthly", "yearly", "never"), 1.1).otherwise(1.0)
+    slow = lambda x: F.when(F.lower(x["changefreq"]).isin("monthly", "yearly", "never"), 1.1).otherwise(1.0)
     # in order of their URLs, so that the first entry of each is the one with another URL before it; then as they were
-    keyed = F.array_sort(F.transform(sitemap(xml), lambda x, i: F.struct(x["loc"].alias("loc"), i.alias("i"), slow(x).alias("slow"))))
+    keyed = F.array_sort(F.transform(sitemap_parts(xml, "loc", "changefreq"), lambda x, i: F.struct(unescaped(x["loc"]).alias("loc"), i.alias("i"), slow(x).alias("slow"))))
     fresh = q.let(keyed, lambda k: F.filter(k, lambda x, j: (j == 0) | (F.get(k, j - 1)["loc"] != x["loc"])))
     ordered = F.array_sort(F.transform(fresh, lambda x: F.struct(x["i"], x["loc"], x["slow"])))
     return F.array_compact(F.transform(ordered, lambda x: first_hint(x["loc"], SITEMAP_HINTS, x["slow"])))

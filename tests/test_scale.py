@@ -41,6 +41,16 @@ def test_hints_of_a_large_sitemap(spark):
     assert [(r.path, r.score) for r in df.collect()] == [(f"http://s.org/dev/{i}", 0.4) for i in range(6000)]
 
 
+def test_hints_read_two_parts_of_an_entry_once(spark):
+    # each part stood in the expression twice, and two of the four are not needed
+    odd = "<url><loc> http://s.org/dev/&amp;1 </loc><changefreq> NEVER </changefreq></url><url><loc> </loc></url><url><lastmod>1</lastmod></url><url><loc>http://s.org/dev/2</loc></url>"
+    df = spark.createDataFrame([(odd,), (None,)], "xml string").select(markup.m.sitemap_hints(F.col("xml")).alias("h"), markup.m.sitemap(F.col("xml")).alias("s"))
+    hints, rows = df.select("h"), df.collect()
+    assert hints._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(") == 2
+    assert [(x.path, x.score) for x in rows[0].h] == [("http://s.org/dev/&1", 0.44), ("http://s.org/dev/2", 0.4)] and rows[1].h == rows[1].s == []
+    assert [tuple(x) for x in rows[0].s] == [("http://s.org/dev/&1", None, "never", None), ("http://s.org/dev/2", None, None, None)]
+
+
 def test_counts_above_equal_pairs(spark):
     rng = random.Random(4)
     value = lambda: rng.choice([None, float("nan"), float("inf"), -float("inf"), 0.0, -0.0, rng.uniform(-3, 3), float(rng.randint(-2, 2))])
