@@ -52,6 +52,8 @@ KNOWN, HELD, MOST_BITS, PAGE = 200_000, 600_000, 1 << 28, 1 << 15
 SLOT = 40
 #: Occurrences of pairs that one partition of suffixes is planned for.
 OF_PARTITION = 4_000_000
+#: Tasks for each core that make suffixes.
+OF_CORE = 2
 
 
 def lang_seed(lang: str) -> int:
@@ -100,11 +102,16 @@ class Sums:
         self.size = 0
 
     def add(self, rows: np.ndarray, n: np.ndarray | None = None) -> None:
+        if not len(rows):
+            return
         key = np.zeros(len(rows), np.uint64)
         for k in range(rows.shape[1]):
             key = mixed(key * _STEP + rows[:, k].astype(np.uint64) + np.uint64(1))
-        _, first, of = np.unique(key, return_index=True, return_inverse=True)
-        self.parts.append((rows[first].astype(np.int32), np.bincount(of, n, len(first)).astype(np.int64)))
+        order = np.argsort(key)
+        key = key[order]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        n = np.diff(np.append(first, len(key))) if n is None else np.add.reduceat(n[order], first)
+        self.parts.append((rows[order[first]].astype(np.int32), n.astype(np.int64)))
         self.size += len(first)
         if self.size > HELD:
             self.compact()
@@ -216,16 +223,6 @@ def word_counts(docs: DataFrame, least: int) -> DataFrame:
     return frequent.mapInArrow(hashed, "lang string, word string, n long, h long")
 
 
-def _emit_rows(names: list[str]) -> Callable:
-    def emit(lang: str, lexicon: Lexicon, sums: Sums) -> Iterator[pa.RecordBatch]:
-        rows, n = sums.take()
-        for at in range(0, len(rows), 100_000):
-            part = lexicon.hashes[rows[at : at + 100_000]]
-            yield pa.RecordBatch.from_arrays([*(_signed(part[:, k]) for k in range(len(names))), pa.array(n[at : at + 100_000])], [*names, "n"])
-
-    return emit
-
-
 def linked(lexicon: Lexicon, x: np.ndarray, pairs: np.ndarray, triples: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Whether a pair, and a triple, of a frequent slot starts at each place; without a bitmap of triples, one of two such pairs."""
     good, h = lexicon.often[x], lexicon.hashes
@@ -264,8 +261,18 @@ def slots_of(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - SLOT)).astype(np.int64)
 
 
-def suffixes(docs: DataFrame, often, pairs, triples, longest: int) -> DataFrame:
-    """(h0, h1, ..., n): suffixes of two words or more along frequent slots, as hashes, 0 where they end, and how often."""
+def leading(h: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """How many leading words route each suffix (rows of hashes): two, and one more for each large pair in a row from the start."""
+    out = np.full(len(h), 2)
+    more = np.ones(len(h), bool)
+    for k in range(h.shape[1] - 2):
+        more = more & np.isin(slots_of(pair_hash(h[:, k], h[:, k + 1])), hot)
+        out += more
+    return np.minimum(out, h.shape[1])
+
+
+def suffixes(docs: DataFrame, often, pairs, triples, hot, longest: int) -> DataFrame:
+    """(h0, h1, ..., n, route): suffixes of two words or more along frequent slots, as hashes, 0 where they end, how often, and what deals them."""
     names = [f"h{k}" for k in range(longest)]
 
     def count(lexicon: Lexicon, x: np.ndarray, sums: Sums) -> None:
@@ -282,33 +289,19 @@ def suffixes(docs: DataFrame, often, pairs, triples, longest: int) -> DataFrame:
             out[more, k] = x[at[more] + k]
         sums.add(out)
 
-    return through_texts(docs, often, count, _emit_rows(names), ", ".join(f"{c} long" for c in names) + ", n long")
-
-
-def leading(h: np.ndarray, hot: np.ndarray) -> np.ndarray:
-    """How many leading words route each suffix (rows of hashes): two, and one more for each large pair in a row from the start."""
-    out = np.full(len(h), 2)
-    more = np.ones(len(h), bool)
-    for k in range(h.shape[1] - 2):
-        more = more & np.isin(slots_of(pair_hash(h[:, k], h[:, k + 1])), hot)
-        out += more
-    return np.minimum(out, h.shape[1])
-
-
-def routed(rows: DataFrame, hot, longest: int, parts: int) -> DataFrame:
-    names = [f"h{k}" for k in range(longest)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            h = np.stack([column(batch, c).to_numpy().view(np.uint64) for c in names], axis=1)
+    def emit(lang: str, lexicon: Lexicon, sums: Sums) -> Iterator[pa.RecordBatch]:
+        rows, n = sums.take()
+        for at in range(0, len(rows), 100_000):
+            h = lexicon.hashes[rows[at : at + 100_000]]
             used = leading(h, hot.value)
             route = np.zeros(len(h), np.uint64)
             for k in range(longest):
                 route = np.where(k < used, mixed(route * _STEP + h[:, k]), route)
-            yield pa.RecordBatch.from_arrays([*batch.columns, _signed(route)], [*batch.schema.names, "route"])
+            yield pa.RecordBatch.from_arrays([*(_signed(h[:, k]) for k in range(longest)), pa.array(n[at : at + 100_000]), _signed(route)], [*names, "n", "route"])
 
-    schema = ", ".join(f"{c} long" for c in [*rows.columns, "route"])
-    return rows.mapInArrow(run, schema).repartition(parts, "route").drop("route")
+    # each task hands on every frequent phrase that it meets, so more tasks would mean more rows for the same texts
+    docs = docs.coalesce(OF_CORE * docs.sparkSession.sparkContext.defaultParallelism)
+    return through_texts(docs, often, count, emit, ", ".join(f"{c} long" for c in [*names, "n", "route"]))
 
 
 def multikey_quicksort(h: np.ndarray, n: np.ndarray, least: int, whole: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -378,7 +371,8 @@ def counted(docs: DataFrame, least: int, longest: int) -> tuple[DataFrame, DataF
     # so many occurrences that there are at most four large slots for each partition
     large = max(least, total // (4 * parts))
     hot = sc.broadcast(np.sort(slots.where(F.col("n") > large).select("slot").toArrow()["slot"].to_numpy()))
-    return words, checkpointed(sorted_counts(routed(suffixes(docs, often, pairs, triples, longest), hot, longest, parts), hot, longest, least))
+    dealt = suffixes(docs, often, pairs, triples, hot, longest).repartition(parts, "route").drop("route")
+    return words, checkpointed(sorted_counts(dealt, hot, longest, least))
 
 
 def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, most: int = MOST) -> DataFrame:

@@ -226,6 +226,16 @@ def test_phrases_of_other_lengths_and_empty_tables(spark):
     assert phrases.collocations(df, least=10**6).collect() == []
 
 
+def test_rows_of_suffixes_do_not_grow_with_the_parts_of_a_table(spark):
+    # as many parts as texts: each task that made suffixes handed on the frequent phrases again
+    df = spark.createDataFrame([("en", "a b c d e f")] * 200, "lang string, text string").repartition(200)
+    full = spark.sparkContext.broadcast(np.full(1 << 13, 255, np.uint8))
+    hot = spark.sparkContext.broadcast(np.zeros(0, np.int64))
+    found = phrases.suffixes(df, full, full, full, hot, 5).toPandas()
+    assert len(found) <= 5 * phrases.OF_CORE * spark.sparkContext.defaultParallelism
+    assert sorted(found.groupby(["h0", "h1", "h2", "h3", "h4"]).n.sum()) == [200] * 5
+
+
 def test_sums_and_bitmaps_in_bounded_memory(spark, monkeypatch):
     monkeypatch.setattr(phrases, "HELD", 50)
     draw, sums, want = np.random.default_rng(1), phrases.Sums(), Counter()
