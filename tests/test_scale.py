@@ -156,3 +156,45 @@ def test_what_is_read_of_a_page(spark, monkeypatch, name, tag):
     monkeypatch.setattr(markup, "with_nodes", lambda rows, plain=markup.with_nodes, **how: (asked.append(how), plain(rows, **how))[1])
     registry.QUERIES[name](spark, DATA)
     assert asked and all(h.get("only") == tag and set(h["fields"].split()) <= set("node last tag attrs text".split()) for h in asked)
+
+
+def test_a_node_that_is_looked_for_is_looked_for_once(spark):
+    # a match stood in the expression of its text up to fifteen times, and an author's in full for each
+    given = nodes.with_nodes(spark.createDataFrame([("<p class=byline>By A<p class=post-category>k",)], "html string"))
+    n = F.col("nodes")
+    found = given.select(pages.p.author(n).alias("by"), pages.p.category(n).alias("k"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert [plan.count(x) for x in (", author-name)", ", byline)", ", post-category)")] == [1, 1, 1]
+    assert tuple(found.first()) == ("A", "k")
+
+
+def test_alternatives_among_some_nodes_of_a_page(spark):
+    # matches were taken by their number from the nodes left, which have other places there
+    given = nodes.with_nodes(spark.createDataFrame([("<nav>n</nav><div><b>1</b></div><main><i>2</i></main><b>3",)], "html string"))
+    left = q.without(F.col("nodes"), q.select(F.col("nodes"), "nav"))
+    row = given.select(F.transform(q.select(left, "div b, main > i"), lambda x: x["tag"]).alias("t"), F.size(q.marked(F.col("nodes"))).alias("n")).first()
+    assert row.t == ["b", "i"] and row.n == 6
+
+
+@needs_tables
+@pytest.mark.parametrize("name, missing", [("h29_strategies", ("keywords", "author-name"))])
+def test_what_is_made_of_an_article(spark, monkeypatch, name, missing):
+    asked = []
+    monkeypatch.setattr(pages, "with_nodes", lambda rows, plain=pages.with_nodes, **how: (asked.append(how), plain(rows, **how))[1])
+    plan = registry.QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    made = plan[: plan.index("MapInArrow")]
+    assert asked and nodes.PLACES.isdisjoint(asked[0]["fields"].split())
+    assert not [x for x in missing if x in made]
+
+
+def test_the_first_good_place_is_the_content(spark):
+    long = "w " * 150
+    given = [
+        f"<article><div class=post-content>{long}</div><nav>{long}</nav>a</article>",
+        f"<div class=post-content>{long}b</div><article>short</article>",
+        f"<article><nav>{long}</nav>c</article><div class=entry-content>{long}d</div>",
+        f"<div>e</div><section>{long}f</section>",
+    ]
+    made = nodes.with_nodes(spark.createDataFrame(list(enumerate(given)), "id int, html string"), fields=pages.CONTENT)
+    got = [r.x for r in made.select("id", pages.p.main_content(F.col("nodes")).alias("x")).orderBy("id").collect()]
+    assert [x[-1] for x in got] == list("abdf") and len(got[0]) < 310
