@@ -177,7 +177,7 @@ def test_alternatives_among_some_nodes_of_a_page(spark):
 
 
 @needs_tables
-@pytest.mark.parametrize("name, missing", [("h29_strategies", ("keywords", "author-name")), ("h27_main_content", ("byline",)), ("h23_articles", ("related-posts", "keywords", "author-name"))])
+@pytest.mark.parametrize("name, missing", [("h29_strategies", ("keywords", "author-name")), ("h27_main_content", ("byline",)), ("h23_articles", ("related-posts", "keywords", "author-name")), ("h28_static_pages", ("keywords", "author-name"))])
 def test_what_is_made_of_an_article(spark, monkeypatch, name, missing):
     asked = []
     monkeypatch.setattr(pages, "with_nodes", lambda rows, plain=pages.with_nodes, **how: (asked.append(how), plain(rows, **how))[1])
