@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.functions import selectors as q
-from sparkloom.operators import joins, nodes
+from sparkloom.operators import joins, nodes, parts
 from sparkloom.plans import frameworks, markup, pages, registry
 
 DATA = "/root/testdata/sf0.001"
@@ -198,3 +198,36 @@ def test_the_first_good_place_is_the_content(spark):
     made = nodes.with_nodes(spark.createDataFrame(list(enumerate(given)), "id int, html string"), fields=pages.CONTENT)
     got = [r.x for r in made.select("id", pages.p.main_content(F.col("nodes")).alias("x")).orderBy("id").collect()]
     assert [x[-1] for x in got] == list("abdf") and len(got[0]) < 310
+
+
+def odd_pages(n: int) -> list[str]:
+    """Pages of odd pieces, each three times with other texts, so that trees are taken from pages before."""
+    rng = random.Random(9)
+    more = ["<a href='#x'>q</a>", "<a href=/p>~ <b>y</b></a>", "<A HREF='javascript:0'>", "<a href>", "<a href='/k&amp;l'>\xa0w ", "</a>", "<caption>~", "<tr>", "<tr><td>~", "<td>~ ", "<th>h", "</table>", "<table id=u>", "<table>", "<thead>", "<tbody>", "<form><tr>", "<div>"]
+    bits = [b for page in ODD_PAGES for b in re.split("(?=<)", page)]
+    made = ["".join(rng.choices(more, k=rng.randrange(25)) + rng.choices(bits, k=rng.randrange(3))) for _ in range(n)]
+    given = [*ODD_PAGES, *made, "~".join(["<p>" + "v" * 90 + "<a href=/r>s</a>"] * 3)]
+    return [page.replace("~", t) for page in given for t in ("t", "&lt;", "")]
+
+
+@pytest.mark.parametrize("reader, plain", [("with_tables", pages.p.tables), ("with_links", pages.p.links)])
+def test_parts_made_with_the_page_equal_those_of_its_nodes(spark, reader, plain):
+    given = spark.createDataFrame([*enumerate(odd_pages(250)), (-1, None)], "id int, html string").coalesce(1)
+    got = {r.id: r.x for r in getattr(parts, reader)(given, out="x").collect()}
+    want = {r.id: r.x for r in nodes.with_nodes(given, keep=False).select("id", plain(F.col("nodes")).alias("x")).collect()}
+    assert got == want and sum(map(len, want.values())) > 100
+
+
+def test_rows_of_nested_tables_are_not_met_again(spark):
+    # a table was compared with all rows of the page, so a page of nested tables took their product, and more
+    page = "<table id=o>" + "<tr><td>x<table><tr><th>h<td>y</table></td>" * 3000
+    (row,) = parts.with_tables(spark.createDataFrame([(page,)], "html string")).collect()
+    assert [t.id for t in row.tables[:2]] == ["o", None] and len(row.tables) == 3001 and len(row.tables[0].rows) == 3000
+    assert row.tables[3000].headers == ["h"] and row.tables[3000].rows == []
+
+
+@needs_tables
+@pytest.mark.parametrize("name", ["h7_found_table"])
+def test_no_nodes_where_parts_are_read(spark, name):
+    plan = registry.QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "nodes#" not in plan
