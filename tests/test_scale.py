@@ -227,7 +227,7 @@ def test_rows_of_nested_tables_are_not_met_again(spark):
 
 
 @needs_tables
-@pytest.mark.parametrize("name", ["h5_order_tables", "h6_order_records", "h7_found_table"])
+@pytest.mark.parametrize("name", ["h5_order_tables", "h6_order_records", "h7_found_table", "h8_links_in_context"])
 def test_no_nodes_where_parts_are_read(spark, name):
     plan = registry.QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 1 and "nodes#" not in plan
