@@ -159,7 +159,7 @@ def test_what_is_read_of_a_page(spark, monkeypatch, name, tag):
 
 
 def test_a_node_that_is_looked_for_is_looked_for_once(spark):
-    # a match stood in the expression of its text up to fifteen times, and an author's in full for each
+    # a match stood in the expression of its text up to 18 times, and an author's in full for each
     given = nodes.with_nodes(spark.createDataFrame([("<p class=byline>By A<p class=post-category>k",)], "html string"))
     n = F.col("nodes")
     found = given.select(pages.p.author(n).alias("by"), pages.p.category(n).alias("k"))
